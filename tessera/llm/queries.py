@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .neardup import op5_superminhash
+from .substring import op9_seed_extend
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_superminhash": op5_superminhash,
+    "op9_seed_extend": op9_seed_extend,
 }
 
 ORACLES: dict[str, str] = {}

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .neardup import op5_superminhash
+from .quality import op8_ngram_ratio
 from .substring import op9_seed_extend
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_superminhash": op5_superminhash,
+    "op8_ngram_ratio": op8_ngram_ratio,
     "op9_seed_extend": op9_seed_extend,
 }
 

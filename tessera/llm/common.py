@@ -71,9 +71,8 @@ def prefilter(big: DataFrame, key: str, keys: DataFrame, words: int = 1 << 18) -
     for shift in (20, 26, 32, 38):
         bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")))
     filt = keys.select(slot.alias("_slot"), bits.alias("_bits")).groupBy("_slot").agg(F.bit_or("_bits").alias("_word"))
-    return (
-        big.withColumn("_slot", slot).join(F.broadcast(filt), "_slot").where(F.col("_word").bitwiseAND(bits) == bits).drop("_slot", "_word")
-    )
+    out = big.withColumn("_slot", slot).join(F.broadcast(filt), "_slot", "left")
+    return out.withColumn("_maybe", F.coalesce(F.col("_word").bitwiseAND(bits) == bits, F.lit(False))).drop("_slot", "_word")
 
 
 # ---------------------------------------------------------------- connected components

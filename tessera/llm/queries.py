@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op10_soft_mixing
 from .neardup import op5_superminhash
 from .quality import op8_ngram_ratio
 from .substring import op9_seed_extend
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_superminhash": op5_superminhash,
     "op8_ngram_ratio": op8_ngram_ratio,
     "op9_seed_extend": op9_seed_extend,
+    "op10_soft_mixing": op10_soft_mixing,
 }
 
 ORACLES: dict[str, str] = {}

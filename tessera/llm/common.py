@@ -65,6 +65,11 @@ def prefilter(big: DataFrame, key: str, keys: DataFrame, words: int = 1 << 18) -
     The filter's size is fixed by the parameter, so broadcasting it is safe at any input size. It keeps every row with
     a match and some without; an exact join has to follow. With very many keys it only filters less.
     """
+    return marked(big, key, keys, words).where("_maybe").drop("_maybe")
+
+
+def marked(big: DataFrame, key: str, keys: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """``big`` with a boolean ``_maybe``: false where ``key`` is certainly not in ``keys``."""
     h = F.xxhash64(F.col(key))
     slot = F.pmod(h, F.lit(words)).cast("int")
     bits = F.lit(0).cast("long")

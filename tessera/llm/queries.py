@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .mixing import op10_soft_mixing
 from .neardup import op5_superminhash
 from .quality import op8_ngram_ratio
+from .secrets import op4_randomness
 from .substring import op9_seed_extend
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_randomness": op4_randomness,
     "op5_superminhash": op5_superminhash,
     "op8_ngram_ratio": op8_ngram_ratio,
     "op9_seed_extend": op9_seed_extend,

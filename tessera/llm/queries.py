@@ -11,13 +11,18 @@ from .neardup import op5_superminhash
 from .quality import op8_ngram_ratio
 from .secrets import op4_randomness
 from .substring import op9_seed_extend
+from .urls import ORACLE as OP7_SQL
+from .urls import op7_blocked_bloom
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_randomness": op4_randomness,
     "op5_superminhash": op5_superminhash,
+    "op7_blocked_bloom": op7_blocked_bloom,
     "op8_ngram_ratio": op8_ngram_ratio,
     "op9_seed_extend": op9_seed_extend,
     "op10_soft_mixing": op10_soft_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_blocked_bloom": OP7_SQL,
+}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op10_soft_mixing
 from .neardup import op5_superminhash
+from .packing import op6_harmonic
 from .quality import op8_ngram_ratio
 from .secrets import op4_randomness
 from .substring import op9_seed_extend
@@ -17,6 +18,7 @@ from .urls import op7_blocked_bloom
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_randomness": op4_randomness,
     "op5_superminhash": op5_superminhash,
+    "op6_harmonic": op6_harmonic,
     "op7_blocked_bloom": op7_blocked_bloom,
     "op8_ngram_ratio": op8_ngram_ratio,
     "op9_seed_extend": op9_seed_extend,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lattice import op1_lattice
 from .mixing import op10_soft_mixing
 from .neardup import op5_superminhash
 from .packing import op6_harmonic
@@ -16,6 +17,7 @@ from .urls import ORACLE as OP7_SQL
 from .urls import op7_blocked_bloom
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice": op1_lattice,
     "op4_randomness": op4_randomness,
     "op5_superminhash": op5_superminhash,
     "op6_harmonic": op6_harmonic,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunks import op2_gear_chunks
 from .lattice import op1_lattice
 from .mixing import op10_soft_mixing
 from .neardup import op5_superminhash
@@ -18,6 +19,7 @@ from .urls import op7_blocked_bloom
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
+    "op2_gear_chunks": op2_gear_chunks,
     "op4_randomness": op4_randomness,
     "op5_superminhash": op5_superminhash,
     "op6_harmonic": op6_harmonic,

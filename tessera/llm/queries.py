@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import op2_gear_chunks
+from .html import op3_host_suffixes
 from .lattice import op1_lattice
 from .mixing import op10_soft_mixing
 from .neardup import op5_superminhash
@@ -20,6 +21,7 @@ from .urls import op7_blocked_bloom
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
     "op2_gear_chunks": op2_gear_chunks,
+    "op3_host_suffixes": op3_host_suffixes,
     "op4_randomness": op4_randomness,
     "op5_superminhash": op5_superminhash,
     "op6_harmonic": op6_harmonic,

@@ -21,6 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- stage tables
 
+#: Rows of texts that go to a Python worker at once; texts are long.
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new temporary one."""
@@ -35,7 +38,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends here, on shared storage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     release(spark)
@@ -138,7 +147,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for key, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
             x = np.full(size, base, np.uint64)
             x[0] = 1
@@ -171,7 +180,7 @@ class Words:
         self.hash = range_hash(_BYTE[(_LOWER if lower else _AS_IS)[data]], self.start, self.end) if n else np.zeros(0, np.uint64)
 
 
-def text_slices(column: pa.Array, most: int = 1 << 20):
+def text_slices(column: pa.Array, most: int = 1 << 19):
     """Cut an Arrow text column (null: empty) into row ranges of about ``most`` bytes: (from, to, bytes, offsets)."""
     column = column.cast(pa.large_string()).fill_null("")
     if isinstance(column, pa.ChunkedArray):

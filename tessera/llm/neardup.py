@@ -7,8 +7,8 @@ less than j. Bands of the signature name candidate buckets; every link is confir
 
 Scale. Documents with equal sets form a class and only its smallest id goes on, so thousands of exact copies cost one
 row. A bucket is not expanded into pairs: each member is compared with the bucket's smallest member (a star), links are
-contracted to components, and only members that stay outside their anchor's component are then compared with the
-members of other components of their buckets. A near-copy group of any size thus costs a row per member and bucket.
+contracted to components, and members that stay outside their anchor's component are then compared with the members
+around the same anchor that an exact bound on shared edits leaves (``_open_pairs``).
 What is compared is exact: 100 * |A and B| >= percent * |A or B|.
 
 Nulls and empty texts have an empty set and link with nothing. Texts shorter than a shingle have their whole word
@@ -98,28 +98,52 @@ def _sets(k: int):
             ids = batch.column("doc_id")
             for at, to, data, offsets in text_slices(batch.column("text")):
                 value, first = shingle_sets(Words(data, offsets, lower=True), k)
-                blobs = [value[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array(blobs, pa.binary())], ["doc_id", "elements"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), lists(value.view(np.int64), first, pa.int64())], ["doc_id", "elements"])
 
     return run
 
 
-def _confirm(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                if 100 * len(a) < percent * len(b):
-                    keep.append(False)
-                    continue
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _shared(batches):
+    """Sizes of both sets of a pair and of what they share (elements are sorted as unsigned numbers)."""
+    for batch in batches:
+        x, y = batch.column("x"), batch.column("y")
+        ox, oy = x.offsets.to_numpy(), y.offsets.to_numpy()
+        vx, vy = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+        both = np.zeros(batch.num_rows, np.int64)
+        for i in range(batch.num_rows):
+            a, b = vx[ox[i] : ox[i + 1]], vy[oy[i] : oy[i + 1]]
+            if len(a) > len(b):
+                a, b = b, a
+            both[i] = (b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()
+        sizes = [pa.array(np.diff(o).astype(np.int64)) for o in (oy, ox)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes, pa.array(both)], ["a", "b", "na", "nb", "both"])
+
+
+def _open_pairs(star: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) around one anchor that are in different components and may still be links.
+
+    Around an anchor H of n elements let x lack d and add e elements, of which c occur in another document at all (those
+    around such anchors). With s shared edits, x and y are a link if and only if
+    (100 + p) * s >= p * (e + e') + 100 * (d + d') - (100 - p) * n, and s <= min(d, d') + min(c, c'). Private edits, as
+    random copies have them, rule a member out by the best partner that its anchor has, without a look at its pairs.
+    """
+    t = 100 + percent
+    place = lambda name: found.withColumnsRenamed({"node": name, "component": f"c{name}"})
+    around = star.select("a", "b", F.col("na").alias("n"), (F.col("na") - F.col("both")).alias("d"), (F.col("nb") - F.col("both")).alias("e"), "both", "nb")
+    around = around.join(place("a"), "a", "left").join(place("b"), "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    mixed = around.groupBy("a").agg(F.max(F.col("ca") != F.col("cb")).alias("mixed")).where("mixed").select("a")
+    around = stage(around.join(mixed, "a", "left_semi"), "around")
+    ids = around.select(F.col("b").alias("doc_id")).union(around.select("a")).distinct()
+    elements = prefilter(sets, "doc_id", ids).join(ids, "doc_id", "left_semi").select("doc_id", F.explode("elements").alias("element"))
+    private = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("doc_id").alias("b")).where("n = 1").groupBy("b").agg(F.count("*").alias("private"))
+    x = around.join(private, "b", "left").withColumn("c", F.col("nb") - F.coalesce("private", F.lit(0)) - F.col("both"))
+    x = x.withColumn("need", percent * F.col("e") + 100 * F.col("d") - (100 - percent) * F.col("n")).withColumn("gain", t * (F.col("d") + F.col("c")) - percent * F.col("e") - 100 * F.col("d"))
+    x = stage(x.select("a", "b", "cb", "ca", "d", "c", "n", "need", "gain"), "edits")
+    best = x.groupBy("a").agg(F.max("gain").alias("best"))
+    odd = x.where("cb <> ca and gain >= -(n * " + str(100 - percent) + ")").join(best, "a").where("best >= need").select("a", F.col("b").alias("p"), F.col("cb").alias("pc"), F.col("d").alias("pd"), F.col("c").alias("pe"), F.col("need").alias("pn"))
+    other = x.select("a", F.col("b").alias("q"), F.col("cb").alias("qc"), F.col("d").alias("qd"), F.col("c").alias("qe"), (F.col("need") + (100 - percent) * F.col("n")).alias("qn"))
+    may = (F.col("pc") != F.col("qc")) & (t * (F.least("pd", "qd") + F.least("pe", "qe")) >= F.col("pn") + F.col("qn"))
+    return odd.join(other, "a").where(may).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
@@ -136,32 +160,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     members = stage(prefilter(reps, "key", shared).join(shared, "key").distinct(), "members")
 
     wanted = stage(members.select("doc_id").distinct(), "wanted")
-    sets = stage(prefilter(docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, elements binary").dropDuplicates(["doc_id"]), "sets")
+    sets = stage(prefilter(docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "sets")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
         x, y = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("y"))
-        return stage(pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), name)
+        both = pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(_shared, "a long, b long, na long, nb long, both long")
+        return stage(both.withColumn("linked", 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))), name)
 
-    star = members.where("doc_id <> anchor").select(F.col("anchor").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = confirmed(star, "links")
+    star = compared(members.where("doc_id <> anchor").select(F.col("anchor").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    links = star.where("linked").select("a", "b")
     found = stage(components(links), "components")
-
-    # members outside their anchor's component meet the members of the other components of their buckets
-    of = members.join(found.withColumnsRenamed({"node": "doc_id", "component": "c"}), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    of = of.join(found.withColumnsRenamed({"node": "anchor", "component": "ac"}), "anchor", "left").withColumn("ac", F.coalesce("ac", "anchor"))
-    of = stage(of, "placed")
-    odd = of.where("c <> ac").select("key", F.col("doc_id").alias("p"), F.col("c").alias("pc"))
-    rest = odd.join(of.select("key", F.col("doc_id").alias("q"), F.col("c").alias("qc")).where("q is not null"), "key").where("pc <> qc")
-    rest = rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = confirmed(rest, "more")
-    if not more.isEmpty():
-        found = stage(components(links.union(more)), "components")
+    rest = compared(_open_pairs(star, found, sets, percent), "rest")
+    if not rest.where("linked").isEmpty():
+        found = stage(components(links.union(rest.where("linked").select("a", "b"))), "components")
 
     ids = one.select("doc_id", "n_shingles", "digest").dropDuplicates(["doc_id"]).join(classes, "digest", "left")
     out = ids.join(found.withColumnsRenamed({"node": "class_id"}), "class_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "class_id", "doc_id")).withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = stage(out.select("doc_id", "n_shingles", "class_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")), "result")
-    drop_stage(one, classes, shared, members, wanted, sets, links, of, more)
+    drop_stage(one, classes, shared, members, wanted, sets, star, rest)
     release(docs.sparkSession)
     return out
 

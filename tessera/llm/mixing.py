@@ -78,11 +78,18 @@ def _rate(z: np.ndarray) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - sum(F.col(d) * float(v) for d, v in zip(DOMAINS, z, strict=True)))
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = 60, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """(z, targets): accumulated steps and target tokens. The targets share out all tokens by ``weights``."""
+def fit_rates(members: DataFrame, weights: dict[str, float], thin: str | None = None, steps: int = 60, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(z, targets): accumulated steps and target tokens. The targets share out all tokens by ``weights``.
+
+    With ``thin``, the name of a domain, that domain keeps its expected tokens and the others come down to their share
+    relative to it; none goes up, so rates stay near or under 1 also where a domain has hardly any tokens.
+    """
     w = np.array([weights[d] for d in DOMAINS], float)
-    total = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    total, *mass = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), *[F.coalesce(F.sum(F.col("n_tokens") * F.col(d)), F.lit(0.0)) for d in DOMAINS]).first()
     targets = total * w / w.sum()
+    if thin is not None:
+        i = DOMAINS.index(thin)
+        targets = np.minimum(np.array(mass), mass[i] * w / w[i])
     z = np.zeros(len(DOMAINS))
     pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
     best, size = None, 1.0
@@ -109,22 +116,21 @@ def fit_rates(members: DataFrame, weights: dict[str, float], steps: int = 60, to
     return (best[1] if best is not None else z), targets
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], buckets: int = 1 << 15, sample: int = 20_000) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin: str | None = None, buckets: int = 1 << 15, sample: int = 20_000) -> DataFrame:
     """doc_id, n_tokens, low, toxic, clean (posteriors), rate (expected copies of the document)."""
     members = posteriors(docs, labels, buckets, sample)
-    z, _ = fit_rates(members, weights)
+    z, _ = fit_rates(members, weights, thin)
     return members.withColumn("rate", _rate(z))
 
 
-def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Rows of ``docs``, each kept with probability rate / largest rate, decided by a hash of its doc_id.
+def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin: str = "clean") -> DataFrame:
+    """Rows of ``docs``, each kept with its rate as probability, decided by a hash of its doc_id.
 
-    Clean documents are the ones with the largest rates under weights that favour them, so they stay.
+    The ``thin`` domain keeps its tokens; its documents have rates of about 1 and stay.
     """
-    rates = mixing_rates(docs, labels, weights)
-    most = rates.agg(F.max("rate")).first()[0] or 1.0
+    rates = mixing_rates(docs, labels, weights, thin)
     draw = F.pmod(F.xxhash64(F.lit("mixture"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    gone = stage(rates.where(F.col("rate") / most <= draw).select("doc_id").distinct(), "gone")
+    gone = stage(rates.where(F.col("rate") <= draw).select("doc_id").distinct(), "gone")
     split = marked(docs, "doc_id", gone)  # only rows that may go are shuffled
     return split.where("not _maybe").union(split.where("_maybe").join(gone, "doc_id", "left_anti").select(split.columns)).drop("_maybe")
 

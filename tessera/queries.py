@@ -1,10 +1,7 @@
-"""Registered queries of the library and their DuckDB twins."""
+"""Registered queries of the library and their DuckDB twins. Every module of ``tessera.plans.catalog`` adds its own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans.catalog import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

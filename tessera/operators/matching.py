@@ -51,21 +51,35 @@ def match_default(det: DataFrame, gt: DataFrame, threshold: float = 0.5, area: t
     return x.select(*det.columns, F.when(tp, 1).otherwise(0).alias("tp"), F.when(fp, 1).otherwise(0).alias("fp"))
 
 
+def running(matched: DataFrame, by: list[str], cells: int = 1024) -> DataFrame:
+    """``matched`` with ``cum_tp`` and ``cum_fp`` from the best score down, and the score cell ``cell``.
+
+    Sums of score cells are added up in a table of classes x cells rows, and rows only within their cell, so no task
+    holds a class as a whole.
+    """
+    x = matched.withColumn("cell", F.floor(F.col("score") * cells).cast("long"))
+    before = Window.partitionBy(*by).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy(*by, "cell").agg(F.sum("tp").alias("_t"), F.sum("fp").alias("_f"))
+    sums = sums.select(*by, "cell", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in (("_t", "_bt"), ("_f", "_bf"))])
+    upto = Window.partitionBy(*by, "cell").orderBy(F.desc("score"), "det_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.join(sums, [*by, "cell"])
+    return x.withColumn("cum_tp", F.col("_bt") + F.sum("tp").over(upto)).withColumn("cum_fp", F.col("_bf") + F.sum("fp").over(upto)).drop("_bt", "_bf")
+
+
 def average_precision(matched: DataFrame, counts: DataFrame, by: list[str], mode: str = "area") -> DataFrame:
     """``by``, num_gts, num_dets, recall, ap. ``counts``: ``by``, num_gts. ``mode``: ``area`` or ``11points``."""
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "det_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = matched.join(counts, by)
-    x = x.withColumn("_tp", F.sum("tp").over(upto)).withColumn("_fp", F.sum("fp").over(upto)).withColumn("_r", F.try_divide(F.col("_tp"), F.col("num_gts")))
-    x = x.withColumn("_p", F.coalesce(F.try_divide(F.col("_tp"), F.col("_tp") + F.col("_fp")), F.lit(0.0)))
+    if mode not in ("area", "11points"):
+        raise ValueError(f"unknown mode {mode!r}")
+    x = running(matched, by).join(counts, by).withColumn("_r", F.coalesce(F.try_divide("cum_tp", "num_gts"), F.lit(0.0)))
+    x = x.withColumn("_p", F.coalesce(F.try_divide(F.col("cum_tp"), F.col("cum_tp") + F.col("cum_fp")), F.lit(0.0)))
     if mode == "area":
-        x = x.withColumn("_e", F.max("_p").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        x = x.withColumn("_step", F.coalesce(F.col("_r") - F.coalesce(F.lag("_r").over(order), F.lit(0.0)), F.lit(0.0)))
-        ap = F.sum(F.col("_step") * F.col("_e"))
-    elif mode == "11points":
-        ap = sum([F.coalesce(F.max(F.when(F.col("_r") >= t / 10, F.col("_p"))), F.lit(0.0)) for t in range(11)], F.lit(0.0)) / 11
+        later = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        tops = x.groupBy(*by, "cell").agg(F.max("_p").alias("_top")).select(*by, "cell", F.coalesce(F.max("_top").over(later), F.lit(0.0)).alias("_later"))
+        below = Window.partitionBy(*by, "cell").orderBy(F.desc("score"), "det_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        x = x.join(tops, [*by, "cell"]).withColumn("_e", F.greatest(F.max("_p").over(below), F.col("_later")))
+        ap = F.sum(F.coalesce(F.try_divide("tp", "num_gts"), F.lit(0.0)) * F.col("_e"))
     else:
-        raise ValueError(f"unknown mode {mode!r}")
+        ap = sum([F.coalesce(F.max(F.when(F.col("_r") >= t / 10, F.col("_p"))), F.lit(0.0)) for t in range(11)], F.lit(0.0)) / 11
     found = x.groupBy(*by).agg(F.count("*").alias("num_dets"), F.max("_r").alias("recall"), ap.alias("ap"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return counts.join(found, by, "left").select(*by, "num_gts", zero("num_dets").alias("num_dets"), F.coalesce("recall", F.lit(0.0)).alias("recall"), F.coalesce("ap", F.lit(0.0)).alias("ap"))

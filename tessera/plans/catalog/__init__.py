@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, evaluation
+from . import candidates, detection, evaluation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "detection", "evaluation"]
+__all__ = ["ORACLES", "QUERIES", "candidates", "detection", "evaluation"]

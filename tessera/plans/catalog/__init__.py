@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candidates, detection, evaluation
+from . import candidates, detection, evaluation, rows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "candidates", "detection", "evaluation"]
+__all__ = ["ORACLES", "QUERIES", "candidates", "detection", "evaluation", "rows"]

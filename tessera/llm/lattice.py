@@ -28,6 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,23 @@ def held_out(doc_id: Column) -> Column:
 # ---------------------------------------------------------------- vocabulary
 
 
+def _prefixed(weights: dict[str, float], more: float) -> dict[str, float | None]:
+    """The weights plus ``more``, and None for proper prefixes of pieces that are no pieces: a walk stops where both end."""
+    out: dict[str, float | None] = {}
+    for p in weights:
+        for j in range(1, len(p)):
+            out.setdefault(p[:j], None)
+    out.update({p: w + more for p, w in weights.items()})
+    return out
+
+
+def _log_sum(terms: list[float]) -> float:
+    if len(terms) == 1:
+        return terms[0]
+    top = max(terms)
+    return top + math.log(sum([math.exp(t - top) for t in terms]))
+
+
 class Pieces:
     """Log weights of word-initial (``head``) and continuing (``tail``) pieces; bytes are the last 256 ids of each."""
 
@@ -58,71 +76,76 @@ class Pieces:
         self.heads, self.tails = heads, tails
         self.head, self.tail = dict(zip(heads, head.tolist(), strict=True)), dict(zip(tails, tail.tolist(), strict=True))
         self.stop, self.go = math.log(stop), math.log1p(-stop)
-        self.longest = max(map(len, [*heads, *tails]), default=1)
-
-    def arcs(self, word: str) -> list[list[tuple[int, float, str]]]:
-        """For each end position, arcs (start, log weight, key)."""
-        n, longest, tail, go = len(word), self.longest, self.tail, self.go
-        out: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-        for j in range(1, min(n, longest) + 1):
-            p = word[:j]
-            w = self.head.get(p)
-            if w is not None:
-                out[j].append((0, w, p))
-        for i in range(1, n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = word[i:j]
-                w = tail.get(p)
-                if w is not None:
-                    out[j].append((i, w + go, p))
-        for i, c in enumerate(word):
-            if (c not in tail) if i else (c not in self.head):
-                keys = [f"<{b:02X}>" for b in c.encode()]
-                first = self.head[keys[0]] if i == 0 else tail[keys[0]] + go
-                out[i + 1].append((i, first + sum(tail[k] + go for k in keys[1:]), "\0" + c))
-        return out
-
-    def forward(self, arcs: list[list[tuple[int, float, str]]]) -> list[float]:
-        alpha = [0.0] * len(arcs)
-        exp, log = math.exp, math.log
-        for j in range(1, len(arcs)):
-            terms = [alpha[i] + w for i, w, _ in arcs[j]]
-            if len(terms) == 1:
-                alpha[j] = terms[0]
-            elif terms:
-                top = max(terms)
-                alpha[j] = top + log(sum([exp(t - top) for t in terms]))
-            else:
-                alpha[j] = -math.inf
-        return alpha
+        self.first, self.next = _prefixed(self.head, 0.0), _prefixed(self.tail, self.go)
+
+    def spelled_byte(self, c: str, first: bool) -> float:
+        """Log weight of a character that no piece holds, by its bytes."""
+        keys = [f"<{b:02X}>" for b in c.encode()]
+        return (self.head[keys[0]] if first else self.tail[keys[0]] + self.go) + sum(self.tail[k] + self.go for k in keys[1:])
 
     def log_probability(self, word: str) -> float:
-        return self.forward(self.arcs(word))[-1] + self.stop
+        """Log-space forward recursion over the positions of a word."""
+        n = len(word)
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        table, at, missing = self.first, 0.0, -1.0
+        for i in range(n):
+            if i:
+                if not terms[i]:
+                    continue
+                at, table = _log_sum(terms[i]), self.next
+            for j in range(i + 1, n + 1):
+                w = table.get(word[i:j], missing)
+                if w is missing:
+                    break
+                if w is not None:
+                    terms[j].append(at + w)
+            if table.get(word[i]) is None:
+                terms[i + 1].append(at + self.spelled_byte(word[i], i == 0))
+        return _log_sum(terms[n]) + self.stop
 
-    def expected(self, word: str, heads: Counter, tails: Counter) -> None:
-        """Add the expected use of each piece in spelling ``word``."""
-        arcs = self.arcs(word)
-        alpha = self.forward(arcs)
+    def expected(self, word: str, heads: dict[str, float], tails: dict[str, float]) -> None:
+        """Add the expected use of each piece in spelling ``word`` (forward and backward recursions)."""
         n = len(word)
-        beta = [-math.inf] * (n + 1)
-        beta[n] = 0.0
-        total, exp, log = alpha[n], math.exp, math.log
-        for j in range(n, 0, -1):
-            b = beta[j]
-            if b == -math.inf:
-                continue
-            for i, w, key in arcs[j]:
-                v = b + w
-                at = beta[i]
-                beta[i] = v if at == -math.inf else (at + log(1 + exp(v - at)) if at > v else v + log(1 + exp(at - v)))
-                use = exp(alpha[i] + v - total)
-                if use < 1e-6:
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        arcs: list[list[tuple[int, float, str]]] = [[] for _ in range(n)]
+        alpha = [0.0] * (n + 1)
+        table, missing = self.first, -1.0
+        for i in range(n):
+            if i:
+                if not terms[i]:
                     continue
-                if key[0] == "\0":
-                    for k, byte in enumerate(key[1:].encode()):
-                        (heads if i == 0 and k == 0 else tails)[f"<{byte:02X}>"] += use
-                else:
-                    (tails if i else heads)[key] += use
+                alpha[i], table = _log_sum(terms[i]), self.next
+            at, mine = alpha[i], arcs[i]
+            for j in range(i + 1, n + 1):
+                p = word[i:j]
+                w = table.get(p, missing)
+                if w is missing:
+                    break
+                if w is not None:
+                    terms[j].append(at + w)
+                    mine.append((j, w, p))
+            if table.get(word[i]) is None:
+                w = self.spelled_byte(word[i], i == 0)
+                terms[i + 1].append(at + w)
+                mine.append((i + 1, w, ""))
+        total = _log_sum(terms[n])
+        beta: list[float | None] = [None] * n + [0.0]
+        exp = math.exp
+        for i in range(n - 1, -1, -1):
+            ahead = [(w + beta[j], p) for j, w, p in arcs[i] if beta[j] is not None]
+            if not ahead:
+                continue
+            beta[i] = _log_sum([v for v, _ in ahead])
+            at, out = alpha[i] - total, tails if i else heads
+            for v, p in ahead:
+                if v + at > -14.0:
+                    use = exp(v + at)
+                    if p:
+                        out[p] = out.get(p, 0.0) + use
+                    else:
+                        for k, byte in enumerate(word[i].encode()):
+                            to, key = (heads if i == 0 and k == 0 else tails), f"<{byte:02X}>"
+                            to[key] = to.get(key, 0.0) + use
 
 
 @cache
@@ -176,30 +199,29 @@ def _words(text: str | None) -> list[bytes]:
 def _count(batches):
     """word, n_train, n (partial sums of a task; written out when there are many)."""
 
-    def rows(seen: dict, train: dict):
-        for i in range(0, len(seen), 50_000):
-            keys = list(seen)[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k.decode() for k in keys], pa.string()), pa.array([train.get(k, 0) for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["word", "n_train", "n"]
-            )
+    def rows(train: dict, other: dict):
+        keys = list(train)
+        keys += [k for k in other if k not in train]
+        for i in range(0, len(keys), 50_000):
+            part = keys[i : i + 50_000]
+            known = [train.get(k, 0) for k in part]
+            yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in part], pa.string()), pa.array(known, pa.int64()), pa.array([n + other.get(k, 0) for n, k in zip(known, part, strict=True)], pa.int64())], ["word", "n_train", "n"])
 
-    seen, train = Counter(), Counter()
+    train, other = Counter(), Counter()
     for batch in batches:
         for text, out in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
             words = _words(text)
             words.append(END.encode())
-            seen.update(words)
-            if not out:
-                train.update(words)
-        if len(seen) > 400_000:
-            yield from rows(seen, train)
-            seen, train = Counter(), Counter()
-    yield from rows(seen, train)
+            (other if out else train).update(words)
+        if len(train) + len(other) > 700_000:
+            yield from rows(train, other)
+            train, other = Counter(), Counter()
+    yield from rows(train, other)
 
 
 def _expect(prior: Pieces):
     def run(batches):
-        heads, tails, n = Counter(), Counter(), 0
+        heads, tails, n = {}, {}, 0
         for batch in batches:
             for word in batch.column("word").to_pylist():
                 prior.expected(word, heads, tails)
@@ -228,28 +250,22 @@ def _spell(pieces: Pieces, discount: float, total: float, types: float):
     return run
 
 
-def _score(frequent: Callable[[], dict[bytes, tuple[float, float, int]]]):
+def _score(frequent: Callable[[], tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]]):
     """For each document: its rows of infrequent words, and one row (word null) of sums over frequent ones."""
 
     def run(batches):
-        known = frequent()
+        place, base, score, seen = frequent()
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [], [], [])
             for doc, text in zip(ids, batch.column("text").to_pylist(), strict=True):
                 words = _words(text)
                 words.append(END.encode())
-                base = score = 0.0
-                hits = 0
-                for w, n in Counter(words).items():
-                    k = known.get(w)
-                    if k is None:
-                        for o, v in zip(out, (doc, w.decode(), n, 0.0, 0.0, 0), strict=True):
-                            o.append(v)
-                    else:
-                        base += n * k[0]
-                        score += n * k[1]
-                        hits += n * k[2]
-                for o, v in zip(out, (doc, None, len(words), base, score, hits), strict=True):
+                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                known = at[at >= 0]
+                for w, n in Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items():
+                    for o, v in zip(out, (doc, w.decode(), n, 0.0, 0.0, 0), strict=True):
+                        o.append(v)
+                for o, v in zip(out, (doc, None, len(words), float(base[known].sum()), float(score[known].sum()), int(seen[known].sum())), strict=True):
                     o.append(v)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["doc_id", "word", "n", "base", "score", "hits"])
@@ -287,25 +303,26 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_00
     rows = top.select("word", "n_train", "logp").toPandas()  # at most ``frequent`` rows
     packed = spark.sparkContext.broadcast((rows["word"].tolist(), rows["n_train"].to_numpy(), rows["logp"].to_numpy()))
 
-    def known() -> dict[bytes, tuple[float, float, int]]:
+    def known() -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
         names, counts, logs = packed.value
-        return {w.encode(): (math.log10(c + 1) - floor, s, int(c > 0)) for w, c, s in zip(names, counts.tolist(), logs.tolist(), strict=True)}
+        return {w.encode(): i for i, w in enumerate(names)}, np.log10(counts + 1.0) - floor, logs, counts > 0
 
     parts = stage(docs.select("doc_id", "text").mapInArrow(_score(known), "doc_id long, word string, n long, base double, score double, hits long"), "parts")
     rare = parts.where("word is not null").join(words.select("word", "n_train", "logp"), "word")
     rare = rare.groupBy("doc_id").agg(
         F.sum(F.col("n") * (F.log10(F.col("n_train") + 1.0) - floor)).alias("rare_base"), F.sum(F.col("n") * F.col("logp")).alias("rare_score"), F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("rare_hits")
     )
-    out = parts.where("word is null").join(rare, "doc_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    once_each = parts.where("word is null").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("n", "base", "score", "hits")], F.count("*").alias("copies"))
+    out = once_each.join(rare, "doc_id", "left")
+    each = lambda c, zero: F.coalesce(F.col(c) / F.col("copies"), F.lit(zero))
     out = out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("n").alias("n_tokens"),
-        (F.col("hits") + zero("rare_hits")).cast("long").alias("n_known"),
+        (F.col("hits") + each("rare_hits", 0.0)).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        (F.col("base") + each("rare_base", 0.0)).alias("base_score"),
+        (F.col("score") + each("rare_score", 0.0)).alias("score"),
     )
     out = stage(out, "scores")
     drop_stage(words, parts)

@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends here, on shared storage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
@@ -42,7 +42,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(rows)
     spark.conf.set(rows, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     finally:
         spark.conf.set(rows, before)
     out = spark.read.schema(df.schema).parquet(path)

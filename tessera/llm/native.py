@@ -27,14 +27,26 @@ def hashes_of(words: Column) -> Column:
 
 def windows_of(hashes: Column, k: int) -> Column:
     """Hash of every k consecutive elements."""
-    many = F.size(hashes) - (k - 1)
-    places = F.when(many > 0, F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
+    all_places = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, k)]))
+    return F.slice(all_places, F.lit(1), F.greatest(F.size(hashes) - (k - 1), F.lit(0)))
+
+
+def bucket_of(h: Column, buckets: int) -> Column:
+    """Bucket of a hash; ``buckets`` is a power of two."""
+    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
 def buckets_of(hashes: Column, buckets: int) -> Column:
     """Buckets of all single words and word pairs."""
-    return F.transform(F.concat(hashes, windows_of(hashes, 2)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    return F.concat(F.transform(hashes, lambda h: bucket_of(h, buckets)), F.transform(windows_of(hashes, 2), lambda h: bucket_of(h, buckets)))
+
+
+def summed(hashes: Column, table: Column, buckets: int) -> Column:
+    """Sum of a table's values over the buckets of all single words and word pairs."""
+    last = F.size(hashes) - 1
+    pair = lambda h, i: F.when(i < last, F.get(table, bucket_of(F.xxhash64(h, F.get(hashes, i + 1)), buckets))).otherwise(0.0)
+    both = F.transform(hashes, lambda h, i: F.get(table, bucket_of(h, buckets)) + pair(h, i))
+    return F.aggregate(both, F.lit(0.0), lambda s, v: s + v)
 
 
 def filled(counts: DataFrame, buckets: int, value: Column, name: str) -> DataFrame:

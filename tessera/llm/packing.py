@@ -10,7 +10,7 @@ before, from a table of at most shards x classes rows. So each class has one unf
 pieces of unfinished bins, fewer than the sum of all k whatever the input, are packed first-fit by falling length.
 
 Tokenising runs once in each task. Words recur, so a worker keeps token ids of the white-space separated strings it has
-seen (at most ``CACHE``), as bytes; new ones go to the tokenizer in one batch. This equals encoding the text as a whole,
+seen (at most ``CACHE``), as bytes, from task to task; new ones go to the tokenizer together. This equals encoding the text as a whole,
 as the tokenizer's normaliser, splitter and special tokens do not look past white space. Pieces leave the worker as
 (doc_id, start, length, crc32), so no ids are shuffled.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,7 @@ from pyspark.sql.window import Window
 
 from .common import release, stage, table
 
-CACHE = 400_000
-_BLANK = bytes(range(9, 14)) + b" "
+CACHE = 600_000
 
 
 @cache
@@ -75,35 +75,57 @@ def cuts(n: int, capacity: int, cut_cost: int) -> list[int]:
     return out
 
 
+#: Token ids (as bytes) of strings that this worker process has met, by tokenizer; kept from task to task.
+_KNOWN: dict[tuple[str, bool], dict[bytes, bytes]] = {}
+
+
+def _encode(tok, words: list[bytes], special_as_text: bool) -> dict[bytes, bytes]:
+    """Token ids of each string. Strings are encoded together with a special token between them, which cuts the text
+    before it is normalised and split, so each is encoded as if alone."""
+    specials = {} if special_as_text else {t.content: i for i, t in tok.get_added_tokens_decoder().items() if t.special}
+    out: dict[bytes, bytes] = {}
+    if specials:
+        mark, mark_id = next(iter(specials.items()))
+        plain = [w for w in words if b"<" not in w]
+        for i in range(0, len(plain), 5_000):
+            part = plain[i : i + 5_000]
+            ids = np.array(tok.encode(mark.join([w.decode() for w in part]), add_special_tokens=False).ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == mark_id)).tolist(), 4 * len(ids)]
+            blob, at = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                out[w] = blob[at:end]
+                at = end + 4
+        words = [w for w in words if b"<" in w]
+    for i in range(0, len(words), 5_000):
+        part = words[i : i + 5_000]
+        for w, x in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+            out[w] = np.array(x.ids, "<u4").tobytes()
+    return out
+
+
 def _pieces(path: str, end_id: int, capacity: int, cut_cost: int, special_as_text: bool):
     def run(batches):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = special_as_text
-        known: dict[bytes, bytes] = {}
+        known = _KNOWN.setdefault((path, special_as_text), {})
         _, kind = cut_table(capacity, cut_cost)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             texts = [b"" if t is None else t.encode() for t in batch.column("text").to_pylist()]
-            at = 0
-            rows: list[list] = [[], [], [], [], [], []]
             ids = batch.column("doc_id").to_pylist()
+            rows: list[list] = [[], [], [], [], [], []]
+            at = 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 21):
+                while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 22):
                     size += len(texts[to])
                     to += 1
                 words = [t.split() for t in texts[at:to]]
-                new = list(set().union(*words).difference(known))
-                if new:
-                    if len(known) + len(new) > CACHE:
-                        known.clear()
-                        new = list(set().union(*words))
-                    for i in range(0, len(new), 10_000):
-                        part = new[i : i + 10_000]
-                        for w, x in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                            known[w] = np.array(x.ids, "<u4").tobytes()
+                new = _encode(tok, list(set(filterfalse(known.__contains__, chain.from_iterable(words)))), special_as_text)
+                full = len(known) + len(new) > CACHE
+                known.update(new)
                 for doc, ws in zip(ids[at:to], words, strict=True):
                     blob = b"".join(map(known.__getitem__, ws)) + end
                     n, start = len(blob) // 4, 0
@@ -111,6 +133,9 @@ def _pieces(path: str, end_id: int, capacity: int, cut_cost: int, special_as_tex
                         for r, v in zip(rows, (doc, start, length, zlib.crc32(blob[4 * start : 4 * (start + length)]), n, int(kind[length])), strict=True):
                             r.append(v)
                         start += length
+                if full:  # what was met first is most of what comes again
+                    for w in new:
+                        del known[w]
                 at = to
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, _PIECE_TYPES, strict=True)], _PIECE_NAMES)
 

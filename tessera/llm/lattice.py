@@ -12,6 +12,11 @@ weights by expected use, with the prior as ``prior_count`` pseudo-counts. The wh
 and the D * V / N that this leaves over all words weighs the piece arcs (absolute discounting, D = n1 / (n1 + 2 n2)
 from words seen once and twice). All weights sum to at most 1, so scores are log probabilities.
 
+Words recur within a document. The words of a document are drawn from a Dirichlet-multinomial (Polya urn) that has the
+lattice as its base: the i-th word has probability (a * lattice + earlier occurrences in the document) / (a + i), with
+a = ``concentration``. The product does not depend on the order of words, so counts of each word are enough; a very large
+``concentration`` gives the lattice alone.
+
 Scale. Word counts are partial sums in each task, then one aggregate; the lattice runs once for each distinct word, not
 for each occurrence. The ``frequent`` most frequent words are looked up in a broadcast table of that fixed size; for the
 others, (doc_id, word, count) rows are joined with the word table by a shuffle. Expected counts of pieces are summed in
@@ -232,6 +237,19 @@ def _expect(prior: Pieces):
     return run
 
 
+def urn(logs: np.ndarray, times: np.ndarray, concentration: float) -> float:
+    """log10 of the urn's numerators: words with base log10 probabilities ``logs`` that occur ``times`` each."""
+    more = times > 1
+    n = times[more] - 1
+    later = np.arange(1, n.sum() + 1) - np.repeat(np.cumsum(n) - n, n)  # 1..n for each word
+    return float(logs.sum() + len(logs) * math.log10(concentration) + np.log10(concentration * np.repeat(10.0 ** logs[more], n) + later).sum())
+
+
+def urn_total(n: int, concentration: float) -> float:
+    """log10 of the urn's denominators over ``n`` words."""
+    return (math.lgamma(concentration + n) - math.lgamma(concentration)) / LN10
+
+
 def _spell(pieces: Pieces, discount: float, total: float, types: float):
     """log10 probability of each word: whole-word arc and piece arcs."""
 
@@ -250,7 +268,7 @@ def _spell(pieces: Pieces, discount: float, total: float, types: float):
     return run
 
 
-def _score(frequent: Callable[[], tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]]):
+def _score(frequent: Callable[[], tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]], concentration: float):
     """For each document: its rows of infrequent words, and one row (word null) of sums over frequent ones."""
 
     def run(batches):
@@ -265,15 +283,17 @@ def _score(frequent: Callable[[], tuple[dict[bytes, int], np.ndarray, np.ndarray
                 for w, n in Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items():
                     for o, v in zip(out, (doc, w.decode(), n, 0.0, 0.0, 0), strict=True):
                         o.append(v)
-                for o, v in zip(out, (doc, None, len(words), float(base[known].sum()), float(score[known].sum()), int(seen[known].sum())), strict=True):
+                kinds, times = np.unique(known, return_counts=True)
+                value = urn(score[kinds], times, concentration) - urn_total(len(words), concentration)
+                for o, v in zip(out, (doc, None, len(words), float(base[known].sum()), value, int(seen[known].sum())), strict=True):
                     o.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["doc_id", "word", "n", "base", "score", "hits"])
+            types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "word", "n", "base", "score", "hits"])
 
     return run
 
 
-def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_000, prior_count: float = 1000.0) -> DataFrame:
+def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_000, prior_count: float = 1000.0, concentration: float = 1500.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each document id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).where(F.col("doc_id").isNotNull())
@@ -307,10 +327,12 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_00
         names, counts, logs = packed.value
         return {w.encode(): i for i, w in enumerate(names)}, np.log10(counts + 1.0) - floor, logs, counts > 0
 
-    parts = stage(docs.select("doc_id", "text").mapInArrow(_score(known), "doc_id long, word string, n long, base double, score double, hits long"), "parts")
+    parts = stage(docs.select("doc_id", "text").mapInArrow(_score(known, concentration), "doc_id long, word string, n long, base double, score double, hits long"), "parts")
     rare = parts.where("word is not null").join(words.select("word", "n_train", "logp"), "word")
+    again = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int") - 1), F.lit(0.0), lambda s, j: s + F.log10(concentration * F.pow(F.lit(10.0), "logp") + j))
+    value = F.col("logp") + math.log10(concentration) + F.when(F.col("n") > 1, again).otherwise(0.0)
     rare = rare.groupBy("doc_id").agg(
-        F.sum(F.col("n") * (F.log10(F.col("n_train") + 1.0) - floor)).alias("rare_base"), F.sum(F.col("n") * F.col("logp")).alias("rare_score"), F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("rare_hits")
+        F.sum(F.col("n") * (F.log10(F.col("n_train") + 1.0) - floor)).alias("rare_base"), F.sum(value).alias("rare_score"), F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("rare_hits")
     )
     once_each = parts.where("word is null").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("n", "base", "score", "hits")], F.count("*").alias("copies"))
     out = once_each.join(rare, "doc_id", "left")

@@ -17,6 +17,11 @@ lattice as its base: the i-th word has probability (a * lattice + earlier occurr
 a = ``concentration``. The product does not depend on the order of words, so counts of each word are enough; a very large
 ``concentration`` gives the lattice alone.
 
+Documents are of classes (languages, where ``group`` names that column): a latent class is drawn first, and each class has
+its own word counts, smoothed with the common lattice by ``reserve`` times its number of words as pseudo-counts. The score
+sums over classes, so it does not look at the class of the document that it scores. The classes are the
+``CLASSES`` - 1 values with the most training documents and one for all others and nulls.
+
 Scale. Word counts are partial sums in each task, then one aggregate; the lattice runs once for each distinct word, not
 for each occurrence. The ``frequent`` most frequent words are looked up in a broadcast table of that fixed size; for the
 others, (doc_id, word, count) rows are joined with the word table by a shuffle. Expected counts of pieces are summed in
@@ -40,12 +45,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stage, prefilter, release, stage, table
+from .common import drop_stage, lists, release, stage, table
+from .native import let
 
 #: The document end in word tables; white space is never part of a word.
 END = "\n"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 LN10 = math.log(10.0)
+CLASSES = 8
 #: Sixteenths of the words in each expectation step, and what earlier counts weigh in the next.
 SLICES, FADE = ((0, 0), (1, 2), (3, 6), (7, 15)), 0.2
 
@@ -201,27 +208,31 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode().translate(_LOWER).split() if text else []
 
 
-def _count(batches):
-    """word, n_train, n (partial sums of a task; written out when there are many)."""
+def _count(classes: int):
+    """word, class, n_train, n (partial sums of a task; written out when there are many)."""
 
-    def rows(train: dict, other: dict):
-        keys = list(train)
-        keys += [k for k in other if k not in train]
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            known = [train.get(k, 0) for k in part]
-            yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in part], pa.string()), pa.array(known, pa.int64()), pa.array([n + other.get(k, 0) for n, k in zip(known, part, strict=True)], pa.int64())], ["word", "n_train", "n"])
+    def rows(counters: list[Counter]):
+        for k, counter in enumerate(counters):
+            keys, counts = list(counter), list(counter.values())
+            for i in range(0, len(keys), 50_000):
+                n = pa.array(counts[i : i + 50_000], pa.int64())
+                kind = pa.array(np.full(len(n), min(k, classes - 1), np.int32))
+                train = n if k < classes else pa.array(np.zeros(len(n), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in keys[i : i + 50_000]], pa.string()), kind, train, n], ["word", "class", "n_train", "n"])
 
-    train, other = Counter(), Counter()
-    for batch in batches:
-        for text, out in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-            words = _words(text)
-            words.append(END.encode())
-            (other if out else train).update(words)
-        if len(train) + len(other) > 700_000:
-            yield from rows(train, other)
-            train, other = Counter(), Counter()
-    yield from rows(train, other)
+    def run(batches):
+        counters = [Counter() for _ in range(classes + 1)]  # the last one: held-out documents
+        for batch in batches:
+            for text, out, k in zip(*[batch.column(c).to_pylist() for c in ("text", "held_out", "class")], strict=True):
+                words = _words(text)
+                words.append(END.encode())
+                counters[classes if out else k].update(words)
+            if sum(map(len, counters)) > 700_000:
+                yield from rows(counters)
+                counters = [Counter() for _ in range(classes + 1)]
+        yield from rows(counters)
+
+    return run
 
 
 def _expect(prior: Pieces):
@@ -237,12 +248,13 @@ def _expect(prior: Pieces):
     return run
 
 
-def urn(logs: np.ndarray, times: np.ndarray, concentration: float) -> float:
-    """log10 of the urn's numerators: words with base log10 probabilities ``logs`` that occur ``times`` each."""
+def urn(logs: np.ndarray, times: np.ndarray, concentration: float) -> np.ndarray:
+    """log10 of the urn's numerators by class: words (rows of ``logs``) that occur ``times`` each."""
     more = times > 1
     n = times[more] - 1
     later = np.arange(1, n.sum() + 1) - np.repeat(np.cumsum(n) - n, n)  # 1..n for each word
-    return float(logs.sum() + len(logs) * math.log10(concentration) + np.log10(concentration * np.repeat(10.0 ** logs[more], n) + later).sum())
+    drawn = concentration * np.repeat(10.0 ** logs[more], n, axis=0) + later[:, None]
+    return logs.sum(axis=0) + len(logs) * math.log10(concentration) + np.log10(drawn).sum(axis=0)
 
 
 def urn_total(n: int, concentration: float) -> float:
@@ -250,8 +262,12 @@ def urn_total(n: int, concentration: float) -> float:
     return (math.lgamma(concentration + n) - math.lgamma(concentration)) / LN10
 
 
-def _spell(pieces: Pieces, discount: float, total: float, types: float):
-    """log10 probability of each word: whole-word arc and piece arcs."""
+def _spell(pieces: Pieces, discount: float, total: float, types: float, by_class: list[tuple[float, float]]):
+    """log10 probabilities of each word by class: whole-word arc and piece arcs, smoothing the counts of the class.
+    ``by_class`` has the training words and the pseudo-counts of each class."""
+    size, pseudo = np.array(by_class, float).T
+    size = np.where(size > 0, size, 0.0)
+    share = np.log10(np.where(size > 0, pseudo, 1.0)) - np.log10(np.where(size > 0, size + pseudo, 1.0))
 
     def run(batches):
         left = discount * types / total if total else 1.0
@@ -263,7 +279,11 @@ def _spell(pieces: Pieces, discount: float, total: float, types: float):
                 a, b = (math.log(whole) if whole > 0 else -math.inf), (math.log(left) + spelled if left > 0 else -math.inf)
                 top = max(a, b)
                 out.append((top + math.log(math.exp(a - top) + math.exp(b - top)) if top > -math.inf else -300.0 * LN10) / LN10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n_train"), batch.column("n"), pa.array(out, pa.float64())], ["word", "n_train", "n", "logp"])
+            logs = np.array(out)[:, None] + share
+            counts = batch.column("counts").flatten().to_numpy().reshape(logs.shape)
+            own = counts > 0
+            logs[own] = np.log10((counts / np.maximum(size + pseudo, 1.0))[own] + 10.0 ** logs[own])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n_train"), batch.column("n"), lists(logs.ravel(), np.arange(len(logs) + 1) * len(size), pa.float64())], ["word", "n_train", "n", "logs"])
 
     return run
 
@@ -281,26 +301,37 @@ def _score(frequent: Callable[[], tuple[dict[bytes, int], np.ndarray, np.ndarray
                 at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
                 known = at[at >= 0]
                 for w, n in Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items():
-                    for o, v in zip(out, (doc, w.decode(), n, 0.0, 0.0, 0), strict=True):
+                    for o, v in zip(out, (doc, w.decode(), n, 0.0, None, 0), strict=True):
                         o.append(v)
                 kinds, times = np.unique(known, return_counts=True)
                 value = urn(score[kinds], times, concentration) - urn_total(len(words), concentration)
                 for o, v in zip(out, (doc, None, len(words), float(base[known].sum()), value, int(seen[known].sum())), strict=True):
                     o.append(v)
-            types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "word", "n", "base", "score", "hits"])
 
     return run
 
 
-def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_000, prior_count: float = 1000.0, concentration: float = 1500.0) -> DataFrame:
+def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_000, prior_count: float = 1000.0, concentration: float = 1500.0, group: str | None = None, reserve: float = 0.7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each document id."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).where(F.col("doc_id").isNotNull())
-    counted = docs.mapInArrow(_count, "word string, n_train long, n long").groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n").alias("n"))
+    docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("class")).where(F.col("doc_id").isNotNull())
+    largest = docs.where("not held_out and class is not null").groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(CLASSES - 1)
+    found = largest.collect()
+    classes = len(found) + 1
+    index = F.lit(classes - 1)
+    for k, r in enumerate(found):
+        index = F.when(F.col("class") == r["class"], k).otherwise(index)
+    docs = docs.withColumn("class", index)
+    sums = [F.sum(F.when(F.col("class") == k, F.col("n_train")).otherwise(0)) for k in range(classes)]
+    counted = docs.mapInArrow(_count(classes), "word string, class int, n_train long, n long").groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n").alias("n"), F.array(*sums).alias("counts"))
     counted = stage(counted, "words")
     size = counted.where("n_train > 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("n_train") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("n_train") == 2).cast("long")), F.lit(0))).first()
     total, types, once, twice = size
+    own = [F.get("counts", F.lit(k)) for k in range(classes)]
+    row = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"n{k}") for k, c in enumerate(own)], *[F.count_if(c > 0).alias(f"v{k}") for k, c in enumerate(own)]).first()
+    by_class = [(float(row[k]), reserve * float(row[classes + k])) for k in range(classes)]
     discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
 
     prior = prior_pieces(vocabulary_path)
@@ -315,28 +346,34 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_00
         kept = {k: FADE * kept.get(k, 0.0) + uses.get(k, 0.0) for k in {*kept, *uses}}
         n_kept = FADE * n_kept + n_words
         pieces = fitted_pieces(prior, kept, n_kept, prior_count)
-    words = stage(counted.mapInArrow(_spell(pieces, discount, float(total), float(types)), "word string, n_train long, n long, logp double"), "spelled")
+    words = stage(counted.mapInArrow(_spell(pieces, discount, float(total), float(types), by_class), "word string, n_train long, n long, logs array<double>"), "spelled")
     drop_stage(counted)
 
     floor = math.log10(total + types + 1)
     top = words.orderBy(F.desc("n"), "word").limit(frequent)
-    rows = top.select("word", "n_train", "logp").toPandas()  # at most ``frequent`` rows
-    packed = spark.sparkContext.broadcast((rows["word"].tolist(), rows["n_train"].to_numpy(), rows["logp"].to_numpy()))
+    rows = top.select("word", "n_train", "logs").toPandas()  # at most ``frequent`` rows
+    packed = spark.sparkContext.broadcast((rows["word"].tolist(), rows["n_train"].to_numpy(), np.array(rows["logs"].tolist(), float).reshape(len(rows), classes)))
 
     def known() -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
         names, counts, logs = packed.value
         return {w.encode(): i for i, w in enumerate(names)}, np.log10(counts + 1.0) - floor, logs, counts > 0
 
-    parts = stage(docs.select("doc_id", "text").mapInArrow(_score(known, concentration), "doc_id long, word string, n long, base double, score double, hits long"), "parts")
-    rare = parts.where("word is not null").join(words.select("word", "n_train", "logp"), "word")
-    again = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int") - 1), F.lit(0.0), lambda s, j: s + F.log10(concentration * F.pow(F.lit(10.0), "logp") + j))
-    value = F.col("logp") + math.log10(concentration) + F.when(F.col("n") > 1, again).otherwise(0.0)
+    parts = stage(docs.select("doc_id", "text").mapInArrow(_score(known, concentration), "doc_id long, word string, n long, base double, score array<double>, hits long"), "parts")
+    rare = parts.where("word is not null").join(words.select("word", "n_train", "logs"), "word")
+
+    def value(log: Column) -> Column:
+        again = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int") - 1), F.lit(0.0), lambda s, j: s + F.log10(concentration * F.pow(F.lit(10.0), log) + j))
+        return log + math.log10(concentration) + F.when(F.col("n") > 1, again).otherwise(0.0)
+
     rare = rare.groupBy("doc_id").agg(
-        F.sum(F.col("n") * (F.log10(F.col("n_train") + 1.0) - floor)).alias("rare_base"), F.sum(value).alias("rare_score"), F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("rare_hits")
+        F.sum(F.col("n") * (F.log10(F.col("n_train") + 1.0) - floor)).alias("rare_base"), *[F.sum(value(F.get("logs", F.lit(k)))).alias(f"rare_{k}") for k in range(classes)], F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("rare_hits")
     )
     once_each = parts.where("word is null").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("n", "base", "score", "hits")], F.count("*").alias("copies"))
     out = once_each.join(rare, "doc_id", "left")
     each = lambda c, zero: F.coalesce(F.col(c) / F.col("copies"), F.lit(zero))
+    members = [*[r["n"] for r in found], 0]
+    terms = [math.log10((n + 1) / (sum(members) + classes)) + F.get("score", F.lit(k)) + each(f"rare_{k}", 0.0) for k, n in enumerate(members)]
+    marginal = let(F.array(*terms), lambda x: let(F.array_max(x), lambda top: top + F.log10(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(F.lit(10.0), v - top)))))
     out = out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -344,7 +381,7 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_00
         (F.col("hits") + each("rare_hits", 0.0)).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + each("rare_base", 0.0)).alias("base_score"),
-        (F.col("score") + each("rare_score", 0.0)).alias("score"),
+        marginal.alias("score"),
     )
     out = stage(out, "scores")
     drop_stage(words, parts)
@@ -355,4 +392,4 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_00
 def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return lattice_scores(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+    return lattice_scores(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")), group="lang")

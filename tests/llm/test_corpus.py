@@ -262,7 +262,7 @@ def test_lattice(docs, rows, empty):
     import public_tokenizers
 
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    got = {r.doc_id: r for r in lattice.lattice_scores(docs, path, frequent=50).collect()}
+    got = {r.doc_id: r for r in lattice.lattice_scores(docs, path, frequent=50, group="lang").collect()}
     tokens = {d: [*words(t, True), "\n"] for d, t in rows}
     train = collections.Counter()
     for d, t in [*rows, rows[3]]:
@@ -274,7 +274,7 @@ def test_lattice(docs, rows, empty):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(d).encode()) % 7 == 2, len(w), sum(train[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w))
         assert r.score < 0
-    few = {r.doc_id: r.score for r in lattice.lattice_scores(docs, path, frequent=3).collect()}
+    few = {r.doc_id: r.score for r in lattice.lattice_scores(docs, path, frequent=3, group="lang").collect()}
     assert few == pytest.approx({d: r.score for d, r in got.items()})  # both ways of looking up words give one score
     assert lattice.lattice_scores(empty, path).count() == 0
 
@@ -285,10 +285,10 @@ def test_urn_equals_drawing_word_by_word():
     for i, w in enumerate(drawn):
         want += math.log10((30 * p[w] + seen[w]) / (30 + i)) if seen[w] or w != "c" else math.log10(30) - 320 - math.log10(30 + i)
         seen[w] += 1
-    logs = np.array([math.log10(0.5), math.log10(0.2), -320.0])
-    got = lattice.urn(logs, np.array([seen[w] for w in p]), 30.0) - lattice.urn_total(len(drawn), 30.0)
+    logs = np.array([[math.log10(0.5)], [math.log10(0.2)], [-320.0]])
+    got = lattice.urn(logs, np.array([seen[w] for w in p]), 30.0)[0] - lattice.urn_total(len(drawn), 30.0)
     assert got == pytest.approx(want)
-    assert lattice.urn(np.zeros(0), np.zeros(0, int), 30.0) == 0.0
+    assert lattice.urn(np.zeros((0, 2)), np.zeros(0, int), 30.0).tolist() == [0.0, 0.0]
 
 
 def test_lattice_sums_all_segmentations():

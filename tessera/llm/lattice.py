@@ -23,7 +23,7 @@ sums over classes, so it does not look at the class of the document that it scor
 ``CLASSES`` - 1 values with the most training documents and one for all others and nulls.
 
 Scale. Word counts are partial sums in each task, then one aggregate; the lattice runs once for each distinct word, not
-for each occurrence. The ``frequent`` most frequent words are looked up in a broadcast table of that fixed size; for the
+for each occurrence. The most frequent words, at most ``frequent``, are looked up in a broadcast table; for the
 others, (doc_id, word, count) rows are joined with the word table by a shuffle. Expected counts of pieces are summed in
 each task and are at most a row for each piece and task.
 
@@ -350,7 +350,14 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_00
     drop_stage(counted)
 
     floor = math.log10(total + types + 1)
-    top = words.orderBy(F.desc("n"), "word").limit(frequent)
+    grade = F.floor(F.log2("n") * 16).cast("int")  # by growing count; at most 1024 grades
+    least, sofar = None, 0
+    for r in words.groupBy(grade.alias("grade")).agg(F.count("*").alias("words")).orderBy(F.desc("grade")).collect():
+        sofar += r["words"]
+        if sofar > frequent:
+            break
+        least = r["grade"]
+    top = words.where(grade >= least) if least is not None else words.limit(0)
     rows = top.select("word", "n_train", "logs").toPandas()  # at most ``frequent`` rows
     packed = spark.sparkContext.broadcast((rows["word"].tolist(), rows["n_train"].to_numpy(), np.array(rows["logs"].tolist(), float).reshape(len(rows), classes)))
 

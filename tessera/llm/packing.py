@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import zlib
 from functools import cache
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,8 @@ from pyspark.sql.window import Window
 from .common import release, stage, table
 
 CACHE = 600_000
+#: Marks that often end a word; see _encode.
+_MARKS = frozenset((b".", b","))
 
 
 @cache
@@ -84,15 +86,18 @@ def _encode(tok, words: list[bytes], special_as_text: bool) -> dict[bytes, bytes
     before it is normalised and split, so each is encoded as if alone."""
     specials = {} if special_as_text else {t.content: i for i, t in tok.get_added_tokens_decoder().items() if t.special}
     out: dict[bytes, bytes] = {}
+    ends = [w for w in words if len(w) > 1 and w[-1:] in _MARKS and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90)]
+    if ends:  # the splitter cuts between a letter and a punctuation mark, so the mark has its own ids
+        words = list({*words}.difference(ends).union([w[:-1] for w in ends], _MARKS))
     if specials:
         mark, mark_id = next(iter(specials.items()))
         plain = [w for w in words if b"<" not in w]
-        for i in range(0, len(plain), 5_000):
-            part = plain[i : i + 5_000]
-            ids = np.array(tok.encode(mark.join([w.decode() for w in part]), add_special_tokens=False).ids, "<u4")
-            ends = [*(4 * np.flatnonzero(ids == mark_id)).tolist(), 4 * len(ids)]
+        for i in range(0, len(plain), 200):
+            part = plain[i : i + 200]
+            ids = np.array(tok.encode_batch_fast([mark.join([w.decode() for w in part])], add_special_tokens=False)[0].ids, "<u4")
+            cut = [*(4 * np.flatnonzero(ids == mark_id)).tolist(), 4 * len(ids)]
             blob, at = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
+            for w, end in zip(part, cut, strict=True):
                 out[w] = blob[at:end]
                 at = end + 4
         words = [w for w in words if b"<" in w]
@@ -100,6 +105,7 @@ def _encode(tok, words: list[bytes], special_as_text: bool) -> dict[bytes, bytes
         part = words[i : i + 5_000]
         for w, x in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
             out[w] = np.array(x.ids, "<u4").tobytes()
+    out.update([(w, out[w[:-1]] + out[w[-1:]]) for w in ends])
     return out
 
 
@@ -123,19 +129,24 @@ def _pieces(path: str, end_id: int, capacity: int, cut_cost: int, special_as_tex
                     size += len(texts[to])
                     to += 1
                 words = [t.split() for t in texts[at:to]]
-                new = _encode(tok, list(set(filterfalse(known.__contains__, chain.from_iterable(words)))), special_as_text)
-                full = len(known) + len(new) > CACHE
-                known.update(new)
+                flat = list(chain.from_iterable(words))
+                found = list(map(known.get, flat))
+                gaps = [i for i, x in enumerate(found) if x is None]
+                if gaps:
+                    new = _encode(tok, list({flat[i] for i in gaps}), special_as_text)
+                    for i in gaps:
+                        found[i] = new[flat[i]]
+                    if len(known) + len(new) <= CACHE:  # what was met first is most of what comes again
+                        known.update(new)
+                first = 0
                 for doc, ws in zip(ids[at:to], words, strict=True):
-                    blob = b"".join(map(known.__getitem__, ws)) + end
+                    blob = b"".join(found[first : first + len(ws)]) + end
+                    first += len(ws)
                     n, start = len(blob) // 4, 0
                     for length in cuts(n, capacity, cut_cost):
                         for r, v in zip(rows, (doc, start, length, zlib.crc32(blob[4 * start : 4 * (start + length)]), n, int(kind[length])), strict=True):
                             r.append(v)
                         start += length
-                if full:  # what was met first is most of what comes again
-                    for w in new:
-                        del known[w]
                 at = to
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, _PIECE_TYPES, strict=True)], _PIECE_NAMES)
 

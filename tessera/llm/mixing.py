@@ -9,6 +9,9 @@ by projected gradient descent with lazy projection: r = max(0, 1 - p . z), where
 residual A r - t, scaled by the Gram matrix of the documents with a rate above 0. Every step is one aggregate over the
 table of posteriors; the driver sees one row of sums over domains.
 
+Thinning (``thin``) can only drop documents, so there rates are probabilities: 0 <= r <= 1 is part of the problem, see
+``thin_rates``. Targets that no such rates meet are met as nearly as they allow, in tokens.
+
 Scale. DataFrame functions only. The classifier is fitted on at most ``sample`` labelled rows (those with the smallest
 hashes; broadcast under that bound); its table has a fixed number of buckets. Posteriors are computed within each row
 and written once as (doc_id, n_tokens, p); steps read that narrow table and shuffle one row for each task.
@@ -74,15 +77,53 @@ def posteriors(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 15, sampl
     return stage(x, "posteriors")
 
 
-def _rate(z: np.ndarray) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum(F.col(d) * float(v) for d, v in zip(DOMAINS, z, strict=True)))
+def _rate(z: np.ndarray, most: float | None = None) -> Column:
+    rate = F.greatest(F.lit(0.0), F.lit(1.0) - sum(F.col(d) * float(v) for d, v in zip(DOMAINS, z, strict=True)))
+    return rate if most is None else F.least(F.lit(most), rate)
+
+
+def thin_rates(members: DataFrame, targets: np.ndarray, total: float, steps: int, tolerance: float, slacks: tuple[float, ...] = (1e-2, 1e-3, 1e-4)) -> np.ndarray:
+    """z of the rates r = min(1, max(0, 1 - p . z)) that minimise, over 0 <= r <= 1,
+
+        |A r - t|^2 / (2 e) + sum of n (r - 1)^2 / 2,   e: slack * total.
+
+    Newton steps on the concave dual in z, whose gradient is A r - t - e z, with halving until the dual rises; one slack
+    after the other, each from the last one's z. Small slacks are the limit: the nearest totals within the bounds.
+    """
+    n, pairs = len(DOMAINS), [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
+
+    def at(z: np.ndarray, e: float):
+        r, free = _rate(z, 1.0), _rate(z)
+        mass = [F.sum(F.col("n_tokens") * F.col(d) * r) for d in DOMAINS]
+        gram = [F.sum(F.when((free > 0) & (free < 1), F.col("n_tokens") * F.col(DOMAINS[i]) * F.col(DOMAINS[j])).otherwise(0.0)) for i, j in pairs]
+        own = F.sum(F.col("n_tokens") * (r - 1) * (r - 1) / 2)
+        row = members.agg(*[x.alias(f"_{k}") for k, x in enumerate([*mass, *gram, own])]).first()
+        g, a = np.zeros((n, n)), np.array(row[:n], float)
+        for (i, j), v in zip(pairs, row[n:-1], strict=True):
+            g[i, j] = g[j, i] = v
+        return row[-1] + (a - targets) @ z - e * (z @ z) / 2, a - targets - e * z, g + e * np.eye(n)
+
+    z = np.zeros(n)
+    for slack in slacks:
+        value, slope, curve = at(z, slack * total)
+        for _ in range(steps):
+            if np.abs(slope).max() <= tolerance * total:
+                break
+            step, size = np.linalg.solve(curve, slope), 1.0
+            new = at(z + step, slack * total)
+            while new[0] < value + 1e-4 * size * (slope @ step) - 1e-12 * total and size > 1e-6:
+                size /= 2
+                new = at(z + size * step, slack * total)
+            z, (value, slope, curve) = z + size * step, new
+    return z
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float], thin: str | None = None, steps: int = 60, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """(z, targets): accumulated steps and target tokens. The targets share out all tokens by ``weights``.
 
-    With ``thin``, the name of a domain, that domain keeps its expected tokens and the others come down to their share
-    relative to it; none goes up, so rates stay near or under 1 also where a domain has hardly any tokens.
+    With ``thin``, the name of a domain, that domain is to keep its expected tokens and the others to come down to their
+    share relative to it; none goes up, and rates are at most 1 (``thin_rates``). Every document has a little of every
+    domain, so such targets can be out of reach: then the totals come as near as rates of at most 1 allow.
     """
     w = np.array([weights[d] for d in DOMAINS], float)
     total, *mass = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), *[F.coalesce(F.sum(F.col("n_tokens") * F.col(d)), F.lit(0.0)) for d in DOMAINS]).first()
@@ -90,6 +131,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float], thin: str | None =
     if thin is not None:
         i = DOMAINS.index(thin)
         targets = np.minimum(np.array(mass), mass[i] * w / w[i])
+        return (thin_rates(members, targets, float(total), steps, tolerance) if total else np.zeros(len(DOMAINS))), targets
     z = np.zeros(len(DOMAINS))
     pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
     best, size = None, 1.0
@@ -117,16 +159,17 @@ def fit_rates(members: DataFrame, weights: dict[str, float], thin: str | None =
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin: str | None = None, buckets: int = 1 << 15, sample: int = 20_000) -> DataFrame:
-    """doc_id, n_tokens, low, toxic, clean (posteriors), rate (expected copies of the document)."""
+    """doc_id, n_tokens, low, toxic, clean (posteriors), rate (expected copies of the document; with ``thin`` at most 1)."""
     members = posteriors(docs, labels, buckets, sample)
     z, _ = fit_rates(members, weights, thin)
-    return members.withColumn("rate", _rate(z))
+    return members.withColumn("rate", _rate(z, None if thin is None else 1.0))
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin: str = "clean") -> DataFrame:
     """Rows of ``docs``, each kept with its rate as probability, decided by a hash of its doc_id.
 
-    The ``thin`` domain keeps its tokens; its documents have rates of about 1 and stay.
+    Rates are fitted between 0 and 1, so what is kept has the fitted totals in expectation. Documents that are mostly of
+    the ``thin`` domain have rates of 1 and stay; what they hold of other domains stays with them.
     """
     rates = mixing_rates(docs, labels, weights, thin)
     draw = F.pmod(F.xxhash64(F.lit("mixture"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)

@@ -216,6 +216,33 @@ def test_mixing_meets_its_targets(spark, labels, docs, empty):
     assert mixing.mixing_rates(empty, labels, weights).count() == 0
 
 
+def test_thinning_is_fitted_within_its_bounds(spark, sf_dir):
+    """The corpus has a little of the toxic domain in every clean text, so rates up to 1 cannot meet the targets."""
+    d, m = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = {"low": 0.005, "toxic": 0.005, "clean": 0.99}
+    members = mixing.posteriors(d, m).cache()
+    z, targets = mixing.fit_rates(members, weights, "clean")
+    x = members.toPandas()
+    p, n = x[list(mixing.DOMAINS)].to_numpy(), x.n_tokens.to_numpy(float)
+    rate = np.clip(1 - p @ z, 0, 1)
+    realised = (n * rate) @ p
+    # the optimum over 0 <= r <= 1: z is the residual over the slack, and no move of one rate within its bounds is better
+    assert np.allclose(realised - targets, 1e-4 * n.sum() * z, atol=1e-6 * n.sum())
+    miss = lambda r: np.sum(((n * r) @ p - targets) ** 2)
+    r = np.random.default_rng(0)
+    assert all(miss(rate) <= miss(np.clip(rate + s * r.standard_normal(len(rate)), 0, 1)) * 1.001 for s in (0.001, 0.01, 0.1) for _ in range(20))
+    assert miss(rate) < miss(np.ones(len(rate)))
+    assert realised[2] > 0.95 * targets[2] and realised[0] < 1.5 * targets[0]
+    fitted = mixing.mixing_rates(d, m, weights, "clean").toPandas()
+    assert fitted.rate.between(0, 1).all() and np.allclose(fitted.sort_values("doc_id").rate, rate[np.argsort(x.doc_id)], atol=1e-3)
+    kept = {r.doc_id for r in mixing.mixture(d, m, weights).select("doc_id").collect()}
+    inside = x.doc_id.isin(kept).to_numpy()
+    assert np.allclose((n * inside) @ p, realised, atol=0.02 * n.sum())  # what is drawn has the fitted totals
+    marks = {r.doc_id: (r.quality, r.toxic) for r in m.where("quality is not null").collect()}
+    share = lambda ok: np.mean([i in kept for i in x.doc_id if i in marks and ok(*marks[i])])
+    assert share(lambda q, t: q == 1 and t != 1) > 0.97 and share(lambda q, t: q == 0) < 0.4
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 

@@ -7,8 +7,9 @@ chunk one owner, the smallest (doc_id, position) that has it, and only owners' b
 back by joining its ordered chunk list with the stored chunks; the result is verified against the digest of the file.
 
 Scale. Cutting reads each text in its row; the digests that are shuffled are a few percent of the text. Equal files are
-found first, by their digests, and stored and rebuilt once. Files that share no chunk with a different file are stored as
-one pack and read back without a shuffle; a Bloom filter of fixed size separates them, so only texts of copies and of
+found first, by their digests, and stored and rebuilt once. Every file is stored in chunks and rebuilt by its ordered chunk
+list. The distinct chunks of a file that shares none with a different file are laid out in one row with that list (a pack),
+so they are joined without a shuffle; a Bloom filter of fixed size separates these files, so only texts of copies and of
 files that share chunks are shuffled, once, to the lists of what others own. A chunk that very many lists name is one row in the store; Spark splits that join's other side.
 
 Nulls and empty texts are 192 spaces. Repeated rows (one id, one text) are stored once. Extra columns are ignored. An empty table
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_stage, marked, mix, prefilter, release, stage, table
+from .native import let
 
 UNIT, RATE = 192, 8000
 #: Compression level of the stored chunks.
@@ -118,17 +120,27 @@ def _digests(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(media, pa.binary()), pa.array(size, pa.int64()), pa.array(names, pa.list_(pa.binary()))], ["doc_id", "media", "n_bytes", "chunks"])
 
 
+def _packed(batches):
+    """digest (of the file), chunks (digests in order), bytes (of its distinct chunks, by first place) of each text."""
+    for batch in batches:
+        names, lists, data = [], [], []
+        for _, texts in _parts(batch.column("text").to_pylist()):
+            for f, ends in chunked(texts):
+                pieces = [f[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+                each = [chunk_name(x) for x in pieces]
+                names.append(hashlib.sha256(f).digest())
+                lists.append(each)
+                data.append(list(dict(zip(each, pieces, strict=True)).values()))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(data, pa.list_(pa.binary()))], ["digest", "chunks", "bytes"])
+
+
 def _stored(batches):
-    """digest, bytes: the whole file as one pack (part 0), or its chunks except those ``lent`` by other files (part 2)."""
+    """digest, bytes: the chunks of each text except those ``lent`` by other files."""
     for batch in batches:
         names, data = [], []
-        parts, lent = batch.column("part").to_pylist(), batch.column("lent").to_pylist()
+        lent = batch.column("lent").to_pylist()
         for at, texts in _parts(batch.column("text").to_pylist()):
-            for part, skip, (f, ends) in zip(parts[at : at + len(texts)], lent[at : at + len(texts)], chunked(texts), strict=True):
-                if part == 0:
-                    names.append(hashlib.sha256(f).digest())
-                    data.append(f)
-                    continue
+            for skip, (f, ends) in zip(lent[at : at + len(texts)], chunked(texts), strict=True):
                 skip = set(skip)
                 for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
                     if i not in skip:
@@ -161,8 +173,9 @@ _FEATURES = "media binary, payload_bytes long, payload_sha256 string, tail_crc32
 
 
 def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(index, packs, chunks). index: doc_id, media, n_bytes, chunks (digests in order), alone. packs and chunks: digest,
-    bytes. A file that is ``alone`` (no chunk shared) is a pack under its own digest, others are in ``chunks``."""
+    """(index, packs, chunks). index: doc_id, media, n_bytes, chunks (digests in order), alone. packs: digest of a file,
+    chunks, bytes of each distinct one; chunks: digest, bytes. A file that is ``alone`` (no chunk shared) is a pack, or in
+    ``chunks`` if the filter took it for another; others are in ``chunks``."""
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     named = stage(docs.mapInArrow(_digests, "doc_id long, media binary, n_bytes long, chunks array<binary>"), "digests")
     files = stage(named.groupBy("media").agg(F.min("doc_id").alias("doc_id"), F.first("chunks").alias("chunks")), "files")
@@ -176,9 +189,9 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     split = marked(docs, "doc_id", special, 1 << 19)
     none = F.array().cast("array<int>")
     some = split.where("_maybe").join(special.withColumn("_s", F.lit(1)), "doc_id", "left").select("text", F.when(F.col("_s").isNull(), 0).when(F.col("lent").isNull(), 1).otherwise(2).alias("part"), F.coalesce("lent", none).alias("lent"))
-    most = split.where("not _maybe").select("text", F.lit(0).alias("part"), none.alias("lent"))
-    packs = stage(most.mapInArrow(_stored, "digest binary, bytes binary"), "packs", STORE_LEVEL)
-    stored = stage(some.where("part <> 1").mapInArrow(_stored, "digest binary, bytes binary"), "chunks", STORE_LEVEL)
+    most = split.where("not _maybe").select("text")
+    packs = stage(most.mapInArrow(_packed, "digest binary, chunks array<binary>, bytes array<binary>"), "packs", STORE_LEVEL)
+    stored = stage(some.where("part <> 1").select("text", "lent").mapInArrow(_stored, "digest binary, bytes binary"), "chunks", STORE_LEVEL)
     mixed = files.join(sharing.select("doc_id"), "doc_id", "left_semi").select("media", F.lit(True).alias("_s"))
     index = stage(named.join(mixed, "media", "left").withColumn("alone", F.col("_s").isNull()).drop("_s"), "index")
     drop_stage(named, files, shared, uses, special)
@@ -186,15 +199,15 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_media(index: DataFrame, packs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """media, parts (bytes in order) of every distinct file, from the stored bytes."""
-    lists = index.where("not alone").groupBy("media").agg(F.first("chunks").alias("chunks"))
+    """media, parts (bytes in order) of every distinct file, by its chunk list from the stored chunks."""
+    lists = index.join(packs.select(F.col("digest").alias("media")), "media", "left_anti").groupBy("media").agg(F.first("chunks").alias("chunks"))
     wanted = lists.select("media", F.posexplode("chunks").alias("pos", "digest"))
     bytes_of = chunks.join(wanted.select("digest").distinct(), "digest", "left_semi")
     rebuilt = wanted.join(bytes_of, "digest").groupBy("media").agg(F.sort_array(F.collect_set(F.struct("pos", "bytes"))).alias("x"))
     rebuilt = rebuilt.select("media", F.transform("x", lambda p: p["bytes"]).alias("parts"))
-    alone = index.where("alone").select(F.col("media").alias("digest"))
-    falsely = prefilter(chunks, "digest", alone).join(alone, "digest", "left_semi").select(F.col("digest").alias("media"), F.array("bytes").alias("parts"))
-    return packs.select(F.col("digest").alias("media"), F.array("bytes").alias("parts")).union(rebuilt).union(falsely)
+    place = lambda names, c: (F.array_position(names, c) - 1).cast("int")
+    local = let(F.array_distinct("chunks"), lambda names: F.transform("chunks", lambda c: F.get("bytes", place(names, c))))
+    return packs.select(F.col("digest").alias("media"), local.alias("parts")).union(rebuilt)
 
 
 def media_features(docs: DataFrame) -> DataFrame:

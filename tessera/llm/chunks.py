@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stage, marked, mix, prefilter, release, stage, table
+from .common import drop_stage, marked, mix, prefilter, stage, table
 from .native import let
 
 UNIT, RATE = 192, 8000
@@ -186,7 +186,7 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sharing = uses.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("own"), F.col("pos"))).alias("lent"))
     copies = named.join(files.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("array<int>").alias("lent")).distinct()
     special = stage(sharing.union(copies), "special")
-    split = marked(docs, "doc_id", special, 1 << 19)
+    split = marked(docs, "doc_id", special, "_maybe", 1 << 19)
     none = F.array().cast("array<int>")
     some = split.where("_maybe").join(special.withColumn("_s", F.lit(1)), "doc_id", "left").select("text", F.when(F.col("_s").isNull(), 0).when(F.col("lent").isNull(), 1).otherwise(2).alias("part"), F.coalesce("lent", none).alias("lent"))
     most = split.where("not _maybe").select("text")
@@ -216,7 +216,6 @@ def media_features(docs: DataFrame) -> DataFrame:
     features = stage(read_media(index, packs, chunks).mapInArrow(_features, _FEATURES).dropDuplicates(["media"]), "features")
     out = index.dropDuplicates(["doc_id"]).join(features, "media")
     out = stage(out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("chunks").cast("long").alias("n_chunks"), "alone"), "media")
-    release(docs.sparkSession)
     return out
 
 

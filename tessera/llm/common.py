@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -26,28 +25,36 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset and Spark runs in one process (tests),
+    a new temporary one; on a cluster that is an error, as executors do not share such folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Spark's own setting: a finished write deletes the shuffle files that only it has read.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends here, on shared storage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    before = {k: spark.conf.get(k) for k in (rows, CLEANUP)}
+    spark.conf.set(rows, str(min(int(before[rows]) if int(before[rows]) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     finally:
-        spark.conf.set(rows, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
-    release(spark)
     return out
 
 
@@ -59,12 +66,6 @@ def drop_stage(*frames: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished jobs: it acts when the driver has collected its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 # ---------------------------------------------------------------- bounded pre-join filter
 
 
@@ -74,19 +75,39 @@ def prefilter(big: DataFrame, key: str, keys: DataFrame, words: int = 1 << 18) -
     The filter's size is fixed by the parameter, so broadcasting it is safe at any input size. It keeps every row with
     a match and some without; an exact join has to follow. With very many keys it only filters less.
     """
-    return marked(big, key, keys, words).where("_maybe").drop("_maybe")
+    maybe = free_name(big, "maybe")
+    return marked(big, key, keys, maybe, words).where(F.col(maybe)).drop(maybe)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def marked(big: DataFrame, key: str, keys: DataFrame, words: int = 1 << 18) -> DataFrame:
-    """``big`` with a boolean ``_maybe``: false where ``key`` is certainly not in ``keys``."""
+def marked(big: DataFrame, key: str, keys: DataFrame, maybe: str, words: int = 1 << 18) -> DataFrame:
+    """``big`` with a boolean column ``maybe``: false where ``key`` is certainly not in ``keys``."""
+    at, word = free_name(big, "slot"), free_name(big, "word")
     h = F.xxhash64(F.col(key))
     slot = F.pmod(h, F.lit(words)).cast("int")
     bits = F.lit(0).cast("long")
     for shift in (20, 26, 32, 38):
         bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")))
-    filt = keys.select(slot.alias("_slot"), bits.alias("_bits")).groupBy("_slot").agg(F.bit_or("_bits").alias("_word"))
-    out = big.withColumn("_slot", slot).join(F.broadcast(filt), "_slot", "left")
-    return out.withColumn("_maybe", F.coalesce(F.col("_word").bitwiseAND(bits) == bits, F.lit(False))).drop("_slot", "_word")
+    filt = keys.select(slot.alias(at), bits.alias("bits")).groupBy(at).agg(F.bit_or("bits").alias(word))
+    out = big.withColumn(at, slot).join(F.broadcast(filt), at, "left")
+    return out.withColumn(maybe, F.coalesce(F.col(word).bitwiseAND(bits) == bits, F.lit(False))).drop(at, word)
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in the one column of ``gone``; only rows that may be in it are shuffled.
+    Rows with a null key stay."""
+    maybe = free_name(df, "maybe")
+    split = marked(df, key, gone, maybe)
+    kept = split.where(F.col(maybe)).join(gone, key, "left_anti").select(split.columns)
+    return split.where(~F.col(maybe)).union(kept).drop(maybe)
 
 
 # ---------------------------------------------------------------- connected components

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stage, lists, release, stage, table
+from .common import drop_stage, lists, stage, table
 from .native import let
 
 #: The document end in word tables; white space is never part of a word.
@@ -392,7 +392,6 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_00
     )
     out = stage(out, "scores")
     drop_stage(words, parts)
-    release(spark)
     return out
 
 

@@ -5,12 +5,12 @@ domains. With n tokens and posterior p, a document at rate r adds r * n * p[d] e
 
     least squares in A r = t  (t: target tokens of each domain),  r >= 0,  nearest to 1 (weighted by tokens)
 
-by projected gradient descent with lazy projection: r = max(0, 1 - p . z), where z adds up the gradient steps of the
-residual A r - t, scaled by the Gram matrix of the documents with a rate above 0. Every step is one aggregate over the
-table of posteriors; the driver sees one row of sums over domains.
+by accelerated projected gradient descent from r = 1: each step moves every rate against the gradient, p . (A r - t) for
+a weight of n a document, and cuts it at 0. Every step is one aggregate over the table of posteriors and rates; the
+driver sees one row of sums over domains.
 
-Thinning (``thin``) can only drop documents, so there rates are probabilities: 0 <= r <= 1 is part of the problem, see
-``thin_rates``. Targets that no such rates meet are met as nearly as they allow, in tokens.
+Thinning (``thin``) can only drop documents, so there rates are probabilities: 0 <= r <= 1 is part of the problem, and
+the projection cuts at 1 as well. Targets that no such rates meet are met as nearly as they allow, in tokens.
 
 Scale. DataFrame functions only. The classifier is fitted on at most ``sample`` labelled rows (those with the smallest
 hashes; broadcast under that bound); its table has a fixed number of buckets. Posteriors are computed within each row
@@ -18,8 +18,10 @@ and written once as (doc_id, n_tokens, p); steps read that narrow table and shuf
 
 Domains are ``low`` (quality 0), ``toxic`` (quality 1, toxic 1) and ``clean`` (quality 1, not toxic); rows without a
 quality label are not used. Nulls and empty texts have no tokens, the prior as posterior, and a rate like others.
-A domain without labelled rows gets an add-one prior. An empty table gives an empty result. Repeated rows are rated
-alike. Extra columns are ignored.
+Several labels of one id count as one, with the least quality and the most toxic; which rows are taken where hashes tie
+is decided by doc_id. A domain without labelled rows gets an add-one prior. An empty table gives an empty result.
+Repeated rows are rated alike, and ``mixture`` keeps or drops all rows of an id together; rows without an id are rated
+and stay. Extra columns are ignored by ``mixing_rates`` and kept by ``mixture``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import marked, stage, table
+from .common import drop_stage, stage, table, without
 from .native import filled, hashes_of, let, words_of
 
 DOMAINS = ("low", "toxic", "clean")
@@ -77,92 +79,95 @@ def posteriors(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 15, sampl
     return stage(x, "posteriors")
 
 
-def _rate(z: np.ndarray, most: float | None = None) -> Column:
-    rate = F.greatest(F.lit(0.0), F.lit(1.0) - sum(F.col(d) * float(v) for d, v in zip(DOMAINS, z, strict=True)))
-    return rate if most is None else F.least(F.lit(most), rate)
+#: Steps of a fold; after so many the rates are written as a table.
+FOLD = 10
 
 
-def thin_rates(members: DataFrame, targets: np.ndarray, total: float, steps: int, tolerance: float, slacks: tuple[float, ...] = (1e-2, 1e-3, 1e-4)) -> np.ndarray:
-    """z of the rates r = min(1, max(0, 1 - p . z)) that minimise, over 0 <= r <= 1,
+class _Descent:
+    """Accelerated projected gradient on the column of rates.
 
-        |A r - t|^2 / (2 e) + sum of n (r - 1)^2 / 2,   e: slack * total.
-
-    Newton steps on the concave dual in z, whose gradient is A r - t - e z, with halving until the dual rises; one slack
-    after the other, each from the last one's z. Small slacks are the limit: the nearest totals within the bounds.
+    A step is one aggregate: sums of n * p * r over domains, and whether momentum still points downhill (if not, it
+    starts anew). Rates are kept as a table of (rate, look-ahead), and the steps since then as a fold over literals.
     """
-    n, pairs = len(DOMAINS), [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
-
-    def at(z: np.ndarray, e: float):
-        r, free = _rate(z, 1.0), _rate(z)
-        mass = [F.sum(F.col("n_tokens") * F.col(d) * r) for d in DOMAINS]
-        gram = [F.sum(F.when((free > 0) & (free < 1), F.col("n_tokens") * F.col(DOMAINS[i]) * F.col(DOMAINS[j])).otherwise(0.0)) for i, j in pairs]
-        own = F.sum(F.col("n_tokens") * (r - 1) * (r - 1) / 2)
-        row = members.agg(*[x.alias(f"_{k}") for k, x in enumerate([*mass, *gram, own])]).first()
-        g, a = np.zeros((n, n)), np.array(row[:n], float)
-        for (i, j), v in zip(pairs, row[n:-1], strict=True):
-            g[i, j] = g[j, i] = v
-        return row[-1] + (a - targets) @ z - e * (z @ z) / 2, a - targets - e * z, g + e * np.eye(n)
-
-    z = np.zeros(n)
-    for slack in slacks:
-        value, slope, curve = at(z, slack * total)
-        for _ in range(steps):
-            if np.abs(slope).max() <= tolerance * total:
-                break
-            step, size = np.linalg.solve(curve, slope), 1.0
-            new = at(z + step, slack * total)
-            while new[0] < value + 1e-4 * size * (slope @ step) - 1e-12 * total and size > 1e-6:
-                size /= 2
-                new = at(z + size * step, slack * total)
-            z, (value, slope, curve) = z + size * step, new
-    return z
 
-
-def fit_rates(members: DataFrame, weights: dict[str, float], thin: str | None = None, steps: int = 60, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """(z, targets): accumulated steps and target tokens. The targets share out all tokens by ``weights``.
+    def __init__(self, members: DataFrame, targets: np.ndarray, metric: np.ndarray, most: float | None):
+        self.table, self.targets, self.metric, self.most = members.withColumn("_r", F.lit(1.0)).withColumn("_y", F.lit(1.0)), targets, metric, most
+        self.folded: list[tuple[np.ndarray, float]] = []
+        self.inertia, self.mass = 1.0, None
+
+    def _moved(self, at: Column, step) -> Column:
+        moved = F.greatest(F.lit(0.0), at - sum(F.col(d) * step(i) for i, d in enumerate(DOMAINS)))
+        return moved if self.most is None else F.least(F.lit(self.most), moved)
+
+    def _state(self) -> DataFrame:
+        """The table with all steps so far applied to ``_r`` and ``_y``."""
+        if not self.folded:
+            return self.table
+        steps = F.array(*[F.array(*[F.lit(float(v)) for v in [*step, beta]]) for step, beta in self.folded])
+
+        def applied(acc: Column, s: Column) -> Column:
+            new = self._moved(acc["y"], lambda i: F.get(s, F.lit(i)))
+            return let(new, lambda r: F.struct(r.alias("r"), (r + F.get(s, F.lit(len(DOMAINS))) * (r - acc["r"])).alias("y")))
+
+        state = F.aggregate(steps, F.struct(F.col("_r").alias("r"), F.col("_y").alias("y")), applied)
+        return self.table.withColumn("_s", state).withColumn("_r", F.col("_s.r")).withColumn("_y", F.col("_s.y")).drop("_s")
+
+    def run(self, mass: np.ndarray, total: float, steps: int, tolerance: float, stall: float) -> DataFrame:
+        """Rates after at most ``steps`` steps: fewer where totals are met within ``tolerance`` * total, or where the last
+        steps brought them nearer by at most ``stall`` * total."""
+        ahead, self.mass = mass, mass
+        errors = [np.linalg.norm(mass - self.targets)]
+        for k in range(steps):
+            if errors[-1] <= tolerance * total or (k > FOLD and errors[-1 - FOLD] - errors[-1] <= stall * total):
+                break
+            step = self.metric @ (ahead - self.targets)
+            now = F.array(*[F.lit(float(v)) for v in step])  # as data, not code: every step has the same plan
+            x = self._state().withColumn("_new", let(now, lambda s: self._moved(F.col("_y"), lambda i: F.get(s, F.lit(i)))))
+            sums = [F.sum(F.col("n_tokens") * F.col(d) * F.col("_new")).alias(f"_{d}") for d in DOMAINS]
+            row = x.agg(*sums, F.sum(F.col("n_tokens") * (F.col("_y") - F.col("_new")) * (F.col("_new") - F.col("_r"))).alias("_uphill")).first()
+            new = np.array(row[: len(DOMAINS)], float)
+            if row["_uphill"] > 0:
+                self.inertia = 1.0
+            later = (1 + np.sqrt(1 + 4 * self.inertia**2)) / 2
+            beta = (self.inertia - 1) / later
+            ahead, self.mass, self.inertia = new + beta * (new - self.mass), new, later
+            self.folded.append((step, beta))
+            errors.append(np.linalg.norm(new - self.targets))
+            if len(self.folded) == FOLD:
+                before, self.table, self.folded = self.table, stage(self._state(), "rates"), []
+                if k >= FOLD:
+                    drop_stage(before)
+        return self._state().drop("_y").withColumnRenamed("_r", "rate")
+
+
+def fit_rates(members: DataFrame, weights: dict[str, float], thin: str | None = None, steps: int = 150, tolerance: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
+    """(``members`` with ``rate``, targets). The targets share out all tokens by ``weights``.
 
     With ``thin``, the name of a domain, that domain is to keep its expected tokens and the others to come down to their
-    share relative to it; none goes up, and rates are at most 1 (``thin_rates``). Every document has a little of every
-    domain, so such targets can be out of reach: then the totals come as near as rates of at most 1 allow.
+    share relative to it; none goes up, and rates are at most 1. Every document has a little of every domain, so such
+    targets can be out of reach: then the totals come as near as rates of at most 1 allow.
     """
     w = np.array([weights[d] for d in DOMAINS], float)
-    total, *mass = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), *[F.coalesce(F.sum(F.col("n_tokens") * F.col(d)), F.lit(0.0)) for d in DOMAINS]).first()
-    targets = total * w / w.sum()
-    if thin is not None:
-        i = DOMAINS.index(thin)
-        targets = np.minimum(np.array(mass), mass[i] * w / w[i])
-        return (thin_rates(members, targets, float(total), steps, tolerance) if total else np.zeros(len(DOMAINS))), targets
-    z = np.zeros(len(DOMAINS))
     pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
-    best, size = None, 1.0
-    for _ in range(steps if total else 0):
-        r = _rate(z)
-        mass = [F.sum(F.col("n_tokens") * F.col(d) * r) for d in DOMAINS]
-        gram = [F.sum(F.when(r > 0, F.col("n_tokens") * F.col(DOMAINS[i]) * F.col(DOMAINS[j])).otherwise(0.0)) for i, j in pairs]
-        row = members.agg(*[x.alias(f"_{k}") for k, x in enumerate([*mass, *gram])]).first()
-        residual = np.array(row[: len(DOMAINS)]) - targets
-        error = float(np.abs(residual).max()) / total
-        if best is not None and error > best[0]:  # a step too far: go back and take half
-            size /= 2
-            z = best[1] + size * best[2]
-            continue
-        g = np.zeros((len(DOMAINS), len(DOMAINS)))
-        for (i, j), v in zip(pairs, row[len(DOMAINS) :], strict=True):
-            g[i, j] = g[j, i] = v
-        step = np.linalg.solve(g + 1e-9 * np.trace(g) * np.eye(len(g)) + 1e-300 * np.eye(len(g)), residual) if np.trace(g) > 0 else np.zeros(len(g))
-        best = (error, z, step)
-        if error < tolerance:
-            break
-        size = 1.0
-        z = z + step
-    return (best[1] if best is not None else z), targets
+    own = [F.coalesce(F.sum(F.col("n_tokens") * F.col(d)), F.lit(0.0)) for d in DOMAINS]
+    gram = [F.coalesce(F.sum(F.col("n_tokens") * F.col(DOMAINS[i]) * F.col(DOMAINS[j])), F.lit(0.0)) for i, j in pairs]
+    row = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("_n"), *[c.alias(f"_{k}") for k, c in enumerate([*own, *gram])]).first()
+    total, mass = float(row[0]), np.array(row[1 : 1 + len(DOMAINS)], float)
+    targets = total * w / w.sum() if thin is None else np.minimum(mass, mass[DOMAINS.index(thin)] * w / w[DOMAINS.index(thin)])
+    if not total:
+        return members.withColumn("rate", F.lit(1.0)), targets
+    g = np.zeros((len(DOMAINS), len(DOMAINS)))
+    for (i, j), v in zip(pairs, row[1 + len(DOMAINS) :], strict=True):
+        g[i, j] = g[j, i] = v
+    # A step of 1 / the largest eigenvalue descends whatever the bounds. Targets that can be met are the same minimum in
+    # every metric, so there the inverse of the Gram matrix makes the steps even in all domains.
+    metric = np.eye(len(DOMAINS)) / np.linalg.eigvalsh(g)[-1] if thin is not None else np.linalg.inv(g + 1e-9 * np.trace(g) * np.eye(len(DOMAINS)))
+    return _Descent(members, targets, metric, None if thin is None else 1.0).run(mass, total, steps, tolerance, tolerance if thin is None else 100 * tolerance), targets
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin: str | None = None, buckets: int = 1 << 15, sample: int = 20_000) -> DataFrame:
     """doc_id, n_tokens, low, toxic, clean (posteriors), rate (expected copies of the document; with ``thin`` at most 1)."""
-    members = posteriors(docs, labels, buckets, sample)
-    z, _ = fit_rates(members, weights, thin)
-    return members.withColumn("rate", _rate(z, None if thin is None else 1.0))
+    return fit_rates(posteriors(docs, labels, buckets, sample), weights, thin)[0]
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin: str = "clean") -> DataFrame:
@@ -174,8 +179,7 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin:
     rates = mixing_rates(docs, labels, weights, thin)
     draw = F.pmod(F.xxhash64(F.lit("mixture"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     gone = stage(rates.where(F.col("rate") <= draw).select("doc_id").distinct(), "gone")
-    split = marked(docs, "doc_id", gone)  # only rows that may go are shuffled
-    return split.where("not _maybe").union(split.where("_maybe").join(gone, "doc_id", "left_anti").select(split.columns)).drop("_maybe")
+    return without(docs, "doc_id", gone)
 
 
 #: Token shares that the registered query and the pipeline aim at.

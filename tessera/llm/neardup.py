@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, drop_stage, lists, mix, prefilter, release, stage, table, text_slices
+from .common import Words, components, drop_stage, lists, mix, prefilter, stage, table, text_slices
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -179,7 +179,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     out = out.withColumn("component_id", F.coalesce("component", "class_id", "doc_id")).withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = stage(out.select("doc_id", "n_shingles", "class_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")), "result")
     drop_stage(one, classes, shared, members, wanted, sets, star, rest)
-    release(docs.sparkSession)
     return out
 
 

@@ -146,8 +146,6 @@ def test_secret_spans(docs, rows, empty):
         assert [tuple(s) for s in r.assign] == [m.span() for m in assign.finditer(t) if len(m[1]) >= 6]
         assert [tuple(s) for s in r.access] == [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         assert [tuple(s) for s in r.hex] == [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-    added = {d: [t[a:z] for a, z in got[d].random] for d, t in rows if got[d].random}
-    assert any("q7Xz9LmP2vR8kTn4WcY6bD3f" in v for v in added.values())
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     for d, t in rows:
         spans = sorted(itertools.chain(got[d].assign, got[d].access, got[d].hex, got[d].random))
@@ -158,13 +156,78 @@ def test_secret_spans(docs, rows, empty):
     assert secrets.secret_spans(empty).count() == 0
 
 
-def test_battery_tells_random_from_written(spark):
+KEY = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def battery(run):
+    """The three tests of a run in plain Python."""
+    body = run.rstrip("=")
+    symbols = next(a for a, shape in secrets.ENCODINGS if re.fullmatch(shape, body))
+    x, a = np.array([symbols.index(c) for c in body], float), len(symbols)
+    n = len(x)
+    tail = lambda z: 1 / (1 + math.exp(min(max(1.5976 * z + 0.070566 * z**3, -700), 700)))
+    two = lambda z: min(2 * tail(abs(z)), 1.0)
+    chi = max(sum(v * v for v in collections.Counter(body).values()) * a / n - n, 0)
+    z = ((chi / (a - 1)) ** (1 / 3) - (1 - 2 / (9 * (a - 1)))) / math.sqrt(2 / (9 * (a - 1)))
+    side = 2 * x >= a
+    mean = 2 * side.sum() * (n - side.sum()) / n + 1
+    runs = (1 + (side[1:] != side[:-1]).sum() - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    c = x - x.mean()
+    lag = (c[1:] * c[:-1]).sum() / (c * c).sum() * math.sqrt(n) if (c * c).sum() else math.sqrt(n)
+    h = -sum(math.log(max(p, 1e-300)) for p in (tail(z), two(runs), two(lag)))
+    return math.exp(-h) * (1 + h + h * h / 2)
+
+
+def test_battery_equals_plain_python(spark):
     r = random.Random(2)
-    written = ["".join(w) for w in ("thethethethethethethe1the2", "aaaaaaaaaaaaaaaaaaaaaaaa1", "abcabcabcabcabcabcabcabc1")]
-    noise = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(20)]
+    written = ["thethethethethethethe1the2", "aaaaaaaaaaaaaaaaaaaaaaaa1", "abcabcabcabcabcabcabcabc1", "someveryordinarywords", "CamelCaseNameOfAThing2"]
+    noise = ["".join(r.choice(KEY) for _ in range(40)) for _ in range(20)] + ["".join(r.choice("0123456789ABCDEF") for _ in range(32)), "aGVsbG8gd29ybGQ_-x9Qz=="]
     df = spark.createDataFrame([(x,) for x in written + noise], "r string")
     p = [v[0] for v in df.select(secrets._battery(F.col("r"))).collect()]
-    assert max(p[:3]) < 1e-3 and np.median(p[3:]) > 0.05
+    assert p == pytest.approx([battery(x) for x in written + noise], rel=1e-6, abs=1e-12)
+    assert max(p[:3]) < 1e-3 and np.median(p[5:]) > 0.05
+
+
+def test_false_secrets_are_controlled_by_length(spark):
+    """Planted keys outside base spans are added, written names of the same shapes are not; limits equal a plain loop."""
+    r = random.Random(4)
+    words = ["the", "other", "value", "order", "on", "that", "reader", "title", "entry", "tree", "state", "in", "data", "there"]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n)) + ". "
+    keys, names, data = {}, {}, []
+    for i in range(700):
+        text, n = prose(r.randint(60, 90)), r.choice([24, 28, 36, 44, 52])
+        if i % 7 == 0:
+            keys[i] = "".join(r.choice(KEY if i % 2 else "0123456789ABCDEF") for _ in range(n))
+            text += f"see {keys[i]} there"
+        elif i % 7 == 1:
+            name = "".join(r.choice(words).title() for _ in range(12))[:n]
+            names[i] = name if i % 2 else name.lower()
+            text += f"see {names[i]} there"
+        data.append((i, text))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    text = dict(data)
+    got = {x.doc_id: [text[x.doc_id][a:z] for a, z in x.random] for x in secrets.secret_spans(d).collect()}
+    assert np.mean([keys[i] in got[i] for i in keys]) > 0.8
+    false = sum(any(w not in keys.values() for w in v) for v in got.values())
+    assert false <= 0.1 * len(keys)
+    tested = [(t.family, t.cell, t.start >= 0) for row in secrets._found(d).select("tested").collect() for t in row.tested]
+    want = {}
+    for f in {x[0] for x in tested}:
+        runs, decoys = ([c for g, c, own in tested if g == f and own == k] for k in (True, False))
+        good = [c for c in sorted({*runs, *decoys}) if sum(x <= c for x in runs) and (sum(x <= c for x in decoys) + 1) * len(runs) <= 0.05 * sum(x <= c for x in runs) * (len(decoys) + 1)]
+        want[f] = max(good, default=-1)
+    assert secrets._limits(secrets._found(d), 0.05).first()[0] == want
+    none = secrets.secret_spans(d.where("doc_id % 7 <> 0"))  # only names: nothing is added
+    assert none.where(F.size("random") > 0).count() <= 2
+
+
+def test_spans_are_placed_in_long_texts(spark):
+    t = "é " + " ".join(f"{i:024x}" for i in range(2000))
+    d = spark.createDataFrame([(1, t), (None, f"token = {'ab12' * 6}"), (1, "a second text, secret: hunter2hunter2")], "doc_id long, text string")
+    got = {x.doc_id: [tuple(s) for s in x.hex] for x in secrets.secret_spans(d).where(F.size("hex") > 0).collect()}
+    assert got[1] == [m.span() for m in re.finditer(secrets.HEX, t)] and got[None] == [(8, 32)]
+    clean = [x.text for x in secrets.redact(d.withColumn("_spans", F.lit(1)).withColumn("key", F.lit(2))).orderBy("text").collect()]
+    assert clean[:2] == ["[secret]", "a second text, [secret]"] and clean[2].startswith("é [secret] [secret]")
 
 
 def test_quality_rules(docs, rows, labels, empty):
@@ -216,25 +279,27 @@ def test_mixing_meets_its_targets(spark, labels, docs, empty):
     assert mixing.mixing_rates(empty, labels, weights).count() == 0
 
 
+def projected(n, p, targets, most, steps=4000):
+    """Plain projected gradient descent from 1, many small steps."""
+    r, size = np.ones(len(n)), 1 / np.linalg.eigvalsh((n[:, None] * p).T @ p)[-1]
+    for _ in range(steps):
+        r = np.clip(r - size * p @ ((n * r) @ p - targets), 0, most)
+    return r
+
+
 def test_thinning_is_fitted_within_its_bounds(spark, sf_dir):
     """The corpus has a little of the toxic domain in every clean text, so rates up to 1 cannot meet the targets."""
     d, m = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = {"low": 0.005, "toxic": 0.005, "clean": 0.99}
-    members = mixing.posteriors(d, m).cache()
-    z, targets = mixing.fit_rates(members, weights, "clean")
-    x = members.toPandas()
-    p, n = x[list(mixing.DOMAINS)].to_numpy(), x.n_tokens.to_numpy(float)
-    rate = np.clip(1 - p @ z, 0, 1)
-    realised = (n * rate) @ p
-    # the optimum over 0 <= r <= 1: z is the residual over the slack, and no move of one rate within its bounds is better
-    assert np.allclose(realised - targets, 1e-4 * n.sum() * z, atol=1e-6 * n.sum())
-    miss = lambda r: np.sum(((n * r) @ p - targets) ** 2)
-    r = np.random.default_rng(0)
-    assert all(miss(rate) <= miss(np.clip(rate + s * r.standard_normal(len(rate)), 0, 1)) * 1.001 for s in (0.001, 0.01, 0.1) for _ in range(20))
-    assert miss(rate) < miss(np.ones(len(rate)))
+    members = common.stage(mixing.posteriors(d, m), "members")
+    fitted, targets = mixing.fit_rates(members, weights, "clean")
+    x = fitted.toPandas()
+    p, n, rate = x[list(mixing.DOMAINS)].to_numpy(), x.n_tokens.to_numpy(float), x.rate.to_numpy()
+    assert x.rate.between(0, 1).all()
+    realised, best = (n * rate) @ p, (n * projected(n, p, targets, 1.0)) @ p
+    assert np.allclose(realised, best, atol=2e-3 * n.sum())
+    assert np.linalg.norm(realised - targets) < 1.002 * np.linalg.norm(best - targets) < np.linalg.norm(n @ p - targets)
     assert realised[2] > 0.95 * targets[2] and realised[0] < 1.5 * targets[0]
-    fitted = mixing.mixing_rates(d, m, weights, "clean").toPandas()
-    assert fitted.rate.between(0, 1).all() and np.allclose(fitted.sort_values("doc_id").rate, rate[np.argsort(x.doc_id)], atol=1e-3)
     kept = {r.doc_id for r in mixing.mixture(d, m, weights).select("doc_id").collect()}
     inside = x.doc_id.isin(kept).to_numpy()
     assert np.allclose((n * inside) @ p, realised, atol=0.02 * n.sum())  # what is drawn has the fitted totals
@@ -243,6 +308,36 @@ def test_thinning_is_fitted_within_its_bounds(spark, sf_dir):
     assert share(lambda q, t: q == 1 and t != 1) > 0.97 and share(lambda q, t: q == 0) < 0.4
 
 
+def test_posteriors_are_those_of_naive_bayes(docs, rows, labels):
+    """Against a loop over words; no two words of the fixture share one of the many buckets."""
+    got = {r.doc_id: r for r in mixing.posteriors(docs, labels, buckets=1 << 15).collect()}
+    kinds = {r.doc_id: 0 if r.quality == 0 else 1 if r.toxic else 2 for r in labels.collect()}
+    counts = [collections.Counter() for _ in range(3)]
+    for d, t in [*rows, rows[3]]:
+        if d in kinds:
+            counts[kinds[d]].update(words(t))
+    sizes = [sum(c.values()) + (1 << 15) for c in counts]
+    prior = [math.log((sum(k == i for k in kinds.values()) + 1) / (len(kinds) + 3)) for i in range(3)]
+    close = 0
+    for d, t in rows:
+        w = words(t)
+        logs = [prior[i] + min(len(w), 12) / max(len(w), 1) * sum(math.log((counts[i][x] + 1) / sizes[i]) for x in w) for i in range(3)]
+        p = np.exp(np.array(logs) - max(logs))
+        close += np.allclose([got[d].low, got[d].toxic, got[d].clean], p / p.sum(), atol=0.02)
+        assert got[d].n_tokens == len(w)
+    assert close > 0.95 * len(rows)
+
+
+def test_mixing_with_odd_rows(spark, docs, labels):
+    more = spark.createDataFrame([(None, "no id", 1, 2), (7, "another text of an id", 3, 4), (8, None, 5, 6)], "doc_id long, text string, _maybe int, rate int")
+    base = docs.select("doc_id", "text", F.lit(0).alias("_maybe"), F.lit(0).alias("rate")).union(more)
+    clash = labels.union(labels.selectExpr("doc_id", "1 - quality", "1 - toxic", "text"))  # contradictory labels: the worse ones count
+    out = mixing.mixture(base, clash, {"low": 0.005, "toxic": 0.005, "clean": 0.99})
+    assert out.columns == base.columns and out.where("doc_id is null").count() == 1
+    x = mixing.mixing_rates(base, clash, mixing.WEIGHTS).toPandas()
+    assert len(x) == base.count() and np.isfinite(x.rate).all()
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 

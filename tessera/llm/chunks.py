@@ -12,7 +12,8 @@ list. The distinct chunks of a file that shares none with a different file are l
 so they are joined without a shuffle; a Bloom filter of fixed size separates these files, so only texts of copies and of
 files that share chunks are shuffled, once, to the lists of what others own. A chunk that very many lists name is one row in the store; Spark splits that join's other side.
 
-Nulls and empty texts are 192 spaces. Repeated rows (one id, one text) are stored once. Extra columns are ignored. An empty table
+Nulls and empty texts are 192 spaces. Repeated rows (one id, one text) are stored once.
+Rows without an id are left out; of different texts under one id the one with the smallest hash counts. Extra columns are ignored. An empty table
 gives an empty store.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stage, marked, mix, prefilter, stage, table
+from .common import drop_stage, marked, mix, one_text, prefilter, stage, table
 from .native import let
 
 UNIT, RATE = 192, 8000
@@ -176,7 +177,7 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, packs, chunks). index: doc_id, media, n_bytes, chunks (digests in order), alone. packs: digest of a file,
     chunks, bytes of each distinct one; chunks: digest, bytes. A file that is ``alone`` (no chunk shared) is a pack, or in
     ``chunks`` if the filter took it for another; others are in ``chunks``."""
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = one_text(docs.select("doc_id", "text"))
     named = stage(docs.mapInArrow(_digests, "doc_id long, media binary, n_bytes long, chunks array<binary>"), "digests")
     files = stage(named.groupBy("media").agg(F.min("doc_id").alias("doc_id"), F.first("chunks").alias("chunks")), "files")
     each = files.select("doc_id", F.posexplode("chunks").alias("pos", "digest"))
@@ -186,15 +187,16 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sharing = uses.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("own"), F.col("pos"))).alias("lent"))
     copies = named.join(files.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("array<int>").alias("lent")).distinct()
     special = stage(sharing.union(copies), "special")
+    mixed = files.join(sharing.select("doc_id"), "doc_id", "left_semi").select("media", F.lit(True).alias("_s"))
+    index = stage(named.join(mixed, "media", "left").withColumn("alone", F.col("_s").isNull()).drop("_s"), "index")
+    drop_stage(named, files, shared, uses)  # before chunks are written
     split = marked(docs, "doc_id", special, "_maybe", 1 << 19)
     none = F.array().cast("array<int>")
     some = split.where("_maybe").join(special.withColumn("_s", F.lit(1)), "doc_id", "left").select("text", F.when(F.col("_s").isNull(), 0).when(F.col("lent").isNull(), 1).otherwise(2).alias("part"), F.coalesce("lent", none).alias("lent"))
     most = split.where("not _maybe").select("text")
     packs = stage(most.mapInArrow(_packed, "digest binary, chunks array<binary>, bytes array<binary>"), "packs", STORE_LEVEL)
     stored = stage(some.where("part <> 1").select("text", "lent").mapInArrow(_stored, "digest binary, bytes binary"), "chunks", STORE_LEVEL)
-    mixed = files.join(sharing.select("doc_id"), "doc_id", "left_semi").select("media", F.lit(True).alias("_s"))
-    index = stage(named.join(mixed, "media", "left").withColumn("alone", F.col("_s").isNull()).drop("_s"), "index")
-    drop_stage(named, files, shared, uses, special)
+    drop_stage(special)
     return index, packs, stored
 
 

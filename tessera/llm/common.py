@@ -110,6 +110,20 @@ def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return split.where(~F.col(maybe)).union(kept).drop(maybe)
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """``docs`` without rows that have no id; of different texts under one id only the one with the smallest hash."""
+    docs = docs.where(F.col("doc_id").isNotNull())
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    seen = docs.select("doc_id", h.alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    clash = stage(seen.where("low < high").select("doc_id", "low"), "clash")
+    if clash.isEmpty():
+        return docs
+    maybe, low = free_name(docs, "maybe"), free_name(docs, "low")
+    split = marked(docs, "doc_id", clash, maybe)
+    some = split.where(F.col(maybe)).join(clash.withColumnRenamed("low", low), "doc_id", "left").where(F.col(low).isNull() | (F.col(low) == h))
+    return split.where(~F.col(maybe)).select(docs.columns).union(some.select(docs.columns))
+
+
 # ---------------------------------------------------------------- connected components
 
 

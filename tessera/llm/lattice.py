@@ -6,11 +6,13 @@ A document is its words, each with a word end, and one document end. A word is s
   piece holds are spelled by byte pieces;
 * one arc for a whole word that the training texts have.
 
-A log-space forward recursion over positions sums all paths. The vocabulary's own scores, which fall with the rank of a
-piece, give prior weights 1 / (rank + 10); one expectation step over the words of the training texts turns them into
-weights by expected use, with the prior as ``prior_count`` pseudo-counts. The whole-word arc has weight (c - D) / N,
-and the D * V / N that this leaves over all words weighs the piece arcs (absolute discounting, D = n1 / (n1 + 2 n2)
-from words seen once and twice). All weights sum to at most 1, so scores are log probabilities.
+A log-space forward recursion over positions sums all paths. The pieces' weights come from the scores of the existing
+vocabulary. This file's scores are negative ranks, not logarithms, so a score s weighs 1 / (10 - s), as frequencies fall
+with rank. What pieces have to spell is words that training texts lack, so their weights are adapted to how the words that
+they have would be spelled: expectation steps over the distinct training words, the last over all of them alike (those
+before it, over a few sixteenths, only choose where it starts), with the scores' weights as ``prior_count``
+pseudo-counts. The whole-word arc has weight (c - D) / N, and the D * V / N that this leaves over all words weighs the piece
+arcs (absolute discounting, D = n1 / (n1 + 2 n2) from words seen once and twice). All weights sum to at most 1, so scores are log probabilities.
 
 Words recur within a document. The words of a document are drawn from a Dirichlet-multinomial (Polya urn) that has the
 lattice as its base: the i-th word has probability (a * lattice + earlier occurrences in the document) / (a + i), with
@@ -28,7 +30,8 @@ others, (doc_id, word, count) rows are joined with the word table by a shuffle.
 each task and are at most a row for each piece and task.
 
 Nulls and empty texts are a document end alone. Repeated rows of one id are scored once, and counted as often as they
-occur. Extra columns are ignored. An empty table gives no rows; without training texts every known count is 0 and the
+occur; of different texts under one id the one with the smallest hash is scored, all are counted. Rows without an id
+belong to neither side and are left out. Extra columns are ignored. An empty table gives no rows; without training texts every known count is 0 and the
 prior spells all words.
 """
 
@@ -45,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stage, lists, stage, table
+from .common import drop_stage, lists, one_text, stage, table
 from .native import let
 
 #: The document end in word tables; white space is never part of a word.
@@ -53,8 +56,8 @@ END = "\n"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 LN10 = math.log(10.0)
 CLASSES = 8
-#: Sixteenths of the words in each expectation step, and what earlier counts weigh in the next.
-SLICES, FADE = ((0, 0), (1, 2), (3, 6), (7, 15)), 0.2
+#: Sixteenths of the distinct words in each expectation step; the last step takes all.
+STEPS = ((0, 0), (1, 2), (0, 15))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -171,15 +174,15 @@ def vocabulary(path: str) -> tuple[tuple[str, float], ...]:
 
 
 def prior_pieces(path: str) -> Pieces:
-    """Weights from the ranks of the vocabulary's scores, lower-cased; bytes share a thousandth."""
+    """Weights 1 / (10 - score) of the vocabulary's pieces, lower-cased; bytes share a thousandth."""
     heads: dict[str, float] = {}
     tails: dict[str, float] = {}
-    for rank, (piece, _) in enumerate(vocabulary(path)):
+    for piece, score in vocabulary(path):
         body = piece.removeprefix("▁").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
         if not body or "▁" in body:
             continue
         to = heads if piece.startswith("▁") else tails
-        to[body] = to.get(body, 0.0) + 1 / (rank + 10)
+        to[body] = to.get(body, 0.0) + 1 / (10 - score)
     for x in tails:  # single characters may start a word as well
         if len(x) == 1:
             heads.setdefault(x, 1e-4)
@@ -337,15 +340,12 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_00
     prior = prior_pieces(vocabulary_path)
     spelled = counted.where(F.expr("n_train > 0") & (F.col("word") != END)).select("word")
     slot = F.pmod(F.xxhash64("word"), F.lit(16))
-    pieces, kept, n_words, n_kept = prior_pieces(vocabulary_path), {}, 0.0, 0.0
-    prior = pieces
-    for low, high in SLICES:
+    pieces = prior
+    for low, high in STEPS:
         used = spelled.where(slot.between(low, high)).mapInArrow(_expect(pieces), "head boolean, piece string, use double").groupBy("head", "piece").agg(F.sum("use").alias("use"))
         uses = {(r.head, r.piece): r.use for r in used.collect()}  # at most a row for each piece
         n_words = uses.pop((True, ""), 0.0)
-        kept = {k: FADE * kept.get(k, 0.0) + uses.get(k, 0.0) for k in {*kept, *uses}}
-        n_kept = FADE * n_kept + n_words
-        pieces = fitted_pieces(prior, kept, n_kept, prior_count)
+        pieces = fitted_pieces(prior, uses, n_words, prior_count)
     words = stage(counted.mapInArrow(_spell(pieces, discount, float(total), float(types), by_class), "word string, n_train long, n long, logs array<double>"), "spelled")
     drop_stage(counted)
 
@@ -365,7 +365,7 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, frequent: int = 100_00
         names, counts, logs = packed.value
         return {w.encode(): i for i, w in enumerate(names)}, np.log10(counts + 1.0) - floor, logs, counts > 0
 
-    parts = stage(docs.select("doc_id", "text").mapInArrow(_score(known, concentration), "doc_id long, word string, n long, base double, score array<double>, hits long"), "parts")
+    parts = stage(one_text(docs.select("doc_id", "text")).mapInArrow(_score(known, concentration), "doc_id long, word string, n long, base double, score array<double>, hits long"), "parts")
     rare = parts.where("word is not null").join(words.select("word", "n_train", "logs"), "word")
 
     def value(log: Column) -> Column:

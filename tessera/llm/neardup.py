@@ -12,7 +12,8 @@ around the same anchor that an exact bound on shared edits leaves (``_open_pairs
 What is compared is exact: 100 * |A and B| >= percent * |A or B|.
 
 Nulls and empty texts have an empty set and link with nothing. Texts shorter than a shingle have their whole word
-sequence as their one element. Repeated rows of one id count as that id. Extra columns are ignored.
+sequence as their one element. Repeated rows of one id count as that id.
+Rows without an id are left out; of different texts under one id the one with the smallest hash counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, drop_stage, lists, mix, prefilter, stage, table, text_slices
+from .common import Words, components, drop_stage, lists, mix, one_text, prefilter, stage, table, text_slices
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -151,7 +152,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     With 42 bands of 6 rows a pair at similarity 0.8 is missed with probability 3e-6, one at 0.85 with 1e-9.
     """
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = one_text(docs.select("doc_id", "text"))
     one = stage(docs.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketch")
     classes = one.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classes = stage(classes, "classes")

@@ -14,7 +14,7 @@ seen (at most ``CACHE``), as bytes, from task to task; new ones go to the tokeni
 as the tokenizer's normaliser, splitter and special tokens do not look past white space. Pieces leave the worker as
 (doc_id, start, length, crc32), so no ids are shuffled.
 
-Nulls and empty texts are the end token alone. Repeated rows of one id are packed as further documents of that id,
+Nulls and empty texts are the end token alone. Rows without an id are packed like others; different texts under one id too. Repeated rows of one id are packed as further documents of that id,
 told apart by ``copy``. Extra columns are ignored. An empty table gives no pieces.
 """
 
@@ -25,7 +25,6 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,24 +160,24 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _first_fit(capacity: int):
     """Bins of the few pieces that fill no bin of their class: first-fit by falling length."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "copy"], ascending=[False, True, True, True]).reset_index(drop=True)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("copy", "ascending")])
         room: list[int] = []
-        bins = np.zeros(len(pdf), np.int64)
-        for i, n in enumerate(pdf["length"]):
+        bins = []
+        for n in rows.column("length").to_pylist():
             b = next((b for b, r in enumerate(room) if r >= n), len(room))
             if b == len(room):
                 room.append(capacity)
             room[b] -= n
-            bins[i] = b
-        return pdf.assign(bin=bins)
+            bins.append(b)
+        return rows.append_column("bin", pa.array(bins, pa.int64()))
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, cut_cost: int = 16, shards: int = 256, special_as_text: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, copy, class_count (0: mixed) for each piece."""
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = docs.select("doc_id", "text")
     pieces = docs.mapInArrow(_pieces(tokenizer, end_id, capacity, cut_cost, special_as_text), _PIECES)
     pieces = stage(pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")), "pieces")
     order = Window.partitionBy("class", "shard").orderBy("doc_id", "start", "ids_crc32")
@@ -196,7 +195,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096,
     full = x.where("bin < full").select(*keep, (F.col("base") + F.col("bin")).alias("sequence_id"), "k")
     after = whole.agg(F.coalesce(F.sum("full"), F.lit(0)).alias("n"))
     schema = T.StructType([*x.select(*keep).schema.fields, T.StructField("bin", T.LongType())])
-    rest = x.where("bin >= full").select(*keep).groupBy().applyInPandas(_first_fit(capacity), schema)
+    rest = x.where("bin >= full").select(*keep).groupBy().applyInArrow(_first_fit(capacity), schema)
     rest = rest.withColumn("sequence_id", F.col("bin") + after.scalar()).select(*keep, "sequence_id", F.lit(0).cast("long").alias("k"))
     rows = full.union(rest)
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "copy")

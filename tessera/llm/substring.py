@@ -14,7 +14,8 @@ whole and need no seeds. Texts are shuffled only for documents that hold a repea
 fixed size. Fingerprints have 96 bits.
 
 Nulls and empty texts have no words. A document shorter than a window loses nothing. Repeated rows of one id count
-once. Extra columns are ignored.
+once. Rows without an id are left out; of different texts under one id the one with the smallest hash counts.
+ Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, drop_stage, lists, mix, prefilter, range_hash, stage, table, text_slices
+from .common import Words, drop_stage, lists, mix, one_text, prefilter, range_hash, stage, table, text_slices
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -124,7 +125,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, k: int = 6) -> tuple[Da
     kept_sha256, spans (maximal repeats as word offsets), kept_text for those that lose a part of their words."""
     if length < k:
         raise ValueError(f"a window of {length} words holds no anchor of {k} words")
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = one_text(docs.select("doc_id", "text"))
     plain = stage(docs.mapInArrow(_anchors(length, k), "doc_id long, n_words long, sha string, gram array<long>, place array<int>"), "anchors")
     ids = plain.select("doc_id", "n_words", "sha").dropDuplicates(["doc_id"])
     first = stage(ids.groupBy("sha").agg(F.min("doc_id").alias("first_id")), "first")

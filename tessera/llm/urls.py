@@ -93,15 +93,27 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     return x.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "canonical", "listed")
 
 
-def spam_list(pages: DataFrame) -> DataFrame:
-    """The list of the registered query: canonical URLs of pages on hosts with a label that starts with ``spam``."""
-    url = F.col("url")
-    return stage(pages.where(host_of(url).rlike(r"(^|\.)spam")).select(canonical(url).alias("canonical")).where("canonical is not null").distinct(), "listed")
+#: Families of junk hosts; a host is of a family if one of its labels starts with the name.
+JUNK_FAMILIES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam")
+
+
+def junk_list(pages: DataFrame, families: tuple[str, ...] = JUNK_FAMILIES) -> DataFrame:
+    """canonical, family: a list for those who have none, of the canonical URLs of pages on hosts of the families."""
+    family = F.coalesce(*[F.when(host_of(F.col("url")).rlike(rf"(^|\.){name}"), name) for name in families])
+    found = pages.select(canonical(F.col("url")).alias("canonical"), family.alias("family")).where("canonical is not null and family is not null")
+    return stage(found.groupBy("canonical").agg(F.min("family").alias("family")), "listed")
+
+
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """canonical: a list from a text file of URLs, one a line; empty lines and lines that start with # are skipped."""
+    lines = spark.read.text(path).select(F.trim("value").alias("url")).where("url <> '' and url not like '#%'")
+    whole = F.when(F.contains("url", F.lit("://")), F.col("url")).otherwise(F.concat(F.lit("http://"), F.col("url")))
+    return lines.select(canonical(whole).alias("canonical")).where("canonical is not null").distinct()
 
 
 def op7_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_verdicts(pages, spam_list(pages))
+    return url_verdicts(pages, junk_list(pages))
 
 
 ORACLE = r"""
@@ -125,7 +137,7 @@ WITH u AS (
   SELECT page_id, host, path, CASE WHEN bare <> '' THEN bare || short || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS canonical
   FROM q
 ), l AS (
-  SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|\.)spam') AND canonical IS NOT NULL
+  SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam)') AND canonical IS NOT NULL
 ), m AS (
   SELECT c.*, l.canonical IS NOT NULL AS listed,
          CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'

@@ -401,6 +401,66 @@ def test_lattice(docs, rows, empty):
     assert lattice.lattice_scores(empty, path).count() == 0
 
 
+def test_score_sums_all_segmentations_and_classes(spark, monkeypatch):
+    """The whole score on small documents: every spelling of every word enumerated, words drawn one by one from the urn."""
+    import public_tokenizers
+
+    monkeypatch.setattr(lattice, "STEPS", ((0, 15),))
+    path, weight, concentration, reserve = str(public_tokenizers.path("piece_bpe_32k.model")), 50.0, 7.0, 0.7
+    r = random.Random(8)
+    known = [["ab", "the", "cat", "hat"], ["la", "cote", "le", "the"]]
+    data = [(i, " ".join(r.choice(known[i % 2]) for _ in range(r.randint(1, 9))) + (" Xyz" if i == 4 else ""), ("en", "fr")[i % 2]) for i in range(24)] + [(24, None, None), (25, "", "en")]
+    got = {x.doc_id: x for x in lattice.lattice_scores(spark.createDataFrame(data, "doc_id long, text string, lang string"), path, frequent=3, prior_count=weight, concentration=concentration, group="lang", reserve=reserve).collect()}
+    prior = lattice.prior_pieces(path)
+
+    def spellings(word, head, tail, stop):
+        """(weight, pieces) of every segmentation."""
+        for cut in itertools.product([0, 1], repeat=len(word) - 1):
+            at = [0, *(i + 1 for i, c in enumerate(cut) if c), len(word)]
+            parts = [word[a:z] for a, z in zip(at, at[1:], strict=False)]
+            if parts[0] in head and all(x in tail for x in parts[1:]):
+                w = math.exp(head[parts[0]] + sum(tail[x] for x in parts[1:])) * (1 - stop) ** (len(parts) - 1) * stop
+                yield w, parts
+
+    train = [(words(t, True), g) for d, t, g in data if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = collections.Counter(w for ws, _ in train for w in [*ws, "\n"])
+    heads, tails, continued = collections.Counter(), collections.Counter(), 0.0
+    types = [w for w in counts if w != "\n"]
+    for word in types:
+        every = list(spellings(word, prior.head, prior.tail, 0.3))
+        total = sum(w for w, _ in every)
+        for w, parts in every:
+            heads[parts[0]] += w / total
+            tails.update({x: parts[1:].count(x) * w / total for x in set(parts[1:])})
+            continued += (len(parts) - 1) * w / total
+    fitted = []
+    for old, uses in ((prior.head, heads), (prior.tail, tails)):
+        c = {k: uses[k] + weight * math.exp(v) for k, v in old.items()}
+        fitted.append({k: math.log(v / sum(c.values())) for k, v in c.items()})
+    stop = (len(types) + 3.0) / (len(types) + continued + 10.0)
+    once, twice, total = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values()), sum(counts.values())
+    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+    def lattice_p(word):
+        spelled = sum(w for w, _ in spellings(word, *fitted, stop)) if word != "\n" else 0.0
+        return max(counts[word] - discount, 0) / total + discount * len(counts) / total * spelled
+
+    members = collections.Counter(g for _, g in train if g)
+    order = [*sorted(members, key=lambda g: (-members[g], g)), None]
+    own = {g: collections.Counter(w for ws, x in train for w in [*ws, "\n"] if x == g) for g in order}
+    for d, t, _ in data:
+        drawn, p = [*words(t, True), "\n"], 0.0
+        for g in order:
+            size, pseudo = sum(own[g].values()), reserve * len(own[g])
+            one, seen = (members[g] + 1 if g else 1) / (sum(members.values()) + len(order)), collections.Counter()
+            for i, w in enumerate(drawn):
+                base = (own[g][w] + pseudo * lattice_p(w)) / (size + pseudo) if size else lattice_p(w)
+                one *= (concentration * base + seen[w]) / (concentration + i)
+                seen[w] += 1
+            p += one
+        assert got[d].score == pytest.approx(math.log10(p), rel=1e-6), (d, t)
+
+
 def test_urn_equals_drawing_word_by_word():
     p = {"a": 0.5, "b": 0.2, "c": 1e-320}
     drawn, want, seen = "abacaccb", 0.0, collections.Counter()
@@ -478,7 +538,7 @@ def test_chunks_move_with_their_content():
 def test_urls(spark):
     u = ["http://A.example.net/en/x", "https://b.net", "https://b.net/", "http://x.example.com/de/", "http://c.org/fr/q?x#y", "http://www.spam.org/p/?utm_source=a&k=1", "http://spam.org/p?k=1#z", "http://c.org/other", None, "no host", "", "http://evilexample.com/de/"]
     pages = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(u)], "page_id long, url string, canonical string")
-    listed = urls.spam_list(pages)
+    listed = urls.junk_list(pages)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.url_verdicts(pages, listed).collect()}
     assert got == {
         0: ("a.example.net", "/en/x", "example.net/en/", "allow"), 1: ("b.net", "", None, "allow"), 2: ("b.net", "/", "net/", "block"), 3: ("x.example.com", "/de/", "example.com/de/", "block"),
@@ -503,6 +563,131 @@ def test_html(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+def test_layout_names_do_not_empty_an_article():
+    text = lambda page: [t for t, z in html.blocks_of(page) if z == html.main_zone(html.blocks_of(page))]
+    for page in (
+        '<div class="has-sidebar"><article>The text</article></div>', '<main class="page-header-image"><p>The text</main>',
+        '<div class="share-enabled"><article>The text<div class="ad-box">Buy</div></article></div>', '<article class="post has-comments banner"><p>The text</article><aside><article>Other</article></aside>',
+        '<article>The text</article><div class="related"><article>Teaser</article></div>', '<main>The text<section id="comments"><article>I agree</article></section></main>',
+        '<main>The text</main><article class="comment-7">I agree</article>',
+    ):
+        assert text(page) == ["The text"], page
+    assert html.main_zone(html.blocks_of("<div class=sidebar>x</div><p>y")) is None
+
+
+def covered_by_suffix_array(streams, shortest):
+    """Tokens of each page that lie in a repeat across pages: sorted suffixes, common prefixes of neighbours by page."""
+    suffixes = sorted((tuple(s[i:]), page, i) for page, s in streams.items() for i in range(len(s)))
+    common_prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    out = {page: set() for page in streams}
+    for at, (suffix, page, i) in enumerate(suffixes):
+        for step in (1, -1):
+            k, run = at + step, 10**9
+            while 0 <= k < len(suffixes):  # the nearest suffix of another page
+                run = min(run, common_prefix(suffix, suffixes[k][0]))
+                if suffixes[k][1] != page:
+                    break
+                k += step
+            else:
+                continue
+            if run >= shortest:
+                out[page] |= set(range(i, i + run))
+    return out
+
+
+def test_repeats_across_pages_equal_a_suffix_array(spark):
+    r = random.Random(3)
+    names = [f"w{i}" for i in range(40)]
+    line = lambda n: " ".join(r.choice(names) for _ in range(n))
+    shared = [line(n) for n in (9, 12, 30, 7)]
+    data, streams = [], collections.defaultdict(dict)
+    for i in range(24):
+        host = f"h{i % 3}"
+        blocks = [f"{line(r.randint(3, 15))} {r.choice(shared)} {line(2)}" if r.random() < 0.7 else line(r.randint(9, 20)) for _ in range(4)]
+        data.append((i, f"http://{host}/{i}", "".join(f"<p>{b}</p>" for b in blocks)))
+        streams[host][i] = [w for b in blocks for w in b.split()]
+    pages = spark.createDataFrame([*data, data[0], (None, "http://h0/x", "<p>no id</p>"), (90, None, f"<p>{shared[2]}</p>")], "page_id long, url string, html string")
+    got = {x.page_id: x for x in html.main_text(pages).collect()}
+    removed = 0
+    for host in streams:
+        cover = covered_by_suffix_array(streams[host], 8)
+        for page, tokens in streams[host].items():
+            assert got[page].text.split() == [w for i, w in enumerate(tokens) if i not in cover[page]]
+            assert got[page].n_repeated == len(cover[page])
+            removed += len(cover[page])
+    assert removed > 100
+    assert got[90].text == shared[2] and got[None].text == "no id"
+
+
+def test_quality_threshold_comes_from_held_out_labels(spark, sf_dir):
+    d, m = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    x = quality.quality_rules(d, m).toPandas()
+    marks = m.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).toPandas()
+    x = x.merge(marks, on="doc_id", how="left")
+    clean, low = x[(x.quality == 1) & (x.toxic == 0) & ~x.base_failed], x[(x.quality == 0) & ~x.base_failed]
+    assert clean.kept.mean() > 0.98 and low.kept.mean() < 0.6
+    junk = x.n_symbols > 0.02 * x.word_chars
+    fresh = x[x.quality.isna() & ~junk & ~x.base_failed]
+    assert fresh.kept.mean() > 0.9  # about a twelfth of them is of low quality without symbols
+    few = quality.quality_rules(d, m.limit(5)).where("not base_failed and not kept").count()
+    assert few == 0
+    fixed = quality.quality_rules(d, m, threshold=1e9)
+    assert fixed.where("kept").count() == 0
+
+
+def test_junk_list_has_every_family(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    listed = urls.junk_list(pages)
+    assert {r.family for r in listed.select("family").distinct().collect()} == set(urls.JUNK_FAMILIES)
+    got = urls.url_verdicts(pages, listed)
+    junk = F.col("host").rlike("|".join(rf"(^|\.){f}" for f in urls.JUNK_FAMILIES))
+    assert got.where(junk & F.col("rule").isNull() & (F.col("verdict") != "block")).count() == 0
+    assert got.where(~junk & F.col("rule").isNull() & (F.col("verdict") != "allow")).count() == 0
+
+
+def test_list_from_a_file(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# junk\nhttp://www.a.com/x/?utm_source=1\n\nb.org/y\n")
+    assert {r.canonical for r in urls.read_list(spark, str(tmp_path / "list.txt")).collect()} == {"a.com/x", "b.org/y"}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Ids without a value, different texts under one id, nulls, and a text that both have."""
+    long = " ".join(f"word{i}" for i in range(60))
+    return spark.createDataFrame([(None, long), (None, None), (1, long), (1, "another text"), (2, None), (2, ""), (3, long), (3, long)], "doc_id long, text string")
+
+
+def test_odd_ids(odd, rows):
+    texts = {r.doc_id: r.text for r in common.one_text(odd).dropDuplicates(["doc_id"]).collect()}
+    assert set(texts) == {1, 2, 3} and common.one_text(odd.where("doc_id = 3")).count() == 2
+    near = {r.doc_id: r for r in neardup.near_duplicates(odd, shingle=4).collect()}
+    assert set(near) == {1, 2, 3} and near[2].n_shingles == 0
+    assert near[3].component_id == (1 if texts[1] != "another text" else 3)
+    cut = {r.doc_id: r for r in substring.repeated_passages(odd, length=20)[0].collect()}
+    assert set(cut) == {1, 2, 3} and cut[1].n_words == len(words(texts[1])) and cut[1].n_removed == 0
+    media = {r.doc_id: r for r in chunks.media_features(odd).collect()}
+    assert set(media) == {1, 2, 3} and media[1].n_bytes == len(texts[1])
+
+
+def test_rows_without_an_id_are_packed(odd):
+    pieces = packing.pack(odd, packing.public_tokenizer(), capacity=64).collect()
+    assert sum(p.doc_tokens for p in pieces if p.start == 0) == sum(p.length for p in pieces)
+    assert sum(p.start == 0 for p in pieces) == odd.count() and sum(p.doc_id is None and p.start == 0 for p in pieces) == 2
+
+
+def test_media_columns_of_the_contract(docs, rows):
+    got = {r.doc_id: r for r in chunks.media_features(docs).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        raw = (t or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        media = chunks.wav(payload)
+        x, r = np.frombuffer(payload, np.uint8), got[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.startswith(f"pcm8;mean={x.mean():.6f};rms={math.sqrt((x.astype(float) ** 2).mean()):.6f};") and r.feature.endswith(f"min={x.min()};max={x.max()}")
+
+
 def test_pipeline_keeps_what_it_should(spark, tmp_path):
     import corpus_pipeline as cp
 

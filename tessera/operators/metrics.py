@@ -219,3 +219,64 @@ def box_intersections(det: DataFrame, gt: DataFrame) -> DataFrame:
     """Rows (det_id, gt_id, inter, uni) of one image and label."""
     d, g = Box.named("d_"), Box.named("g_")
     return pairs(det, gt).select("det_id", "gt_id", intersection(d, g).alias("inter"), (d.area + g.area - intersection(d, g)).alias("uni"))
+
+
+JACCARD_SCORES = tuple(i / 10 for i in range(10))
+
+
+def _most_pairs(near: np.ndarray) -> dict[int, int]:
+    """A maximum matching of columns to rows of a boolean table, by augmenting paths."""
+    row_of: dict[int, int] = {}
+
+    def found(i: int, seen: set[int]) -> bool:
+        for j in np.flatnonzero(near[i]).tolist():
+            if j in seen:
+                continue
+            seen.add(j)
+            if j not in row_of or found(row_of[j], seen):
+                row_of[j] = i
+                return True
+        return False
+
+    for i in range(len(near)):
+        found(i, set())
+    return row_of
+
+
+def _jaccard(threshold: float, scores: Sequence[float]):
+    def share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of each box of ``a`` the largest share that lies in a box of ``b``."""
+        if not len(a) or not len(b):
+            return np.zeros(len(a))
+        w = np.clip(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0, None)
+        return (w.prod(2) / np.maximum((a[:, 2:] - a[:, :2]).prod(1), 1e-6)[:, None]).max(1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        corners = ["x1", "y1", "x2", "y2"]
+        det, gt = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        real, out = gt[gt["ignored"] == 0][corners].to_numpy(float), gt[gt["ignored"] != 0][corners].to_numpy(float)
+        rows = []
+        for s in scores:
+            d = det[det["score"] > s][corners].to_numpy(float)
+            pairs_ = _most_pairs(overlaps(d, real) >= threshold) if len(d) and len(real) else {}
+            free_d, free_g = np.setdiff1d(np.arange(len(d)), list(pairs_.values())), np.setdiff1d(np.arange(len(real)), list(pairs_))
+            m = len(real) - int((share(real[free_g], out) > threshold).sum())
+            n = len(d) - int((share(d[free_d], out) > threshold).sum())
+            rows.append((float(s), len(pairs_), m, n, len(pairs_) / (m + n - len(pairs_) + 1e-6)))
+        return pd.DataFrame(rows, columns=["threshold", "k", "m", "n", "ratio"])
+
+    return run
+
+
+def jaccard_index(det: DataFrame, gt: DataFrame, threshold: float = 0.5, scores: Sequence[float] = JACCARD_SCORES) -> DataFrame:
+    """One row ``ji``: the best score threshold's mean over images of matched boxes over all boxes of both sides.
+
+    Per image a maximum one-to-one matching at ``threshold``; unmatched boxes that lie in ignored regions do not count.
+    Images without any counted box are left out of the mean. A group holds the boxes of one image.
+    """
+    corners = ["x1", "y1", "x2", "y2"]
+    x = det.select("image_id", F.lit(0).alias("side"), "score", F.lit(0).alias("ignored"), *corners)
+    x = x.union(gt.select("image_id", F.lit(1), F.lit(0.0), F.col("ignored").cast("int"), *corners))
+    per = x.groupBy("image_id").applyInPandas(_jaccard(threshold, scores), "threshold double, k long, m long, n long, ratio double")
+    means = per.groupBy("threshold").agg((F.sum("ratio") / F.greatest(F.sum(((F.col("m") != 0) | (F.col("n") != 0)).cast("int")), F.lit(1))).alias("mean"))
+    return means.agg(F.coalesce(F.max("mean"), F.lit(0.0)).alias("ji"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,45 @@ def draw(seed: int, *keys: str) -> Column:
     return ((x * 7919 + 104_729) % 1_000_003) / 1_000_003.0
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = (), shards: int = 256) -> DataFrame:
+    """``rows`` with a dense number from 0 in ``order`` (within ``by``), without one task for all of a group.
+
+    The first column of ``order`` is cut at ``shards`` approximate quantiles; rows are numbered within a shard, and shards
+    begin at the counts of those before them (a table of at most groups x shards rows). Rows that tie in that column are
+    one shard.
+    """
+    key = order[0]
+    cuts = rows.agg(F.percentile_approx(key, F.array(*[F.lit(i / shards) for i in range(1, shards)]), 10_000).alias("c")).first()["c"] or []
+    shard = F.lit(0)
+    if cuts:
+        shard = F.expr(_bisected("_k", sorted(set(cuts))))
+    x = rows.withColumn("_k", F.col(key)).withColumn("_s", shard).drop("_k")
+    counts = x.groupBy(*by, "_s").agg(F.count("*").alias("_c"))
+    before = counts.select(*by, "_s", (F.sum("_c").over(Window.partitionBy(*by).orderBy("_s")) - F.col("_c")).alias("_b"))
+    x = x.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*order)) - 1)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_s")]
+    joined = x.alias("l").join(F.broadcast(before.alias("r")), reduce(Column.__and__, same))  # at most groups x shards rows
+    return joined.select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("r._b") + F.col("l._r")).alias(name))
+
+
+def _bisected(key: str, cuts: list) -> str:
+    """SQL for the number of ``cuts`` that are at most ``key``, by halving."""
+    if not cuts:
+        return "0"
+
+    def part(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN {key} < {cuts[mid]!r} THEN {part(lo, mid)} ELSE {part(mid + 1, hi)} END"
+
+    return part(0, len(cuts))
+
+
 def batches(rows: DataFrame, size: int, by: Sequence[str], order: Sequence[str], drop_last: bool = False) -> DataFrame:
     """``rows`` with batch (0-based within ``by``) and place; with ``drop_last`` rows of unfilled batches go."""
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    out = rows.withColumn("batch", F.floor(i / size)).withColumn("place", i % size)
+    i = F.col("_i")
+    out = numbered(rows, order, "_i", by).withColumn("batch", F.floor(i / size)).withColumn("place", i % size).drop("_i")
     if drop_last:
         n = F.count("*").over(Window.partitionBy(*by, "batch"))
         out = out.withColumn("_n", n).where(F.col("_n") == size).drop("_n")
@@ -35,9 +71,9 @@ def aspect(width: str = "width", height: str = "height") -> Column:
 def per_source(rows: DataFrame, sizes: dict, source: str, key: str, seed: int = 0) -> DataFrame:
     """At most ``sizes[source]`` rows of each source (-1: all), by draws."""
     n = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])
-    rank = F.row_number().over(Window.partitionBy(source).orderBy(draw(seed, key), key))
-    out = rows.withColumn("_k", F.try_element_at(n, F.col(source))).withColumn("_r", rank)
-    return out.where((F.col("_k") < 0) | (F.col("_r") <= F.col("_k"))).drop("_k", "_r")
+    x = numbered(rows.withColumn("_d", draw(seed, key)), ["_d", key], "_r", [source]).drop("_d")
+    out = x.withColumn("_k", F.try_element_at(n, F.col(source)))
+    return out.where((F.col("_k") < 0) | (F.col("_r") < F.col("_k"))).drop("_k", "_r")
 
 
 def with_replacement(rows: DataFrame, weight: Column, n: int, key: str, seed: int = 0, cells: int = 1024) -> DataFrame:
@@ -58,14 +94,14 @@ def with_replacement(rows: DataFrame, weight: Column, n: int, key: str, seed: in
 def class_aware(labels: DataFrame, n: int, key: str = "image_id", label: str = "label", seed: int = 0) -> DataFrame:
     """``n`` draws that go round the classes and, within a class, round its images in drawn order: draw, label, key."""
     x = labels.select(label, key).distinct()
-    x = x.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, key, label), key)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(label)))
+    sizes = x.groupBy(label).agg(F.count("*").alias("_n"))
+    x = numbered(x.withColumn("_d", draw(seed, key, label)), ["_d", key], "_i", [label])
     classes = x.select(label).distinct()
     classes = classes.withColumn("_c", F.row_number().over(Window.orderBy(draw(seed, label), label)) - 1)  # a row for each class
     k = classes.agg(F.count("*")).scalar()
     d = labels.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_k", k)
     d = d.select("draw", (F.col("draw") % F.col("_k")).cast("int").alias("_c"), F.floor(F.col("draw") / F.col("_k")).alias("_t")).join(F.broadcast(classes), "_c")
-    sizes = x.select(label, "_n").distinct()
-    return d.join(sizes, label).withColumn("_i", F.col("_t") % F.col("_n")).join(x.select(label, key, "_i"), [label, "_i"]).select("draw", label, key)
+    return d.join(F.broadcast(sizes), label).withColumn("_i", F.col("_t") % F.col("_n")).join(x.select(label, key, "_i"), [label, "_i"]).select("draw", label, key)
 
 
 def reference_frames(frames: DataFrame, reach: int, count: int, seed: int = 0) -> DataFrame:

@@ -219,3 +219,52 @@ def tracking_scores(pred: DataFrame, gt: DataFrame, threshold: float = 0.5) -> D
     per = x.groupBy("video_id").applyInPandas(_identity(threshold), "video_id long, tp long, fp long, fn long, switches long, idtp long, gt long, pred long")
     s = per.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "switches", "idtp", "gt", "pred")])
     return s.withColumn("mota", F.try_divide(F.col("tp") - F.col("fp") - F.col("switches"), F.col("gt"))).withColumn("idf1", F.try_divide(2 * F.col("idtp"), F.col("gt") + F.col("pred")))
+
+
+#: Localisation thresholds of the higher-order score.
+HOTA_THRESHOLDS = tuple(0.05 * i for i in range(1, 20))
+
+
+def _higher_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """tp, fn, fp and the sum of association accuracies of one video at each threshold."""
+    gt, pr = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
+    gids, pids = np.unique(gt["track_id"]), np.unique(pr["track_id"])
+    frames = []
+    together = np.zeros((len(gids), len(pids)))
+    for frame in sorted(pdf["frame_id"].unique()):
+        g, p = gt[gt["frame_id"] == frame], pr[pr["frame_id"] == frame]
+        gi, pi = np.searchsorted(gids, g["track_id"]), np.searchsorted(pids, p["track_id"])
+        o = overlaps(g[list(CORNERS)].to_numpy(float), p[list(CORNERS)].to_numpy(float))
+        frames.append((gi, pi, o))
+        if o.size:  # how much of all overlap of a pair's boxes the pair itself has
+            both = o.sum(0)[None] + o.sum(1)[:, None] - o
+            together[gi[:, None], pi[None]] += np.where(both > 0, o / np.maximum(both, 1e-300), 0.0)
+    n_g, n_p = np.bincount(np.searchsorted(gids, gt["track_id"]), minlength=len(gids)), np.bincount(np.searchsorted(pids, pr["track_id"]), minlength=len(pids))
+    aligned = together / np.maximum(n_g[:, None] + n_p[None] - together, 1e-300)
+    at_g, at_p, near = [], [], []
+    for gi, pi, o in frames:
+        rows, cols = solve(-(aligned[gi[:, None], pi[None]] * o) if o.size else o)
+        at_g.append(gi[rows])
+        at_p.append(pi[cols])
+        near.append(o[rows, cols])
+    at_g, at_p, near = (np.concatenate(x) if x else np.zeros(0) for x in (at_g, at_p, near))
+    hits, ass = np.zeros(len(HOTA_THRESHOLDS), np.int64), np.zeros(len(HOTA_THRESHOLDS))
+    for a, least in enumerate(HOTA_THRESHOLDS):
+        ok = near >= least - 1e-12
+        (g, p), n = np.unique(np.stack([at_g[ok], at_p[ok]]), axis=1, return_counts=True)
+        g, p = g.astype(int), p.astype(int)
+        hits[a], ass[a] = ok.sum(), (n * n / np.maximum(n_g[g] + n_p[p] - n, 1)).sum()
+    return pd.DataFrame({"a": np.arange(len(hits)), "tp": hits, "fn": len(gt) - hits, "fp": len(pr) - hits, "ass": ass})
+
+
+def higher_order_accuracy(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """One row: hota, deta, assa (means over localisation thresholds) over tables as for ``tracking_scores``.
+
+    A group is a video: its tracks are matched as a whole. Counts of videos add up before the ratios are taken.
+    """
+    cols = ["video_id", "frame_id", "track_id", *CORNERS]
+    x = pred.select(F.lit(0).alias("side"), *cols).unionByName(gt.select(F.lit(1).alias("side"), *cols))
+    s = x.groupBy("video_id").applyInPandas(_higher_order, "a int, tp long, fn long, fp long, ass double")
+    s = s.groupBy("a").agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp", "ass")])
+    det, ass = F.col("tp") / F.greatest(F.col("tp") + F.col("fn") + F.col("fp"), F.lit(1)), F.col("ass") / F.greatest("tp", F.lit(1))
+    return s.agg(F.avg(F.sqrt(det * ass)).alias("hota"), F.avg(det).alias("deta"), F.avg(ass).alias("assa"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...operators import matching as M
 from ...operators import metrics as E
+from ...operators import summary as Y
 from ...operators import suppress as S
 from .. import views
 from .detection import ap_sql, pair_sql
@@ -221,3 +222,29 @@ def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = views.boxes(spark, sf_dir).where("event_id % 7 <> 0")
     r = b.groupBy(F.expr("event_id % 16").alias("corruption"), F.expr("(event_id * 31) % 6").alias("severity"), F.col("label").alias("metric")).agg(F.avg("score").alias("value"))
     return E.robustness(r).select("metric", *[F.round(c, 9).alias(c) for c in ("p", "mpc", "rpc")])
+
+
+_VALUES = ("map", "map_50", "map_75", "map_s", "map_m", "map_l", "ar_1", "ar_10", "ar_100", "ar_s", "ar_m", "ar_l")
+
+
+@query("coco_summary")
+def coco_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.coco_summary(_det(spark, sf_dir), _gt(spark, sf_dir)).select(*[F.round(n, 9).alias(n) for n in _VALUES])
+
+
+@query("coco_by_class")
+def coco_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.coco_summary(_det(spark, sf_dir), _gt(spark, sf_dir), by_class=True).select("label", *[F.round(n, 9).alias(n) for n in _VALUES[:3]])
+
+
+@query("lvis_summary")
+def lvis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _gt(spark, sf_dir).select("image_id").distinct().selectExpr("image_id", "array(image_id % 5) AS negative", "CASE WHEN image_id % 3 = 0 THEN array((image_id + 1) % 5) ELSE array() END AS not_exhaustive")
+    kinds = spark.createDataFrame([(0, "r"), (1, "c"), (2, "c"), (3, "f"), (4, "f")], "label long, frequency string")
+    x = Y.lvis_summary(_det(spark, sf_dir), _gt(spark, sf_dir), images, kinds)
+    return x.select(*[F.round(n, 9).alias(n) for n in x.columns])
+
+
+@query("jaccard_index")
+def jaccard_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.jaccard_index(_det(spark, sf_dir), _gt(spark, sf_dir)).select(F.round("ji", 9).alias("ji"))

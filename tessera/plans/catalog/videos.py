@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions import masks as MK
+from ...operators import summary as Y
 from ...operators import tracking as T
 from .. import analyze as AN
 from .. import convert as CV
@@ -56,6 +57,21 @@ def tracking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.tracking_scores(pred, gt).select("tp", "fp", "fn", "switches", "idtp", F.round("mota", 6).alias("mota"), F.round("idf1", 6).alias("idf1"))
 
 
+@query("higher_order_accuracy")
+def higher_order_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir)
+    gt = f.withColumn("track_id", F.col("det_id") % 7).dropDuplicates(["video_id", "frame_id", "track_id"])
+    x = T.higher_order_accuracy(T.track(f).where("track_id >= 0"), gt)
+    return x.select(*[F.round(n, 6).alias(n) for n in x.columns])
+
+
+@query("video_summary")
+def video_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tracks(spark, sf_dir).withColumn("label", F.col("track_id"))
+    x = Y.video_summary(t.where("frame_id % 4 <> 3").withColumn("x2", F.col("x2") + F.col("video_id") % 7), t)
+    return x.select(*[F.round(n, 9).alias(n) for n in x.columns])
+
+
 @query("embedding_similarity", """SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) AS cosine
 FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON a.vec_id + 1 = b.vec_id""", with_views=False)
 def embedding_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.boxes import Box
-from ..operators.sampling import draw
+from ..operators.sampling import draw, numbered
 
 
 def to_odvg(images: DataFrame, cleaned: DataFrame, labels: DataFrame) -> DataFrame:
@@ -60,9 +60,7 @@ def mot_to_video(rows: DataFrame, half: str | None = None) -> DataFrame:
     if half is not None:
         x = x.where(F.col("frame_id") <= F.col("_cut")) if half == "first" else x.where(F.col("frame_id") > F.col("_cut"))
     seen = x.groupBy("video_id", "instance_id").agg(F.min("frame_id").alias("f"))
-    counts = seen.groupBy("video_id").agg(F.count("*").alias("c"))
-    before = counts.select("video_id", (F.sum("c").over(Window.orderBy("video_id")) - F.col("c")).alias("b"))  # a row for each video
-    ids = seen.join(before, "video_id").select("video_id", "instance_id", (F.col("b") + F.row_number().over(Window.partitionBy("video_id").orderBy("f", "instance_id")) - 1).alias("global_id"))
+    ids = numbered(seen, ["video_id", "f", "instance_id"], "global_id").select("video_id", "instance_id", "global_id")
     return x.join(ids, ["video_id", "instance_id"]).withColumn("frame_id", F.col("frame_id") - 1).drop("_cut")
 
 
@@ -71,7 +69,9 @@ def reid_split(rows: DataFrame, least: int, most: int, train_share: float = 0.8)
     the first people by id are for training."""
     w = Window.partitionBy("person_id")
     x = rows.withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= least).withColumn("_r", F.row_number().over(w.orderBy("frame_id"))).where(F.col("_r") <= most)
-    people = x.select("person_id").distinct().withColumn("_p", F.percent_rank().over(Window.orderBy("person_id")))  # a row for each person
+    people = x.select("person_id").distinct()
+    last = people.agg(F.greatest(F.count("*") - 1, F.lit(1))).scalar()
+    people = numbered(people, ["person_id"], "_i").select("person_id", (F.col("_i") / last).alias("_p"))
     return x.join(people, "person_id").withColumn("part", F.when(F.col("_p") < train_share, "train").otherwise("val")).drop("_n", "_r", "_p")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.boxes import Box
+from ..operators.sampling import numbered
 
 _D, _L, _S, _I = T.DoubleType(), T.LongType(), T.StringType(), T.IntegerType()
 
@@ -227,9 +228,7 @@ def coco_rows(det: DataFrame, categories: Column | None = None) -> DataFrame:
 def coco_annotations(gt: DataFrame) -> DataFrame:
     """Ground truth as COCO annotation rows with ids from 1; the area is that of the box."""
     b = Box.named()
-    shard = Window.partitionBy("image_id").orderBy("gt_id")
-    before = gt.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", (F.sum("n").over(Window.partitionBy(F.pmod("image_id", F.lit(1))).orderBy("image_id")) - F.col("n")).alias("b"))
-    x = gt.join(before, "image_id").withColumn("id", F.col("b") + F.row_number().over(shard))
+    x = numbered(gt, ["image_id", "gt_id"], "id").withColumn("id", F.col("id") + 1)
     return x.select("id", "image_id", F.col("label").alias("category_id"), F.array(*b.as_xywh()).alias("bbox"), b.area.alias("area"), F.col("ignored").alias("iscrowd"))
 
 

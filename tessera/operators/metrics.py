@@ -104,44 +104,72 @@ def _squares(x: str) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 
 
-def _ranks(batch_rows: int):
-    def run(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[lo : lo + batch_rows]
-                ids, hits = [], []
-                for q, qx, ps, pd_, gid, gx in zip(part["vec_id"], part["x"], part["positives"], part["distances"], part["block_ids"], part["block"], strict=True):
-                    block = np.array(gx.tolist(), float).reshape(len(gid), -1)
-                    d = ((block - np.asarray(qx, float)) ** 2).sum(1)
-                    gid = np.asarray(gid)
-                    other = gid != q
-                    d, gid = d[other], gid[other]
-                    near = 1e-9  # sums of squares here and in the JVM may differ in their last bits
-                    before = [int(((d < x - near) | ((np.abs(d - x) <= near) & (gid < p) & np.isin(gid, ps))).sum()) for p, x in zip(ps, pd_, strict=True)]
-                    ids.append(q)
-                    hits.append(before)
-                yield pd.DataFrame({"vec_id": ids, "before": hits})
+#: Distances nearer than this are one: sums of squares may differ in their last bits.
+NEAR = 1e-9
 
-    return run
+
+def _blocks(x: DataFrame, rows: int, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Blocks of at most ``rows`` rows (of one label, with ``by``): block, ids and vectors."""
+    key = F.struct(*by, "vec_id") if by else F.col("vec_id")
+    n = x.groupBy(*by).agg(F.count("*").alias("_n"))
+    parts = F.ceil(F.col("_n") / rows * 2).cast("long")  # hashed rows fill blocks unevenly
+    y = x.join(F.broadcast(n), list(by)) if by else x.withColumn("_n", n.select("_n").scalar())
+    y = y.withColumn(f"{name}_block", F.pmod(F.xxhash64(key), parts)).groupBy(*by, f"{name}_block").agg(F.collect_list(F.struct("vec_id", "x")).alias("b"))
+    return y.select(*by, f"{name}_block", F.transform("b", lambda v: v["vec_id"]).alias(f"{name}_ids"), F.transform("b", lambda v: v["x"]).alias(name))
+
+
+def _matrix(rows, n: int) -> np.ndarray:
+    return np.array(rows.tolist(), float).reshape(n, -1)
+
+
+def _distances(batches):
+    """(query, positive, distance) of two blocks of one label."""
+    for pdf in batches:
+        for q, qx, k, kx in zip(pdf["q_ids"], pdf["q"], pdf["k_ids"], pdf["k"], strict=True):
+            q, k = np.asarray(q), np.asarray(k)
+            d = ((_matrix(qx, len(q))[:, None] - _matrix(kx, len(k))[None]) ** 2).sum(2) if len(q) * len(k) * len(qx[0]) < 1 << 24 else np.stack([((_matrix(kx, len(k)) - v) ** 2).sum(1) for v in _matrix(qx, len(q))])
+            i, j = np.nonzero(q[:, None] != k[None])
+            yield pd.DataFrame({"vec_id": q[i], "other": k[j], "d": d[i, j]})
+
+
+def _counts(batches):
+    """For each positive of a block of queries: how many rows of another label in a block of the gallery are nearer."""
+    for pdf in batches:
+        for queries, labels, kx in zip(pdf["queries"], pdf["labels"], pdf["k"], strict=True):
+            labels, y, rows = np.asarray(labels), _matrix(kx, len(labels)), []
+            for q in queries:
+                d = np.sort(((y[labels != q["label"]] - np.asarray(q["x"], float)) ** 2).sum(1))
+                other, far = [v["other"] for v in q["p"]], np.array([v["d"] for v in q["p"]], float)
+                rows.append(pd.DataFrame({"vec_id": q["vec_id"], "other": other, "n": np.searchsorted(d, far - NEAR)}))
+            yield pd.concat(rows)
 
 
-def reid(features: DataFrame, block: int = 512, ranks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+def reid(features: DataFrame, block: int = 256, ranks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """One row: mAP and cumulative match at ``ranks`` of every row (vec_id, label, embedding) against all others.
 
-    Only pairs of one label are rows; how many rows come before each of them is counted block by block of the gallery,
-    so nothing with all pairs is kept. At equal distances rows of the query's label come first.
+    Distances within a label are pairs by definition of the measure; they are made block by block. How many rows of other
+    labels come before each is counted block against block and summed before it is joined, so no row and no group holds
+    more than ``block`` vectors of a side, nor a label as a whole. At equal distances rows of the query's label come first.
     """
     x = features.select("vec_id", "label", _squares("embedding").alias("x"))
-    a, b = x.alias("a"), x.alias("b")
-    square = F.aggregate(F.zip_with("a.x", "b.x", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    same = a.join(b, F.col("a.label") == F.col("b.label")).where("a.vec_id <> b.vec_id").select(F.col("a.vec_id").alias("vec_id"), F.col("b.vec_id").alias("other"), square.alias("d"))
-    queries = same.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("d", "other"))).alias("p")).select("vec_id", F.transform("p", lambda v: v["other"]).alias("positives"), F.transform("p", lambda v: v["d"]).alias("distances"))
-    queries = queries.join(x, "vec_id")
-    blocks = x.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))).groupBy(F.expr(f"b div {max(1, (1 << 20) // 64)}").alias("b")).agg(F.collect_list(F.struct("vec_id", "x")).alias("g"))
-    blocks = blocks.select(F.transform("g", lambda v: v["vec_id"]).alias("block_ids"), F.transform("g", lambda v: v["x"]).alias("block"))
-    counted = queries.crossJoin(blocks).select("vec_id", "x", "positives", "distances", "block_ids", "block").mapInPandas(_ranks(block), "vec_id long, before array<long>")
-    places = counted.select("vec_id", F.posexplode("before").alias("i", "n")).groupBy("vec_id", "i").agg((F.sum("n") + 1).alias("place"))
-    per = places.groupBy("vec_id").agg(F.avg((F.col("i") + 1) / F.col("place")).alias("ap"), F.min("place").alias("first"))
+    q, k = _blocks(x, block, "q", ["label"]), _blocks(x, block, "k", ["label"])
+    same = q.join(k, "label").select("q_ids", "q", "k_ids", "k").mapInPandas(_distances, "vec_id long, other long, d double")
+    # positives of a query in pieces of at most ``block``, each met by every block of the gallery
+    pieces = same.withColumn("piece", F.pmod(F.xxhash64("other"), F.lit(1 << 20)))
+    size = same.groupBy("vec_id").agg(F.ceil(F.count("*") / block * 2).alias("_m"))
+    pieces = pieces.join(size, "vec_id").withColumn("piece", F.col("piece") % F.col("_m"))
+    pieces = pieces.groupBy("vec_id", "piece").agg(F.collect_list(F.struct("other", "d")).alias("p"))
+    n = pieces.agg(F.greatest(F.ceil(F.count("*") / block * 2), F.lit(1)).cast("long")).scalar()
+    queries = pieces.join(x, "vec_id").withColumn("_n", n).withColumn("q_block", F.pmod(F.xxhash64("vec_id", "piece"), F.col("_n")))
+    queries = queries.groupBy("q_block").agg(F.collect_list(F.struct("vec_id", "label", "x", "p")).alias("queries"))
+    gallery = _blocks(x.withColumn("x", F.struct("label", "x")), block, "k").select("k_block", F.transform("k", lambda v: v["label"]).alias("labels"), F.transform("k", lambda v: v["x"]).alias("k"))
+    many = features.agg(F.greatest(F.ceil(F.count("*") / block * 2), F.lit(1)).cast("long")).scalar()
+    met = queries.withColumn("_g", many).withColumn("k_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1))).join(gallery, "k_block")
+    counted = met.select("queries", "labels", "k").mapInPandas(_counts, "vec_id long, other long, n long")
+    before = counted.groupBy("vec_id", "other").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("vec_id").orderBy("d", "other")
+    places = same.join(before, ["vec_id", "other"]).withColumn("i", F.row_number().over(order)).withColumn("place", F.col("i") + F.col("n"))
+    per = places.groupBy("vec_id").agg(F.avg(F.col("i") / F.col("place")).alias("ap"), F.min("place").alias("first"))
     return per.agg(F.round(F.avg("ap"), 3).alias("map"), *[F.round(F.avg((F.col("first") <= r).cast("double")), 3).alias(f"r{r}") for r in ranks])
 
 

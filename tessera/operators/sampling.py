@@ -10,12 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Draws are computed modulo this prime, so there are as many different ones.
+PRIME = 2**31 - 1
+
+
 def draw(seed: int, *keys: str) -> Column:
-    """A number in [0, 1) from keys that SQL engines share: no engine's own hash."""
+    """A number in [0, 1) from keys, by arithmetic that SQL engines share (``draw_sql``): no engine's own hash.
+
+    The square between the two linear steps keeps equal steps of a key from giving equal steps of the draw.
+    """
     x = F.lit(seed).cast("long")
     for k in keys:
-        x = (x * 31 + F.col(k)) % 1_000_003
-    return ((x * 7919 + 104_729) % 1_000_003) / 1_000_003.0
+        x = (x * 31 + F.col(k) % PRIME) % PRIME
+    y = (x * 48_271 + 104_729) % PRIME
+    z = (y * y % PRIME + x) % PRIME
+    return (z * 69_621 + 7_919) % PRIME / float(PRIME)
+
+
+def draw_sql(seed: int, *keys: str) -> str:
+    """``draw`` as SQL text."""
+    x = str(seed)
+    for k in keys:
+        x = f"(({x}) * CAST(31 AS BIGINT) + {k} % {PRIME}) % {PRIME}"
+    y = f"(({x}) * 48271 + 104729) % {PRIME}"
+    return f"(((({y}) * ({y})) % {PRIME} + {x}) % {PRIME} * 69621 + 7919) % {PRIME} / CAST({PRIME} AS DOUBLE)"
 
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = (), shards: int = 256) -> DataFrame:
@@ -86,7 +104,7 @@ def with_replacement(rows: DataFrame, weight: Column, n: int, key: str, seed: in
     x = x.join(F.broadcast(shard), "shard").withColumn("hi", (F.col("b") + F.sum("w").over(upto)) / total.scalar())
     x = x.withColumn("lo", F.col("hi") - F.col("w") / total.scalar())
     x = x.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))))
-    d = rows.sparkSession.range(n).select(F.col("id").alias("draw"), ((F.col("id") * 7919 + seed * 31 + 104_729) % 1_000_003 / 1_000_003.0).alias("u"))
+    d = rows.sparkSession.range(n).select(F.col("id").alias("draw"), draw(seed, "id").alias("u"))
     d = d.withColumn("cell", F.floor(F.col("u") * cells))
     return d.join(x, "cell").where("u >= lo and u < hi").select("draw", key)
 

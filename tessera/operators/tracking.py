@@ -182,6 +182,34 @@ def cosine(x: Column, y: Column) -> Column:
     return F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
 
 
+def _compared(batches):
+    """Cosines of a block of queries with a block of keys."""
+    for pdf in batches:
+        for q, x, k, y in zip(pdf["q_ids"], pdf["q"], pdf["k_ids"], pdf["k"], strict=True):
+            x, y = np.array(x.tolist(), float).reshape(len(q), -1), np.array(y.tolist(), float).reshape(len(k), -1)
+            sizes = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
+            c = np.divide(x @ y.T, sizes, out=np.full(sizes.shape, np.nan), where=sizes > 0)
+            yield pd.DataFrame({"a_id": np.repeat(np.asarray(q), len(k)), "b_id": np.tile(np.asarray(k), len(q)), "cosine": c.ravel()})
+
+
+def similarities(queries: DataFrame, keys: DataFrame, rows: int = 512) -> DataFrame:
+    """a_id, b_id, cosine of each query (vec_id, embedding) with each key: blocks of ``rows`` rows meet blocks.
+
+    Both sides are cut into blocks of about ``rows`` rows by hash, so no block grows with the data; the result has all
+    pairs, as the queries are a stated set. A vector without length has a null cosine.
+    """
+
+    def blocks(t: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-t.count() // rows))
+        x = t.where("embedding is not null").groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(f"{name}_block"))
+        return x.agg(F.collect_list(F.struct("vec_id", "embedding")).alias("b")).select(f"{name}_block", F.transform("b", lambda v: v["vec_id"]).alias(f"{name}_ids"), F.transform("b", lambda v: v["embedding"]).alias(name)), n
+
+    (q, many), (k, _) = blocks(queries, "q"), blocks(keys, "k")
+    sent = k.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))  # each block to every block of queries
+    out = sent.join(q, "q_block").select("q_ids", "q", "k_ids", "k").mapInPandas(_compared, "a_id long, b_id long, cosine double")
+    return out.withColumn("cosine", F.when(F.isnan("cosine"), None).otherwise(F.col("cosine")))
+
+
 def _identity(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         gt, pr = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]

@@ -96,9 +96,6 @@ def assign_hungarian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("gt_id").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
-_DRAW = "(({x}) * 7919 + 104729) % 1000003 / CAST(1000003 AS DOUBLE)"
-
-
 @query("batches_by_aspect", """, v AS (SELECT event_id, CASE WHEN x2 - x1 < y2 - y1 THEN 0 ELSE 1 END AS bucket, row_number() OVER (PARTITION BY CASE WHEN x2 - x1 < y2 - y1 THEN 0 ELSE 1 END ORDER BY event_id) - 1 AS i FROM box)
 SELECT event_id, bucket, CAST(i // 16 AS BIGINT) AS batch, CAST(i % 16 AS INTEGER) AS place FROM v""")
 def batches_by_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +103,7 @@ def batches_by_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.batches(b, 16, ["bucket"], ["event_id"]).select("event_id", "bucket", "batch", "place")
 
 
-@query("sample_per_source", """, r AS (SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY """ + _DRAW.format(x="(3 * 31 + event_id) % 1000003") + """, event_id) AS r FROM box)
+@query("sample_per_source", """, r AS (SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY """ + S.draw_sql(3, "event_id") + """, event_id) AS r FROM box)
 SELECT event_id, label FROM r WHERE label = 0 OR (label = 1 AND r <= 50) OR (label = 2 AND r <= 10)""")
 def sample_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_source(views.boxes(spark, sf_dir).select("event_id", "label"), {0: -1, 1: 50, 2: 10}, "label", "event_id", seed=3)

@@ -9,6 +9,7 @@ from ...functions import text as TX
 from ...operators import transforms as R
 from ...sources import annotations as N
 from .. import views
+from ...operators.sampling import draw_sql
 from .registry import query
 
 _IMG = """, img AS (SELECT DISTINCT image_id, 300 + image_id % 41 AS width, 220 + image_id % 37 AS height FROM box),
@@ -58,10 +59,10 @@ def resize_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.resize_shortest(_boxes(spark, sf_dir), 300, 420).select("event_id", F.round("x2", 6).alias("x2"), "width", "height")
 
 
-_D = "((({s} * 31 + image_id) % 1000003) * 7919 + 104729) % 1000003 / CAST(1000003 AS DOUBLE)"
+_D = draw_sql(5, "image_id")
 
 
-@query("random_flip", _IMG + f""" SELECT event_id, {_D.format(s=5)} < 0.5 AS flipped, CASE WHEN {_D.format(s=5)} < 0.5 THEN width - x2 ELSE x1 END AS x1, CASE WHEN {_D.format(s=5)} < 0.5 THEN width - x1 ELSE x2 END AS x2, y1, y2 FROM b""")
+@query("random_flip", _IMG + f""" SELECT event_id, {_D} < 0.5 AS flipped, CASE WHEN {_D} < 0.5 THEN width - x2 ELSE x1 END AS x1, CASE WHEN {_D} < 0.5 THEN width - x1 ELSE x2 END AS x2, y1, y2 FROM b""")
 def random_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.flip(_boxes(spark, sf_dir), seed=5).select("event_id", "flipped", "x1", "x2", "y1", "y2")
 

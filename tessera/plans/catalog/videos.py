@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import masks as MK
 from ...operators import summary as Y
 from ...operators import tracking as T
+from ...operators.sampling import draw_sql
 from .. import analyze as AN
 from .. import convert as CV
 from .. import views
@@ -32,10 +33,10 @@ def interpolate_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("video_id", "track_id", "frame_id", *[F.round(c, 6).alias(c) for c in T.CORNERS], "score", "filled")
 
 
-@query("link_tracks", _TR + """, b AS (SELECT video_id, track_id, min(frame_id) AS sf, max(frame_id) AS ef, arg_min((x1 + x2) / 2, frame_id) AS sx, arg_min((y1 + y2) / 2, frame_id) AS sy, arg_max((x1 + x2) / 2, frame_id) AS ex, arg_max((y1 + y2) / 2, frame_id) AS ey FROM tr WHERE (track_id = 0 AND frame_id < 20) OR (track_id = 1 AND frame_id > 24) OR (track_id = 2 AND frame_id > 40) GROUP BY ALL)
+@query("link_tracks", _TR + """, b AS (SELECT video_id, track_id, min(frame_id) AS sf, max(frame_id) AS ef, arg_min((x1 + x2) / 2, frame_id) AS sx, arg_min((y1 + y2) / 2, frame_id) AS sy, arg_max((x1 + x2) / 2, frame_id) AS ex, arg_max((y1 + y2) / 2, frame_id) AS ey FROM (SELECT video_id, track_id * 1000 + frame_id // 30 AS track_id, frame_id, x1, y1, x2, y2 FROM tr) GROUP BY ALL)
 SELECT a.video_id, a.track_id AS first, c.track_id AS second, c.sf - a.ef AS gap, round(sqrt((c.sx - a.ex) ** 2 + (c.sy - a.ey) ** 2), 6) AS distance FROM b a JOIN b c ON a.video_id = c.video_id AND a.track_id <> c.track_id WHERE c.sf - a.ef > 0 AND c.sf - a.ef < 60 AND sqrt((c.sx - a.ex) ** 2 + (c.sy - a.ey) ** 2) < 150""")
 def link_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tracks(spark, sf_dir).where("(track_id = 0 AND frame_id < 20) OR (track_id = 1 AND frame_id > 24) OR (track_id = 2 AND frame_id > 40)")
+    t = _tracks(spark, sf_dir).withColumn("track_id", F.expr("track_id * 1000 + frame_id div 30"))  # tracks that break off
     return T.link_candidates(t, (0, 60), 150).withColumn("distance", F.round("distance", 6))
 
 
@@ -72,12 +73,16 @@ def video_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(*[F.round(n, 9).alias(n) for n in x.columns])
 
 
-@query("embedding_similarity", """SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) AS cosine
-FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b ON a.vec_id + 1 = b.vec_id""", with_views=False)
+_UNIT = "SELECT vec_id, [v / sqrt(list_dot_product(e, e)) FOR v IN e] AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@query("embedding_similarity", f"""WITH n AS ({_UNIT}), p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.u, b.u), 6) AS cosine FROM n a JOIN n b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT a_id, count(*) AS n, max(cosine) AS most, round(sum(cosine), 3) AS total FROM p GROUP BY a_id""", with_views=False)
 def embedding_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: ids divisible by 100, against all rows."""
     e = views.table(spark, sf_dir, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a")), e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
-    return a.join(b, F.col("a_id") + 1 == F.col("b_id")).select("a_id", "b_id", F.round(T.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+    x = T.similarities(e.where("vec_id % 100 = 0"), e).where("a_id <> b_id").withColumn("cosine", F.round("cosine", 6))
+    return x.groupBy("a_id").agg(F.count("*").alias("n"), F.max("cosine").alias("most"), F.round(F.sum("cosine"), 3).alias("total"))
 
 
 @query("polygon_areas", """ SELECT event_id,
@@ -129,7 +134,7 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AN.cluster_sizes(views.boxes(spark, sf_dir), 5).select("cluster", F.round("width", 6).alias("width"), F.round("height", 6).alias("height"))
 
 
-@query("split_share", " SELECT DISTINCT image_id, ((1 * 31 + image_id) % 1000003 * 7919 + 104729) % 1000003 / CAST(1000003 AS DOUBLE) < 0.3 AS labelled FROM box")
+@query("split_share", f" SELECT DISTINCT image_id, {draw_sql(1, 'image_id')} < 0.3 AS labelled FROM box")
 def split_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CV.split_share(views.boxes(spark, sf_dir).select("image_id").distinct(), 30, fold=1)
 

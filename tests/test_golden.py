@@ -221,3 +221,40 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert got == {(r.det_id, r.track_id) for r in tracking.track(det).collect()}
+
+
+def test_reid_equals_loops(spark):
+    rng = np.random.default_rng(6)
+    f = rng.integers(0, 4, (60, 3)).astype(float)  # many equal distances
+    labels = rng.integers(0, 5, 60)
+    x = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(f, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    aps, firsts = [], []
+    for q in range(60):
+        d = ((f - f[q]) ** 2).sum(1)
+        order = sorted((i for i in range(60) if i != q), key=lambda i: (d[i], labels[i] != labels[q], i))
+        hits = [k + 1 for k, i in enumerate(order) if labels[i] == labels[q]]
+        aps.append(np.mean([(k + 1) / h for k, h in enumerate(hits)]))
+        firsts.append(hits[0])
+    for block in (4, 1000):
+        r = metrics.reid(x, block=block).first()
+        assert (r.map, r.r1, r.r5) == pytest.approx((np.mean(aps), np.mean(np.array(firsts) <= 1), np.mean(np.array(firsts) <= 5)), abs=6e-4)
+
+
+def test_draws_differ_for_many_keys(spark):
+    from tessera.operators import sampling
+
+    d = spark.range(3_000_000).select(sampling.draw(1, "id").alias("u"))
+    r = d.agg(F.count_distinct("u").alias("n"), F.avg("u").alias("m"), F.stddev("u").alias("s"), F.min("u").alias("a"), F.max("u").alias("b")).first()
+    assert r.n > 2_990_000 and abs(r.m - 0.5) < 0.002 and abs(r.s - 12**-0.5) < 0.002 and 0 <= r.a < r.b < 1
+
+
+def test_numbers_go_on_over_shards(spark):
+    from tessera.operators import sampling
+
+    rows = [(i * 37 % 101, i % 3, i % 7) for i in range(101)]
+    x = spark.createDataFrame(rows, "k long, g long, t long")
+    got = {(r.k, r.g): r.n for r in sampling.numbered(x, ["k"], "n", ["g"], shards=8).collect()}
+    for g in range(3):
+        assert [got[k, g] for k in sorted(k for k, h, _ in rows if h == g)] == list(range(sum(h == g for _, h, _ in rows)))
+    tied = [r.n for r in sampling.numbered(x, ["t", "k"], "n", shards=50).orderBy("t", "k").collect()]
+    assert tied == list(range(101)) and sampling.numbered(x.limit(0), ["k"], "n").count() == 0

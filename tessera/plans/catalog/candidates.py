@@ -35,6 +35,14 @@ def point_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PR.point_grid(spark, 4, 6, 8, 0.5).select("point_id", "x", "y")
 
 
+_MAX_IOU = X + """, z AS (SELECT * FROM x WHERE ignored = 0),
+b AS (SELECT prior_id, arg_max(gt_id, (iou, -gt_id)) AS best, max(iou) AS m FROM z GROUP BY prior_id),
+c AS (SELECT prior_id, max(gt_id) AS claim FROM (SELECT *, max(iou) OVER (PARTITION BY gt_id) AS mx FROM z) WHERE iou = mx AND mx >= 0.3 GROUP BY prior_id),
+a AS (SELECT d.det_id AS prior_id, d.image_id, CASE WHEN claim IS NOT NULL THEN claim WHEN m >= 0.6 THEN best END AS gt_id, CASE WHEN claim IS NOT NULL THEN 1 WHEN m >= 0.6 THEN 1 WHEN coalesce(m, 0) < 0.4 THEN 0 ELSE -1 END AS state
+  FROM det d LEFT JOIN b ON b.prior_id = d.det_id LEFT JOIN c ON c.prior_id = d.det_id)"""
+_DRAWN = S.draw_sql(0, "image_id", "prior_id")
+
+
 @query("assign_max_iou", X + """, z AS (SELECT * FROM x WHERE ignored = 0),
 b AS (SELECT prior_id, arg_max(gt_id, (iou, -gt_id)) AS best, max(iou) AS m FROM z GROUP BY prior_id),
 c AS (SELECT prior_id, max(gt_id) AS claim FROM (SELECT *, max(iou) OVER (PARTITION BY gt_id) AS mx FROM z) WHERE iou = mx AND mx >= 0.3 GROUP BY prior_id),
@@ -109,29 +117,37 @@ def sample_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.per_source(views.boxes(spark, sf_dir).select("event_id", "label"), {0: -1, 1: 50, 2: 10}, "label", "event_id", seed=3)
 
 
-@query("sample_with_replacement")
+@query("sample_with_replacement", f""", w AS (SELECT event_id, sum(score) OVER (ORDER BY event_id % 256, event_id) AS hi, score, sum(score) OVER () AS total FROM box), d AS (SELECT {S.draw_sql(0, 'i')} AS u FROM range(2000) t(i))
+SELECT event_id, count(*) AS n FROM d JOIN w ON u >= (hi - score) / total AND u < hi / total GROUP BY event_id""")
 def sample_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = views.boxes(spark, sf_dir)
     return S.with_replacement(b, F.col("score"), 2000, "event_id").groupBy("event_id").agg(F.count("*").alias("n"))
 
 
-@query("sample_class_aware")
+@query("sample_class_aware", f""", p AS (SELECT DISTINCT label, image_id FROM gt), x AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {S.draw_sql(0, 'image_id', 'label')}, image_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM p),
+c AS (SELECT label, row_number() OVER (ORDER BY {S.draw_sql(0, 'label')}, label) - 1 AS c, count(*) OVER () AS k FROM (SELECT DISTINCT label FROM gt))
+SELECT d AS draw, x.label, image_id FROM range(1000) t(d) JOIN c ON d % k = c.c JOIN x ON x.label = c.label AND (d // k) % x.n = x.i""")
 def sample_class_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.class_aware(views.ground_truth(spark, sf_dir), 1000)
 
 
-@query("reference_frames")
+@query("reference_frames", f"""WITH f AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_id FROM events),
+p AS (SELECT f.video_id, f.frame_id, r.frame_id AS ref_id FROM f JOIN f r ON r.video_id = f.video_id AND r.frame_id <> f.frame_id AND abs(r.frame_id - f.frame_id) <= 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_id ORDER BY {S.draw_sql(0, 'video_id', 'frame_id', 'ref_id')}, ref_id) AS k FROM p)
+SELECT video_id, frame_id, string_agg(ref_id, ',' ORDER BY ref_id) AS refs FROM k WHERE k <= 2 GROUP BY ALL""", with_views=False)
 def reference_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.reference_frames(views.frames(spark, sf_dir), 5, 2)
+    return S.reference_frames(views.frames(spark, sf_dir), 5, 2).withColumn("refs", F.array_join(F.col("refs").cast("array<string>"), ","))
 
 
-@query("sample_candidates")
+@query("sample_candidates", _MAX_IOU + f""", r AS (SELECT *, row_number() OVER (PARTITION BY image_id, state ORDER BY {_DRAWN}, prior_id) AS r FROM a WHERE state >= 0), n AS (SELECT image_id, count(*) AS p FROM r WHERE state = 1 AND r <= 8 GROUP BY 1)
+SELECT prior_id, image_id, gt_id, state FROM r LEFT JOIN n USING (image_id) WHERE CASE WHEN state = 1 THEN r <= 8 ELSE r <= least(32 - coalesce(p, 0), 3 * greatest(coalesce(p, 0), 1)) END""")
 def sample_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, g = _sets(spark, sf_dir)
     return S.positives_and_negatives(A.max_iou(p, g, 0.6, 0.4, 0.3), 32, 0.25, 3).select("prior_id", "image_id", "gt_id", "state")
 
 
-@query("sample_balanced_instances")
+@query("sample_balanced_instances", _MAX_IOU + f""", i AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY {_DRAWN}, prior_id) AS i FROM a WHERE state = 1)
+SELECT prior_id, image_id, gt_id, state FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY i, {_DRAWN}, prior_id) AS r FROM i) WHERE r <= 8""")
 def sample_balanced_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, g = _sets(spark, sf_dir)
     return S.balanced_by_instance(A.max_iou(p, g, 0.6, 0.4, 0.3), 8)

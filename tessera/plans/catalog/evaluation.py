@@ -156,7 +156,9 @@ def segmentation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.segmentation_scores(j, ignore=5).select("label", *[F.round(c, 9).alias(c) for c in ("iou", "acc", "dice")])
 
 
-@query("reid")
+@query("reid", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), d AS (SELECT a.vec_id, a.label = b.label AS same, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), a.label <> b.label, b.vec_id) AS place FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+p AS (SELECT vec_id, place, row_number() OVER (PARTITION BY vec_id ORDER BY place) AS i FROM d WHERE same), q AS (SELECT vec_id, avg(i / place) AS ap, min(place) AS first FROM p GROUP BY 1)
+SELECT round(avg(ap), 3) AS map, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 3) AS r1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 3) AS r5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END), 3) AS r10 FROM q""", with_views=False)
 def reid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.reid(views.table(spark, sf_dir, "embeddings"))
 

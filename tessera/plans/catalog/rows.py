@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ...functions import text as TX
 from ...operators import transforms as R
 from ...sources import annotations as N
-from .. import views
 from ...operators.sampling import draw_sql
+from .. import views
 from .registry import query
 
 _IMG = """, img AS (SELECT DISTINCT image_id, 300 + image_id % 41 AS width, 220 + image_id % 37 AS height FROM box),
@@ -72,22 +72,33 @@ def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.crop(views.boxes(spark, sf_dir), 50, 30, 150, 120).select("event_id", "x1", "y1", "x2", "y2")
 
 
-@query("random_shift")
+@query("random_shift", _IMG + f""", m AS (SELECT *, floor({draw_sql(2, 'image_id')} * 65) - 32 AS dx, floor({draw_sql(3, 'image_id')} * 65) - 32 AS dy, {draw_sql(4, 'image_id')} < 0.5 AS go FROM b),
+c AS (SELECT *, least(greatest(x1 + dx, 0), width) AS a1, least(greatest(y1 + dy, 0), height) AS b1, least(greatest(x2 + dx, 0), width) AS a2, least(greatest(y2 + dy, 0), height) AS b2 FROM m),
+o AS (SELECT *, a2 - a1 > 1 AND b2 - b1 > 1 AS ok FROM c), n AS (SELECT *, go AND bool_or(ok) OVER (PARTITION BY image_id) AS moved FROM o)
+SELECT event_id, CASE WHEN moved THEN a1 ELSE x1 END AS x1, CASE WHEN moved THEN b1 ELSE y1 END AS y1, CASE WHEN moved THEN a2 ELSE x2 END AS x2, CASE WHEN moved THEN b2 ELSE y2 END AS y2 FROM n WHERE NOT moved OR ok""")
 def random_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.shift(_boxes(spark, sf_dir), seed=2).select("event_id", "x1", "y1", "x2", "y2")
 
 
-@query("expand")
+@query("expand", _IMG + f""", w AS (SELECT *, CAST(floor(width * 2.5) AS BIGINT) AS w, CAST(floor(height * 2.5) AS BIGINT) AS h FROM b)
+SELECT event_id, x1 + floor({draw_sql(1, 'image_id')} * (w - width + 1)) AS x1, y1 + floor({draw_sql(2, 'image_id')} * (h - height + 1)) AS y1, w AS width, h AS height FROM w""")
 def expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.expand(_boxes(spark, sf_dir), 2.5, seed=1).select("event_id", "x1", "y1", "width", "height")
 
 
-@query("mosaic")
+_NUMBERED = _IMG + ", num AS (SELECT *, row_number() OVER (ORDER BY image_id % 256, image_id) - 1 AS i, count(*) OVER () AS total FROM img)"
+
+
+@query("mosaic", _NUMBERED + f""", f AS (SELECT image_id, 0 AS place, image_id AS partner, width AS w, height AS h FROM num UNION ALL SELECT a.image_id, place, o.image_id, o.width, o.height FROM (SELECT *, floor({draw_sql(0, 'image_id', 'place')} * total) AS at FROM num, range(1, 4) t(place)) a JOIN num o ON o.i = a.at),
+s AS (SELECT *, least(640.0::DOUBLE / h, 640.0::DOUBLE / w) AS s FROM f), q AS (SELECT image_id, partner, s, CASE WHEN place % 2 = 0 THEN 640 - CAST(floor(w * s) AS BIGINT) ELSE 640 END AS x, CASE WHEN place < 2 THEN 640 - CAST(floor(h * s) AS BIGINT) ELSE 640 END AS y FROM s),
+m AS (SELECT q.image_id, least(greatest(x1 * s + x, 0), 1280) AS x1, least(greatest(y1 * s + y, 0), 1280) AS y1, least(greatest(x2 * s + x, 0), 1280) AS x2, least(greatest(y2 * s + y, 0), 1280) AS y2 FROM q JOIN box ON box.image_id = q.partner)
+SELECT image_id, count(*) AS n, round(sum(x1), 3) AS x1 FROM m WHERE x2 > x1 AND y2 > y1 GROUP BY image_id""")
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mosaic(views.boxes(spark, sf_dir), _images(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("x1"), 3).alias("x1"))
 
 
-@query("mixup")
+@query("mixup", _NUMBERED + f""", c AS (SELECT image_id, count(*) AS n FROM box GROUP BY 1), a AS (SELECT image_id, floor({draw_sql(0, 'image_id', '1')} * total) AS at FROM num)
+SELECT a.image_id, c.n + p.n AS n, p.n AS mixed FROM a JOIN num o ON o.i = a.at JOIN c ON c.image_id = a.image_id JOIN c p ON p.image_id = o.image_id""")
 def mixup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mixup(views.boxes(spark, sf_dir), _images(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("mixed").alias("mixed"))
 

@@ -76,3 +76,30 @@ def encode_distance(x: Column, y: Column, box: Box, most: float | None = None, e
 
 def decode_distance(x: Column, y: Column, code: list[Column], size: tuple | None = None) -> Box:
     return Box.from_distances(x, y, *code, size=size)
+
+
+def _bucket_edges(prior: Box, buckets: int, scale: float) -> tuple[Box, Column, Column]:
+    """The prior stretched by ``scale``, and its bucket width and height."""
+    (cx, cy), w, h = prior.center, prior.width * scale, prior.height * scale
+    return Box(cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2), w / buckets, h / buckets
+
+
+def encode_buckets(prior: Box, box: Box, buckets: int = 14, scale: float = 3.0) -> dict[str, Column]:
+    """For each side of a box: the bucket of the stretched prior that it is nearest to, counted from its own side, and
+    the offset from that bucket's centre in buckets. ``l``, ``r``, ``t``, ``d`` and ``l_offset`` ... ``d_offset``."""
+    p, bw, bh = _bucket_edges(prior, buckets, scale)
+    half = -(-buckets // 2)
+    out = {}
+    for name, edge, side, step, sign in (("l", p.x1, box.x1, bw, 1), ("r", p.x2, box.x2, bw, -1), ("t", p.y1, box.y1, bh, 1), ("d", p.y2, box.y2, bh, -1)):
+        place = sign * (side - edge) / step - 0.5
+        k = F.least(F.greatest(F.ceil(place - 0.5), F.lit(0)), F.lit(half - 1)).cast("int")  # of two equally near ones the first
+        out[name], out[f"{name}_offset"] = k, place - k
+    return out
+
+
+def decode_buckets(prior: Box, code: dict[str, Column], buckets: int = 14, scale: float = 3.0, size: tuple | None = None) -> Box:
+    """Inverse of ``encode_buckets``; ``size`` (height, width) clips."""
+    p, bw, bh = _bucket_edges(prior, buckets, scale)
+    at = lambda n, edge, step, sign: edge + sign * (code[n] + 0.5 + code[f"{n}_offset"]) * step
+    out = Box(at("l", p.x1, bw, 1), at("t", p.y1, bh, 1), at("r", p.x2, bw, -1), at("d", p.y2, bh, -1))
+    return out.clip(size[1], size[0]) if size else out

@@ -135,6 +135,26 @@ def center_region(priors: DataFrame, gt: DataFrame, positive_scale: float = 0.2,
     return _states(priors, hit, grey)
 
 
+def grid(priors: DataFrame, gt: DataFrame, positive: float = 0.5, negative: float = 0.4, least: float = 0.0, all_best: bool = True) -> DataFrame:
+    """Only priors that are ``responsible`` (boolean; the cell of a ground truth's centre) become positive: by IoU over
+    ``positive``, or as the best responsible ones of a ground truth over ``least``. Background is what overlaps nothing
+    by more than ``negative``; the rest is ignored."""
+    g = gt.where("ignored = 0") if "ignored" in gt.columns else gt
+    x = crossed(priors, g)
+    most = x.groupBy("prior_id").agg(F.max("iou").alias("_most"))
+    own = x.where("responsible")
+    best = _one(own, F.desc("iou"), F.col("gt_id")).where(F.col("iou") > positive).select("prior_id", F.col("gt_id").alias("best"))
+    w = Window.partitionBy("gt_id")
+    claims = own.withColumn("_top", F.max("iou").over(w)).where((F.col("_top") > least) & (F.col("iou") == F.col("_top")))
+    if not all_best:
+        claims = claims.withColumn("_k", F.row_number().over(w.orderBy("prior_id"))).where("_k = 1")
+    claims = claims.groupBy("prior_id").agg(F.max("gt_id").alias("claim"))
+    out = priors.select("prior_id", "image_id").join(most, "prior_id", "left").join(best, "prior_id", "left").join(claims, "prior_id", "left")
+    gt_id = F.coalesce("claim", "best")
+    state = F.when(gt_id.isNotNull(), 1).when(F.coalesce("_most", F.lit(0.0)) <= negative, 0).otherwise(-1)
+    return out.select("prior_id", "image_id", gt_id.alias("gt_id"), state.alias("state"))
+
+
 def nearest_points(points: DataFrame, gt: DataFrame, scale: float = 4.0, count: int = 3) -> DataFrame:
     """Points (prior_id, image_id, level, x, y): each ground truth takes the nearest ``count`` of its level, in units of its
     size; a point keeps its nearest ground truth. Level: whole part of the mean log2 of width and height over ``scale``."""

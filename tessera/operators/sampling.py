@@ -15,13 +15,18 @@ PRIME = 2**31 - 1
 
 
 def draw(seed: int, *keys: str) -> Column:
+    """``draw_of`` columns by name."""
+    return draw_of(seed, *[F.col(k) for k in keys])
+
+
+def draw_of(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) from keys, by arithmetic that SQL engines share (``draw_sql``): no engine's own hash.
 
     The square between the two linear steps keeps equal steps of a key from giving equal steps of the draw.
     """
     x = F.lit(seed).cast("long")
     for k in keys:
-        x = (x * 31 + F.col(k) % PRIME) % PRIME
+        x = (x * 31 + k % PRIME) % PRIME
     y = (x * 48_271 + 104_729) % PRIME
     z = (y * y % PRIME + x) % PRIME
     return (z * 69_621 + 7_919) % PRIME / float(PRIME)
@@ -33,7 +38,7 @@ def draw_sql(seed: int, *keys: str) -> str:
     for k in keys:
         x = f"(({x}) * CAST(31 AS BIGINT) + {k} % {PRIME}) % {PRIME}"
     y = f"(({x}) * 48271 + 104729) % {PRIME}"
-    return f"(((({y}) * ({y})) % {PRIME} + {x}) % {PRIME} * 69621 + 7919) % {PRIME} / CAST({PRIME} AS DOUBLE)"
+    return f"((((({y}) * ({y})) % {PRIME} + {x}) % {PRIME} * 69621 + 7919) % {PRIME} / CAST({PRIME} AS DOUBLE))"
 
 
 def numbered(rows: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = (), shards: int = 256) -> DataFrame:

@@ -3,11 +3,13 @@ beside them; random decisions are draws from hashes of ids, so the same seed giv
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.boxes import Box
+from ..functions.boxes import Box, iou
 from .sampling import draw
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -95,6 +97,45 @@ def expand(boxes: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     return _with(x, Box.named().translate(F.col("_l"), F.col("_t"))).withColumn("width", w).withColumn("height", h).drop("_l", "_t")
 
 
+def pad(boxes: DataFrame, size: tuple[int, int] | None = None, divisor: int = 1, square: bool = False) -> DataFrame:
+    """Canvases of at least ``size`` (width, height), or square ones, and multiples of ``divisor``; boxes stay."""
+    w, h = F.col("width"), F.col("height")
+    if square:
+        w = h = F.greatest(w, h)
+    if size is not None:
+        w, h = F.greatest(w, F.lit(size[0])), F.greatest(h, F.lit(size[1]))
+    up = lambda v: (F.ceil(v / divisor) * divisor).cast("int")
+    return boxes.withColumns({"width": up(w), "height": up(h)})
+
+
+def iou_crop(boxes: DataFrame, least: Sequence[float] = (0.1, 0.3, 0.5, 0.7, 0.9), smallest: float = 0.3, tries: int = 50, seed: int = 0) -> DataFrame:
+    """Images cropped to a drawn patch that overlaps every box by at least a drawn IoU, and holds some box's centre.
+
+    Each image draws one of: no crop, one of ``least``, no bound. Of its ``tries`` drawn patches (sides of at least
+    ``smallest`` of the image, sides' ratio within 2) the first that fits is taken; without any the image stays. Boxes
+    whose centre lies outside the patch go, the others are clipped.
+    """
+    images = boxes.groupBy("image_id").agg(F.max("width").alias("_w"), F.max("height").alias("_h"))
+    bounds = [F.lit(2.0), *[F.lit(float(v)) for v in least], F.lit(0.0)]  # 2: no crop
+    x = images.withColumn("_least", F.get(F.array(*bounds), F.floor(draw(seed, "image_id") * len(bounds)).cast("int"))).where("_least <= 1")
+    x = x.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    side = lambda k, full: full * (smallest + (1 - smallest) * draw(seed + k, "image_id", "try"))
+    x = x.withColumn("_nw", side(1, F.col("_w"))).withColumn("_nh", side(2, F.col("_h"))).where((F.col("_nh") / F.col("_nw") >= 0.5) & (F.col("_nh") / F.col("_nw") <= 2))
+    x = x.withColumn("_l", draw(seed + 3, "image_id", "try") * (F.col("_w") - F.col("_nw"))).withColumn("_t", draw(seed + 4, "image_id", "try") * (F.col("_h") - F.col("_nh")))
+    corners = (F.floor("_l"), F.floor("_t"), F.floor(F.col("_l") + F.col("_nw")), F.floor(F.col("_t") + F.col("_nh")))
+    x = x.select("image_id", "try", "_least", *[c.cast("double").alias(f"_p{n}") for c, n in zip(corners, CORNERS, strict=True)])
+    b, p = Box.named(), Box.named("_p")
+    cx, cy = b.center
+    inside = (cx > p.x1) & (cy > p.y1) & (cx < p.x2) & (cy < p.y2)
+    tested = x.join(boxes, "image_id").groupBy("image_id", "try", *[f"_p{n}" for n in CORNERS]).agg(F.min(iou(p, b)).alias("_min"), F.max(inside).alias("_some"), F.max("_least").alias("_least"))
+    chosen = tested.where((F.col("_min") >= F.col("_least")) & F.col("_some")).groupBy("image_id").agg(F.min(F.struct("try", *[f"_p{n}" for n in CORNERS])).alias("_c")).select("image_id", "_c.*").drop("try")
+    y = boxes.join(chosen, "image_id", "left").where(F.col("_px1").isNull() | inside)
+    cut, go = b.translate(-p.x1, -p.y1).clip(p.width, p.height), F.col("_px1").isNotNull()
+    keep = [c for c in boxes.columns if c not in (*CORNERS, "width", "height")]
+    sizes = [F.when(go, n.cast("int")).otherwise(F.col(c)).alias(c) for c, n in (("width", p.width), ("height", p.height))]
+    return y.select(*keep, *[F.when(go, n).otherwise(F.col(c)).alias(c) for c, n in zip(CORNERS, cut.corners, strict=True)], *sizes)
+
+
 def partners(images: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """image_id, place (1 to ``count``), partner: drawn images, the same for the same seed. Images are numbered densely."""
     shard = F.pmod("image_id", F.lit(256))

@@ -62,6 +62,16 @@ def assign_atss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.atss(*_sets(spark, sf_dir))
 
 
+@query("assign_grid", X + """, r AS (SELECT *, prior_id % 3 > 0 AS ok FROM x WHERE ignored = 0), m AS (SELECT prior_id, max(iou) AS most FROM r GROUP BY 1),
+b AS (SELECT prior_id, arg_max(gt_id, (iou, -gt_id)) AS best, max(iou) AS mx FROM r WHERE ok GROUP BY prior_id),
+c AS (SELECT prior_id, max(gt_id) AS claim FROM (SELECT *, max(iou) OVER (PARTITION BY gt_id) AS top FROM r WHERE ok) WHERE iou = top AND top > 0.2 GROUP BY prior_id)
+SELECT d.det_id AS prior_id, d.image_id, coalesce(claim, CASE WHEN mx > 0.6 THEN best END) AS gt_id, CASE WHEN claim IS NOT NULL OR mx > 0.6 THEN 1 WHEN coalesce(most, 0) <= 0.4 THEN 0 ELSE -1 END AS state
+FROM det d LEFT JOIN m ON m.prior_id = d.det_id LEFT JOIN b ON b.prior_id = d.det_id LEFT JOIN c ON c.prior_id = d.det_id""")
+def assign_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, g = _sets(spark, sf_dir)
+    return A.grid(p.withColumn("responsible", F.col("prior_id") % 3 > 0), g, 0.6, 0.4, 0.2)
+
+
 @query("assign_sim_ota", X + f""", c AS (SELECT *, {_INSIDE} > 0 AS ib, abs(px - gx) < 80 AND abs(py - gy) < 80 AS ic FROM x),
 q AS (SELECT *, round(-ln(least(greatest(CASE WHEN label = gl THEN score ELSE 1 - score END, 0.000001), 0.999999)) - ln(iou + 0.0000001) * 3 + CASE WHEN ib AND ic THEN 0 ELSE 100000000 END, 9) AS cost FROM c WHERE ib OR ic),
 k AS (SELECT gt_id, greatest(floor(round(sum(iou), 9)), 1) AS k FROM (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY iou DESC, prior_id) AS r FROM q) WHERE r <= 10 GROUP BY gt_id),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import text as TX
 from ...operators import transforms as R
 from ...sources import annotations as N
+from ...operators import prepare as PP
 from ...operators.sampling import draw_sql
 from .. import views
 from .registry import query
@@ -97,6 +98,43 @@ def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mosaic(views.boxes(spark, sf_dir), _images(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("x1"), 3).alias("x1"))
 
 
+@query("pad", _IMG + " SELECT event_id, x1, CAST(ceil(greatest(width, 310) / 32.0) * 32 AS INTEGER) AS width, CAST(ceil(greatest(height, 240) / 32.0) * 32 AS INTEGER) AS height FROM b")
+def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.pad(_boxes(spark, sf_dir), (310, 240), 32).select("event_id", "x1", "width", "height")
+
+
+_SIDE = "* (0.3 + 0.7 * {draw})"
+
+
+@query("iou_crop", _IMG + f""", s AS (SELECT *, [2, 0.1, 0.3, 0.5, 0.7, 0.9, 0][CAST(floor({draw_sql(3, 'image_id')} * 7) AS BIGINT) + 1] AS least FROM img), t AS (SELECT *, width {_SIDE.format(draw=draw_sql(4, 'image_id', 'k'))} AS nw, height {_SIDE.format(draw=draw_sql(5, 'image_id', 'k'))} AS nh FROM s, range(1, 51) r(k) WHERE least <= 1),
+o AS (SELECT *, {draw_sql(6, 'image_id', 'k')} * (width - nw) AS l, {draw_sql(7, 'image_id', 'k')} * (height - nh) AS t FROM t WHERE nh / nw BETWEEN 0.5 AND 2), p AS (SELECT image_id, k, least, floor(l) AS a1, floor(t) AS b1, floor(l + nw) AS a2, floor(t + nh) AS b2 FROM o),
+j AS (SELECT p.*, (x1 + x2) / 2 > a1 AND (y1 + y2) / 2 > b1 AND (x1 + x2) / 2 < a2 AND (y1 + y2) / 2 < b2 AS inside, greatest(least(a2, x2) - greatest(a1, x1), 0) * greatest(least(b2, y2) - greatest(b1, y1), 0) AS i, (a2 - a1) * (b2 - b1) + (x2 - x1) * (y2 - y1) AS u FROM p JOIN box USING (image_id)),
+g AS (SELECT image_id, k, a1, b1, a2, b2 FROM j GROUP BY ALL HAVING min(i / greatest(u - i, 0.000001)) >= max(least) AND bool_or(inside)), c AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY k) = 1),
+y AS (SELECT b.*, a1, b1, a2, b2 FROM b LEFT JOIN c USING (image_id) WHERE a1 IS NULL OR ((x1 + x2) / 2 > a1 AND (y1 + y2) / 2 > b1 AND (x1 + x2) / 2 < a2 AND (y1 + y2) / 2 < b2))
+SELECT event_id, CASE WHEN a1 IS NULL THEN x1 ELSE greatest(x1 - a1, 0) END AS x1, CASE WHEN a1 IS NULL THEN y2 ELSE least(y2 - b1, b2 - b1) END AS y2, CAST(coalesce(a2 - a1, width) AS INTEGER) AS width, CAST(coalesce(b2 - b1, height) AS INTEGER) AS height FROM y""")
+def iou_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.iou_crop(_boxes(spark, sf_dir), seed=3).select("event_id", "x1", "y2", "width", "height")
+
+
+@query("caption_labels", f""", c AS (SELECT i AS label, 'class ' || i AS name, i + 2 AS tokens FROM range(9) t(i)), own AS (SELECT DISTINCT image_id, label FROM box WHERE (image_id + label) % 3 > 0), im AS (SELECT DISTINCT image_id, CASE WHEN {draw_sql(5, 'image_id')} < 0.5 THEN 6 ELSE floor({draw_sql(6, 'image_id')} * 6) + 1 END AS n FROM own),
+x AS (SELECT im.*, c.*, EXISTS (SELECT 1 FROM own WHERE own.image_id = im.image_id AND own.label = c.label) AS has, {draw_sql(7, 'image_id', 'label')} AS u, row_number() OVER (PARTITION BY image_id ORDER BY {draw_sql(8, 'image_id', 'label')}, label) AS r FROM im, c),
+p AS (SELECT *, sum(tokens) OVER (PARTITION BY image_id ORDER BY u, label) AS used FROM x WHERE has), l AS (SELECT image_id, coalesce(min(used) FILTER (used > 12), max(used)) AS used FROM p GROUP BY 1),
+n AS (SELECT *, sum(tokens) OVER (PARTITION BY image_id ORDER BY r) AS used FROM x WHERE NOT has AND r <= n), a AS (SELECT image_id, 0 AS part, row_number() OVER (PARTITION BY image_id ORDER BY u, label) AS k, name FROM p WHERE used <= 12 UNION ALL SELECT n.image_id, 1, r, name FROM n JOIN l USING (image_id) WHERE n.used < 12 - l.used)
+SELECT im.image_id, coalesce((SELECT string_agg(name, '. ' ORDER BY part, k) FROM a WHERE a.image_id = im.image_id), '') || '.' AS caption FROM im""")
+def caption_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = spark.range(9).select(F.col("id").alias("label"), F.concat(F.lit("class "), F.col("id")).alias("name"), (F.col("id") + 2).alias("tokens"))
+    b = views.boxes(spark, sf_dir).where("(image_id + label) % 3 > 0")  # so images lack some classes
+    return PP.caption_labels(b, classes, 12, 6, 0.5, seed=5).select("image_id", "caption")
+
+
+@query("packed_inputs", """, i AS (SELECT DISTINCT image_id FROM box)
+SELECT image_id, coalesce(string_agg(label, ',' ORDER BY gt_id) FILTER (ignored = 0), '') AS gt, count(*) FILTER (ignored = 1) AS n_ignored, CAST(300 + image_id % 41 AS BIGINT) AS width FROM i LEFT JOIN gt USING (image_id) GROUP BY image_id""")
+def packed_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = PP.packed(_images(spark, sf_dir), views.ground_truth(spark, sf_dir))
+    labels = F.transform("gt_instances", lambda v: v["label"].cast("string"))
+    return x.select("image_id", F.array_join(labels, ",").alias("gt"), F.size("ignored_instances").cast("long").alias("n_ignored"), F.col("metainfo.width").cast("long").alias("width"))
+
+
 @query("mixup", _NUMBERED + f""", c AS (SELECT image_id, count(*) AS n FROM box GROUP BY 1), a AS (SELECT image_id, floor({draw_sql(0, 'image_id', '1')} * total) AS at FROM num)
 SELECT a.image_id, c.n + p.n AS n, p.n AS mixed FROM a JOIN num o ON o.i = a.at JOIN c ON c.image_id = a.image_id JOIN c p ON p.image_id = o.image_id""")
 def mixup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,3 +258,55 @@ def test_numbers_go_on_over_shards(spark):
         assert [got[k, g] for k in sorted(k for k, h, _ in rows if h == g)] == list(range(sum(h == g for _, h, _ in rows)))
     tied = [r.n for r in sampling.numbered(x, ["t", "k"], "n", shards=50).orderBy("t", "k").collect()]
     assert tied == list(range(101)) and sampling.numbered(x.limit(0), ["k"], "n").count() == 0
+
+
+def test_triplets(spark):
+    from tessera.operators import prepare
+
+    rows = [(c, c % 6) for c in range(40)]
+    x = spark.createDataFrame(rows, "crop_id long, person_id long")
+    got = prepare.triplets(x, ids=4, per_id=3).collect()
+    assert len(got) == 40 * 12
+    for a in range(40):
+        own = sorted((r.place, r.person, r.crop) for r in got if r.anchor == a)
+        assert [p for p, _, _ in own] == list(range(12)) and all(c % 6 == p for _, p, c in own)
+        people = [{p for k, p, _ in own if k // 3 == i} for i in range(4)]
+        assert people[0] == {a % 6} and all(len(p) == 1 for p in people) and len(set().union(*people)) == 4
+    with pytest.raises(ValueError):
+        prepare.triplets(x, ids=7)
+
+
+def test_nested_inputs_and_clips(spark):
+    from tessera.operators import prepare
+
+    images = spark.createDataFrame([(1, 10, 20), (2, 30, 40)], "image_id long, width int, height int")
+    boxes = spark.createDataFrame([(7, 1, 3, 0, 0.0, 0.0, 1.0, 1.0), (6, 1, 4, 1, 0.0, 0.0, 2.0, 2.0)], "gt_id long, image_id long, label long, ignored int, x1 double, y1 double, x2 double, y2 double")
+    r = {x.image_id: x for x in prepare.instances(images, boxes).collect()}
+    assert (r[1].labels, r[1].ignore_flags, r[1].bboxes[0]) == ([4, 3], [True, False], [0.0, 0.0, 2.0, 2.0]) and r[2].bboxes == []
+    p = {x.image_id: x for x in prepare.packed(images, boxes).collect()}
+    assert [v.label for v in p[1].gt_instances] == [3] and [v.label for v in p[1].ignored_instances] == [4] and p[2].metainfo.width == 30
+    frames = spark.createDataFrame([(0, f) for f in range(7)], "video_id long, frame_id long")
+    assert sorted(x.frames for x in prepare.clips(frames, count=2, stride=2).collect()) == [[0, 2], [1, 3], [4, 6], [5]]
+    assert [x.frames for x in prepare.clips(frames).collect()] == [list(range(7))]
+    refs = spark.createDataFrame([(0, 3, [5, 1])], "video_id long, frame_id long, refs array<long>")
+    assert prepare.clips(frames, refs).first().frames == [1, 3, 5]
+    b = prepare.branches(images, {"all": F.lit(True), "big": F.col("width") > 20})
+    assert sorted((x.image_id, x.branch) for x in b.collect()) == [(1, "all"), (2, "all"), (2, "big")]
+
+
+def test_bucket_coder_round_trip(spark):
+    from tessera.functions import coders
+
+    rng = np.random.default_rng(2)
+    p = rng.uniform(0, 100, (50, 2))
+    rows = [tuple(map(float, (x, y, x + 40, y + 30, x + 40 * a, y + 30 * b, x + 40 * c, y + 30 * d))) for (x, y), (a, b, c, d) in zip(p, rng.uniform([-0.8, -0.8, 0.6, 0.6], [0.4, 0.4, 1.8, 1.8], (50, 4)), strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n}{c} double" for n in "pb" for c in ("x1", "y1", "x2", "y2")))
+    prior, box = B.Box.named("p"), B.Box.named("b")
+    code = coders.encode_buckets(prior, box)
+    back = coders.decode_buckets(prior, code)
+    for r in df.select("*", *back.columns("d"), *[v.alias(k) for k, v in code.items()]).collect():
+        assert [r.dx1, r.dy1, r.dx2, r.dy2] == pytest.approx([r.bx1, r.by1, r.bx2, r.by2])
+        assert all(0 <= r[k] < 7 for k in "lrtd") and all(abs(r[f"{k}_offset"]) <= 0.5 + 1e-9 for k in "lrtd")
+        edge, step = r.px1 - 40, 120 / 14  # the left side's nearest bucket centre among the left half
+        centres = edge + (np.arange(7) + 0.5) * step
+        assert abs(centres[r.l] - r.bx1) == pytest.approx(np.abs(centres - r.bx1).min())

@@ -214,7 +214,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for i, (lo, hi) in enumerate(((0, 4), (4, 8))):
         det.where(f"frame_id >= {lo} and frame_id < {hi}").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    q = track_stream(stream).writeStream.format("memory").queryName("tracks").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = track_stream(stream, idle=None).writeStream.format("memory").queryName("tracks").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         q.processAllAvailable()
         got = {(r.det_id, r.track_id) for r in spark.sql("SELECT det_id, track_id FROM tracks").collect()}
@@ -310,3 +310,25 @@ def test_bucket_coder_round_trip(spark):
         edge, step = r.px1 - 40, 120 / 14  # the left side's nearest bucket centre among the left half
         centres = edge + (np.arange(7) + 0.5) * step
         assert abs(centres[r.l] - r.bx1) == pytest.approx(np.abs(centres - r.bx1).min())
+
+
+def test_state_of_ended_videos_is_removed(spark, tmp_path):
+    import time
+
+    from tessera.streaming.tracks import track_stream
+
+    schema = "video_id long, frame_id long, det_id long, label long, score double, x1 double, y1 double, x2 double, y2 double"
+    row = lambda v, f: (v, f, v * 100 + f, 0, 0.9, 0.0, 0.0, 10.0, 10.0)
+    folder = tmp_path / "in"
+    spark.createDataFrame([row(1, 0)], schema).coalesce(1).write.parquet(str(folder / "a"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(folder))
+    q = track_stream(stream, idle=1).writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        rows, end = None, time.time() + 60
+        while rows != 0 and time.time() < end:  # batches without data go on, and remove the state
+            time.sleep(0.5)
+            done = [p for p in q.recentProgress if p["stateOperators"]]
+            rows = done[-1]["stateOperators"][0]["numRowsTotal"] if len(done) > 1 else None
+        assert rows == 0 and spark.sql("SELECT * FROM ended").count() == 1
+    finally:
+        q.stop()

@@ -140,7 +140,7 @@ class _Descent:
         return self._state().drop("_y").withColumnRenamed("_r", "rate")
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], thin: str | None = None, steps: int = 150, tolerance: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
+def fit_rates(members: DataFrame, weights: dict[str, float], thin: str | None = None, steps: int = 300, tolerance: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
     """(``members`` with ``rate``, targets). The targets share out all tokens by ``weights``.
 
     With ``thin``, the name of a domain, that domain is to keep its expected tokens and the others to come down to their
@@ -162,7 +162,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float], thin: str | None =
     # A step of 1 / the largest eigenvalue descends whatever the bounds. Targets that can be met are the same minimum in
     # every metric, so there the inverse of the Gram matrix makes the steps even in all domains.
     metric = np.eye(len(DOMAINS)) / np.linalg.eigvalsh(g)[-1] if thin is not None else np.linalg.inv(g + 1e-9 * np.trace(g) * np.eye(len(DOMAINS)))
-    return _Descent(members, targets, metric, None if thin is None else 1.0).run(mass, total, steps, tolerance, tolerance if thin is None else 100 * tolerance), targets
+    return _Descent(members, targets, metric, None if thin is None else 1.0).run(mass, total, steps, tolerance, tolerance if thin is None else 3 * tolerance), targets
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin: str | None = None, buckets: int = 1 << 15, sample: int = 20_000) -> DataFrame:

@@ -113,7 +113,7 @@ def _blocks(x: DataFrame, rows: int, name: str, by: Sequence[str] = ()) -> DataF
     key = F.struct(*by, "vec_id") if by else F.col("vec_id")
     n = x.groupBy(*by).agg(F.count("*").alias("_n"))
     parts = F.ceil(F.col("_n") / rows * 2).cast("long")  # hashed rows fill blocks unevenly
-    y = x.join(F.broadcast(n), list(by)) if by else x.withColumn("_n", n.select("_n").scalar())
+    y = x.join(n, list(by)) if by else x.withColumn("_n", n.select("_n").scalar())
     y = y.withColumn(f"{name}_block", F.pmod(F.xxhash64(key), parts)).groupBy(*by, f"{name}_block").agg(F.collect_list(F.struct("vec_id", "x")).alias("b"))
     return y.select(*by, f"{name}_block", F.transform("b", lambda v: v["vec_id"]).alias(f"{name}_ids"), F.transform("b", lambda v: v["x"]).alias(name))
 

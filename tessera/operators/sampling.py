@@ -58,7 +58,7 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str, by: Sequence[str]
     before = counts.select(*by, "_s", (F.sum("_c").over(Window.partitionBy(*by).orderBy("_s")) - F.col("_c")).alias("_b"))
     x = x.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*order)) - 1)
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_s")]
-    joined = x.alias("l").join(F.broadcast(before.alias("r")), reduce(Column.__and__, same))  # at most groups x shards rows
+    joined = x.alias("l").join(before.alias("r"), reduce(Column.__and__, same))
     return joined.select(*[F.col(f"l.{c}") for c in rows.columns], (F.col("r._b") + F.col("l._r")).alias(name))
 
 
@@ -123,8 +123,8 @@ def class_aware(labels: DataFrame, n: int, key: str = "image_id", label: str = "
     classes = classes.withColumn("_c", F.row_number().over(Window.orderBy(draw(seed, label), label)) - 1)  # a row for each class
     k = classes.agg(F.count("*")).scalar()
     d = labels.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_k", k)
-    d = d.select("draw", (F.col("draw") % F.col("_k")).cast("int").alias("_c"), F.floor(F.col("draw") / F.col("_k")).alias("_t")).join(F.broadcast(classes), "_c")
-    return d.join(F.broadcast(sizes), label).withColumn("_i", F.col("_t") % F.col("_n")).join(x.select(label, key, "_i"), [label, "_i"]).select("draw", label, key)
+    d = d.select("draw", (F.col("draw") % F.col("_k")).cast("int").alias("_c"), F.floor(F.col("draw") / F.col("_k")).alias("_t")).join(classes, "_c")
+    return d.join(sizes, label).withColumn("_i", F.col("_t") % F.col("_n")).join(x.select(label, key, "_i"), [label, "_i"]).select("draw", label, key)
 
 
 def reference_frames(frames: DataFrame, reach: int, count: int, seed: int = 0) -> DataFrame:

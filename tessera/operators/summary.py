@@ -100,7 +100,7 @@ def precisions(matched: DataFrame, counts: DataFrame) -> DataFrame:
     """label, area, t (index of the threshold), ap: mean of the precision envelope at recalls 0, 0.01, ..., 1."""
     x = matched.select("label", "area", "det_id", "score", F.posexplode(F.arrays_zip("tp", "fp")).alias("t", "m")).select("label", "area", "t", "det_id", "score", "m.tp", "m.fp")
     by = ["label", "area", "t"]
-    x = running(x.where("tp + fp > 0"), by).join(F.broadcast(counts), ["label", "area"])  # a row for each class and range
+    x = running(x.where("tp + fp > 0"), by).join(counts, ["label", "area"])
     rc, pr = F.col("cum_tp") / F.col("num_gts"), F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
     # recall i / 100 is reached if i * 0.01 <= recall, in floating point; the last is exactly 1
     c = F.floor(rc * 100).cast("int")
@@ -180,7 +180,7 @@ def lvis_summary(det: DataFrame, gt: DataFrame, images: DataFrame, frequency: Da
     lenient = images.select(F.col("image_id").alias("unit"), F.explode("not_exhaustive").alias("label")).distinct()
     lenient = lenient.join(d.select("unit", "label").distinct(), ["unit", "label"], "left_semi")
     counts = _counted(g, AREAS)
-    ap = precisions(evaluate(d, g, near, most=None, lenient=lenient), counts).join(F.broadcast(frequency), "label", "left")  # a row for each class
+    ap = precisions(evaluate(d, g, near, most=None, lenient=lenient), counts).join(frequency, "label", "left")  # a row for each class
     area, t = F.col("area"), F.col("t")
     which = {"ap": area == 0, "ap50": (area == 0) & (t == 0), "ap75": (area == 0) & (t == 5), "aps": area == 1, "apm": area == 2, "apl": area == 3}
     which |= {f"ap{f}": (area == 0) & (F.col("frequency") == f) for f in ("r", "c", "f")}

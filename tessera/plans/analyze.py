@@ -71,7 +71,7 @@ def error_steps(det: DataFrame, gt: DataFrame, groups: DataFrame) -> DataFrame:
     base = M.match_default(det, gt, 0.1)
     kin = groups.select("label", "family")
     near = M.pairs(det, gt, by_label=False).where("iou >= 0.1 and label <> gt_label").select("det_id", "label", "gt_label")
-    near = near.join(F.broadcast(kin), "label").join(F.broadcast(kin.withColumnsRenamed({"label": "gt_label", "family": "gt_family"})), "gt_label")
+    near = near.join(kin, "label").join(kin.withColumnsRenamed({"label": "gt_label", "family": "gt_family"}), "gt_label")
     seen = near.groupBy("det_id").agg(F.max((F.col("family") == F.col("gt_family")).cast("int")).alias("kin"), F.lit(1).alias("other"))
     x = base.join(seen, "det_id", "left")
     forgive = {"Sim": F.coalesce("kin", F.lit(0)) == 1, "Oth": F.coalesce("other", F.lit(0)) == 1, "BG": F.lit(True)}

@@ -22,7 +22,7 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.boxes(spark, sf_dir).join(F.broadcast(_images(spark, sf_dir)), "image_id")
+    return views.boxes(spark, sf_dir).join(_images(spark, sf_dir), "image_id")
 
 
 @query("clean_annotations", _IMG + """ SELECT event_id AS id, image_id, label, x1 - 60 AS x1, y1 - 40 AS y1, x2 - 60 AS x2, y2 - 40 AS y2, CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS ignored FROM b

@@ -15,7 +15,7 @@ from ..operators.sampling import draw, numbered
 def to_odvg(images: DataFrame, cleaned: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each image: file_name, height, width, detection.instances (bbox, label, category); crowds go."""
     box = F.array(*[F.round(c, 2) for c in Box.named().corners])
-    x = cleaned.where("ignored = 0").join(F.broadcast(labels.select("label", "name")), "label")
+    x = cleaned.where("ignored = 0").join(labels.select("label", "name"), "label")
     arrays = x.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("id", box.alias("bbox"), "label", F.col("name").alias("category")))).alias("i"))
     arrays = arrays.select("image_id", F.struct(F.transform("i", lambda r: F.struct(r["bbox"].alias("bbox"), r["label"].alias("label"), r["category"].alias("category"))).alias("instances")).alias("detection"))
     return images.join(arrays, images["id"] == arrays["image_id"], "left").select("id", "file_name", "height", "width", "detection")
@@ -23,18 +23,18 @@ def to_odvg(images: DataFrame, cleaned: DataFrame, labels: DataFrame) -> DataFra
 
 def keep_categories(images: DataFrame, annotations: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Annotations of the wanted categories (category_id) and the images that have any."""
-    a = annotations.join(F.broadcast(wanted), "category_id", "left_semi")
+    a = annotations.join(wanted, "category_id", "left_semi")
     return images.join(a.select(F.col("image_id").alias("id")).distinct(), "id", "left_semi"), a
 
 
 def drop_rare(annotations: DataFrame, categories: DataFrame, rare: str = "r") -> DataFrame:
     """Annotations without those of rare categories."""
-    return annotations.join(F.broadcast(categories.where(F.col("frequency") == rare).select(F.col("id").alias("category_id"))), "category_id", "left_anti")
+    return annotations.join(categories.where(F.col("frequency") == rare).select(F.col("id").alias("category_id")), "category_id", "left_anti")
 
 
 def rename_categories(categories: DataFrame, names: DataFrame) -> DataFrame:
     """Categories with names replaced where ``names`` (id, new_name) has them."""
-    return categories.join(F.broadcast(names), "id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+    return categories.join(names, "id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
 
 
 def without(ids: DataFrame, *others: DataFrame, key: str = "image_id") -> DataFrame:

@@ -56,7 +56,7 @@ def clean(annotations: DataFrame, images: DataFrame, labels: DataFrame) -> DataF
     """Annotations as boxes: those marked ignore, outside the image, without area or under a pixel, or of other
     categories go. Corners are not clipped. Crowds stay and are ``ignored``."""
     b = [F.get("bbox", F.lit(i)) for i in range(4)]
-    x = annotations.join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id").join(F.broadcast(labels), "category_id")
+    x = annotations.join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id").join(labels, "category_id")
     box = Box.xywh(*b)
     w = F.greatest(F.lit(0.0), F.least(box.x2, F.col("width")) - F.greatest(box.x1, F.lit(0.0)))
     h = F.greatest(F.lit(0.0), F.least(box.y2, F.col("height")) - F.greatest(box.y1, F.lit(0.0)))
@@ -71,7 +71,7 @@ def filter_images(images: DataFrame, annotations: DataFrame, labels: DataFrame,
     x = images.where(F.least("width", "height") >= least_size)
     if empty:
         return x
-    some = annotations.join(F.broadcast(labels), "category_id").select(F.col("image_id").alias("id")).distinct()
+    some = annotations.join(labels, "category_id").select(F.col("image_id").alias("id")).distinct()
     return x.join(some, "id", "left_semi")
 
 
@@ -140,14 +140,14 @@ def read_openimages(spark: SparkSession, path: str, sizes: DataFrame, names: Dat
     """image_id, label, corners in pixels, group_of, occluded. ``sizes``: image_id, width, height; ``names``: label_id, label."""
     x = spark.read.option("header", True).csv(path)
     c = [F.col(n).cast("double") for n in ("XMin", "YMin", "XMax", "YMax")]
-    x = x.withColumnRenamed("ImageID", "image_id").withColumnRenamed("LabelName", "label_id").join(F.broadcast(names), "label_id").join(sizes, "image_id")
+    x = x.withColumnRenamed("ImageID", "image_id").withColumnRenamed("LabelName", "label_id").join(names, "label_id").join(sizes, "image_id")
     box = Box(*c).scale(F.col("width"), F.col("height"))
     return x.select("image_id", "label", *box.columns(), F.col("IsGroupOf").cast("int").alias("group_of"), F.col("IsOccluded").cast("int").alias("occluded"))
 
 
 def read_image_labels(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
     """image_id, labels: array of (label, confidence)."""
-    x = spark.read.option("header", True).csv(path).withColumnRenamed("ImageID", "image_id").withColumnRenamed("LabelName", "label_id").join(F.broadcast(names), "label_id")
+    x = spark.read.option("header", True).csv(path).withColumnRenamed("ImageID", "image_id").withColumnRenamed("LabelName", "label_id").join(names, "label_id")
     return x.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("label", F.col("Confidence").cast("double").alias("confidence")))).alias("labels"))
 
 
@@ -174,7 +174,7 @@ def ancestors(edges: DataFrame) -> DataFrame:
 
 def expand_labels(boxes: DataFrame, closure: DataFrame) -> DataFrame:
     """Every box once for each ancestor of its class (itself included)."""
-    return boxes.withColumnRenamed("label", "child").join(F.broadcast(closure), "child").withColumnRenamed("ancestor", "label").drop("child")
+    return boxes.withColumnRenamed("label", "child").join(closure, "child").withColumnRenamed("ancestor", "label").drop("child")
 
 
 MOT_GT = ("frame_id", "instance_id", "x", "y", "w", "h", "conf", "category_id", "visibility")

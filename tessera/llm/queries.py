@@ -12,6 +12,7 @@ from .lattice import op1_lattice
 from .mixing import op10_soft_mixing
 from .neardup import op5_superminhash
 from .packing import op6_harmonic
+from .pieces import op12_agenda
 from .quality import op8_ngram_ratio
 from .secrets import op4_randomness
 from .substring import op9_seed_extend
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_ratio": op8_ngram_ratio,
     "op9_seed_extend": op9_seed_extend,
     "op10_soft_mixing": op10_soft_mixing,
+    "op12_agenda": op12_agenda,
 }
 
 ORACLES: dict[str, str] = {

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .chunks import op2_gear_chunks
 from .html import op3_host_suffixes
 from .lattice import op1_lattice
+from .merkle import ORACLE as OP13_SQL
+from .merkle import op13_superblocks
 from .mixing import op10_soft_mixing
 from .neardup import op5_superminhash
 from .packing import op6_harmonic
@@ -31,8 +33,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_seed_extend": op9_seed_extend,
     "op10_soft_mixing": op10_soft_mixing,
     "op12_agenda": op12_agenda,
+    "op13_superblocks": op13_superblocks,
 }
 
 ORACLES: dict[str, str] = {
     "op7_blocked_bloom": OP7_SQL,
+    "op13_superblocks": OP13_SQL,
 }

@@ -20,6 +20,8 @@ from .secrets import op4_randomness
 from .substring import op9_seed_extend
 from .urls import ORACLE as OP7_SQL
 from .urls import op7_blocked_bloom
+from .variants import ORACLE as OP11_SQL
+from .variants import op11_errata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice": op1_lattice,
@@ -32,11 +34,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_ratio": op8_ngram_ratio,
     "op9_seed_extend": op9_seed_extend,
     "op10_soft_mixing": op10_soft_mixing,
+    "op11_errata": op11_errata,
     "op12_agenda": op12_agenda,
     "op13_superblocks": op13_superblocks,
 }
 
 ORACLES: dict[str, str] = {
     "op7_blocked_bloom": OP7_SQL,
+    "op11_errata": OP11_SQL,
     "op13_superblocks": OP13_SQL,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions import masks as MK
 from ...operators import summary as Y
+from ...operators import trackers as TT
 from ...operators import tracking as T
 from ...operators.sampling import draw_sql
 from .. import analyze as AN
@@ -50,6 +51,51 @@ def track_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.track(_frames(spark, sf_dir)).select("video_id", "frame_id", "det_id", "track_id")
 
 
+def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with an appearance vector each: detections take the vectors in turn, by their object."""
+    e = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("object"), "embedding")
+    many = e.agg(F.count("*").alias("n"))
+    f = _frames(spark, sf_dir).crossJoin(F.broadcast(many))  # one row
+    return f.withColumn("object", F.expr("(video_id * 7 + det_id % 6) % n")).join(e, "object").drop("object", "n")
+
+
+_IDS = ("video_id", "frame_id", "det_id", "track_id")
+
+
+@query("track_by_observations")
+def track_by_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TT.walk(_frames(spark, sf_dir), lambda _: TT.ObservationTracker()).select(*_IDS)
+
+
+@query("track_by_appearance")
+def track_by_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TT.walk(_looks(spark, sf_dir), lambda _: TT.AppearanceTracker()).select(*_IDS)
+
+
+@query("track_by_motion")
+def track_by_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TT.walk(_looks(spark, sf_dir), lambda _: TT.AppearanceTracker.plain()).select(*_IDS)
+
+
+@query("track_by_similarity")
+def track_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TT.walk(_looks(spark, sf_dir), lambda _: TT.SimilarityTracker()).select(*_IDS)
+
+
+@query("track_by_weights")
+def track_by_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TT.walk(_looks(spark, sf_dir), lambda _: TT.WeightedTracker()).select(*_IDS)
+
+
+@query("tracker_search")
+def tracker_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frames(spark, sf_dir)
+    gt = f.withColumn("track_id", F.col("det_id") % 7).dropDuplicates(["video_id", "frame_id", "track_id"])
+    settings = {f"start {s} match {m}": (lambda s=s, m=m: TT.ObservationTracker(start=s, match=m)) for s in (0.6, 0.8) for m in (0.1, 0.3)}
+    x = TT.search(f, gt, settings)
+    return x.select("setting", "tp", "fp", "fn", "switches", "idtp", F.round("mota", 6).alias("mota"), F.round("idf1", 6).alias("idf1"), "place")
+
+
 @query("tracking_scores")
 def tracking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _frames(spark, sf_dir)

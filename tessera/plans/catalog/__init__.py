@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candidates, detection, evaluation, rows, videos
+from . import candidates, detection, evaluation, masks, rows, videos
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "candidates", "detection", "evaluation", "rows", "videos"]
+__all__ = ["ORACLES", "QUERIES", "candidates", "detection", "evaluation", "masks", "rows", "videos"]

@@ -1,14 +1,14 @@
 """Encoding and decoding with merge-type subword vocabularies, by a score-ordered agenda.
 
-A text's symbols are first its characters. The agenda is a heap of adjacent symbol pairs whose concatenation is a piece,
-the best score first and, among equals, the leftmost. The best pair becomes one symbol, which forms new pairs with its two
-neighbours; entries whose symbols have changed meanwhile are passed over. What is left is looked up, and characters
-outside the vocabulary become their UTF-8 bytes' pieces.
-
-No merge crosses a place that no piece spans, so a text is cut there and each part has its own agenda: first between a
-blank and what comes before it and around characters that occur in no piece of two or more characters, then between any
-two characters that no piece has next to each other. The cuts come from the vocabulary itself; one with pieces that span
-a blank from its left is not cut at blanks. Parts recur, so a
+A text's symbols are first its characters. The agenda holds the adjacent symbol pairs whose concatenation is a piece, the
+best score first and, among equals, the leftmost. The best pair becomes one symbol, which forms new pairs with its two
+neighbours. What is left is looked up, and characters outside the vocabulary become their UTF-8 bytes' pieces. For long
+parts the agenda is a heap; for those of at most ``SCANNED`` characters a list that is scanned, which is faster there.
+
+No merge crosses a place that no piece spans, so a text is cut there and each part has its own agenda: between a blank
+and what comes before it, between a letter and a mark that follows no letter in any piece, and around characters that
+occur in no piece of two or more characters. The cuts come from the vocabulary itself; one with pieces that span a blank
+from its left is not cut at blanks. Parts recur, so a
 worker keeps the ids of those it has met (at most ``CACHE``, short ones), from task to task. This is a store of
 results: any part outside it gets an agenda of its own.
 
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import lists, stage, table
 
-CACHE = 500_000
+CACHE = 1_000_000
 #: Longer parts are not kept.
 CACHED_LENGTH = 64
+SCANNED = 24
 BLANK = "▁"
 
 
@@ -62,25 +63,50 @@ class Vocabulary:
         order = {score: r for r, score in enumerate(sorted(set(scores.values()), reverse=True))}
         self.ranks = {p: order[score] for p, score in scores.items()}  # equal scores, equal ranks
         long = [p for p in self.ids if len(p) > 1]
-        self.pairs = {p[i : i + 2] for p in long for i in range(len(p) - 1)}
-        inner = re.escape("".join(sorted({c for p in long for c in p} - {BLANK})))
-        spans = any(a != BLANK and b == BLANK for p in long for a, b in zip(p, p[1:], strict=False))
-        self.part = re.compile(f"[{BLANK}{inner}]+|[^{BLANK}{inner}]" if spans else f"{BLANK}*[{inner}]+|{BLANK}+|[^{BLANK}{inner}]", re.DOTALL)
+        pairs = {(p[i], p[i + 1]) for p in long for i in range(len(p) - 1)}
+        inner = {c for pair in pairs for c in pair} - {BLANK}
+        letters = {c for c in inner if c.isalpha()}
+        apart = {b for b in inner - letters if not any((a, b) in pairs for a in letters)}
+        some = lambda chars: "[" + re.escape("".join(sorted(chars))) + "]"
+        if any(b == BLANK and a != BLANK for a, b in pairs):
+            pattern = f"{some(inner | {BLANK})}+"
+        else:
+            pattern = f"{BLANK}*{some(letters)}+(?!{some(inner - apart)})|{BLANK}*{some(inner)}+|{BLANK}+"
+        self.part = re.compile(f"{pattern}|.", re.DOTALL)
 
     def parts(self, text: str) -> list[str]:
         return self.part.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def pairless(self, part: str) -> list[str]:
-        """The part cut between two characters that no piece has next to each other."""
-        pairs, cut = self.pairs, [0]
-        cut += [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in pairs]
-        return [part[i:j] for i, j in zip(cut, [*cut[1:], len(part)], strict=True)] if len(cut) > 1 else [part]
-
     def agenda(self, part: str) -> tuple[int, ...]:
-        """Ids of a part: its best adjacent pair is merged until none is a piece.
+        """Ids of a part: its best adjacent pair, the leftmost of equals, is merged until none is a piece."""
+        symbols = self.scanned(part) if len(part) <= SCANNED else self.heaped(part)
+        out: list[int] = []
+        for symbol in symbols:
+            piece = self.ids.get(symbol)
+            if piece is not None:
+                out.append(piece)
+            else:
+                out += [self.bytes[b] for b in symbol.encode()]
+        return tuple(out)
 
-        An entry is one number: rank of the merged piece, then place of its first symbol, then its end."""
-        n, rank, ids = len(part), self.ranks.get, self.ids.get
+    def scanned(self, part: str) -> list[str]:
+        """The agenda of a short part is a list in the order of the pairs; the best one is looked up in it."""
+        symbols, rank, none = list(part), self.ranks.get, len(self.ranks)
+        agenda = [rank(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (best := min(agenda)) < none:
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def heaped(self, part: str) -> list[str]:
+        """The agenda is a heap. An entry is one number: rank of the merged piece, then place of its first symbol, then its
+        end; entries whose symbols have changed meanwhile are passed over."""
+        n, rank = len(part), self.ranks.get
         bits = n.bit_length()
         low = (1 << bits) - 1
         end = list(range(1, n + 1))  # symbol at i is part[i:end[i]]; 0: merged into the one before
@@ -92,7 +118,7 @@ class Vocabulary:
             to, i = entry & low, entry >> bits & low
             j = end[i]
             if not j or j >= n or end[j] != to:
-                continue  # one of the two symbols is another by now
+                continue
             end[i], end[j] = to, 0
             if to < n:
                 before[to] = i
@@ -100,15 +126,7 @@ class Vocabulary:
                     heappush(heap, (r << bits | i) << bits | end[to])
             if i and (r := rank(part[before[i] : to])) is not None:
                 heappush(heap, (r << bits | before[i]) << bits | to)
-        out, i = [], 0
-        while i < n:
-            piece = ids(part[i : end[i]])
-            if piece is not None:
-                out.append(piece)
-            else:
-                out += [self.bytes[b] for b in part[i : end[i]].encode()]
-            i = end[i]
-        return tuple(out)
+        return [part[i:j] for i, j in enumerate(end) if j]
 
 
 #: Vocabularies, and ids of parts that this worker process has met.
@@ -125,19 +143,10 @@ def vocabulary(path: str) -> Vocabulary:
 def ids_of(text: str, v: Vocabulary, known: dict[str, tuple[int, ...]]) -> list[int]:
     parts = v.parts(text)
     found = list(map(known.get, parts))
-    for at, ids in enumerate(found):
-        if ids is None:
-            part, out = parts[at], []
-            for piece in v.pairless(part):
-                if (mine := known.get(piece)) is None:
-                    mine = v.agenda(piece)
-                    if len(piece) <= CACHED_LENGTH and len(known) < CACHE:
-                        known[piece] = mine
-                out.append(mine)
-            out = out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
-            found[at] = out
-            if len(part) <= CACHED_LENGTH and len(known) < CACHE:
-                known[part] = out
+    for at in [at for at, ids in enumerate(found) if ids is None]:
+        found[at] = v.agenda(parts[at])
+        if len(parts[at]) <= CACHED_LENGTH and len(known) < CACHE:
+            known[parts[at]] = found[at]
     return [*chain.from_iterable(found), v.end]
 
 

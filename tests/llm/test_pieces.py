@@ -45,6 +45,7 @@ def test_agenda_merges_the_best_leftmost_pair():
                 symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
             want = [j for s in symbols for j in ([v.ids[s]] if s in v.ids else [v.bytes[b] for b in s.encode()])]
             assert list(v.agenda(part)) == want
+            assert v.scanned(part) == v.heaped(part) == symbols
 
 
 def test_a_full_store_changes_nothing(library, monkeypatch):

@@ -7,6 +7,8 @@ are windows over the join on image_id; the one-to-one rules solve an assignment
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -275,3 +277,42 @@ def hungarian(priors: DataFrame, gt: DataFrame, cost: Column, repeat: int = 1) -
     ``cost`` is an expression over ``crossed``. A group holds the candidate pairs of one image."""
     x = crossed(priors, gt).select("image_id", "prior_id", "gt_id", cost.alias("cost"))
     return x.groupBy("image_id").applyInPandas(_one_to_one(repeat), "prior_id long, gt_id long, cost double")
+
+
+def region(priors: DataFrame, gt: DataFrame, images: DataFrame, strides: Sequence[int], sizes: Sequence[tuple[int, int]], scale: float, centre: float = 0.2, ignore: float = 0.5, border: float = 0) -> DataFrame:
+    """Ground truth by the cells of its middle part on the level that fits its size.
+
+    ``priors`` have a level and lie on grids of ``strides`` with ``sizes`` (rows, columns); ``scale``: side of the smallest
+    prior in strides; ``images``: image_id, width, height. Priors whose centre is in the middle part (``centre``) of a box
+    on its level are positive, those in a wider part (``ignore``) are ignored, on the levels beside it too; a later ground truth wins over an
+    earlier one on its level. Priors off the image by more than ``border`` are ignored. An image without ground truth has
+    background only. A box is turned into the cells of its wider part, at most a few per level but for the last, and meets
+    priors by (image, level, cell): no prior is compared with all boxes."""
+    last = len(strides) - 1
+    at = lambda values, level: F.get(F.array(*[F.lit(float(v)) for v in values]), level)
+    b = Box.named()
+    fit = F.floor(F.log2(F.sqrt(b.width * b.height)) - F.log2(F.lit(float(scale * strides[0]))) + 0.5)
+    g = gt.withColumn("own", F.least(F.greatest(fit, F.lit(0)), F.lit(last)).cast("int"))
+    g = g.withColumn("level", F.explode(F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("own") + d), lambda v: (v >= 0) & (v <= last))))
+
+    def part(share: float, name: str) -> list[Column]:
+        r = (1 - share) / 2
+        stride, rows, columns = at(strides, F.col("level")), at([s[0] for s in sizes], F.col("level")), at([s[1] for s in sizes], F.col("level"))
+        edges = [F.bround((1 - r) * (p / stride) + r * (q / stride)) for p, q in ((b.x1, b.x2), (b.y1, b.y2), (b.x2, b.x1), (b.y2, b.y1))]
+        return [F.least(F.greatest(v, F.lit(0.0)), m).alias(f"{name}{k}") for k, (v, m) in enumerate(zip(edges, (columns, rows, columns, rows), strict=True))]
+
+    g = g.select("image_id", "gt_id", "own", "level", *part(ignore, "w"), *part(centre, "m")).where("w0 <= w2 and w1 <= w3")
+    cells = g.withColumn("cx", F.explode(F.expr("sequence(cast(w0 as long), cast(w2 as long))"))).withColumn("cy", F.explode(F.expr("sequence(cast(w1 as long), cast(w3 as long))")))
+    p = Box.named()
+    x, y = (p.center[i] / at(strides, F.col("level")) for i in (0, 1))
+    placed = priors.withColumn("_x", x).withColumn("_y", y).withColumn("cx", F.floor("_x")).withColumn("cy", F.floor("_y"))
+    met = placed.select("prior_id", "image_id", "level", "_x", "_y", "cx", "cy").join(cells, ["image_id", "level", "cx", "cy"]).where("_x between w0 and w2 and _y between w1 and w3")
+    middle = F.expr("_x between m0 and m2 and _y between m1 and m3")
+    here = F.max(F.when(F.col("own") == F.col("level"), F.struct("gt_id", middle.alias("middle"))))
+    of = met.groupBy("prior_id").agg(here.alias("here"), F.max(F.col("own") != F.col("level")).alias("beside"))
+    some = gt.select("image_id").distinct().withColumn("some", F.lit(True))
+    out = priors.join(of, "prior_id", "left").join(some, "image_id", "left").join(images.select("image_id", "width", "height"), "image_id")
+    off = (p.x1 < -border) | (p.y1 < -border) | (p.x2 >= F.col("width") + border) | (p.y2 >= F.col("height") + border) if border >= 0 else F.lit(False)
+    skip = F.col("some") & (off | F.coalesce("beside", F.lit(False)))
+    state = F.when(skip, -1).when(F.col("here.middle"), 1).when(F.col("here").isNotNull(), -1).otherwise(0)
+    return out.select("prior_id", "image_id", F.when(state == 1, F.col("here.gt_id")).alias("gt_id"), state.alias("state"))

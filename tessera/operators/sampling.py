@@ -26,7 +26,7 @@ def draw_of(seed: int, *keys: Column) -> Column:
     """
     x = F.lit(seed).cast("long")
     for k in keys:
-        x = (x * 31 + k % PRIME) % PRIME
+        x = (x * 31 + F.pmod(k, F.lit(PRIME))) % PRIME
     y = (x * 48_271 + 104_729) % PRIME
     z = (y * y % PRIME + x) % PRIME
     return (z * 69_621 + 7_919) % PRIME / float(PRIME)
@@ -36,7 +36,7 @@ def draw_sql(seed: int, *keys: str) -> str:
     """``draw`` as SQL text."""
     x = str(seed)
     for k in keys:
-        x = f"(({x}) * CAST(31 AS BIGINT) + {k} % {PRIME}) % {PRIME}"
+        x = f"(({x}) * CAST(31 AS BIGINT) + (CAST({k} AS BIGINT) % {PRIME} + {PRIME}) % {PRIME}) % {PRIME}"
     y = f"(({x}) * 48271 + 104729) % {PRIME}"
     return f"((((({y}) * ({y})) % {PRIME} + {x}) % {PRIME} * 69621 + 7919) % {PRIME} / CAST({PRIME} AS DOUBLE))"
 
@@ -44,7 +44,7 @@ def draw_sql(seed: int, *keys: str) -> str:
 def numbered(rows: DataFrame, order: Sequence[str], name: str, by: Sequence[str] = (), shards: int = 256) -> DataFrame:
     """``rows`` with a dense number from 0 in ``order`` (within ``by``), without one task for all of a group.
 
-    The first column of ``order`` is cut at ``shards`` approximate quantiles; rows are numbered within a shard, and shards
+    The first column of ``order``, a number, is cut at ``shards`` approximate quantiles; rows are numbered within a shard, and shards
     begin at the counts of those before them (a table of at most groups x shards rows). Rows that tie in that column are
     one shard.
     """
@@ -99,9 +99,10 @@ def per_source(rows: DataFrame, sizes: dict, source: str, key: str, seed: int =
     return out.where((F.col("_k") < 0) | (F.col("_r") < F.col("_k"))).drop("_k", "_r")
 
 
-def with_replacement(rows: DataFrame, weight: Column, n: int, key: str, seed: int = 0, cells: int = 1024) -> DataFrame:
-    """``n`` rows drawn with probability by ``weight``: draw, key. Draws meet the cumulative weights by cells of [0, 1)."""
-    total = rows.agg(F.sum(weight).alias("t"))
+def with_replacement(rows: DataFrame, weight: Column, n: int, key: str, seed: int = 0) -> DataFrame:
+    """``n`` rows drawn with probability by ``weight``: draw, key. Draws meet the cumulative weights by cells of [0, 1), as
+    many as there are draws, so a draw meets the few rows of its cell: (rows + draws) pairs in all on average."""
+    total, cells = rows.agg(F.sum(weight).alias("t")), max(n, 1024)
     x = rows.select(key, weight.alias("w"), F.pmod(F.col(key), F.lit(256)).alias("shard"))
     shard = x.groupBy("shard").agg(F.sum("w").alias("s"))
     shard = shard.select("shard", (F.sum("s").over(Window.orderBy("shard")) - F.col("s")).alias("b"))  # 256 rows

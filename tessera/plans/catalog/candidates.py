@@ -161,3 +161,23 @@ SELECT prior_id, image_id, gt_id, state FROM (SELECT *, row_number() OVER (PARTI
 def sample_balanced_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, g = _sets(spark, sf_dir)
     return S.balanced_by_instance(A.max_iou(p, g, 0.6, 0.4, 0.3), 8)
+
+
+_LEVELS = ((16, 14, 20), (32, 7, 10), (64, 4, 5))  # stride, rows, columns
+_GRID = """, im AS (SELECT DISTINCT image_id, 300 + image_id % 41 AS width, 220 + image_id % 37 AS height FROM box), lv AS (SELECT * FROM (VALUES (0, 0, 280, 16, 14, 20), (1, 280, 350, 32, 7, 10), (2, 350, 370, 64, 4, 5)) v(level, lo, hi, stride, r, c)),
+pr AS (SELECT im.*, image_id * 1000 + k AS prior_id, level, stride, r, c, (k - lo) % c AS x, (k - lo) // c AS y FROM im, range(370) t(k) JOIN lv ON k >= lo AND k < hi)"""
+
+
+@query("assign_region", _GRID + """, g AS (SELECT gt.*, least(greatest(floor(log2(sqrt((x2 - x1) * (y2 - y1))) - log2(64.0::DOUBLE) + 0.5), 0), 2) AS own FROM gt),
+e AS (SELECT g.image_id, gt_id, own, lv.*, f, least(greatest(round_even((1 - f) * (x1 / stride) + f * (x2 / stride), 0), 0), c) AS a1, least(greatest(round_even((1 - f) * (y1 / stride) + f * (y2 / stride), 0), 0), r) AS b1, least(greatest(round_even((1 - f) * (x2 / stride) + f * (x1 / stride), 0), 0), c) AS a2, least(greatest(round_even((1 - f) * (y2 / stride) + f * (y1 / stride), 0), 0), r) AS b2
+  FROM g JOIN lv ON abs(level - own) <= 1, (VALUES (0.25::DOUBLE), (0.4::DOUBLE)) p(f)),
+h AS (SELECT prior_id, gt_id, own = e.level AS here, f = 0.4 AS middle FROM pr JOIN e ON e.image_id = pr.image_id AND e.level = pr.level AND x BETWEEN a1 AND a2 AND y BETWEEN b1 AND b2),
+w AS (SELECT prior_id, max(gt_id) FILTER (here AND NOT middle) AS top, bool_or(NOT here AND NOT middle) AS beside FROM h GROUP BY 1), o AS (SELECT pr.*, top, EXISTS (SELECT 1 FROM gt WHERE gt.image_id = pr.image_id) AND (coalesce(beside, false) OR x * stride - 2 * stride < 0 OR y * stride - 2 * stride < 0 OR x * stride + 2 * stride >= width OR y * stride + 2 * stride >= height) AS skip, EXISTS (SELECT 1 FROM h WHERE h.prior_id = pr.prior_id AND h.gt_id = top AND here AND middle) AS hit FROM pr LEFT JOIN w USING (prior_id))
+SELECT prior_id, image_id, CASE WHEN NOT skip AND hit THEN top END AS gt_id, CASE WHEN skip THEN -1 WHEN hit THEN 1 WHEN top IS NOT NULL THEN -1 ELSE 0 END AS state FROM o""")
+def assign_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = views.boxes(spark, sf_dir).select("image_id").distinct().withColumn("width", 300 + F.col("image_id") % 41).withColumn("height", 220 + F.col("image_id") % 37)
+    cells = [f"transform(sequence(0, {r * c - 1}), i -> named_struct('level', {k}, 'cx', i % {c}, 'cy', i div {c}, 'stride', {s}))" for k, (s, r, c) in enumerate(_LEVELS)]
+    p = images.select("image_id", F.posexplode(F.expr(f"concat({', '.join(cells)})")).alias("k", "c"))
+    edge = lambda n, sign: (F.col(f"c.c{n}") * F.col("c.stride") + sign * 2 * F.col("c.stride")).cast("double")
+    p = p.select("image_id", (F.col("image_id") * 1000 + F.col("k")).alias("prior_id"), F.col("c.level").alias("level"), edge("x", -1).alias("x1"), edge("y", -1).alias("y1"), edge("x", 1).alias("x2"), edge("y", 1).alias("y2"))
+    return A.region(p, views.ground_truth(spark, sf_dir), images, [s for s, _, _ in _LEVELS], [(r, c) for _, r, c in _LEVELS], 4)

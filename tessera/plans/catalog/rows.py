@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...functions import text as TX
+from ...operators import policies as PL
 from ...operators import transforms as R
 from ...sources import annotations as N
+from ...sources import images as IM
 from ...operators import prepare as PP
 from ...operators.sampling import draw_sql
+from .. import convert as CV
 from .. import views
 from .registry import query
 
@@ -116,15 +119,14 @@ def iou_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.iou_crop(_boxes(spark, sf_dir), seed=3).select("event_id", "x1", "y2", "width", "height")
 
 
-@query("caption_labels", f""", c AS (SELECT i AS label, 'class ' || i AS name, i + 2 AS tokens FROM range(9) t(i)), own AS (SELECT DISTINCT image_id, label FROM box WHERE (image_id + label) % 3 > 0), im AS (SELECT DISTINCT image_id, CASE WHEN {draw_sql(5, 'image_id')} < 0.5 THEN 6 ELSE floor({draw_sql(6, 'image_id')} * 6) + 1 END AS n FROM own),
+@query("caption_labels", f""", c AS (SELECT i AS label, 'class ' || i AS name, i + 2 AS tokens FROM range(9) t(i)), own AS (SELECT DISTINCT image_id, label FROM box), im AS (SELECT DISTINCT image_id, CASE WHEN {draw_sql(5, 'image_id')} < 0.5 THEN 6 ELSE floor({draw_sql(6, 'image_id')} * 6) + 1 END AS n FROM own),
 x AS (SELECT im.*, c.*, EXISTS (SELECT 1 FROM own WHERE own.image_id = im.image_id AND own.label = c.label) AS has, {draw_sql(7, 'image_id', 'label')} AS u, row_number() OVER (PARTITION BY image_id ORDER BY {draw_sql(8, 'image_id', 'label')}, label) AS r FROM im, c),
 p AS (SELECT *, sum(tokens) OVER (PARTITION BY image_id ORDER BY u, label) AS used FROM x WHERE has), l AS (SELECT image_id, coalesce(min(used) FILTER (used > 12), max(used)) AS used FROM p GROUP BY 1),
 n AS (SELECT *, sum(tokens) OVER (PARTITION BY image_id ORDER BY r) AS used FROM x WHERE NOT has AND r <= n), a AS (SELECT image_id, 0 AS part, row_number() OVER (PARTITION BY image_id ORDER BY u, label) AS k, name FROM p WHERE used <= 12 UNION ALL SELECT n.image_id, 1, r, name FROM n JOIN l USING (image_id) WHERE n.used < 12 - l.used)
 SELECT im.image_id, coalesce((SELECT string_agg(name, '. ' ORDER BY part, k) FROM a WHERE a.image_id = im.image_id), '') || '.' AS caption FROM im""")
 def caption_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = spark.range(9).select(F.col("id").alias("label"), F.concat(F.lit("class "), F.col("id")).alias("name"), (F.col("id") + 2).alias("tokens"))
-    b = views.boxes(spark, sf_dir).where("(image_id + label) % 3 > 0")  # so images lack some classes
-    return PP.caption_labels(b, classes, 12, 6, 0.5, seed=5).select("image_id", "caption")
+    return PP.caption_labels(views.boxes(spark, sf_dir), classes, 12, 6, 0.5, seed=5).select("image_id", "caption")
 
 
 @query("packed_inputs", """, i AS (SELECT DISTINCT image_id FROM box)
@@ -173,10 +175,11 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.unionByName(views.table(spark, sf_dir, "customer").select(F.lit("customer").alias("source_id"), F.col("c_custkey").alias("row_id"), "c_custkey"))
 
 
-@query("class_hierarchy", """WITH RECURSIVE e AS (SELECT n_nationkey AS child, CAST(floor(n_nationkey / 2) AS INTEGER) AS parent FROM nation WHERE n_nationkey > 0),
-up(child, ancestor) AS (SELECT n_nationkey, n_nationkey FROM nation UNION ALL SELECT up.child, e.parent FROM up JOIN e ON up.ancestor = e.child) SELECT DISTINCT child, ancestor FROM up""", with_views=False)
+@query("class_hierarchy", """WITH RECURSIVE e AS (SELECT n_nationkey AS child, CASE WHEN n_nationkey > 0 THEN CAST(floor(n_nationkey / 2) AS INTEGER) END AS parent FROM nation),
+up(child, ancestor) AS (SELECT n_nationkey, n_nationkey FROM nation UNION ALL SELECT up.child, e.parent FROM up JOIN e ON up.ancestor = e.child WHERE e.parent IS NOT NULL) SELECT DISTINCT child, ancestor FROM up""", with_views=False)
 def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.table(spark, sf_dir, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").alias("child"), F.floor(F.col("n_nationkey") / 2).cast("int").alias("parent"))
+    parent = F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 2)).cast("int")  # the first nation is the root
+    e = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("child"), parent.alias("parent"))
     return N.ancestors(e)
 
 
@@ -196,3 +199,80 @@ def coco_annotation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = gt.select("gt_id", "image_id", F.row_number().over(Window.partitionBy("image_id").orderBy("gt_id")).alias("r"))
     a = a.withColumn("r", F.row_number().over(Window.partitionBy("image_id").orderBy("id")))
     return a.join(i, ["image_id", "r"]).select("gt_id", "id", "area")
+
+
+def _policy_sql(choice: str, steps: int, seed: int) -> str:
+    """Boxes folded over ``steps`` steps; ``choice``: common table expressions up to ``s`` (image_id, i, kind, probability, level)."""
+    most = "CASE kind " + " ".join(f"WHEN '{k}' THEN {m}::DOUBLE" for k, m in PL.GREATEST.items()) + " ELSE 0 END"
+    u = lambda k: draw_sql(seed + k, "image_id", "i")
+    out = [choice, f"m AS (SELECT image_id, i, kind, {u(1)} <= probability AS taken, round(coalesce(level / 10, {u(2)}) * {most}, 1) * CASE WHEN {u(3)} > 0.5 THEN -1 ELSE 1 END AS m FROM s)", "f0 AS (SELECT b.event_id, b.image_id, b.width, b.height, b.x1, b.y1, b.x2, b.y2, '' AS steps FROM b)"]
+    for i in range(steps):
+        t, c, z = "tan(radians(m))", "cos(radians(m))", "sin(radians(m))"
+        turn = [(f"((width - 1) * 0.5 + ({x} - (width - 1) * 0.5) * {c} - ({y} - (height - 1) * 0.5) * {z})", f"((height - 1) * 0.5 + ({x} - (width - 1) * 0.5) * {z} + ({y} - (height - 1) * 0.5) * {c})") for x in ("x1", "x2") for y in ("y1", "y2")]
+        new = {}
+        for side, pick in ((1, "least"), (2, "greatest")):
+            x, y = f"x{side}", f"y{side}"
+            new[x] = f"CASE kind WHEN 'ShearX' THEN {x} + {pick}({t} * y1, {t} * y2) WHEN 'Rotate' THEN {pick}({', '.join(p for p, _ in turn)}) WHEN 'TranslateX' THEN {x} + trunc(width * m) ELSE {x} END"
+            new[y] = f"CASE kind WHEN 'ShearY' THEN {y} + {pick}({t} * x1, {t} * x2) WHEN 'Rotate' THEN {pick}({', '.join(q for _, q in turn)}) WHEN 'TranslateY' THEN {y} + trunc(height * m) ELSE {y} END"
+        moved = ", ".join(f"CASE WHEN kind IN ({', '.join(repr(k) for k in PL.GREATEST)}) THEN least(greatest({v}, 0), {'width' if n[0] == 'x' else 'height'}) ELSE {n} END AS {n}" for n, v in new.items())
+        out.append(f"f{i + 1} AS (SELECT event_id, f.image_id, width, height, {moved}, CASE WHEN kind IS NULL THEN steps ELSE steps || kind || ',' END AS steps FROM f{i} f LEFT JOIN m ON m.image_id = f.image_id AND m.i = {i} AND taken)")
+    return ", ".join(out) + f" SELECT event_id, steps, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM f{steps}"
+
+
+def _policy_rows(x: DataFrame) -> DataFrame:
+    names = F.aggregate("steps", F.lit(""), lambda s, v: F.concat(s, v["kind"], F.lit(",")))
+    return x.select("event_id", names.alias("steps"), *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+_LEARNED = ", ".join(f"({p}, {i}, '{k}', {q}, {v})" for p, steps in enumerate(PL.LEARNED) for i, (k, q, v) in enumerate(steps))
+_SPACE = ", ".join(f"({i}, '{k}')" for i, k in enumerate(PL.SPACE))
+
+
+@query("auto_augment", _IMG + _policy_sql(f", pol AS (SELECT * FROM (VALUES {_LEARNED}) v(p, i, kind, probability, level)), s AS (SELECT image_id, i, kind, probability, CAST(level AS DOUBLE) AS level FROM img JOIN pol ON p = floor({draw_sql(11, 'image_id')} * {len(PL.LEARNED)}))", 2, 11))
+def auto_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy_rows(PL.auto_augment(_boxes(spark, sf_dir), seed=11))
+
+
+@query("rand_augment", _IMG + _policy_sql(f", sp AS (SELECT * FROM (VALUES {_SPACE}) v(k, kind)), s AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY {draw_sql(12, 'image_id', 'k')}, k) - 1 AS i, kind, 1.0::DOUBLE AS probability, NULL::DOUBLE AS level FROM img, sp QUALIFY i < 3)", 3, 12))
+def rand_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy_rows(PL.rand_augment(_boxes(spark, sf_dir), count=3, seed=12))
+
+
+@query("grounded_phrases", """WITH t AS (SELECT doc_id, text, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents), w AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(word) - 1 AS start FROM t),
+a AS (SELECT doc_id, pos // 8 AS ann_id, word, start, start + length(word) AS stop FROM w WHERE word <> '' AND pos % 8 NOT IN (2, 6)), f AS (SELECT *, CASE WHEN lag(stop) OVER o + 1 = start THEN 0 ELSE 1 END AS begins FROM a WINDOW o AS (PARTITION BY doc_id, ann_id ORDER BY start)),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, ann_id ORDER BY start) AS g FROM f), h AS (SELECT doc_id, ann_id, g, string_agg(word, ' ' ORDER BY start) AS phrase, min(start) AS start FROM g GROUP BY ALL),
+k AS (SELECT doc_id, ann_id, string_agg(phrase, ' ' ORDER BY start) AS key, count(*) AS n, min(start) AS start FROM h GROUP BY ALL), b AS (SELECT *, (ann_id * 13) % 120 - 5 AS x, (ann_id * 7) % 90 - 5 AS y, (ann_id % 6) * 4 AS bw, (ann_id % 5) * 4 AS bh FROM k)
+SELECT doc_id AS image_id, key, first(n ORDER BY ann_id) AS n_phrases, CAST(first(start ORDER BY ann_id) AS BIGINT) AS start, count(*) AS n_boxes, CAST(sum(least(x + bw, 100)) AS DOUBLE) AS right_edges FROM b
+WHERE bw >= 1 AND bh >= 1 AND least(x + bw, 100) > greatest(x, 0) AND least(y + bh, 80) > greatest(y, 0) GROUP BY doc_id, key""", with_views=False)
+def grounded_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions are whole documents; an annotation has six of each eight words as spans."""
+    from pyspark.sql.window import Window
+
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.col("text").alias("caption"))
+    w = d.select("image_id", F.posexplode(F.split("caption", " ", -1)).alias("pos", "word"))
+    start = F.sum(F.length("word") + 1).over(Window.partitionBy("image_id").orderBy("pos")) - F.length("word") - 1
+    w = w.withColumn("start", start.cast("int")).where("word <> '' AND pos % 8 NOT IN (2, 6)")
+    n = F.expr("pos div 8")
+    a = w.groupBy("image_id", n.alias("ann_id")).agg(F.collect_list(F.array("start", F.col("start") + F.length("word"))).alias("tokens_positive"))
+    a = a.withColumn("bbox", F.expr("array((ann_id * 13) % 120 - 5, (ann_id * 7) % 90 - 5, (ann_id % 6) * 4, (ann_id % 5) * 4)").cast("array<double>")).withColumn("crowd", F.lit(0)).withColumn("area", F.lit(1.0))
+    x = CV.grounded(a, d.withColumns({"width": F.lit(100), "height": F.lit(80)}))
+    return x.select("image_id", "key", F.size("phrase").cast("long").alias("n_phrases"), F.expr("cast(tokens_positive[0][0] as bigint)").alias("start"), F.size("boxes").cast("long").alias("n_boxes"), F.aggregate("boxes", F.lit(0.0), lambda s, b: s + b[2]).alias("right_edges"))
+
+
+@query("image_sizes", " SELECT event_id, CASE WHEN event_id % 5 < 4 THEN CAST(300 + event_id % 41 AS INTEGER) END AS width, CASE WHEN event_id % 5 < 4 THEN CAST(220 + event_id % 37 AS INTEGER) END AS height FROM box")
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of PNG, JPEG (plain and turned) and GIF files, and files that break off, written in place."""
+    w, h = 300 + F.col("event_id") % 41, 220 + F.col("event_id") % 37
+    wide = lambda v, digits: F.lpad(F.hex(v), digits, "0")
+    little = lambda v: F.concat(F.substring(wide(v, 4), 3, 2), F.substring(wide(v, 4), 1, 2))
+    exif = "FFE1001E" + "457869660000" + "4D4D002A00000008" + "0001" + "011200030000000100060000" + "0000"
+    frame = lambda a, b: F.concat(F.lit("FFC0001108"), wide(b, 4), wide(a, 4), F.lit("03012200021101031101"))
+    forms = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), wide(w, 8), wide(h, 8), F.lit("0806000000")),
+        F.concat(F.lit("FFD8FFE00010" + "00" * 14), frame(w, h)),
+        F.concat(F.lit("FFD8" + exif), frame(h, w)),
+        F.concat(F.lit("474946383961"), little(w), little(h)),
+        F.lit("FFD8FFE00010"),
+    ]
+    content = F.unhex(F.get(F.array(*forms), (F.col("event_id") % 5).cast("int")))
+    return IM.with_sizes(views.boxes(spark, sf_dir).select("event_id", content.alias("content")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -98,3 +98,40 @@ def column_union(tables: Sequence[DataFrame], names: Sequence[str]) -> DataFrame
         t = t.withColumn("source_id", F.lit(name))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def phrases_of(spans: Column, caption: Column) -> Column:
+    """Phrases of an annotation from its character spans [[start, end], ...]: sorted by start, a span that begins one
+    character, a blank, after the end of the one before goes on with its phrase; others begin a new one."""
+    cut = lambda s: F.substring(caption, s[0] + 1, s[1] - s[0])
+    pairs = F.array_sort(F.transform(spans, lambda s, i: F.struct(s[0].alias("start"), i.alias("i"), s[1].alias("end"))))
+    begin = F.struct(F.array().cast("array<string>").alias("all"), F.lit(None).cast("string").alias("open"), F.lit(-10).alias("end"))
+
+    def take(done: Column, s: Column) -> Column:
+        text = cut([s["start"], s["end"]])
+        goes_on = (done["end"] + 1 == s["start"]) & (F.substring(caption, s["start"], F.lit(1)) == " ")
+        closed = F.when(done["open"].isNull(), done["all"]).otherwise(F.concat(done["all"], F.array(done["open"])))
+        return F.struct(F.when(goes_on, done["all"]).otherwise(closed).alias("all"), F.when(goes_on, F.concat(done["open"], F.lit(" "), text)).otherwise(text).alias("open"), s["end"].cast("int").alias("end"))
+
+    return F.aggregate(pairs, begin, take, lambda d: F.when(d["open"].isNull(), d["all"]).otherwise(F.concat(d["all"], F.array(d["open"]))))
+
+
+def grounded(annotations: DataFrame, images: DataFrame) -> DataFrame:
+    """image_id, key, phrase (array), tokens_positive, boxes: annotations of an image that share their phrases, as one region.
+
+    ``annotations``: image_id, ann_id, bbox [x, y, w, h], area, crowd, tokens_positive; ``images``: image_id, caption, width,
+    height. Images whose boxes all have a side of at most 1 are left out; so are crowds, boxes off the canvas, of a side
+    under 1 or without area. Boxes are cut at the right and lower edge, and stand in the order of ann_id; the spans are the
+    first annotation's."""
+    x, y, w, h = (F.get("bbox", F.lit(i)) for i in range(4))
+    sound = (w > 1) & (h > 1)
+    a = annotations.where("crowd = 0").withColumn("_any", F.max(sound).over(Window.partitionBy("image_id"))).where("_any").drop("_any")
+    a = a.join(images.select("image_id", "caption", "width", "height"), "image_id")
+    inside = (F.least(x + w, F.col("width")) > F.greatest(x, F.lit(0))) & (F.least(y + h, F.col("height")) > F.greatest(y, F.lit(0)))
+    a = a.where(inside & (F.col("area") > 0) & (w >= 1) & (h >= 1))
+    box = F.array(x, y, F.least(x + w, F.col("width").cast("double")), F.least(y + h, F.col("height").cast("double")))
+    a = a.select("image_id", "ann_id", "tokens_positive", box.alias("box"), phrases_of(F.col("tokens_positive"), F.col("caption")).alias("phrase"))
+    a = a.withColumn("key", F.array_join("phrase", " "))
+    first = F.min(F.struct("ann_id", "phrase", F.array_sort("tokens_positive").alias("tokens_positive")))
+    out = a.groupBy("image_id", "key").agg(first.alias("f"), F.sort_array(F.collect_list(F.struct("ann_id", "box"))).alias("b"))
+    return out.select("image_id", "key", "f.phrase", "f.tokens_positive", F.transform("b", lambda v: v["box"]).alias("boxes"))

@@ -161,14 +161,15 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """Reflexive transitive closure (child, ancestor) of (child, parent) edges of a class hierarchy."""
+    """Reflexive transitive closure (child, ancestor) of (child, parent) edges of a class hierarchy; a root has
+    no edge, or one with a null parent."""
     spark = edges.sparkSession
     edges.createOrReplaceTempView("_tessera_edges")
     return spark.sql("""
         WITH RECURSIVE up(child, ancestor) AS (
-          SELECT child, child FROM (SELECT child FROM _tessera_edges UNION SELECT parent FROM _tessera_edges)
+          SELECT child, child FROM (SELECT child FROM _tessera_edges UNION SELECT parent FROM _tessera_edges WHERE parent IS NOT NULL)
           UNION ALL
-          SELECT up.child, e.parent FROM up JOIN _tessera_edges e ON up.ancestor = e.child
+          SELECT up.child, e.parent FROM up JOIN _tessera_edges e ON up.ancestor = e.child WHERE e.parent IS NOT NULL
         ) SELECT DISTINCT child, ancestor FROM up""")
 
 

@@ -12,57 +12,82 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.boxes import Box, iou
+from .groups import walk_groups
 from .matching import running
 
 THRESHOLDS = tuple(0.5 + 0.05 * i for i in range(10))
 #: Size ranges by area: all, small, medium, large; images and videos.
 AREAS = ((0.0, 1e10), (0.0, 32.0**2), (32.0**2, 96.0**2), (96.0**2, 1e10))
 VIDEO_AREAS = ((0.0, 1e10), (0.0, 128.0**2), (128.0**2, 256.0**2), (256.0**2, 1e10))
-_DET, _GT, _PAIR = 0, 1, 2
-_ROWS = "unit long, label long, side int, id long, other long, value double, area double, crowd int, ignored int, lenient int"
+_DET, _GT, _PAIR, _LENIENT = 0, 1, 2, 3
 _MATCHED = "label long, det_id long, score double, place int, area int, tp array<int>, fp array<int>"
 
 
+def _matched(near: list[np.ndarray], values: list[np.ndarray], crowd: np.ndarray, skip: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy matching of one unit and label at every size range and threshold at once: (hit, counted) of each detection.
+
+    ``near``: for each detection, the best first, the ground truth that it overlaps, and ``values`` how much; ``skip``:
+    (ground truth, range). At each range and threshold a detection takes, of what is free (crowds always are), what counts
+    before what does not, then the greatest overlap, then the last."""
+    n, areas = skip.shape
+    taken = np.zeros((n, areas, len(limits)), bool)
+    hit, counted = np.zeros((len(near), areas, len(limits)), bool), np.zeros((len(near), areas, len(limits)), bool)
+    for i, (j, v) in enumerate(zip(near, values, strict=True)):
+        if not len(j):
+            continue
+        order = np.lexsort((j, v))
+        j, v = j[order], v[order]
+        free = (v[:, None, None] >= limits) & (crowd[j][:, None, None] | ~taken[j])
+        rank = np.where(free, (np.arange(len(j))[:, None] + len(j) * ~skip[j])[:, :, None], -1)
+        best = rank.argmax(axis=0)
+        hit[i] = rank.max(axis=0) >= 0
+        a, t = np.nonzero(hit[i])
+        to = j[best[a, t]]
+        taken[to, a, t] = True
+        counted[i, a, t] = ~skip[to, a]
+    return hit, counted
+
+
 def _walk(thresholds: Sequence[float], areas: Sequence[tuple[float, float]], most: int | None):
-    """Greedy matching of one unit and label at every threshold and size range."""
-    limits = np.minimum(np.array(thresholds), 1 - 1e-10)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        side = rows["side"].to_numpy()
-        det = rows[side == _DET].sort_values(["value", "id"], ascending=[False, True])
-        det = det if most is None else det.head(most)
-        gt = rows[side == _GT].sort_values("id")
-        gt_place = {v: i for i, v in enumerate(gt["id"])}
-        near: dict[int, list[tuple[int, float]]] = {}
-        for p in rows[side == _PAIR].itertuples():
-            near.setdefault(p.id, []).append((gt_place[p.other], p.value))
-        crowd, gt_area, det_area = gt["crowd"].to_numpy() == 1, gt["area"].to_numpy(), det["area"].to_numpy()
-        lenient = bool(rows["lenient"].max()) if len(rows) else False
-        out = []
-        for a, (low, high) in enumerate(areas):
-            skip = (gt["ignored"].to_numpy() == 1) | crowd | (gt_area < low) | (gt_area > high)
-            off = (det_area < low) | (det_area > high) | lenient
-            tp, fp = np.zeros((len(det), len(limits)), int), np.zeros((len(det), len(limits)), int)
-            for t, limit in enumerate(limits):
-                taken = np.zeros(len(gt), bool)
-                for i, d in enumerate(det["id"]):
-                    # those that count come first; at equal IoU the later one in that order wins
-                    free = [(not skip[j], v, j) for j, v in near.get(d, ()) if v >= limit and (crowd[j] or not taken[j])]
-                    if not free:
-                        fp[i, t] = int(not off[i])
-                        continue
-                    _, _, j = max(free)
-                    taken[j] = True
-                    tp[i, t] = int(not skip[j])
-            for i, (d, s) in enumerate(zip(det["id"], det["value"], strict=True)):
-                out.append((int(rows["label"].iloc[0]), d, s, i, a, tp[i].tolist(), fp[i].tolist()))
-        return pd.DataFrame(out, columns=["label", "det_id", "score", "place", "area", "tp", "fp"])
+    """Matched detections of units and labels, as ``_MATCHED``."""
+    limits, lows, highs = np.minimum(np.array(thresholds), 1 - 1e-10), np.array([a for a, _ in areas]), np.array([b for _, b in areas])
+
+    def run(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        c = {n: table.column(n).to_numpy() for n in table.column_names}
+        ids, places, tps, fps = [], [], [], []
+        outside = lambda size: (size[:, None] < lows) | (size[:, None] > highs)
+        for start, end in groups:
+            cut = start + np.searchsorted(c["side"][start:end], [_DET, _GT, _PAIR, _LENIENT, _LENIENT + 1])
+            d, g, p = (np.arange(cut[k], cut[k + 1]) for k in (_DET, _GT, _PAIR))
+            d = d if most is None else d[:most]
+            if not len(d):
+                continue
+            crowd = c["crowd"][g] == 1
+            skip = outside(c["area"][g]) | (crowd | (c["ignored"][g] == 1))[:, None]
+            rows = np.argsort(c["id"][d], kind="stable")
+            at = np.searchsorted(c["id"][d][rows], c["id"][p])
+            known = (at < len(d)) & (c["id"][d][rows][np.minimum(at, len(d) - 1)] == c["id"][p])
+            p, of = p[known], rows[at[known]]
+            to = np.searchsorted(c["id"][g], c["other"][p])
+            by = np.argsort(of, kind="stable")
+            ends = np.searchsorted(of[by], np.arange(1, len(d)))
+            hit, counted = _matched(np.split(to[by], ends), np.split(c["value"][p][by], ends), crowd, skip, limits)
+            off = outside(c["area"][d]) | (cut[_LENIENT + 1] > cut[_LENIENT])
+            ids.append(d)
+            places.append(np.arange(len(d)))
+            tps.append(counted)
+            fps.append(~hit & ~off[:, :, None])
+        ids, places = (np.repeat(np.concatenate(x) if x else np.zeros(0, int), len(areas)) for x in (ids, places))
+        lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array((np.concatenate(x) if x else np.zeros(0)).ravel().astype(np.int32)), len(limits)).cast(pa.list_(pa.int32()))
+        sizes = np.tile(np.arange(len(areas), dtype=np.int32), len(ids) // len(areas))
+        columns = [pa.array(c["label"][ids]), pa.array(c["id"][ids]), pa.array(c["value"][ids]), pa.array(places.astype(np.int32)), pa.array(sizes), lists(tps), lists(fps)]
+        return pa.Table.from_arrays(columns, [f.split()[0] for f in _MATCHED.split(", ")])
 
     return run
 
@@ -87,8 +112,9 @@ def evaluate(det: DataFrame, gt: DataFrame, near: DataFrame, areas=AREAS, most:
         near.where(F.col("iou") >= THRESHOLDS[0]).select("unit", F.col("label").cast("long"), F.lit(_PAIR), "det_id", "gt_id", "iou", F.lit(0.0), zero, zero, zero),
     ]
     if lenient is not None:
-        rows.append(lenient.select("unit", F.col("label").cast("long"), F.lit(_PAIR + 1), none, none, F.lit(0.0), F.lit(0.0), zero, zero, F.lit(1)))
-    return reduce(DataFrame.union, rows).groupBy("unit", "label").applyInPandas(_walk(THRESHOLDS, areas, most), _MATCHED)
+        rows.append(lenient.select("unit", F.col("label").cast("long"), F.lit(_LENIENT), none, none, F.lit(0.0), F.lit(0.0), zero, zero, F.lit(1)))
+    order = ["side", F.desc("value"), "id"]  # detections by score, ground truth by id
+    return walk_groups(reduce(DataFrame.union, rows), ["unit", "label"], order, _walk(THRESHOLDS, areas, most), _MATCHED)
 
 
 def _steps(counts: DataFrame) -> DataFrame:

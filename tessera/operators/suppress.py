@@ -1,8 +1,8 @@
 """Suppression and fusion of overlapping detections.
 
 Set-based forms (fast and matrix suppression) are joins of an image's and class's detections with each other and two
-aggregates. Forms that depend on order (greedy and soft suppression, weighted fusion) walk one image and class in a
-grouped pandas function; a camera frame bounds the group.
+aggregates. Forms that depend on order (greedy and soft suppression, weighted fusion) walk one image and class at a time;
+a camera frame bounds the group.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.boxes import Box, iou
+from .groups import walk_groups
 from .matching import overlaps
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -63,21 +65,28 @@ def matrix_suppression(det: DataFrame, kernel: str = "gaussian", sigma: float =
 
 
 def _walk(iou_threshold: float, soft: float | None, low: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "det_id"], ascending=[False, True]).reset_index(drop=True)
-        boxes, scores = pdf[list(CORNERS)].to_numpy(), pdf["score"].to_numpy().copy()
-        o = overlaps(boxes, boxes)
-        alive, kept = np.ones(len(pdf), bool), []
-        while alive.any():
-            i = int(np.where(alive, scores, -np.inf).argmax())
-            alive[i] = False
-            kept.append(i)
-            if soft is None:
-                alive &= o[i] <= iou_threshold
-            else:
-                scores = np.where(alive, scores * np.exp(-(o[i] ** 2) / soft), scores)
-                alive &= scores > low
-        return pdf.iloc[kept].assign(score=scores[kept])
+    def run(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        boxes, scores = np.stack([table.column(c).to_numpy() for c in CORNERS], axis=1).astype(float), table.column("score").to_numpy().copy()
+        kept: list[int] = []
+        for start, end in groups:
+            o = overlaps(boxes[start:end], boxes[start:end])
+            if soft is None:  # the rows are sorted, the best first
+                alive = np.ones(end - start, bool)
+                for i in range(end - start):
+                    if alive[i]:
+                        kept.append(start + i)
+                        alive[i + 1 :] &= o[i, i + 1 :] <= iou_threshold
+                continue
+            own, alive = scores[start:end], np.ones(end - start, bool)
+            while alive.any():
+                i = int(np.where(alive, own, -np.inf).argmax())
+                alive[i] = False
+                kept.append(start + i)
+                own[alive] *= np.exp(-(o[i][alive] ** 2) / soft)
+                alive &= own > low
+        out = table.take(pa.array(kept, pa.int64()))
+        at = table.column_names.index("score")
+        return out.set_column(at, "score", pa.array(scores[kept], table.schema.field("score").type))
 
     return run
 
@@ -86,7 +95,8 @@ def greedy_suppression(det: DataFrame, iou_threshold: float = 0.5, score_thresho
     """Best first; each kept detection removes (or with ``soft_sigma`` decays) those it overlaps more than the threshold."""
     x = det.where(F.col("score") > score_threshold)
     keys = ["image_id", "label"] if by_label else ["image_id"]
-    out = x.groupBy(*keys).applyInPandas(_walk(iou_threshold, soft_sigma, max(score_threshold, 1e-3)), x.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields)
+    out = walk_groups(x, keys, [F.desc("score"), "det_id"], _walk(iou_threshold, soft_sigma, max(score_threshold, 1e-3)), schema)
     return ranked(out, ["image_id"], most).drop("rank")
 
 

@@ -51,13 +51,18 @@ def _one(x: DataFrame, *order: Column) -> DataFrame:
     return x.withColumn("_n", F.row_number().over(Window.partitionBy("prior_id").orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def max_iou(priors: DataFrame, gt: DataFrame, positive: float = 0.5, negative: float = 0.4, least: float = 0.0, all_best: bool = True, rescue: bool = True, ignore_over: float = -1) -> DataFrame:
+def max_iou(priors: DataFrame, gt: DataFrame, positive: float = 0.5, negative: float = 0.4, least: float = 0.0, all_best: bool = True, rescue: bool = True, ignore_over: float = -1, approximations: DataFrame | None = None) -> DataFrame:
     """Best ground truth over ``positive``; background under ``negative``; between them ignored. Each ground truth also
-    claims its best priors over ``least`` (the later ground truth wins). Priors covered by ignored boxes are ignored."""
+    claims its best priors over ``least`` (the later ground truth wins). Priors covered by ignored boxes are ignored.
+
+    ``approximations`` (prior_id, image_id, corners): several boxes that stand for a prior; its IoU is then the greatest of
+    theirs, while ignored boxes still meet the prior itself."""
     g, skip = gt, None
     if "ignored" in gt.columns:
         g, skip = gt.where("ignored = 0"), gt.where("ignored = 1")
     x = crossed(priors, g)
+    if approximations is not None:
+        x = crossed(approximations, g).groupBy("prior_id", "gt_id").agg(F.max("iou").alias("iou"))
     best = _one(x, F.desc("iou"), F.col("gt_id")).select("prior_id", F.col("gt_id").alias("best"), F.col("iou").alias("best_iou"))
     top = x.withColumn("_most", F.max("iou").over(Window.partitionBy("gt_id")))
     claims = top.where((F.col("_most") >= least) & (F.col("iou") == F.col("_most")))
@@ -117,6 +122,28 @@ def sim_ota(priors: DataFrame, gt: DataFrame, radius: float = 2.5, top: int = 10
     return dynamic_k(x.withColumn("cost", F.round(cost, 9)), priors, top)
 
 
+def soft_label(priors: DataFrame, gt: DataFrame, radius: float = 3.0, top: int = 13, iou_weight: float = 3.0, eps: float = 1e-7) -> DataFrame:
+    """Cost: soft cross entropy of all class scores, -ln IoU, and 10 to the distance of the centres in strides past ``radius``.
+
+    ``priors``: prior_id, image_id, px, py, stride, logits (array by class) and the decoded box. The label of a pair is the ground truth's
+    class with the pair's IoU as target, and each class weighs by the squared distance of its probability from the target.
+    Only priors whose point lies in some ground truth take part; they are candidates of every ground truth of their image."""
+    x = crossed(priors, gt)
+    inside = F.least(F.col("px") - _g().x1, F.col("py") - _g().y1, _g().x2 - F.col("px"), _g().y2 - F.col("py")) > 0
+    x = x.withColumn("_some", F.max(inside).over(Window.partitionBy("prior_id"))).where("_some")
+    gx, gy = _g().center
+    far = F.sqrt((F.col("px") - gx) ** 2 + (F.col("py") - gy) ** 2) / F.col("stride")
+
+    def part(z: Column, k: Column) -> Column:
+        target = F.when(k == F.col("gt_label"), F.col("iou")).otherwise(0.0)
+        entropy = F.greatest(z, F.lit(0.0)) - z * target + F.log1p(F.exp(-F.abs(z)))
+        return entropy * (target - 1 / (1 + F.exp(-z))) ** 2
+
+    label = F.aggregate(F.transform("logits", part), F.lit(0.0), lambda a, v: a + v)
+    cost = label - F.ln(F.col("iou") + eps) * iou_weight + F.pow(F.lit(10.0), far - radius)
+    return dynamic_k(x.withColumn("cost", F.round(cost, 9)), priors, top)
+
+
 def task_aligned(priors: DataFrame, gt: DataFrame, top: int = 13, alpha: float = 1.0, beta: float = 6.0) -> DataFrame:
     """score ** alpha * iou ** beta; the ``top`` of each ground truth with a positive value and their centre inside."""
     s = F.when(F.col("label") == F.col("gt_label"), F.col("score")).otherwise(0.0)

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.boxes import Box, intersection
+from ..functions.boxes import Box, intersection, iou
+from .groups import walk_groups
 from .matching import overlaps, pairs, running
 from .suppress import ranked
 
@@ -308,3 +310,76 @@ def jaccard_index(det: DataFrame, gt: DataFrame, threshold: float = 0.5, scores:
     per = x.groupBy("image_id").applyInPandas(_jaccard(threshold, scores), "threshold double, k long, m long, n long, ratio double")
     means = per.groupBy("threshold").agg((F.sum("ratio") / F.greatest(F.sum(((F.col("m") != 0) | (F.col("n") != 0)).cast("int")), F.lit(1))).alias("mean"))
     return means.agg(F.coalesce(F.max("mean"), F.lit(0.0)).alias("ji"))
+
+
+def _best_pairs(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+    """How many pairs of each image are left when each, the nearest first, takes both its boxes out."""
+    pred, gt = table.column("pred_id").to_numpy(), table.column("gt_id").to_numpy()
+    images, hits = table.column("image_id").take(pa.array([a for a, _ in groups], pa.int64())), []
+    for a, b in groups:
+        used, seen = set(), set()
+        for p, g in zip(pred[a:b].tolist(), gt[a:b].tolist(), strict=True):
+            if p not in used and g not in seen:
+                used.add(p)
+                seen.add(g)
+        hits.append(len(used))
+    return pa.Table.from_arrays([images, pa.array(hits, pa.int64())], ["image_id", "tp"])
+
+
+def grounded_f1(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, least_score: float = 0.7, least_f1: float = 1.0) -> DataFrame:
+    """One row: f1_score (share of expressions whose F1 is at least ``least_f1``), t_acc and n_acc (share of those with and
+    without a target that were told from the others).
+
+    An expression is an image_id. ``pred``: image_id, pred_id, score, corners; ``gt``: image_id, gt_id, corners and
+    no_target (1: a row that says that there is nothing to find). Boxes are paired by overlap, the greatest first."""
+    p = pred.where(F.col("score") >= least_score)
+    a, b = Box.named("p_"), Box.named()
+    wanted = gt.groupBy("image_id").agg(F.count("*").alias("n_gt"), F.max("no_target").alias("none"))
+    named = p.select("image_id", "pred_id", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
+    near = named.join(gt.where("no_target = 0"), "image_id").withColumn("iou", iou(a, b)).where(F.col("iou") >= threshold)
+    tp = walk_groups(near.select("image_id", "iou", "pred_id", "gt_id"), ["image_id"], [F.desc("iou"), "pred_id", "gt_id"], _best_pairs, "image_id long, tp long")
+    found = p.groupBy("image_id").agg(F.count("*").alias("n_pred"))
+    x = wanted.join(found, "image_id", "left").join(tp, "image_id", "left").na.fill(0, ["n_pred", "tp"])
+    some = F.col("n_pred") > 0
+    f1 = F.when(F.col("none") == 1, F.when(some, 0.0).otherwise(1.0)).otherwise(2 * F.col("tp") / (F.col("n_pred") + F.col("n_gt")))
+    share = lambda hit, of: F.try_divide(F.sum(hit.cast("int")), F.sum(of.cast("int")))
+    target = F.col("none") == 0
+    return x.agg((F.sum((f1 >= least_f1).cast("int")) / F.greatest(F.count("*"), F.lit(1))).alias("f1_score"), share(target & some, target).alias("t_acc"), share(~target & ~some, ~target).alias("n_acc"))
+
+
+def _crowd_walk(threshold: float):
+    def run(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        side, real = table.column("side").to_numpy(), table.column("real").to_numpy() == 1
+        boxes = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
+        kept, hits = [], []
+        for a, b in groups:
+            cut = a + int(np.searchsorted(side[a:b], 1))
+            d, g = boxes[a:cut], boxes[cut:b]
+            n = int(real[cut:b].sum())  # those that count come first
+            o = overlaps(d, g[:n])
+            w = np.clip(np.minimum(d[:, None, 2:], g[None, n:, 2:]) - np.maximum(d[:, None, :2], g[None, n:, :2]), 0, None)
+            under = (w.prod(2) / np.maximum((d[:, 2:] - d[:, :2]).prod(1), 1e-6)[:, None] > threshold).any(1)
+            free = np.ones(n, bool)
+            for i in range(len(d)):
+                j = int(np.where(free, o[i], -1.0).argmax()) if n else -1
+                hit = j >= 0 and free[j] and o[i, j] > threshold
+                if hit:
+                    free[j] = False
+                elif under[i]:
+                    continue
+                kept.append(a + i)
+                hits.append(int(hit))
+        out = table.select(["det_id", "image_id", "score"]).take(pa.array(kept, pa.int64()))
+        return out.append_column("tp", pa.array(hits, pa.int32()))
+
+    return run
+
+
+def crowd_matches(det: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """det_id, image_id, score, tp: detections of images, the best first, each on the free ground truth that it overlaps
+    most by more than ``threshold``. One that finds none and of which more than ``threshold`` lies in an ignored box is left
+    out. ``gt``: image_id, gt_id, corners, ignored."""
+    corners = ["x1", "y1", "x2", "y2"]
+    d = det.select("image_id", F.lit(0).alias("side"), F.lit(0).alias("real"), "det_id", "score", *corners)
+    g = gt.select("image_id", F.lit(1), (F.col("ignored") == 0).cast("int"), "gt_id", F.lit(0.0), *corners)
+    return walk_groups(d.union(g), ["image_id"], ["side", F.desc("real"), F.desc("score"), "det_id"], _crowd_walk(threshold), "det_id long, image_id long, score double, tp int")

@@ -166,3 +166,41 @@ def balanced_by_overlap(background: DataFrame, n: int, bins: int = 3, most: floa
     x = x.withColumn("_i", F.row_number().over(Window.partitionBy("image_id", "_b").orderBy(order, "prior_id")))
     x = x.withColumn("_r", F.row_number().over(Window.partitionBy("image_id").orderBy("_i", order, "prior_id")))
     return x.where(F.col("_r") <= n).drop("_b", "_i", "_r")
+
+
+def grouped_batches(rows: DataFrame, counts: dict, n: int, source: str, group: str, key: str, seed: int = 0) -> DataFrame:
+    """batch, ``group``, ``source``, place, ``key``: ``n`` batches, each of one group, drawn by the groups' sizes, with
+    ``counts[source]`` rows of each source. A group's batches go round each source's rows of that group in drawn order."""
+    x = numbered(rows.withColumn("_d", draw(seed, key)), ["_d", key], "_i", [group, source]).select(source, group, key, "_i")
+    sizes = rows.groupBy(group, source).agg(F.count("*").alias("_n"))
+    whole = sizes.groupBy(group).agg(F.sum("_n").alias("_s"))
+    whole = whole.select(group, F.sum("_s").over(Window.orderBy(group)).alias("_hi"), "_s", F.sum("_s").over(Window.partitionBy()).alias("_all"))  # a row for each group
+    b = rows.sparkSession.range(n).select(F.col("id").alias("batch")).withColumn("_u", draw(seed + 1, "batch"))
+    b = b.join(F.broadcast(whole), (F.col("_u") * F.col("_all") >= F.col("_hi") - F.col("_s")) & (F.col("_u") * F.col("_all") < F.col("_hi"))).select("batch", group)
+    b = numbered(b, ["batch"], "_t", [group])
+    wanted = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(c).alias("c")) for s, c in counts.items() if c > 0]))
+    b = b.select("*", wanted.alias("w")).select("batch", group, "_t", F.col("w.s").alias(source), F.col("w.c").alias("_c"))
+    b = b.select("*", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)).alias("place")).join(sizes, [group, source])
+    b = b.withColumn("_i", (F.col("_t") * F.col("_c") + F.col("place")) % F.col("_n"))
+    return b.join(x, [group, source, "_i"]).select("batch", group, source, "place", key)
+
+
+def shuffled_frames(frames: DataFrame, workers: int, seed: int = 0) -> DataFrame:
+    """video_id, frame_id, worker, place: all frames in drawn order, dealt round to ``workers``; the first ones come again
+    at the end, so that all workers get as many."""
+    x = numbered(frames.select("video_id", "frame_id").withColumn("_d", draw(seed, "video_id", "frame_id")), ["_d", "video_id", "frame_id"], "_i").drop("_d")
+    total = x.agg(F.count("*")).scalar()
+    x = x.withColumn("_n", total).withColumn("_all", F.ceil(F.col("_n") / workers) * workers)
+    again = F.expr("filter(transform(sequence(0, cast(_all div _n as int)), k -> _i + k * _n), i -> i < _all)")
+    x = x.select("video_id", "frame_id", F.explode(again).alias("_i"))
+    return x.select("video_id", "frame_id", (F.col("_i") % workers).alias("worker"), F.floor(F.col("_i") / workers).alias("place"))
+
+
+def frames_in_order(frames: DataFrame, workers: int) -> DataFrame:
+    """video_id, frame_id, worker: whole videos in order, in ``workers`` runs whose numbers of videos differ by at most one."""
+    v = numbered(frames.select("video_id").distinct(), ["video_id"], "_i")
+    n = v.agg(F.count("*")).scalar()
+    v = v.withColumn("_n", n).withColumn("_q", F.floor(F.col("_n") / workers)).withColumn("_r", F.col("_n") % workers)
+    long = F.col("_r") * (F.col("_q") + 1)  # the first runs have one more
+    worker = F.when(F.col("_i") < long, F.floor(F.col("_i") / (F.col("_q") + 1))).otherwise(F.col("_r") + F.floor((F.col("_i") - long) / F.greatest("_q", F.lit(1))))
+    return frames.select("video_id", "frame_id").join(v.select("video_id", worker.alias("worker")), "video_id")

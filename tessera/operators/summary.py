@@ -189,6 +189,16 @@ def coco_summary(det: DataFrame, gt: DataFrame, most: Sequence[int] = (1, 10, 10
     return _summary(ap, recalls(matched, counts, most), most)
 
 
+def split_summary(det: DataFrame, gt: DataFrame, splits: DataFrame, most: Sequence[int] = (1, 10, 100)) -> DataFrame:
+    """split, ap, ap50: means over the classes with ground truth of each split (label, split), such as seen and new
+    classes, or expressions by length; -1 without any."""
+    d, g, near = _image_tables(det, gt)
+    ap = precisions(evaluate(d, g, near, areas=AREAS[:1], most=most[-1]), _counted(g, AREAS[:1]))
+    x = splits.join(ap, "label", "left")  # a row for each class, split and threshold
+    some = F.col("ap").isNotNull()
+    return x.groupBy("split").agg(_mean(F.col("ap"), some).alias("ap"), _mean(F.col("ap"), some & (F.col("t") == 0)).alias("ap50"))
+
+
 def lvis_summary(det: DataFrame, gt: DataFrame, images: DataFrame, frequency: DataFrame, most: int | None = 300, most_in_class: int | None = None) -> DataFrame:
     """One row: ap, ap50, ap75, aps, apm, apl, and apr, apc, apf by ``frequency`` (label, frequency: r, c or f).
 

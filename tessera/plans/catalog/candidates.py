@@ -181,3 +181,51 @@ def assign_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = lambda n, sign: (F.col(f"c.c{n}") * F.col("c.stride") + sign * 2 * F.col("c.stride")).cast("double")
     p = p.select("image_id", (F.col("image_id") * 1000 + F.col("k")).alias("prior_id"), F.col("c.level").alias("level"), edge("x", -1).alias("x1"), edge("y", -1).alias("y1"), edge("x", 1).alias("x2"), edge("y", 1).alias("y2"))
     return A.region(p, views.ground_truth(spark, sf_dir), images, [s for s, _, _ in _LEVELS], [(r, c) for _, r, c in _LEVELS], 4)
+
+
+@query("assign_approximations", """, a AS (SELECT det_id AS prior_id, image_id, x1 + dx AS x1, y1, x2 + dx + grow AS x2, y2 + grow AS y2 FROM det, (VALUES (-9, 0), (0, 6), (7, -4)) v(dx, grow)),
+o AS (SELECT a.prior_id, g.gt_id, greatest(least(a.x2, g.x2) - greatest(a.x1, g.x1), 0) * greatest(least(a.y2, g.y2) - greatest(a.y1, g.y1), 0) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (g.x2 - g.x1) * (g.y2 - g.y1) AS s FROM a JOIN gt g ON a.image_id = g.image_id WHERE ignored = 0),
+z AS (SELECT prior_id, gt_id, max(i / greatest(s - i, 0.000001)) AS iou FROM o GROUP BY ALL), b AS (SELECT prior_id, arg_max(gt_id, (iou, -gt_id)) AS best, max(iou) AS m FROM z GROUP BY prior_id),
+c AS (SELECT prior_id, max(gt_id) AS claim FROM (SELECT *, max(iou) OVER (PARTITION BY gt_id) AS mx FROM z) WHERE iou = mx AND mx >= 0.3 GROUP BY prior_id)
+SELECT d.det_id AS prior_id, d.image_id, CASE WHEN claim IS NOT NULL THEN claim WHEN m >= 0.6 THEN best END AS gt_id, CASE WHEN claim IS NOT NULL THEN 1 WHEN m >= 0.6 THEN 1 WHEN coalesce(m, 0) < 0.4 THEN 0 ELSE -1 END AS state FROM det d LEFT JOIN b ON b.prior_id = d.det_id LEFT JOIN c ON c.prior_id = d.det_id""")
+def assign_approximations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, g = _sets(spark, sf_dir)
+    three = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(grow).alias("grow")) for dx, grow in ((-9, 0), (0, 6), (7, -4))]))
+    a = p.select("*", three.alias("v")).select("prior_id", "image_id", (F.col("x1") + F.col("v.dx")).alias("x1"), "y1", (F.col("x2") + F.col("v.dx") + F.col("v.grow")).alias("x2"), (F.col("y2") + F.col("v.grow")).alias("y2"))
+    return A.max_iou(p, g, 0.6, 0.4, 0.3, approximations=a)
+
+
+@query("assign_soft_label", X + """, c AS (SELECT *, max(CASE WHEN least(px - gx1, py - gy1, gx2 - px, gy2 - py) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY prior_id) AS hit FROM x),
+e AS (SELECT c.*, k, ((prior_id * 7 + k * 13) % 11 - 5) * 0.4::DOUBLE AS z, CASE WHEN k = gl THEN iou ELSE 0 END AS y FROM c, range(5) r(k) WHERE hit = 1),
+s AS (SELECT prior_id, gt_id, any_value(iou) AS iou, any_value(sqrt((px - gx) ** 2 + (py - gy) ** 2) / 32) AS far, sum((greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) * (y - 1 / (1 + exp(-z))) ** 2) AS l FROM e GROUP BY ALL),
+q AS (SELECT *, round(l - ln(iou + 0.0000001::DOUBLE) * 3 + pow(10.0::DOUBLE, far - 3), 9) AS cost FROM s), k AS (SELECT gt_id, greatest(floor(round(sum(iou), 9)), 1) AS k FROM (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY iou DESC, prior_id) AS r FROM q) WHERE r <= 13 GROUP BY gt_id),
+w AS (SELECT prior_id, arg_min(gt_id, (cost, gt_id)) AS gt_id FROM (SELECT q.*, k.k, row_number() OVER (PARTITION BY q.gt_id ORDER BY cost, prior_id) AS r FROM q JOIN k ON k.gt_id = q.gt_id) WHERE r <= k GROUP BY prior_id)""" + _STATE)
+def assign_soft_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, g = _sets(spark, sf_dir)
+    logits = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: ((F.col("prior_id") * 7 + k * 13) % 11 - 5) * 0.4)
+    p = p.withColumns({"px": (F.col("x1") + F.col("x2")) / 2, "py": (F.col("y1") + F.col("y2")) / 2, "logits": logits})
+    return A.soft_label(p, g)
+
+
+@query("grouped_batches", f""", r AS (SELECT event_id, label % 3 AS source, CASE WHEN x2 - x1 < y2 - y1 THEN 0 ELSE 1 END AS grp FROM box), x AS (SELECT *, row_number() OVER (PARTITION BY grp, source ORDER BY {S.draw_sql(4, 'event_id')}, event_id) - 1 AS i, count(*) OVER (PARTITION BY grp, source) AS n FROM r),
+g AS (SELECT grp, count(*) AS s FROM r GROUP BY 1), h AS (SELECT grp, s, sum(s) OVER (ORDER BY grp) AS hi, sum(s) OVER () AS total FROM g), b AS (SELECT b AS batch, grp, row_number() OVER (PARTITION BY grp ORDER BY b) - 1 AS t FROM range(400) v(b) JOIN h ON {S.draw_sql(5, 'b')} * total >= hi - s AND {S.draw_sql(5, 'b')} * total < hi),
+w AS (SELECT b.*, source, c, place FROM b, (VALUES (0, 3), (1, 2)) k(source, c), range(3) p(place) WHERE place < c) SELECT batch, w.grp AS "group", w.source, CAST(place AS INTEGER) AS place, event_id FROM w JOIN x ON x.grp = w.grp AND x.source = w.source AND x.i = (t * c + place) % x.n""")
+def grouped_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = views.boxes(spark, sf_dir)
+    rows = b.select("event_id", (F.col("label") % 3).alias("source"), F.when(F.col("x2") - F.col("x1") < F.col("y2") - F.col("y1"), 0).otherwise(1).alias("group"))
+    return S.grouped_batches(rows, {0: 3, 1: 2, 2: 0}, 400, "source", "group", "event_id", seed=4)
+
+
+_FR = "WITH f AS (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_id FROM events)"
+
+
+@query("shuffled_frames", _FR + f""", n AS (SELECT *, row_number() OVER (ORDER BY {S.draw_sql(9, 'video_id', 'frame_id')}, video_id, frame_id) - 1 AS i, count(*) OVER () AS n FROM f), a AS (SELECT *, CAST(ceil(n / 7) * 7 AS BIGINT) AS total FROM n)
+SELECT video_id, frame_id, j % 7 AS worker, j // 7 AS place FROM (SELECT *, unnest([i, i + n]) AS j FROM a) WHERE j < total""", with_views=False)
+def shuffled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.shuffled_frames(views.frames(spark, sf_dir), 7, seed=9)
+
+
+@query("frames_in_order", _FR + """, v AS (SELECT video_id, row_number() OVER (ORDER BY video_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT video_id FROM f)),
+w AS (SELECT video_id, CASE WHEN i < (n % 7) * (n // 7 + 1) THEN i // (n // 7 + 1) ELSE n % 7 + (i - (n % 7) * (n // 7 + 1)) // greatest(n // 7, 1) END AS worker FROM v) SELECT f.video_id, frame_id, worker FROM f JOIN w USING (video_id)""", with_views=False)
+def frames_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.frames_in_order(views.frames(spark, sf_dir), 7)

@@ -250,3 +250,25 @@ def lvis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jaccard_index")
 def jaccard_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.jaccard_index(_det(spark, sf_dir), _gt(spark, sf_dir)).select(F.round("ji", 9).alias("ji"))
+
+
+@query("split_summary")
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes 0 to 2 as seen ones, 3 and 4 as new ones."""
+    d, g = _det(spark, sf_dir), _gt(spark, sf_dir)
+    splits = g.select("label").distinct().withColumn("split", F.when(F.col("label") < 3, "seen").otherwise("new"))
+    return Y.split_summary(d, g, splits).select("split", F.round("ap", 9).alias("ap"), F.round("ap50", 9).alias("ap50"))
+
+
+@query("grounded_f1")
+def grounded_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression for each image; every seventh has no target."""
+    gt = _gt(spark, sf_dir).withColumn("no_target", F.when(F.col("image_id") % 7 == 0, 1).otherwise(0))
+    pred = _det(spark, sf_dir).withColumnRenamed("det_id", "pred_id").where("image_id % 14 <> 0 OR score < 0.7")
+    x = E.grounded_f1(pred, gt, least_score=0.7, least_f1=0.4)
+    return x.select(*[F.round(c, 9).alias(c) for c in x.columns])
+
+
+@query("crowd_matches")
+def crowd_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.crowd_matches(_det(spark, sf_dir), _gt(spark, sf_dir)).select("det_id", "image_id", "tp")

@@ -6,13 +6,18 @@ import math
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import assign as A
+from tessera.operators import metrics as E
 from tessera.operators import policies as PL
 from tessera.operators import sampling as S
+from tessera.operators.matching import overlaps
 from tessera.plans import convert as CV
+from tessera.plans import views
+from tessera.queries import QUERIES
 from tessera.sources import annotations as N
 from tessera.sources import images as IM
 
@@ -224,3 +229,91 @@ def test_a_class_without_a_parent_is_a_root(spark):
     e = spark.createDataFrame([("dog", "animal"), ("cat", "animal"), ("animal", None), ("rock", None), ("puppy", "dog")], "child string, parent string")
     got = {(r.child, r.ancestor) for r in N.ancestors(e).collect()}
     assert got == {("dog", "dog"), ("dog", "animal"), ("cat", "cat"), ("cat", "animal"), ("animal", "animal"), ("rock", "rock"), ("puppy", "puppy"), ("puppy", "dog"), ("puppy", "animal")}
+
+
+# ---------------------------------------------------------------- measures over images
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return views.detections(spark, SF).toPandas(), views.ground_truth(spark, SF).toPandas()
+
+
+C = ["x1", "y1", "x2", "y2"]
+
+
+def test_crowd_matches(spark, tables):
+    det, gt = tables
+    want = {}
+    for image, d in det.groupby("image_id"):
+        g = gt[gt.image_id == image]
+        real, out = g[g.ignored == 0], g[g.ignored != 0]
+        taken = set()
+        for r in d.sort_values(["score", "det_id"], ascending=[False, True]).itertuples():
+            b = np.array([[r.x1, r.y1, r.x2, r.y2]])
+            best, at = 0.5, None
+            for k in real.sort_values("gt_id").itertuples():
+                v = overlaps(b, np.array([[k.x1, k.y1, k.x2, k.y2]]))[0, 0]
+                if k.gt_id not in taken and v > best:
+                    best, at = v, k.gt_id
+            if at is not None:
+                taken.add(at)
+                want[r.det_id] = 1
+                continue
+            inter = [max(0, min(r.x2, k.x2) - max(r.x1, k.x1)) * max(0, min(r.y2, k.y2) - max(r.y1, k.y1)) for k in out.itertuples()]
+            if not any(i / ((r.x2 - r.x1) * (r.y2 - r.y1)) > 0.5 for i in inter):
+                want[r.det_id] = 0
+    assert {r.det_id: r.tp for r in QUERIES["crowd_matches"](spark, SF).collect()} == want
+    assert set(want.values()) == {0, 1} and len(want) < len(det)
+
+
+def test_grounded_f1(spark):
+    """Four expressions: all found, one of two found, rightly and wrongly nothing said of none, and one missed."""
+    far = lambda k: (100.0 * k, 0.0, 100.0 * k + 50, 50.0)
+    gt = boxes(spark, [(1, 1, 0, *far(0)), (1, 2, 0, *far(1)), (2, 3, 0, *far(0)), (2, 4, 0, *far(1)), (3, 5, 1, 0, 0, 0, 0), (4, 6, 1, 0, 0, 0, 0), (5, 7, 0, *far(0))], "image_id long, gt_id long, no_target int")
+    pred = boxes(spark, [(1, 1, 0.9, *far(0)), (1, 2, 0.7, *far(1)), (1, 3, 0.69, *far(2)), (2, 4, 0.9, *far(0)), (2, 5, 0.9, *far(0)), (4, 6, 0.8, *far(0)), (5, 7, 0.1, *far(0))], "image_id long, pred_id long, score double")
+    got = E.grounded_f1(pred, gt).first()
+    assert (got.f1_score, got.t_acc, got.n_acc) == (pytest.approx(2 / 5), pytest.approx(2 / 3), pytest.approx(1 / 2))
+    assert E.grounded_f1(pred, gt, least_f1=0.5).first().f1_score == pytest.approx(3 / 5)  # the second has 1 of 2 and 1 of 2
+    none = E.grounded_f1(pred, gt.limit(0)).first()
+    assert none.f1_score is None or none.f1_score == 0
+
+
+def test_grounded_f1_takes_the_nearest_pairs_first(spark, tables):
+    det, gt = tables
+    good = cases = 0
+    for image, g in gt.groupby("image_id"):
+        d = det[(det.image_id == image) & (det.score >= 0.7) & ((image % 14 != 0) | (det.score < 0.7))]
+        cases += 1
+        if image % 7 == 0:
+            good += not len(d)
+            continue
+        o = overlaps(d[C].to_numpy(), g[C].to_numpy()) if len(d) else np.zeros((0, len(g)))
+        tp = 0
+        while o.size and o.max() >= 0.5:
+            i, j = np.unravel_index(o.argmax(), o.shape)
+            o[i], o[:, j], tp = -1, -1, tp + 1
+        good += 2 * tp / (len(d) + len(g)) >= 0.4
+    assert QUERIES["grounded_f1"](spark, SF).first().f1_score == pytest.approx(good / cases, abs=1e-8)
+    assert 0 < good < cases
+
+
+def test_splits_are_means_of_their_classes(spark):
+    by_class = {r.label: (r.map, r.map_50) for r in QUERIES["coco_by_class"](spark, SF).collect()}
+    got = {r.split: (r.ap, r.ap50) for r in QUERIES["split_summary"](spark, SF).collect()}
+    for split, labels in (("seen", (0, 1, 2)), ("new", (3, 4))):
+        have = [by_class[k] for k in labels if k in by_class]
+        assert got[split] == pytest.approx(tuple(np.mean(have, axis=0)), abs=1e-7)
+
+
+def test_frames_are_dealt_evenly(spark):
+    f = spark.range(10).selectExpr("id % 3 AS video_id", "id AS frame_id")
+    got = S.shuffled_frames(f, 4, seed=1).collect()
+    assert len(got) == 12 and len({(r.video_id, r.frame_id) for r in got}) == 10 and len({(r.worker, r.place) for r in got}) == 12
+    few = S.shuffled_frames(f.limit(2), 5, seed=1).collect()
+    assert {(r.worker, r.place) for r in few} == {(w, 0) for w in range(5)}
+    runs = {r.video_id: r.worker for r in S.frames_in_order(spark.range(8).selectExpr("id AS video_id", "0 AS frame_id"), 3).collect()}
+    assert [runs[v] for v in range(8)] == [0, 0, 0, 1, 1, 1, 2, 2]
+    assert {r.worker for r in S.frames_in_order(spark.range(2).selectExpr("id AS video_id", "0 AS frame_id"), 3).collect()} == {0, 1}

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
@@ -43,3 +44,37 @@ def walk_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | s
             yield from run(table, list(zip(starts.tolist(), ends, strict=True))).to_batches()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walked, schema)
+
+
+def walk_frames(rows: DataFrame, keys: Sequence[str], frame: str, make: Callable[[tuple], object], schema: str) -> DataFrame:
+    """A result for each group of ``keys``, whose rows come frame by frame: ``make(key)`` gives an object with ``step``,
+    called with the rows of one frame after the other, and ``end``, which gives the group's rows of ``schema``. A task
+    holds one batch, one frame and the object."""
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, rest = None, None, None
+        by = [*keys, frame]
+
+        def steps(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal now, state
+            for (*key, _), one in part.groupby(by, sort=False):
+                if key != now:
+                    if state is not None:
+                        yield state.end()
+                    now, state = key, make(tuple(key))
+                state.step(one)
+
+        for batch in batches:
+            part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(part):
+                continue
+            last = (part[by] == part[by].iloc[-1]).all(axis=1)
+            rest = part[last]
+            if not last.all():
+                yield from steps(part[~last])
+        if rest is not None and len(rest):
+            yield from steps(rest)
+        if state is not None:
+            yield state.end()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, frame).mapInPandas(walked, schema)

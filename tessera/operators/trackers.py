@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .assign import solve
 from .matching import overlaps
-from .tracking import CHI2_95, CORNERS, Kalman, _identity, to_box, to_state
+from .tracking import CHI2_95, CORNERS, Kalman, identity_counts, to_box, to_state
 
 #: A cost that no sum of others reaches.
 NEVER = 1e6
@@ -445,15 +445,5 @@ def search(det: DataFrame, gt: DataFrame, settings: dict[str, Callable[[], objec
     Detections are read once and given to every setting; a task has one setting and video at a time."""
     names = F.explode(F.array(*[F.lit(n) for n in settings])).alias("setting")
     pred = walk(det.select(names, "*"), lambda name: settings[name](), ("setting", "video_id")).where("track_id >= 0")
-    cols = ["setting", "video_id", "frame_id", "track_id", *CORNERS]
-    x = pred.select(F.lit(0).alias("side"), *cols).unionByName(gt.select(names, "*").select(F.lit(1).alias("side"), *cols))
-    one = _identity(threshold)
-
-    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
-        return one(pdf).assign(setting=pdf["setting"].iloc[0])
-
-    counts = ("tp", "fp", "fn", "switches", "idtp", "gt", "pred")
-    per = x.groupBy("setting", "video_id").applyInPandas(scored, "video_id long, " + ", ".join(f"{c} long" for c in counts) + ", setting string")
-    s = per.groupBy("setting").agg(*[F.sum(c).alias(c) for c in counts])
-    s = s.withColumn("mota", F.try_divide(F.col("tp") - F.col("fp") - F.col("switches"), F.col("gt"))).withColumn("idf1", F.try_divide(2 * F.col("idtp"), F.col("gt") + F.col("pred")))
+    s = identity_counts(pred, gt.select(names, "*"), threshold, ("setting",))
     return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mota"), F.desc("idf1"), "setting")))  # a row for each setting

@@ -1,6 +1,6 @@
 """Tracking by keyed state over frames, repair of tracks, and tracking metrics.
 
-A video's frames are walked in order by one grouped function (or, in ``tessera.streaming``, by state between batches).
+A video's frames are walked in order as batches pass (or, in ``tessera.streaming``, by state between batches).
 ``Tracker`` holds what a video needs: Kalman states of its live tracks, bounded by the objects on screen.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .assign import solve
+from .groups import walk_frames
 from .matching import overlaps
 
 CORNERS = ("x1", "y1", "x2", "y2")
@@ -101,8 +102,8 @@ class Tracker:
         cost = np.where(o >= least, 1 - o, 1e6)
         return [(ids[r], int(c)) for r, c in zip(*solve(cost), strict=True) if cost[r, c] < 1e6]
 
-    def step(self, frame: int, boxes: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """Track id of each detection of a frame (-1: none). Frames not after the last one are late and get no ids."""
+    def step(self, frame: int, boxes: np.ndarray, labels: np.ndarray, scores: np.ndarray, embeds: np.ndarray | None = None) -> np.ndarray:
+        """Track id of each detection of a frame (-1: none); appearances are not looked at. Frames not after the last one are late and get no ids."""
         out = np.full(len(boxes), -1, np.int64)
         if frame <= self.last_frame:
             return out
@@ -136,21 +137,12 @@ class Tracker:
         return out
 
 
-def _walk(rules: Rules):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = Tracker(rules), []
-        for frame, part in pdf.sort_values(["frame_id", "det_id"]).groupby("frame_id"):
-            ids = tracker.step(int(frame), part[list(CORNERS)].to_numpy(float), part["label"].to_numpy(), part["score"].to_numpy(float))
-            out.append(part.assign(track_id=ids))
-        return pd.concat(out) if out else pdf.assign(track_id=pd.Series(dtype="int64"))
-
-    return run
-
-
 def track(det: DataFrame, rules: Rules | None = None) -> DataFrame:
     """``det`` (video_id, frame_id, det_id, label, score, corners) with track_id (-1: not tracked)."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in det.schema.fields) + ", track_id long"
-    return det.groupBy("video_id").applyInPandas(_walk(rules or Rules()), schema)
+    from .trackers import walk
+
+    own = rules or Rules()
+    return walk(det, lambda _: Tracker(own))
 
 
 def interpolate(tracks: DataFrame, least_frames: int = 5, most_gap: int = 20, shortest: int = 2) -> DataFrame:
@@ -210,45 +202,64 @@ def similarities(queries: DataFrame, keys: DataFrame, rows: int = 512) -> DataFr
     return out.withColumn("cosine", F.when(F.isnan("cosine"), None).otherwise(F.col("cosine")))
 
 
-def _identity(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gt, pr = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
-        counts = {"tp": 0, "fp": 0, "fn": 0, "switches": 0}
-        gids, pids = {g: i for i, g in enumerate(sorted(gt["track_id"].unique()))}, {p: i for i, p in enumerate(sorted(pr["track_id"].unique()))}
-        together = np.zeros((len(gids), len(pids)))
-        last: dict[int, int] = {}
-        for frame in sorted(pdf["frame_id"].unique()):
-            g, p = gt[gt["frame_id"] == frame], pr[pr["frame_id"] == frame]
-            o = overlaps(g[list(CORNERS)].to_numpy(float), p[list(CORNERS)].to_numpy(float))
-            gi, pi = g["track_id"].to_numpy(), p["track_id"].to_numpy()
-            for i in range(len(g)):
-                for j in np.flatnonzero(o[i] >= threshold):
-                    together[gids[gi[i]], pids[pi[j]]] += 1
-            keep = np.array([[last.get(a) == b for b in pi] for a in gi]).reshape(o.shape)
-            cost = np.where(o >= threshold, 1 - o - 1000 * keep, 1e6)
-            hits = [(r, c) for r, c in zip(*solve(cost), strict=True) if o[r, c] >= threshold]
-            for r, c in hits:
-                counts["switches"] += int(gi[r] in last and last[gi[r]] != pi[c])
-                last[gi[r]] = pi[c]
-            counts["tp"] += len(hits)
-            counts["fn"] += len(g) - len(hits)
-            counts["fp"] += len(p) - len(hits)
-        rows, cols = solve(-together)
-        idtp = int(together[rows, cols].sum()) if together.size else 0
-        return pd.DataFrame([{"video_id": pdf["video_id"].iloc[0], **counts, "idtp": idtp, "gt": len(gt), "pred": len(pr)}])
-
-    return run
+@dataclass
+class Identity:
+    """Counts of one video, frame by frame: matches, switches, and how long each pair of tracks goes together.
 
+    A frame's pairs of the frame before are kept where they still overlap enough; the rest is matched by overlap. What it
+    holds grows with the pairs of tracks that ever overlap, not with frames."""
 
-def tracking_scores(pred: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row: mota, idf1 and the counts behind them, over (video_id, frame_id, track_id, corners) tables."""
-    cols = ["video_id", "frame_id", "track_id", *CORNERS]
+    key: dict[str, object]
+    threshold: float
+    counts: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("tp", "fp", "fn", "switches", "gt", "pred"), 0))
+    together: dict[tuple[int, int], int] = field(default_factory=dict)
+    last: dict[int, int] = field(default_factory=dict)
+
+    def step(self, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values("track_id")
+        g, p = rows[rows["side"] == 1], rows[rows["side"] == 0]
+        o = overlaps(g[list(CORNERS)].to_numpy(float), p[list(CORNERS)].to_numpy(float))
+        gi, pi = g["track_id"].tolist(), p["track_id"].tolist()
+        for i, j in zip(*np.nonzero(o >= self.threshold), strict=True):
+            pair = gi[i], pi[j]
+            self.together[pair] = self.together.get(pair, 0) + 1
+        keep = np.array([[self.last.get(a) == b for b in pi] for a in gi]).reshape(o.shape)
+        cost = np.where(o >= self.threshold, 1 - o - 1000 * keep, 1e6)
+        hits = [(r, c) for r, c in zip(*solve(cost), strict=True) if o[r, c] >= self.threshold]
+        for r, c in hits:
+            self.counts["switches"] += int(gi[r] in self.last and self.last[gi[r]] != pi[c])
+            self.last[gi[r]] = pi[c]
+        for name, n in (("tp", len(hits)), ("fn", len(g) - len(hits)), ("fp", len(p) - len(hits)), ("gt", len(g)), ("pred", len(p))):
+            self.counts[name] += n
+
+    def end(self) -> pd.DataFrame:
+        gids, pids = ({v: i for i, v in enumerate(sorted({pair[k] for pair in self.together}))} for k in (0, 1))
+        table = np.zeros((len(gids), len(pids)))
+        for (a, b), n in self.together.items():
+            table[gids[a], pids[b]] = n
+        rows, cols = solve(-table)
+        return pd.DataFrame([{**self.key, **self.counts, "idtp": int(table[rows, cols].sum()) if table.size else 0}])
+
+
+COUNTS = ("tp", "fp", "fn", "switches", "idtp", "gt", "pred")
+
+
+def identity_counts(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each value of ``by`` (or one in all): ``COUNTS`` summed over videos, mota and idf1."""
+    keys = [*by, "video_id"]
+    cols = [*keys, "frame_id", "track_id", *CORNERS]
     x = pred.select(F.lit(0).alias("side"), *cols).unionByName(gt.select(F.lit(1).alias("side"), *cols))
-    per = x.groupBy("video_id").applyInPandas(_identity(threshold), "video_id long, tp long, fp long, fn long, switches long, idtp long, gt long, pred long")
-    s = per.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "switches", "idtp", "gt", "pred")])
+    schema = ", ".join([f"{k} {x.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} long" for c in COUNTS])
+    per = walk_frames(x, keys, "frame_id", lambda key: Identity(dict(zip(keys, key, strict=True)), threshold), schema)
+    s = per.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS])
     return s.withColumn("mota", F.try_divide(F.col("tp") - F.col("fp") - F.col("switches"), F.col("gt"))).withColumn("idf1", F.try_divide(2 * F.col("idtp"), F.col("gt") + F.col("pred")))
 
 
+def tracking_scores(pred: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: mota, idf1 and the counts behind them, over (video_id, frame_id, track_id, corners) tables."""
+    return identity_counts(pred, gt, threshold)
+
+
 #: Localisation thresholds of the higher-order score.
 HOTA_THRESHOLDS = tuple(0.05 * i for i in range(1, 20))
 

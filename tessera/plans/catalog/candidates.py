@@ -97,7 +97,12 @@ def assign_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.uniform(*_sets(spark, sf_dir))
 
 
-@query("assign_center_region")
+_PART = "greatest(least(dx2, gx + {r} * (gx2 - gx1)) - greatest(dx1, gx - {r} * (gx2 - gx1)), 0) * greatest(least(dy2, gy + {r} * (gy2 - gy1)) - greatest(dy1, gy - {r} * (gy2 - gy1)), 0) / greatest((dx2 - dx1) * (dy2 - dy1), 0.000001)"
+
+
+@query("assign_center_region", X + f""", z AS (SELECT *, {_PART.format(r=0.1)} AS core, {_PART.format(r=0.25)} AS shadow FROM x),
+h AS (SELECT prior_id, arg_min(gt_id, ((gx2 - gx1) * (gy2 - gy1), gt_id)) AS gt_id FROM z WHERE px > gx1 AND px < gx2 AND py > gy1 AND py < gy2 AND core > 0.01 GROUP BY 1)
+SELECT d.det_id AS prior_id, d.image_id, h.gt_id, CASE WHEN h.gt_id IS NOT NULL THEN 1 WHEN EXISTS (SELECT 1 FROM z WHERE z.prior_id = d.det_id AND shadow > 0.01) THEN -1 ELSE 0 END AS state FROM det d LEFT JOIN h ON h.prior_id = d.det_id""")
 def assign_center_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.center_region(*_sets(spark, sf_dir))
 

@@ -69,7 +69,9 @@ def topk_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ranked(_det(spark, sf_dir), ["label"], 100).select("det_id", "label", "score")
 
 
-@query("greedy_suppression")
+@query("greedy_suppression", """, l AS (SELECT image_id, label, list([{'det_id': det_id, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] ORDER BY score DESC, det_id) AS l FROM det GROUP BY ALL),
+k AS (SELECT image_id, label, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda k: list_transform([greatest(least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1), 0) * greatest(least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1), 0)],
+  lambda i: i / greatest((k.x2 - k.x1) * (k.y2 - k.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - i, 0.000001))[1] > 0.5)) > 0 THEN a ELSE list_concat(a, x) END)) AS d FROM l) SELECT d.det_id AS det_id, image_id, label, d.score AS score FROM k""")
 def greedy_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.greedy_suppression(_det(spark, sf_dir), 0.5).select("det_id", "image_id", "label", "score")
 
@@ -229,12 +231,41 @@ def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = ("map", "map_50", "map_75", "map_s", "map_m", "map_l", "ar_1", "ar_10", "ar_100", "ar_s", "ar_m", "ar_l")
 
 
-@query("coco_summary")
+def _coco_sql(sizes: str) -> str:
+    """Greedy matching of images and labels as a fold over detections, for every threshold ``t`` and range ``a`` of ``sizes``
+    (rows of a, low, high): up to ``z`` (label, a, t, ap) and ``y`` (label, a, t, r_1, r_10, r_100)."""
+    state = "'taken': []::BIGINT[], 'rows': []::STRUCT(det_id BIGINT, score DOUBLE, place BIGINT, tp INTEGER, fp INTEGER)[]"
+    return f""", sz AS (SELECT * FROM (VALUES {sizes}) v(a, low, high)), d AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY image_id, label ORDER BY score DESC, det_id) - 1 AS r FROM det QUALIFY r < 100),
+g AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY image_id, label ORDER BY gt_id) AS j FROM gt), n AS (SELECT label, a, count(*) AS n FROM g JOIN sz ON area BETWEEN low AND high WHERE ignored = 0 GROUP BY ALL),
+o AS (SELECT d.det_id, g.j, g.ignored, g.area, greatest(least(d.x2, g.x2) - greatest(d.x1, g.x1), 0) * greatest(least(d.y2, g.y2) - greatest(d.y1, g.y1), 0) AS i, d.area + g.area AS s FROM d JOIN g USING (image_id, label)),
+p AS (SELECT det_id, a, list({{'j': j, 'v': i / greatest(s - i, 0.000001), 's': CASE WHEN ignored = 1 OR area < low OR area > high THEN 1 ELSE 0 END}}) AS cand FROM o, sz WHERE i / greatest(s - i, 0.000001) >= 0.5 GROUP BY ALL),
+e AS (SELECT image_id, label, a, t, list({{{state}, 'cand': coalesce(cand, []), 'det_id': d.det_id, 'score': score, 'place': r, 'off': area < low OR area > high, 'least': least(0.5::DOUBLE + 0.05::DOUBLE * t, 1 - 1e-10)}} ORDER BY r) AS l FROM d CROSS JOIN sz LEFT JOIN p USING (det_id, a), range(10) k(t) GROUP BY ALL),
+f AS (SELECT label, a, t, unnest(list_reduce(list_prepend({{{state}, 'cand': l[1].cand, 'det_id': 0::BIGINT, 'score': 0::DOUBLE, 'place': 0::BIGINT, 'off': false, 'least': 0::DOUBLE}}, l), lambda acc, x:
+  list_transform([list_sort(list_transform(list_filter(x.cand, lambda k: k.v >= x.least AND NOT list_contains(acc.taken, k.j)), lambda k: {{'s': -k.s, 'v': k.v, 'j': k.j}}), 'DESC')[1]], lambda b: {{'taken': CASE WHEN b IS NULL THEN acc.taken ELSE list_append(acc.taken, b.j) END,
+  'rows': list_append(acc.rows, {{'det_id': x.det_id, 'score': x.score, 'place': x.place, 'tp': CASE WHEN b.s = 0 THEN 1 ELSE 0 END::INTEGER, 'fp': CASE WHEN b IS NULL AND NOT x.off THEN 1 ELSE 0 END::INTEGER}}), 'cand': x.cand, 'det_id': x.det_id, 'score': x.score, 'place': x.place, 'off': x.off, 'least': x.least}})[1]).rows, recursive := true) FROM e),
+c AS (SELECT label, a, t, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM f WHERE tp + fp > 0 WINDOW w AS (PARTITION BY label, a, t ORDER BY score DESC, det_id)),
+h AS (SELECT label, a, t, i, coalesce(max(ct / (ct + cf)) FILTER (ct / n >= CASE WHEN i = 100 THEN 1 ELSE i * 0.01::DOUBLE END), 0) AS p FROM c JOIN n USING (label, a), range(101) r(i) GROUP BY ALL), m AS (SELECT label, a, t, avg(p) AS ap FROM h GROUP BY ALL),
+z AS (SELECT label, a, t, coalesce(ap, 0) AS ap FROM n CROSS JOIN range(10) k(t) LEFT JOIN m USING (label, a, t)), q AS (SELECT label, a, t, sum(tp) FILTER (place < 1) AS s1, sum(tp) FILTER (place < 10) AS s10, sum(tp) AS s100 FROM f GROUP BY ALL),
+y AS (SELECT label, a, t, coalesce(s1, 0) / n AS r_1, coalesce(s10, 0) / n AS r_10, coalesce(s100, 0) / n AS r_100 FROM n CROSS JOIN range(10) k(t) LEFT JOIN q USING (label, a, t))"""
+
+
+_ALL = "(0, 0::DOUBLE, 1e10)"
+_RANGES = _ALL + ", (1, 0, 1024), (2, 1024, 9216), (3, 9216, 1e10)"
+_SUMMARY = ", ".join(
+    f"round(coalesce((SELECT avg({v}) FROM {t} WHERE {w}), -1), 9) AS {n}"
+    for n, v, t, w in (
+        ("map", "ap", "z", "a = 0"), ("map_50", "ap", "z", "a = 0 AND t = 0"), ("map_75", "ap", "z", "a = 0 AND t = 5"), ("map_s", "ap", "z", "a = 1"), ("map_m", "ap", "z", "a = 2"), ("map_l", "ap", "z", "a = 3"),
+        ("ar_1", "r_1", "y", "a = 0"), ("ar_10", "r_10", "y", "a = 0"), ("ar_100", "r_100", "y", "a = 0"), ("ar_s", "r_100", "y", "a = 1"), ("ar_m", "r_100", "y", "a = 2"), ("ar_l", "r_100", "y", "a = 3"),
+    )
+)
+
+
+@query("coco_summary", _coco_sql(_RANGES) + f" SELECT {_SUMMARY}")
 def coco_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.coco_summary(_det(spark, sf_dir), _gt(spark, sf_dir)).select(*[F.round(n, 9).alias(n) for n in _VALUES])
 
 
-@query("coco_by_class")
+@query("coco_by_class", _coco_sql(_ALL) + " SELECT label, round(avg(ap), 9) AS map, round(max(ap) FILTER (t = 0), 9) AS map_50, round(max(ap) FILTER (t = 5), 9) AS map_75 FROM z GROUP BY label")
 def coco_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.coco_summary(_det(spark, sf_dir), _gt(spark, sf_dir), by_class=True).select("label", *[F.round(n, 9).alias(n) for n in _VALUES[:3]])
 
@@ -252,7 +283,7 @@ def jaccard_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.jaccard_index(_det(spark, sf_dir), _gt(spark, sf_dir)).select(F.round("ji", 9).alias("ji"))
 
 
-@query("split_summary")
+@query("split_summary", _coco_sql(_ALL) + " SELECT CASE WHEN label < 3 THEN 'seen' ELSE 'new' END AS split, round(avg(ap), 9) AS ap, round(avg(ap) FILTER (t = 0), 9) AS ap50 FROM z GROUP BY 1")
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes 0 to 2 as seen ones, 3 and 4 as new ones."""
     d, g = _det(spark, sf_dir), _gt(spark, sf_dir)

@@ -252,3 +252,53 @@ def test_search_equals_separate_runs(spark):
         assert got.mota == pytest.approx(one.mota, abs=1e-6)
     order = pd.DataFrame([r.asDict() for r in rows.values()]).sort_values("place")
     assert order.mota.is_monotonic_decreasing and len(rows) == 4
+
+
+def best_map(cost):
+    """Pairs of least total cost, by trying all."""
+    n, m = cost.shape
+    if n > m:
+        return [(c, r) for r, c in best_map(cost.T)]
+    return min(([*zip(range(n), cols, strict=True)] for cols in itertools.permutations(range(m), n)), key=lambda pairs: sum(cost[r, c] for r, c in pairs), default=[])
+
+
+def test_identity_counts_equal_trying_all_pairs(spark):
+    r, rows = np.random.default_rng(8), []
+    for video in range(4):
+        for frame in range(12):
+            for side, n in (("gt", r.integers(0, 4)), ("pred", r.integers(0, 5))):
+                for track in r.permutation(4)[:n]:
+                    x, y = 60 * (track if r.random() < 0.8 else r.integers(0, 4)) + r.uniform(-8, 8), r.uniform(0, 8)
+                    rows.append((side, video, frame * 2, int(track), x, y, x + 40, y + 40))
+    frame = pd.DataFrame(rows, columns=["side", "video_id", "frame_id", "track_id", *T.CORNERS])
+    want = dict.fromkeys(T.COUNTS, 0)
+    for _, v in frame.groupby("video_id"):
+        last, together = {}, np.zeros((4, 4))
+        for _, part in v.groupby("frame_id"):
+            g, p = (part[part.side == s].sort_values("track_id") for s in ("gt", "pred"))
+            o = T.overlaps(g[list(T.CORNERS)].to_numpy(), p[list(T.CORNERS)].to_numpy())
+            a, b = g.track_id.tolist(), p.track_id.tolist()
+            for i, j in zip(*np.nonzero(o >= 0.5), strict=True):
+                together[a[i], b[j]] += 1
+            cost = np.array([[1 - o[i, j] - 1000 * (last.get(a[i]) == b[j]) if o[i, j] >= 0.5 else 1e6 for j in range(len(b))] for i in range(len(a))]).reshape(o.shape)
+            hits = [(i, j) for i, j in best_map(cost) if o[i, j] >= 0.5]
+            for i, j in hits:
+                want["switches"] += a[i] in last and last[a[i]] != b[j]
+                last[a[i]] = b[j]
+            want["tp"] += len(hits)
+            want["fn"] += len(a) - len(hits)
+            want["fp"] += len(b) - len(hits)
+            want["gt"] += len(a)
+            want["pred"] += len(b)
+        want["idtp"] += int(sum(together[i, j] for i, j in best_map(-together)))
+    df = spark.createDataFrame(frame).repartition(3)
+    got = T.tracking_scores(df.where("side = 'pred'"), df.where("side = 'gt'")).first()
+    assert {c: got[c] for c in T.COUNTS} == want and want["switches"] > 0
+    assert got.mota == pytest.approx((want["tp"] - want["fp"] - want["switches"]) / want["gt"])
+    assert got.idf1 == pytest.approx(2 * want["idtp"] / (want["gt"] + want["pred"]))
+
+
+def test_two_band_tracks_equal_a_loop(spark):
+    det = videos._frames(spark, SF)
+    got = {r.det_id: r.track_id for r in T.track(det).collect()}
+    assert got == plain_loop(det.toPandas(), T.Tracker)

@@ -7,8 +7,9 @@ its n-grams divided by their number, and every document with a score under a thr
 The threshold comes from labels alone. Half of the trusted documents (by hash of the id) are held out of the target
 multinomial, so they score as clean documents without a label do. With q the ``TAIL`` quantile of their scores and m the
 median, the threshold is q - (m - q) / 2: below the tail by half of what the tail is below the middle. Where trusted text is thin,
-held-out scores spread more, and the threshold falls with them. With fewer than ``LEAST_HELD`` held-out documents only the
-base rules reject.
+held-out scores spread more, and the threshold falls with them. What n held-out documents say is weighed against a prior
+of ``PRIOR``, under which hardly any document falls, that counts as ``PRIOR_WEIGHT`` documents: with few of them little is
+rejected, and more labels move the threshold steadily.
 
 Scale. DataFrame functions only. Raw counts cover all documents; the aggregate is partial first and has at most one
 row for each bucket and task. The trusted side is a bounded sample of labelled ids (``trusted``, those with the
@@ -32,8 +33,10 @@ from .native import buckets_of, filled, hashes_of, let, summed, windows_of, word
 SYMBOLS = "#*$%&|<>"
 #: Added to the number of n-grams: scores of very short texts, which say little, move towards 0.
 SHRINK = 20
-#: Quantile of held-out trusted scores that the threshold starts from, and the fewest scores that it is taken from.
-TAIL, LEAST_HELD = 0.005, 20
+#: Quantile of held-out trusted scores that the threshold starts from.
+TAIL = 0.005
+#: Threshold without any held-out document, and how many of them it counts for.
+PRIOR, PRIOR_WEIGHT = -6.0, 20
 
 
 def repeated_words(windows: Column, k: int) -> Column:
@@ -75,7 +78,7 @@ def _score(hashes: Column, values: Column, buckets: int) -> Column:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int) -> DataFrame:
-    """One row: ``ratios`` (log(target / raw) by bucket, add-one smoothed) and ``threshold`` (null: too few held out)."""
+    """One row: ``ratios`` (log(target / raw) by bucket, add-one smoothed) and ``threshold``."""
     good = stage(_trusted(labels, trusted), "trusted")
     known = docs.select("doc_id", "text")
     grams = known.join(F.broadcast(good), "doc_id", "left")  # at most ``trusted`` rows
@@ -89,14 +92,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int) -
     held = known.join(F.broadcast(good.where("held").select("doc_id")), "doc_id").select("text", ratios.scalar().alias("ratios"))  # at most ``trusted`` rows
     held = held.select(let(hashes_of(words_of(F.col("text"))), lambda h: F.when(F.size(h) >= 10, _score(h, F.col("ratios"), buckets))).alias("score"))
     middle, low = F.percentile("score", F.lit(0.5)), F.percentile("score", F.lit(TAIL))
-    limit = stage(held.agg(F.when(F.count("score") >= LEAST_HELD, 1.5 * low - 0.5 * middle).alias("threshold")), "threshold")
+    n = F.count("score")
+    limit = (n * F.coalesce(1.5 * low - 0.5 * middle, F.lit(0.0)) + PRIOR_WEIGHT * PRIOR) / (n + PRIOR_WEIGHT)
+    limit = stage(held.agg(limit.alias("threshold")), "threshold")
     return ratios.withColumn("threshold", limit.scalar())
 
 
-def _keeps(score: Column, threshold: Column) -> Column:
-    return threshold.isNull() | (score >= threshold)
-
-
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = 1 << 16, trusted: int = 20_000) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept. ``threshold`` in
     place of the one that labels give."""
@@ -109,7 +110,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float | None =
     out = docs.select("doc_id", "text", fitted.select("ratios").scalar().alias("ratios")).select("doc_id", x.alias("x")).select("doc_id", "x.*")
     limit = fitted.select("threshold").scalar() if threshold is None else F.lit(threshold)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & _keeps(F.col("score"), limit))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= limit))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = 1 << 16, trusted: int = 20_000) -> DataFrame:
@@ -119,7 +120,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float | None =
 
     def passes(words: Column, hashes: Column) -> Column:
         n = F.size(words)
-        return (n >= 10) & _keeps(_score(hashes, F.col(ratios), buckets), F.col(limit)) & (100 * repeated_words(windows_of(hashes, 5), 5) <= 20 * n)
+        return (n >= 10) & (_score(hashes, F.col(ratios), buckets) >= F.col(limit)) & (100 * repeated_words(windows_of(hashes, 5), 5) <= 20 * n)
 
     kept = let(words_of(F.col("text")), lambda w: let(hashes_of(w), lambda h: passes(w, h)))
     own = fitted.select("threshold").scalar() if threshold is None else F.lit(threshold)

@@ -8,9 +8,9 @@ parts the agenda is a heap; for those of at most ``SCANNED`` characters a list t
 No merge crosses a place that no piece spans, so a text is cut there and each part has its own agenda: between a blank
 and what comes before it, between a letter and a mark that follows no letter in any piece, and around characters that
 occur in no piece of two or more characters. The cuts come from the vocabulary itself; one with pieces that span a blank
-from its left is not cut at blanks. Parts recur, so a
-worker keeps the ids of those it has met (at most ``CACHE``, short ones), from task to task. This is a store of
-results: any part outside it gets an agenda of its own.
+from its left is not cut at blanks. Parts recur, and so do the words between single blanks, so a worker keeps the ids of
+those it has met (at most ``CACHE`` of each, short ones), from task to task. This is a store of results: any part outside
+it gets an agenda of its own.
 
 Every batch is also encoded by the sentencepiece library, and ``agrees`` tells for each row whether all ids are equal.
 Decoding is the library's.
@@ -22,8 +22,8 @@ ignored, an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +32,20 @@ from pyspark.sql import functions as F
 
 from .common import lists, stage, table
 
-CACHE = 1_000_000
+CACHE = 2_000_000
 #: Longer parts are not kept.
 CACHED_LENGTH = 64
 SCANNED = 24
 BLANK = "▁"
 
 
+def _class(chars: set[str]) -> str:
+    """A character class, with ranges of neighbouring code points."""
+    points = set(map(ord, chars))
+    starts, ends = sorted(p for p in points if p - 1 not in points), sorted(p for p in points if p + 1 not in points)
+    return "[" + "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 class Vocabulary:
     """Scores and ids of a merge-type vocabulary with byte pieces, read through the library."""
 
@@ -59,7 +66,7 @@ class Vocabulary:
                 scores[sp.id_to_piece(i)] = sp.get_score(i)
         if "".join(sp.encode(" a  Bé ﬁ ", out_type=str)) != f"{BLANK}{BLANK}a{BLANK}{BLANK}Bé{BLANK}ﬁ{BLANK}" and sp.decode(sp.encode(" a  Bé ﬁ ")) != " a  Bé ﬁ ":
             raise ValueError("vocabularies that normalise texts are not supported")
-        self.end = sp.eos_id()
+        self.end = array("i", [sp.eos_id()]).tobytes()
         order = {score: r for r, score in enumerate(sorted(set(scores.values()), reverse=True))}
         self.ranks = {p: order[score] for p, score in scores.items()}  # equal scores, equal ranks
         long = [p for p in self.ids if len(p) > 1]
@@ -67,18 +74,20 @@ class Vocabulary:
         inner = {c for pair in pairs for c in pair} - {BLANK}
         letters = {c for c in inner if c.isalpha()}
         apart = {b for b in inner - letters if not any((a, b) in pairs for a in letters)}
-        some = lambda chars: "[" + re.escape("".join(sorted(chars))) + "]"
-        if any(b == BLANK and a != BLANK for a, b in pairs):
-            pattern = f"{some(inner | {BLANK})}+"
+        blank = f"[ {BLANK}]"  # both are the same symbol
+        self.cut_at_blanks = not any(b == BLANK and a != BLANK for a, b in pairs)
+        if not self.cut_at_blanks:
+            pattern = f"{_class(inner | {BLANK, ' '})}++"
         else:
-            pattern = f"{BLANK}*{some(letters)}+(?!{some(inner - apart)})|{BLANK}*{some(inner)}+|{BLANK}+"
+            pattern = f"{blank}*+{_class(letters)}++(?!{_class(inner - apart)})|{blank}*+{_class(inner)}++|{blank}++"
         self.part = re.compile(f"{pattern}|.", re.DOTALL)
 
     def parts(self, text: str) -> list[str]:
-        return self.part.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        return self.part.findall(" " + text) if text else []
 
     def agenda(self, part: str) -> tuple[int, ...]:
         """Ids of a part: its best adjacent pair, the leftmost of equals, is merged until none is a piece."""
+        part = part.replace(" ", BLANK)
         symbols = self.scanned(part) if len(part) <= SCANNED else self.heaped(part)
         out: list[int] = []
         for symbol in symbols:
@@ -129,9 +138,17 @@ class Vocabulary:
         return [part[i:j] for i, j in enumerate(end) if j]
 
 
-#: Vocabularies, and ids of parts that this worker process has met.
+class Store:
+    """Ids, as bytes, of the parts and of the words (with a blank before them) that a worker has met."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+
+#: Vocabularies, and what this worker process has met.
 _LOADED: dict[str, Vocabulary] = {}
-_KNOWN: dict[str, dict[str, tuple[int, ...]]] = {}
+_KNOWN: dict[str, Store] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -140,19 +157,39 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def ids_of(text: str, v: Vocabulary, known: dict[str, tuple[int, ...]]) -> list[int]:
-    parts = v.parts(text)
+def _of_parts(parts: list[str], v: Vocabulary, known: dict[str, bytes]) -> bytes:
     found = list(map(known.get, parts))
     for at in [at for at, ids in enumerate(found) if ids is None]:
-        found[at] = v.agenda(parts[at])
+        found[at] = array("i", v.agenda(parts[at])).tobytes()
         if len(parts[at]) <= CACHED_LENGTH and len(known) < CACHE:
             known[parts[at]] = found[at]
-    return [*chain.from_iterable(found), v.end]
+    return b"".join(found)
+
+
+def packed(text: str, v: Vocabulary, store: Store) -> bytes:
+    """The ids of a text, its end id included, as 32-bit numbers."""
+    words = text.split(" ")
+    if "" in words or BLANK in text or not v.cut_at_blanks:
+        return _of_parts(v.parts(text), v, store.parts) + v.end
+    found = list(map(store.words.get, words))  # one blank before each word
+    try:
+        return b"".join(found) + v.end
+    except TypeError:  # some words have not been met
+        for at in [at for at, ids in enumerate(found) if ids is None]:
+            found[at] = _of_parts(v.parts(words[at]), v, store.parts)
+            if len(words[at]) <= CACHED_LENGTH and len(store.words) < CACHE:
+                store.words[words[at]] = found[at]
+        return b"".join(found) + v.end
+
+
+def ids_of(text: str, v: Vocabulary, store: Store) -> list[int]:
+    return array("i", packed(text, v, store)).tolist()
 
 
 def _encoded(path: str, most: int = 1 << 22):
     def run(batches):
-        v, known = vocabulary(path), _KNOWN.setdefault(path, {})
+        v, store = vocabulary(path), _KNOWN.setdefault(path, Store())
+        decode = v.library.DecodeIds
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             at = 0
@@ -161,12 +198,12 @@ def _encoded(path: str, most: int = 1 << 22):
                 while to < len(texts) and (to == at or size + len(texts[to]) < most):
                     size += len(texts[to])
                     to += 1
-                ids = [ids_of(t, v, known) for t in texts[at:to]]
+                ids = [packed(t, v, store) for t in texts[at:to]]
                 theirs = v.library.encode(texts[at:to], add_eos=True, num_threads=1)
-                first = np.cumsum([0, *map(len, ids)])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(first[-1]))
-                decoded = v.library.decode(ids)
-                columns = [batch.column("doc_id").slice(at, to - at), lists(flat, first, pa.int32()), pa.array(decoded, pa.string()), pa.array([a == b for a, b in zip(ids, theirs, strict=True)], pa.bool_())]
+                agrees = [a == array("i", b).tobytes() for a, b in zip(ids, theirs, strict=True)]
+                decoded = [decode(b if ok else array("i", a).tolist()) for a, b, ok in zip(ids, theirs, agrees, strict=True)]
+                first = np.cumsum([0, *map(len, ids)]) // 4
+                columns = [batch.column("doc_id").slice(at, to - at), lists(np.frombuffer(b"".join(ids), np.int32), first, pa.int32()), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded", "agrees"])
                 at = to
 

@@ -135,23 +135,40 @@ def _distances(batches):
 
 
 def _counts(batches):
-    """For each positive of a block of queries: how many rows of another label in a block of the gallery are nearer."""
+    """For each positive of a block of queries: how many rows of other labels are nearer. A block of queries comes first, then
+    the blocks of the gallery, one after the other; counts add up, and a pair gives one row when its block has met all."""
+    queries: list[dict] = []
+    now = None
+
+    def done() -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate([q[c] for q in queries]) for c in ("vec_id", "other", "n")})
+
     for pdf in batches:
-        for queries, labels, kx in zip(pdf["queries"], pdf["labels"], pdf["k"], strict=True):
-            labels, y, rows = np.asarray(labels), _matrix(kx, len(labels)), []
+        for at, block, labels, kx in zip(pdf["q_block"], pdf["queries"], pdf["labels"], pdf["k"], strict=True):
+            if at != now:
+                if queries:
+                    yield done()
+                now, queries = at, []
+            if block is not None:
+                for q in block:
+                    other = np.array([v["other"] for v in q["p"]], np.int64)
+                    queries.append({"vec_id": np.full(len(other), q["vec_id"]), "other": other, "n": np.zeros(len(other), np.int64), "far": np.array([v["d"] for v in q["p"]], float) - NEAR, "label": q["label"], "x": np.asarray(q["x"], float)})
+                continue
+            labels, y = np.asarray(labels), _matrix(kx, len(labels))
             for q in queries:
-                d = np.sort(((y[labels != q["label"]] - np.asarray(q["x"], float)) ** 2).sum(1))
-                other, far = [v["other"] for v in q["p"]], np.array([v["d"] for v in q["p"]], float)
-                rows.append(pd.DataFrame({"vec_id": q["vec_id"], "other": other, "n": np.searchsorted(d, far - NEAR)}))
-            yield pd.concat(rows)
+                d = np.sort(((y[labels != q["label"]] - q["x"]) ** 2).sum(1))
+                q["n"] += np.searchsorted(d, q["far"])
+    if queries:
+        yield done()
 
 
 def reid(features: DataFrame, block: int = 256, ranks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """One row: mAP and cumulative match at ``ranks`` of every row (vec_id, label, embedding) against all others.
 
     Distances within a label are pairs by definition of the measure; they are made block by block. How many rows of other
-    labels come before each is counted block against block and summed before it is joined, so no row and no group holds
-    more than ``block`` vectors of a side, nor a label as a whole. At equal distances rows of the query's label come first.
+    labels come before each is counted while the gallery's blocks pass a block of queries in one task, so a pair gives one
+    row, and no row and no task holds more than ``block`` vectors of a side, nor a label as a whole. At equal distances
+    rows of the query's label come first.
     """
     x = features.select("vec_id", "label", _squares("embedding").alias("x"))
     q, k = _blocks(x, block, "q", ["label"]), _blocks(x, block, "k", ["label"])
@@ -165,10 +182,11 @@ def reid(features: DataFrame, block: int = 256, ranks: Sequence[int] = (1, 5, 10
     queries = pieces.join(x, "vec_id").withColumn("_n", n).withColumn("q_block", F.pmod(F.xxhash64("vec_id", "piece"), F.col("_n")))
     queries = queries.groupBy("q_block").agg(F.collect_list(F.struct("vec_id", "label", "x", "p")).alias("queries"))
     gallery = _blocks(x.withColumn("x", F.struct("label", "x")), block, "k").select("k_block", F.transform("k", lambda v: v["label"]).alias("labels"), F.transform("k", lambda v: v["x"]).alias("k"))
-    many = features.agg(F.greatest(F.ceil(F.count("*") / block * 2), F.lit(1)).cast("long")).scalar()
-    met = queries.withColumn("_g", many).withColumn("k_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1))).join(gallery, "k_block")
-    counted = met.select("queries", "labels", "k").mapInPandas(_counts, "vec_id long, other long, n long")
-    before = counted.groupBy("vec_id", "other").agg(F.sum("n").alias("n"))
+    first = queries.select("q_block", F.lit(-1).cast("long").alias("k_block"), "queries", F.lit(None).cast(gallery.schema["labels"].dataType).alias("labels"), F.lit(None).cast(gallery.schema["k"].dataType).alias("k"))
+    to_all = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q") - 1)).alias("q_block")
+    then = gallery.withColumn("_q", n).select(to_all, "k_block", F.lit(None).cast(queries.schema["queries"].dataType).alias("queries"), "labels", "k")
+    met = first.unionByName(then).repartition("q_block").sortWithinPartitions("q_block", "k_block")
+    before = met.select("q_block", "queries", "labels", "k").mapInPandas(_counts, "vec_id long, other long, n long")
     order = Window.partitionBy("vec_id").orderBy("d", "other")
     places = same.join(before, ["vec_id", "other"]).withColumn("i", F.row_number().over(order)).withColumn("place", F.col("i") + F.col("n"))
     per = places.groupBy("vec_id").agg(F.avg(F.col("i") / F.col("place")).alias("ap"), F.min("place").alias("first"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.boxes import Box, iou
-from .sampling import draw
+from .sampling import draw, draw_of
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -174,3 +174,54 @@ def affine(boxes: DataFrame, matrix: list[list[float]], width: float, height: fl
     b = Box.named().project(matrix)
     x = _with(boxes.withColumn("_in", b.overlaps_canvas(width, height)), b.clip(width, height))
     return x.where("_in").drop("_in")
+
+
+def _inner_border(border: int, size: Column) -> Column:
+    """``border`` halved until twice of it is less than the size."""
+    k = 2.0 * border / size
+    return F.floor(border / F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(k))) + (k == F.floor(k)).cast("int")))
+
+
+def centre_crop_pad(boxes: DataFrame, images: DataFrame, size: tuple[int, int], ratios: Sequence[float] = (0.9, 1.0, 1.1), border: int = 128, tries: int = 50, rounds: int = 4, seed: int = 0) -> DataFrame:
+    """Boxes on a canvas of ``size`` (width, height) times a drawn ratio, whose middle lies on a drawn point of the image.
+
+    The point keeps a border from the image's edges. Of at most ``rounds`` ratios with ``tries`` points each the first is
+    taken under which some box has its centre in the part of the image on the canvas; other boxes go, and those that stay
+    are moved and clipped. An image without such a point keeps its boxes and its canvas. ``images``: image_id, width,
+    height. An image's box centres are one array, so nothing but the boxes is shuffled."""
+    b = Box.named()
+    cx, cy = b.center
+    centres = boxes.groupBy("image_id").agg(F.collect_list(F.struct(cx.alias("x"), cy.alias("y"))).alias("_c"))
+    x = images.select("image_id", "width", "height").join(centres, "image_id")
+    w, h = F.col("width"), F.col("height")
+
+    def attempt(k: Column) -> Column:
+        u = lambda j, v: draw_of(seed + j, F.col("image_id"), v.cast("long"))
+        ratio = F.get(F.array(*[F.lit(float(r)) for r in ratios]), F.floor(u(0, F.floor(k / tries)) * len(ratios)).cast("int"))
+        point = [_inner_border(border, s) + F.floor(u(j, k) * (s - 2 * _inner_border(border, s))) for j, s in ((1, w), (2, h))]
+        return F.struct(*[c.cast("long").alias(n) for n, c in (("nw", size[0] * ratio), ("nh", size[1] * ratio), ("px", point[0]), ("py", point[1]))])
+
+    def shown(a: Column, c: Column) -> Column:
+        """The point ``c`` is in the part of the image on the canvas."""
+        near = lambda at, p, s, full: (at > F.greatest(F.lit(0), p - F.floor(s / 2))) & (at < F.least(p + F.floor(s / 2), full))
+        return near(c["x"], a["px"], a["nw"], w) & near(c["y"], a["py"], a["nh"], h)
+
+    all_tries = F.transform(F.sequence(F.lit(0), F.lit(tries * rounds - 1)), attempt)
+    found = F.get(F.filter(all_tries, lambda a: F.exists("_c", lambda c: shown(a, c))), F.lit(0))
+    y = boxes.drop("width", "height").join(x.select("image_id", "width", "height", found.alias("_a")), "image_id")
+    a = F.col("_a")
+    y = y.where(a.isNull() | shown(a, F.struct(cx.alias("x"), cy.alias("y"))))
+    new = b.translate(F.floor(a["nw"] / 2) - a["px"], F.floor(a["nh"] / 2) - a["py"]).clip(a["nw"], a["nh"])
+    y = y.withColumns({f"_{c}": F.when(a.isNull(), F.col(c)).otherwise(v) for c, v in zip(CORNERS, new.corners, strict=True)})
+    y = y.withColumns({"width": F.coalesce(a["nw"], w.cast("long")), "height": F.coalesce(a["nh"], h.cast("long"))} | {c: F.col(f"_{c}") for c in CORNERS})
+    return y.where(Box.named().is_inside(F.col("width"), F.col("height"))).drop("_a", *[f"_{c}" for c in CORNERS])
+
+
+def centre_pad(boxes: DataFrame, low_bits: int | None = 127, divisor: int | None = None, more: int = 0) -> DataFrame:
+    """Boxes on a larger canvas with the same middle: sizes with all ``low_bits`` set, plus ``more``, or, with ``divisor``,
+    its next multiples."""
+    grown = lambda s: (F.ceil(F.col(s) / divisor) * divisor) if divisor else (F.col(s).cast("long").bitwiseOR(F.lit(low_bits)) + more)
+    x = boxes.withColumn("_w", grown("width")).withColumn("_h", grown("height"))
+    shift = lambda new, old: F.floor(F.col(new) / 2) - F.floor(F.col(old) / 2)
+    x = _with(x, Box.named().translate(shift("_w", "width"), shift("_h", "height")))
+    return x.withColumn("width", F.col("_w")).withColumn("height", F.col("_h")).drop("_w", "_h")

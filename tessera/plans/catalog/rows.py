@@ -276,3 +276,22 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     content = F.unhex(F.get(F.array(*forms), (F.col("event_id") % 5).cast("int")))
     return IM.with_sizes(views.boxes(spark, sf_dir).select("event_id", content.alias("content")))
+
+
+def _border_sql(size: str) -> str:
+    return f"floor(60 / pow(2.0::DOUBLE, ceil(log2(ceil(120.0::DOUBLE / {size}))) + CASE WHEN 120.0::DOUBLE / {size} = floor(120.0::DOUBLE / {size}) THEN 1 ELSE 0 END))"
+
+
+@query("centre_crop_pad", _IMG + f""", t AS (SELECT img.*, k, [0.3::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE][CAST(floor({draw_sql(21, 'image_id', '(k // 3)')} * 3) AS BIGINT) + 1] AS r, {_border_sql('width')} AS bw, {_border_sql('height')} AS bh FROM img, range(12) v(k)),
+a AS (SELECT *, CAST(trunc(200 * r) AS BIGINT) AS nw, CAST(trunc(160 * r) AS BIGINT) AS nh, CAST(bw + floor({draw_sql(22, 'image_id', 'k')} * (width - 2 * bw)) AS BIGINT) AS px, CAST(bh + floor({draw_sql(23, 'image_id', 'k')} * (height - 2 * bh)) AS BIGINT) AS py FROM t),
+s AS (SELECT b.event_id, b.image_id, b.x1, b.y1, b.x2, b.y2, a.k, a.nw, a.nh, a.px, a.py, (b.x1 + b.x2) / 2 > greatest(0, px - nw // 2) AND (b.x1 + b.x2) / 2 < least(px + nw // 2, a.width) AND (b.y1 + b.y2) / 2 > greatest(0, py - nh // 2) AND (b.y1 + b.y2) / 2 < least(py + nh // 2, a.height) AS shown FROM b JOIN a USING (image_id)),
+f AS (SELECT image_id, min(k) AS k FROM s WHERE shown GROUP BY 1), m AS (SELECT event_id, least(greatest(x1 + nw // 2 - px, 0), nw) AS x1, least(greatest(y1 + nh // 2 - py, 0), nh) AS y1, least(greatest(x2 + nw // 2 - px, 0), nw) AS x2, least(greatest(y2 + nh // 2 - py, 0), nh) AS y2, nw AS width, nh AS height FROM s JOIN f USING (image_id, k) WHERE shown
+  UNION ALL SELECT event_id, x1, y1, x2, y2, CAST(width AS BIGINT), CAST(height AS BIGINT) FROM b WHERE image_id NOT IN (SELECT image_id FROM f)) SELECT * FROM m WHERE x1 < width AND y1 < height AND x2 > 0 AND y2 > 0""")
+def centre_crop_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = R.centre_crop_pad(views.boxes(spark, sf_dir), _images(spark, sf_dir), (200, 160), (0.3, 0.4, 0.6), border=60, tries=3, rounds=4, seed=21)
+    return x.select("event_id", "x1", "y1", "x2", "y2", "width", "height")
+
+
+@query("centre_pad", _IMG + " SELECT event_id, x1 + (width | 127) // 2 - width // 2 AS x1, y2 + (height | 127) // 2 - height // 2 AS y2, CAST(width | 127 AS BIGINT) AS width, CAST(height | 127 AS BIGINT) AS height FROM b")
+def centre_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.centre_pad(_boxes(spark, sf_dir)).select("event_id", "x1", "y2", "width", "height")

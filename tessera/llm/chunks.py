@@ -9,8 +9,8 @@ back by joining its ordered chunk list with the stored chunks; the result is ver
 Scale. Cutting reads each text in its row; the digests that are shuffled are a few percent of the text. Equal files are
 found first, by their digests, and stored and rebuilt once. Every file is stored in chunks and rebuilt by its ordered chunk
 list. The distinct chunks of a file that shares none with a different file are laid out in one row with that list (a pack),
-so they are joined without a shuffle; a Bloom filter of fixed size separates these files, so only texts of copies and of
-files that share chunks are shuffled, once, to the lists of what others own. A chunk that very many lists name is one row in the store; Spark splits that join's other side.
+so they are joined without a shuffle; a Bloom filter of fixed size separates these files, so only texts of copies, of
+repeated rows and of files that share chunks are shuffled, once, to the lists of what others own. A chunk that very many lists name is one row in the store; Spark splits that join's other side.
 
 Nulls and empty texts are 192 spaces. Repeated rows (one id, one text) are stored once.
 Rows without an id are left out; of different texts under one id the one with the smallest hash counts. Extra columns are ignored. An empty table
@@ -142,10 +142,11 @@ def _stored(batches):
         lent = batch.column("lent").to_pylist()
         for at, texts in _parts(batch.column("text").to_pylist()):
             for skip, (f, ends) in zip(lent[at : at + len(texts)], chunked(texts), strict=True):
-                skip = set(skip)
+                skip, own = set(skip), set()
                 for i, (a, z) in enumerate(zip([0, *ends], ends, strict=False)):
-                    if i not in skip:
-                        names.append(chunk_name(f[a:z]))
+                    if i not in skip and (name := chunk_name(f[a:z])) not in own:
+                        own.add(name)
+                        names.append(name)
                         data.append(f[a:z])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["digest", "bytes"])
 
@@ -186,13 +187,15 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     uses = stage(prefilter(each, "digest", shared, 1 << 19).join(shared.select("digest", F.col("doc_id").alias("owner"), F.col("pos").alias("at")), "digest").select("doc_id", "pos", ((F.col("doc_id") == F.col("owner")) & (F.col("pos") == F.col("at"))).alias("own")), "uses")
     sharing = uses.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("own"), F.col("pos"))).alias("lent"))
     copies = named.join(files.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("array<int>").alias("lent")).distinct()
-    special = stage(sharing.union(copies), "special")
+    special = sharing.union(copies)
+    again = named.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id").join(special.select("doc_id"), "doc_id", "left_anti")
+    special = stage(special.union(again.select("doc_id", F.array().cast("array<int>"))), "special")
     mixed = files.join(sharing.select("doc_id"), "doc_id", "left_semi").select("media", F.lit(True).alias("_s"))
     index = stage(named.join(mixed, "media", "left").withColumn("alone", F.col("_s").isNull()).drop("_s"), "index")
     drop_stage(named, files, shared, uses)  # before chunks are written
     split = marked(docs, "doc_id", special, "_maybe", 1 << 19)
     none = F.array().cast("array<int>")
-    some = split.where("_maybe").join(special.withColumn("_s", F.lit(1)), "doc_id", "left").select("text", F.when(F.col("_s").isNull(), 0).when(F.col("lent").isNull(), 1).otherwise(2).alias("part"), F.coalesce("lent", none).alias("lent"))
+    some = split.where("_maybe").join(special.withColumn("_s", F.lit(1)), "doc_id", "left").dropDuplicates(["doc_id"]).select("text", F.when(F.col("_s").isNull(), 0).when(F.col("lent").isNull(), 1).otherwise(2).alias("part"), F.coalesce("lent", none).alias("lent"))
     most = split.where("not _maybe").select("text")
     packs = stage(most.mapInArrow(_packed, "digest binary, chunks array<binary>, bytes array<binary>"), "packs", STORE_LEVEL)
     stored = stage(some.where("part <> 1").select("text", "lent").mapInArrow(_stored, "digest binary, bytes binary"), "chunks", STORE_LEVEL)

@@ -522,6 +522,18 @@ def test_every_file_is_stored_in_chunks(docs):
     assert files.keys() == lists.keys() and all(hashlib.sha256(f).digest() == m for m, f in files.items())
 
 
+def test_repeated_rows_are_stored_once(spark, rows):
+    twice = [*rows, *rows[:20], *rows[:5], rows[3]]
+    d = spark.createDataFrame(twice, "doc_id long, text string").repartition(4)
+    index, packs, stored = chunks.store_media(d)
+    names = [bytes(r.digest) for r in packs.select("digest").collect()]
+    held = [bytes(r.digest) for r in stored.select("digest").collect()]
+    assert len(names) == len(set(names)) and len(held) == len(set(held))
+    whole = {bytes(r.media): b"".join(bytes(x) for x in r.parts) for r in chunks.read_media(index, packs, stored).collect()}
+    assert all(hashlib.sha256(v).digest() == k for k, v in whole.items())
+    assert set(whole) == {bytes(r.media) for r in index.select("media").collect()}
+
+
 def test_chunks_move_with_their_content():
     r = random.Random(1)
     text = "".join(r.choice("abcdefgh ") for _ in range(30_000))
@@ -704,3 +716,25 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
         assert len(r.text) == r.n_chars
     pieces = cp.packing(spark, docs, sf)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_with_odd_rows(spark, docs, labels, tmp_path):
+    """Nulls, no ids, repeated rows, two texts under one id, columns whose names the stages use; then an empty table."""
+    import corpus_pipeline as cp
+
+    odd = spark.createDataFrame([(None, "a text without an id " * 9), (7, "another text of an id that is there " * 9), (9001, None), (9002, ""), (None, None)], "doc_id long, text string")
+    base = docs.select("doc_id", "text").union(docs.select("doc_id", "text")).unionByName(odd)
+    more = base.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(None).cast("long"), "rate": F.lit(1), "_ratios": F.lit("x"), "_limit": F.lit(2.0), "_maybe": F.lit(True), "spans": F.lit("y")})
+    more.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "a" / "labels.parquet"))
+    pieces = cp.run(spark, str(tmp_path / "a")).toPandas()
+    kept = set(pieces.doc_id.dropna().astype(int))
+    assert kept and not kept & {9001, 9002}
+    sequences = pieces.groupby("sequence_id").length.sum()
+    assert (sequences <= 4096).all() and (pieces.groupby("sequence_id").offset.min() == 0).all()
+    more.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "b" / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path / "b")).count() == 0
+    more.write.parquet(str(tmp_path / "c" / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "c" / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path / "c")).count() > 0  # without labels nothing but the base rules rejects

@@ -330,7 +330,7 @@ def jaccard_index(det: DataFrame, gt: DataFrame, threshold: float = 0.5, scores:
     return means.agg(F.coalesce(F.max("mean"), F.lit(0.0)).alias("ji"))
 
 
-def _best_pairs(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+def _nearest_first(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
     """How many pairs of each image are left when each, the nearest first, takes both its boxes out."""
     pred, gt = table.column("pred_id").to_numpy(), table.column("gt_id").to_numpy()
     images, hits = table.column("image_id").take(pa.array([a for a, _ in groups], pa.int64())), []
@@ -355,7 +355,7 @@ def grounded_f1(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, least_sc
     wanted = gt.groupBy("image_id").agg(F.count("*").alias("n_gt"), F.max("no_target").alias("none"))
     named = p.select("image_id", "pred_id", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
     near = named.join(gt.where("no_target = 0"), "image_id").withColumn("iou", iou(a, b)).where(F.col("iou") >= threshold)
-    tp = walk_groups(near.select("image_id", "iou", "pred_id", "gt_id"), ["image_id"], [F.desc("iou"), "pred_id", "gt_id"], _best_pairs, "image_id long, tp long")
+    tp = walk_groups(near.select("image_id", "iou", "pred_id", "gt_id"), ["image_id"], [F.desc("iou"), "pred_id", "gt_id"], _nearest_first, "image_id long, tp long")
     found = p.groupBy("image_id").agg(F.count("*").alias("n_pred"))
     x = wanted.join(found, "image_id", "left").join(tp, "image_id", "left").na.fill(0, ["n_pred", "tp"])
     some = F.col("n_pred") > 0

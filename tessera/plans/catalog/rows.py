@@ -185,9 +185,8 @@ def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("coco_result_rows", " SELECT image_id, det_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, score, label AS category_id FROM det")
 def coco_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det = views.detections(spark, sf_dir)
-    r = N.coco_rows(det.select("*")).select("image_id", "bbox", "score", "category_id")
-    return r.join(det.select("det_id", "score", "image_id"), ["image_id", "score"]).select("image_id", "det_id", *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate("xywh")], "score", "category_id")
+    r = N.coco_rows(views.detections(spark, sf_dir), keep=["det_id"])
+    return r.select("image_id", "det_id", *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate("xywh")], "score", "category_id")
 
 
 @query("coco_annotation_ids", " SELECT gt_id, row_number() OVER (ORDER BY image_id, gt_id) AS id, (x2 - x1) * (y2 - y1) AS area FROM gt")

@@ -220,10 +220,10 @@ def join_proposals(images: DataFrame, proposals: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- writers
 
 
-def coco_rows(det: DataFrame, categories: Column | None = None) -> DataFrame:
-    """Detections as COCO result rows: image_id, bbox (xywh), score, category_id."""
+def coco_rows(det: DataFrame, categories: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Detections as COCO result rows: image_id, bbox (xywh), score, category_id; columns of ``keep`` come first."""
     b = Box.named()
-    return det.select("image_id", F.array(*b.as_xywh()).alias("bbox"), "score", (categories if categories is not None else F.col("label")).alias("category_id"))
+    return det.select(*keep, "image_id", F.array(*b.as_xywh()).alias("bbox"), "score", (categories if categories is not None else F.col("label")).alias("category_id"))
 
 
 def coco_annotations(gt: DataFrame) -> DataFrame:

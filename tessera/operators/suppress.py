@@ -92,8 +92,9 @@ def _walk(iou_threshold: float, soft: float | None, low: float):
 
 
 def greedy_suppression(det: DataFrame, iou_threshold: float = 0.5, score_threshold: float = 0.0, most: int = -1, by_label: bool = True, soft_sigma: float | None = None) -> DataFrame:
-    """Best first; each kept detection removes (or with ``soft_sigma`` decays) those it overlaps more than the threshold."""
-    x = det.where(F.col("score") > score_threshold)
+    """Best first; each kept detection removes (or with ``soft_sigma`` decays) those it overlaps more than the threshold.
+    Scores have to pass a ``score_threshold`` over 0; at 0 none is asked for, and a score of 0 takes part."""
+    x = det.where(F.col("score") > score_threshold) if score_threshold > 0 else det
     keys = ["image_id", "label"] if by_label else ["image_id"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields)
     out = walk_groups(x, keys, [F.desc("score"), "det_id"], _walk(iou_threshold, soft_sigma, max(score_threshold, 1e-3)), schema)

@@ -125,36 +125,41 @@ def prefilter_sources(det: DataFrame, threshold: float = 0.0, weights: dict[int,
 
 
 def _fuse(iou_threshold: float, mode: str, total: float, sources: int, overflow: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(s=pdf["score"] * pdf["weight"]).sort_values(["s", "det_id"], ascending=[False, True])
-        boxes, s, w = pdf[list(CORNERS)].to_numpy(), pdf["s"].to_numpy(), pdf["weight"].to_numpy()
-        groups: list[list[int]] = []
-        fused = np.zeros((0, 4))
-        for i in range(len(pdf)):
-            o = overlaps(boxes[i : i + 1], fused)[0] if len(fused) else np.zeros(0)
-            j = int(o.argmax()) if len(o) else -1
-            if j >= 0 and o[j] > iou_threshold:
+    def confidence(s: np.ndarray, w: np.ndarray, most: float) -> float:
+        if mode == "box_and_model_avg":
+            return s.sum() / w.sum() * min(w.sum(), total) / total
+        if mode == "absent_model_aware_avg":
+            return s.sum() / (w.sum() + max(total - w.sum(), 0.0))
+        return s.max() / most if mode == "max" else s.mean() * (len(s) if overflow else min(sources, len(s))) / total
+
+    def run(table: pa.Table, spans: list[tuple[int, int]]) -> pa.Table:
+        """Rows of a group come best first; a cluster keeps its weighted sums, so a member is added once."""
+        boxes, every_s, every_w = np.stack([table.column(c).to_numpy() for c in CORNERS], axis=1).astype(float), table.column("_s").to_numpy(), table.column("weight").to_numpy()
+        out, first = [], []
+        for start, end in spans:
+            own, s, w = boxes[start:end], every_s[start:end], every_w[start:end]
+            groups: list[list[int]] = []
+            fused, sums, mass = np.zeros((8, 4)), np.zeros((8, 4)), np.zeros(8)
+            for i in range(end - start):
+                n = len(groups)
+                o = overlaps(own[i : i + 1], fused[:n])[0] if n else np.zeros(0)
+                j = int(o.argmax()) if n else -1
+                if j < 0 or not o[j] > iou_threshold:
+                    if n == len(fused):
+                        fused, sums, mass = np.concatenate([fused, fused]), np.concatenate([sums, sums]), np.concatenate([mass, mass])
+                    groups.append([i])
+                    fused[n], sums[n], mass[n] = own[i], own[i] * s[i], s[i]
+                    continue
                 groups[j].append(i)
-                m = groups[j]
-                fused[j] = (boxes[m] * s[m, None]).sum(0) / s[m].sum()
-            else:
-                groups.append([i])
-                fused = np.vstack([fused, boxes[i]])
-        out = []
-        for box, m in zip(fused, groups, strict=True):
-            conf = s[m].max() if mode == "max" else s[m].mean() if len(m) else 0.0
-            n = len(m)
-            if mode == "box_and_model_avg":
-                conf = s[m].sum() / w[m].sum() * min(w[m].sum(), total) / total
-            elif mode == "absent_model_aware_avg":
-                conf = s[m].sum() / (w[m].sum() + max(total - w[m].sum(), 0.0))
-            elif mode == "max":
-                conf = conf / w.max()
-            else:
-                conf = conf * (n if overflow else min(sources, n)) / total
-            out.append([*box, conf, n])
-        first = pdf.iloc[0]
-        return pd.DataFrame(out, columns=[*CORNERS, "score", "members"]).assign(image_id=first["image_id"], label=first["label"])
+                sums[j] += own[i] * s[i]
+                mass[j] += s[i]
+                fused[j] = sums[j] / mass[j]
+            most = w.max()
+            out += [[*box, confidence(s[m], w[m], most), len(m)] for box, m in zip(fused.tolist(), groups, strict=False)]
+            first += [start] * len(groups)
+        rows = pd.DataFrame(out, columns=[*CORNERS, "score", "members"])
+        at = pa.array(first, pa.int64())
+        return pa.table({**{c: rows[c].to_numpy() for c in (*CORNERS, "score")}, "members": rows["members"].to_numpy(np.int64), **{c: table.column(c).take(at).cast(pa.int64()) for c in ("image_id", "label")}})
 
     return run
 
@@ -168,7 +173,8 @@ def weighted_fusion(det: DataFrame, iou_threshold: float = 0.55, threshold: floa
     total = float(sum(weights.values())) if weights else float(n)
     x = prefilter_sources(det, threshold, weights)
     schema = "x1 double, y1 double, x2 double, y2 double, score double, members long, image_id long, label long"
-    return x.groupBy("image_id", "label").applyInPandas(_fuse(iou_threshold, mode, total, n, overflow), schema)
+    x = x.withColumn("_s", F.col("score") * F.col("weight")).select("image_id", "label", "det_id", *[F.col(c).cast("double").alias(c) for c in CORNERS], "weight", "_s")
+    return walk_groups(x, ["image_id", "label"], [F.desc("_s"), "det_id"], _fuse(iou_threshold, mode, total, n, overflow), schema)
 
 
 def mean_of_views(views: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ joins; windows are partitioned by detection, ground truth or class.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.boxes import Box, iou
+from .groups import walk_groups
 
 
 def _both() -> tuple[Box, Box]:
@@ -107,42 +108,43 @@ def mean_ap(aps: DataFrame) -> DataFrame:
 
 def _greedy(rule: str, threshold: float):
     """Greedy matching of one image and class; ``rule``: ``free`` (best free ground truth over its own threshold, which
-    shrinks for small boxes) or ``coco`` (not ignored first, crowds matched again, later wins equal IoU)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf[pdf["side"] == 0].sort_values(["score", "id"], ascending=[False, True])
-        g = pdf[pdf["side"] == 1].sort_values(["ignored", "id"] if rule == "coco" else ["ignored", "id"])
-        db, gb = d[["x1", "y1", "x2", "y2"]].to_numpy(), g[["x1", "y1", "x2", "y2"]].to_numpy()
-        ign, crowd = g["ignored"].to_numpy().astype(bool), g["crowd"].to_numpy().astype(bool)
-        shift = 1.0 if rule == "free" else 0.0
-        o = overlaps(db, gb - shift, crowd if rule == "coco" else None)
-        w, h = gb[:, 2] - gb[:, 0], gb[:, 3] - gb[:, 1]
-        need = np.minimum(w * h / ((w + 10) * (h + 10)), threshold) if rule == "free" else np.full(len(gb), min(threshold, 1 - 1e-10))
-        taken = np.zeros(len(gb), bool)
-        tp, fp, to = np.zeros(len(db), int), np.zeros(len(db), int), np.full(len(db), -1, np.int64)
-        ids = g["id"].to_numpy()
-        for i in range(len(db)):
-            best, m = (-1.0, -1)
-            if rule == "coco":
-                best = min(threshold, 1 - 1e-10)
-            for j in range(len(gb)):
-                if taken[j] and not (rule == "coco" and crowd[j]):
-                    continue
-                if rule == "coco":
-                    if m > -1 and not ign[m] and ign[j]:
-                        break
-                    if o[i, j] < best:
-                        continue
-                    best, m = o[i, j], j
-                elif o[i, j] >= need[j] and o[i, j] > best:
-                    best, m = o[i, j], j
-            if m >= 0:
-                taken[m] = True
-                to[i] = ids[m]
-                tp[i] = int(not ign[m])
-            else:
-                fp[i] = 1
-        return pd.DataFrame({"det_id": d["id"], "tp": tp, "fp": fp, "gt_id": to})
+    shrinks for small boxes) or ``coco`` (not ignored first, crowds matched again, later wins equal IoU). Rows of a group:
+    detections, the best first, then ground truth, the ignored last."""
+
+    def choice(o: np.ndarray, may: np.ndarray, ign: np.ndarray) -> int:
+        """The ground truth that a detection goes to; -1: none."""
+        if rule == "coco":
+            may = may & ~ign if (may & ~ign).any() else may
+            return len(o) - 1 - int(np.where(may, o, -1.0)[::-1].argmax())
+        return int(np.where(may, o, -1.0).argmax())
+
+    def run(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        boxes = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1).astype(float)
+        ids, side, ignored, crowds = (table.column(c).to_numpy() for c in ("id", "side", "ignored", "crowd"))
+        dets = np.flatnonzero(side == 0)
+        tp, fp, to = np.zeros(len(ids), np.int32), np.zeros(len(ids), np.int32), np.full(len(ids), -1, np.int64)
+        for start, end in groups:
+            cut = start + int(np.searchsorted(side[start:end], 1))
+            db, gb = boxes[start:cut], boxes[cut:end]
+            if not len(db):
+                continue
+            fp[start:cut] = 1
+            if not len(gb):
+                continue
+            ign, crowd = ignored[cut:end].astype(bool), crowds[cut:end].astype(bool)
+            o = overlaps(db, gb - (1.0 if rule == "free" else 0.0), crowd if rule == "coco" else None)
+            w, h = gb[:, 2] - gb[:, 0], gb[:, 3] - gb[:, 1]
+            need = np.minimum(w * h / ((w + 10) * (h + 10)), threshold) if rule == "free" else np.full(len(gb), min(threshold, 1 - 1e-10))
+            over = o >= need[None]
+            again = crowd & (rule == "coco")
+            free = np.ones(len(gb), bool)
+            for i in np.flatnonzero(over.any(1)).tolist():
+                may = over[i] & (free | again)
+                if may.any():
+                    m = choice(o[i], may, ign)
+                    free[m] = False
+                    to[start + i], tp[start + i], fp[start + i] = ids[cut + m], not ign[m], 0
+        return pa.table({"det_id": ids[dets], "tp": tp[dets], "fp": fp[dets], "gt_id": to[dets]})
 
     return run
 
@@ -172,7 +174,9 @@ def match_greedy(det: DataFrame, gt: DataFrame, rule: str, threshold: float = 0.
 
     A group holds the boxes of one class in one image, which a camera frame bounds.
     """
-    done = _sides(det, gt).groupBy("image_id", "label").applyInPandas(_greedy(rule, threshold), "det_id long, tp int, fp int, gt_id long")
+    if rule not in ("free", "coco"):
+        raise ValueError(f"unknown rule {rule!r}")
+    done = walk_groups(_sides(det, gt), ["image_id", "label"], ["side", "ignored", F.desc("score"), "id"], _greedy(rule, threshold), "det_id long, tp int, fp int, gt_id long")
     return det.join(done, "det_id")
 
 

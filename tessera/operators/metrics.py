@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -272,23 +272,44 @@ def box_intersections(det: DataFrame, gt: DataFrame) -> DataFrame:
 JACCARD_SCORES = tuple(i / 10 for i in range(10))
 
 
-def _most_pairs(near: np.ndarray) -> dict[int, int]:
-    """A maximum matching of columns to rows of a boolean table, by augmenting paths."""
+def _growing_pairs(near: np.ndarray, upto: Sequence[int]) -> Iterator[dict[int, int]]:
+    """Maximum matchings of columns to the first ``upto`` (not falling) rows of a boolean table, by augmenting paths."""
     row_of: dict[int, int] = {}
-
-    def found(i: int, seen: set[int]) -> bool:
-        for j in np.flatnonzero(near[i]).tolist():
-            if j in seen:
+    of = [np.flatnonzero(r).tolist() for r in near]
+
+    def found(start: int) -> bool:
+        """Looks for a path from a row to a column without one, depth first, and turns it."""
+        seen: set[int] = set()
+        way, at = [start], [iter(of[start])]
+        taken: list[int] = []
+        while way:
+            j = next((j for j in at[-1] if j not in seen), None)
+            if j is None:
+                way.pop(), at.pop()
+                if taken:
+                    taken.pop()
                 continue
             seen.add(j)
-            if j not in row_of or found(row_of[j], seen):
-                row_of[j] = i
+            taken.append(j)
+            if j not in row_of:
+                for i, c in zip(way, taken, strict=True):
+                    row_of[c] = i
                 return True
+            way.append(row_of[j])
+            at.append(iter(of[row_of[j]]))
         return False
 
-    for i in range(len(near)):
-        found(i, set())
-    return row_of
+    done = 0
+    for n in upto:
+        for i in range(done, n):
+            found(i)
+        done = n
+        yield row_of
+
+
+def _most_pairs(near: np.ndarray) -> dict[int, int]:
+    """A maximum matching of columns to rows of a boolean table."""
+    return next(_growing_pairs(near, [len(near)]))
 
 
 def _jaccard(threshold: float, scores: Sequence[float]):
@@ -299,19 +320,24 @@ def _jaccard(threshold: float, scores: Sequence[float]):
         w = np.clip(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0, None)
         return (w.prod(2) / np.maximum((a[:, 2:] - a[:, :2]).prod(1), 1e-6)[:, None]).max(1)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        corners = ["x1", "y1", "x2", "y2"]
-        det, gt = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        real, out = gt[gt["ignored"] == 0][corners].to_numpy(float), gt[gt["ignored"] != 0][corners].to_numpy(float)
-        rows = []
-        for s in scores:
-            d = det[det["score"] > s][corners].to_numpy(float)
-            pairs_ = _most_pairs(overlaps(d, real) >= threshold) if len(d) and len(real) else {}
-            free_d, free_g = np.setdiff1d(np.arange(len(d)), list(pairs_.values())), np.setdiff1d(np.arange(len(real)), list(pairs_))
-            m = len(real) - int((share(real[free_g], out) > threshold).sum())
-            n = len(d) - int((share(d[free_d], out) > threshold).sum())
-            rows.append((float(s), len(pairs_), m, n, len(pairs_) / (m + n - len(pairs_) + 1e-6)))
-        return pd.DataFrame(rows, columns=["threshold", "k", "m", "n", "ratio"])
+    def run(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        """Detections of an image come best first, so those over a threshold are its first ones, and a matching of them is
+        the start of that of more."""
+        boxes = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1).astype(float)
+        side, ignored, every = (table.column(c).to_numpy() for c in ("side", "ignored", "score"))
+        falling, rows = sorted(scores, reverse=True), []
+        for start, end in groups:
+            cut = start + int(np.searchsorted(side[start:end], 1))
+            det, gt, kind, score = boxes[start:cut], boxes[cut:end], ignored[cut:end], every[start:cut]
+            real, out = gt[kind == 0], gt[kind != 0]
+            det_out, real_out = share(det, out) > threshold, share(real, out) > threshold
+            upto = [int((score > s).sum()) for s in falling]
+            for s, n_det, row_of in zip(falling, upto, _growing_pairs(overlaps(det, real) >= threshold, upto), strict=True):
+                free_d, free_g = np.ones(n_det, bool), np.ones(len(real), bool)
+                free_d[list(row_of.values())], free_g[list(row_of)] = False, False
+                m, n, k = len(real) - int((real_out & free_g).sum()), n_det - int((det_out[:n_det] & free_d).sum()), len(row_of)
+                rows.append((float(s), k, m, n, k / (m + n - k + 1e-6)))
+        return pa.table(dict(zip(("threshold", "k", "m", "n", "ratio"), map(pa.array, zip(*rows, strict=True)), strict=True)))
 
     return run
 
@@ -325,7 +351,7 @@ def jaccard_index(det: DataFrame, gt: DataFrame, threshold: float = 0.5, scores:
     corners = ["x1", "y1", "x2", "y2"]
     x = det.select("image_id", F.lit(0).alias("side"), "score", F.lit(0).alias("ignored"), *corners)
     x = x.union(gt.select("image_id", F.lit(1), F.lit(0.0), F.col("ignored").cast("int"), *corners))
-    per = x.groupBy("image_id").applyInPandas(_jaccard(threshold, scores), "threshold double, k long, m long, n long, ratio double")
+    per = walk_groups(x, ["image_id"], ["side", F.desc("score"), *corners], _jaccard(threshold, scores), "threshold double, k long, m long, n long, ratio double")
     means = per.groupBy("threshold").agg((F.sum("ratio") / F.greatest(F.sum(((F.col("m") != 0) | (F.col("n") != 0)).cast("int")), F.lit(1))).alias("mean"))
     return means.agg(F.coalesce(F.max("mean"), F.lit(0.0)).alias("ji"))
 

@@ -7,6 +7,7 @@ are windows over the join on image_id; the one-to-one rules solve an assignment
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -257,6 +258,20 @@ def solve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, int), np.zeros(0, int)
     turned = cost.shape[0] > cost.shape[1]
     a = cost.T if turned else cost
+    match = (_paths_of_few if a.size <= FEW else _paths)(a)
+    cols = np.flatnonzero(match[1:])
+    rows = match[1:][cols] - 1
+    order = np.argsort(rows)
+    rows, cols = rows[order], cols[order]
+    return (cols, rows) if turned else (rows, cols)
+
+
+#: Cells up to which plain numbers are faster than arrays.
+FEW = 1024
+
+
+def _paths(a: np.ndarray) -> np.ndarray:
+    """Of each column (from 1) its row (from 1), 0: none."""
     n, m = a.shape
     u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
@@ -281,11 +296,42 @@ def solve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             j1 = way[j0]
             match[j0] = match[j1]
             j0 = j1
-    cols = np.flatnonzero(match[1:])
-    rows = match[1:][cols] - 1
-    order = np.argsort(rows)
-    rows, cols = rows[order], cols[order]
-    return (cols, rows) if turned else (rows, cols)
+    return match
+
+
+def _paths_of_few(a: np.ndarray) -> np.ndarray:
+    """``_paths`` step by step on plain numbers, with the same sums in the same order."""
+    (n, m), rows = a.shape, a.tolist()
+    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, way, used, free = [math.inf] * (m + 1), [0] * (m + 1), [], list(range(1, m + 1))
+        while True:
+            used.append(j0)
+            i0 = match[j0]
+            row, ui = rows[i0 - 1], u[i0]
+            delta, j1 = math.inf, free[0]
+            for j in free:
+                cur = row[j - 1] - ui - v[j]
+                if cur < least[j]:
+                    least[j], way[j] = cur, j0
+                if least[j] < delta:
+                    delta, j1 = least[j], j
+            if delta:
+                for j in used:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                for j in free:
+                    least[j] -= delta
+            free.remove(j1)
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            j1 = way[j0]
+            match[j0] = match[j1]
+            j0 = j1
+    return np.array(match)
 
 
 def _one_to_one(repeat: int):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .assign import solve
+from .groups import dealt
 from .matching import overlaps
 from .tracking import CHI2_95, CORNERS, Kalman, identity_counts, to_box, to_state
 
@@ -120,7 +121,7 @@ class ObservationTracker(_Live):
     def _by_motion(self, ids: list[int], det: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> list[tuple[int, int]]:
         if not ids or not len(det):
             return []
-        cost = self._overlap(np.array([to_box(self.live[i]["m"][:4]) for i in ids]), ids, det, labels, scores)
+        cost = self._overlap(to_box(np.array([self.live[i]["m"] for i in ids])), ids, det, labels, scores)
         moved = np.array([self.live[i]["way"] is not None for i in ids])
         own = np.array([np.zeros(2) if self.live[i]["way"] is None else self.live[i]["way"] for i in ids])
         to = self._direction(np.array([self._earlier(self.live[i]) for i in ids])[:, None], det[None])
@@ -134,10 +135,8 @@ class ObservationTracker(_Live):
             t["m"], t["c"] = t["kept"]
             for k in range(1, t["gap"] + 1):
                 t["m"], t["c"] = self.kalman.update(t["m"], t["c"], to_state(t["box"] + k * (box - t["box"]) / (t["gap"] + 1)))
-        t["m"], t["c"] = self.kalman.update(t["m"], t["c"], to_state(box))
         t["seen"], t["box"], t["label"], t["last"], t["gap"], t["hits"] = [*t["seen"], box][-1 - self.back :], box, label, frame, 0, t["hits"] + 1
         t["sure"] = t["sure"] or t["hits"] >= self.tentative
-        t["way"] = self._direction(self._earlier(t), box)
 
     def _open(self, frame: int, box: np.ndarray, label: int) -> int:
         m, c = self.kalman.start(to_state(box))
@@ -160,7 +159,7 @@ class ObservationTracker(_Live):
                 t["m"] = np.where(np.arange(8) == 7, 0.0, t["m"])
             if not t["gap"]:
                 t["kept"] = t["m"], t["c"]
-            t["m"], t["c"] = self.kalman.predict(t["m"], t["c"])
+        self.kalman.predict_all([self.live[i] for i in sure])
         free = np.flatnonzero(scores > self.least)
 
         def take(pairs: list[tuple[int, int]]) -> None:
@@ -182,6 +181,11 @@ class ObservationTracker(_Live):
                 self._meet(i, frame, boxes[met[i]], labels[met[i]])
             else:
                 t["seen"], t["gap"] = [*t["seen"], None][-1 - self.back :], t["gap"] + 1
+        if met:
+            tracks, det = [self.live[i] for i in met], boxes[list(met.values())]
+            self.kalman.update_all(tracks, to_state(det))
+            for t, way in zip(tracks, self._direction(np.array([self._earlier(t) for t in tracks]), det), strict=True):
+                t["way"] = way
         for d in free:
             out[d] = self._open(frame, boxes[d], labels[d])
         self.drop(frame)
@@ -220,7 +224,7 @@ class AppearanceTracker(_Live):
         return cls(**{"least": 0.5, "measure": "euclidean", "near": 2.0, "motion": 0.0, "centres": False, "by_score": False, "match": 0.5, **other})
 
     def _distance(self, ids: list[int], embeds: np.ndarray) -> np.ndarray:
-        x = np.array([np.mean(self.live[i]["look"], axis=0) for i in ids])
+        x = np.array([self.live[i]["mean"] for i in ids])
         if self.measure == "euclidean":
             return np.linalg.norm(x[:, None] - embeds[None], axis=-1)
         unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -233,6 +237,7 @@ class AppearanceTracker(_Live):
             t["look"] = [*t["look"], embed][-self.samples :]
         else:
             t["look"] = [(1 - self.average) * t["look"][0] + self.average * embed] if t["look"] else [embed]
+        t["mean"] = t["look"][0] if len(t["look"]) == 1 else np.mean(t["look"], axis=0)
 
     def step(self, frame: int, boxes: np.ndarray, labels: np.ndarray, scores: np.ndarray, embeds: np.ndarray | None = None) -> np.ndarray:
         out = np.full(len(boxes), -1, np.int64)
@@ -241,37 +246,37 @@ class AppearanceTracker(_Live):
         some = np.flatnonzero(scores > self.least)
         ids = np.full(len(some), -1, np.int64)
         det, kinds, looks = boxes[some], labels[some], None if embeds is None else embeds[some]
+        states = to_state(det)
         if self.live and len(some):
-            states, gates, limit = to_state(det), {}, CHI2_95[1 if self.centres else 3]
-            for i, t in self.live.items():
-                t["m"], t["c"] = self.kalman.predict(t["m"], t["c"])
-                far = self.kalman.gate(t["m"], t["c"], states, self.centres)
-                gates[i] = np.where(far > limit, np.nan, far)
+            self.kalman.predict_all(list(self.live.values()))
             sure = [i for i, t in self.live.items() if t["sure"]]
             if sure and looks is not None:
-                gate = np.array([gates[i] for i in sure])
+                gate = self.kalman.gate(np.array([self.live[i]["m"] for i in sure]), np.array([self.live[i]["c"] for i in sure]), states, self.centres)
+                gate = np.where(gate > CHI2_95[1 if self.centres else 3], np.nan, gate)
                 cost = (1 - self.motion) * np.where(np.isnan(gate), np.nan, self._distance(sure, looks)) + self.motion * gate
                 cost = cost + foreign([self.live[i]["label"] for i in sure], kinds)
                 for r, c in pair_then_cut(cost, lambda x: x <= self.near):
                     ids[c] = sure[r]
-            late = [i for i, t in self.live.items() if i not in set(ids.tolist()) and t["last"] == frame - 1]
+            met = set(ids.tolist())
+            late = [i for i, t in self.live.items() if i not in met and t["last"] == frame - 1]
             free = np.flatnonzero(ids < 0)
             if late and len(free):
                 cost = 1 - overlaps(np.array([self.live[i]["box"] for i in late]), det[free]) + foreign([self.live[i]["label"] for i in late], kinds[free])
                 for r, c in pair_then_cut(cost, lambda x: x < 1 - self.match):
                     ids[free[c]] = late[r]
+        old = np.flatnonzero(ids >= 0)
+        self.kalman.update_all([self.live[int(i)] for i in ids[old]], states[old], scores[some[old]][:, None] if self.by_score else 0.0)
         for d in range(len(some)):
-            i, z = int(ids[d]), to_state(det[d])
+            i = int(ids[d])
             if i < 0:
                 i = ids[d] = self.number()
-                m, c = self.kalman.start(z)
-                t = self.live[i] = {"hits": 1, "sure": False, "look": []}
+                m, c = self.kalman.start(states[d])
+                t = self.live[i] = {"hits": 1, "sure": False, "look": [], "m": m, "c": c}
             else:
                 t = self.live[i]
-                m, c = self.kalman.update(t["m"], t["c"], z, float(scores[some[d]]) if self.by_score else 0.0)
                 t["hits"] += 1
                 t["sure"] = t["sure"] or t["hits"] >= self.tentative
-            t.update(m=m, c=c, box=det[d], label=kinds[d], last=frame)
+            t.update(box=det[d], label=kinds[d], last=frame)
             self._remember(t, None if looks is None else looks[d])
         out[some] = ids
         self.drop(frame)
@@ -409,12 +414,17 @@ def _walk(make: Callable[[object], object], keys: list[str]):
 
         def frames(rows: pd.DataFrame) -> pd.DataFrame:
             nonlocal now, tracker
-            out = []
-            for (*video, frame), part in rows.groupby([*keys, "frame_id"], sort=False):
+            got, values = [], [rows[k].to_numpy() for k in (*keys, "frame_id")]
+            boxes, labels, scores, embeds = columns(rows)
+            new = np.ones(len(rows), bool)
+            new[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+            starts = np.flatnonzero(new).tolist()
+            for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+                *video, frame = (v[a] for v in values)
                 if video != now:
                     now, tracker = video, make(video[0])
-                out.append(part.assign(track_id=tracker.step(int(frame), *columns(part))))
-            return pd.concat(out)
+                got.append(tracker.step(int(frame), boxes[a:b], labels[a:b], scores[a:b], None if embeds is None else embeds[a:b]))
+            return rows.assign(track_id=np.concatenate(got))
 
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
@@ -435,7 +445,7 @@ def walk(det: DataFrame, make: Callable[[object], object], by: tuple[str, ...] =
 
     ``make`` gives a new tracker for each group of ``by``; it is called with the value of the first column of ``by``."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in det.schema.fields) + ", track_id long"
-    x = det.repartition(*by).sortWithinPartitions(*by, "frame_id", "det_id")
+    x = dealt(det, by).sortWithinPartitions(*by, "frame_id", "det_id")
     return x.mapInPandas(_walk(make, list(by)), schema)
 
 

@@ -23,40 +23,63 @@ CORNERS = ("x1", "y1", "x2", "y2")
 CHI2_95 = (3.8415, 5.9915, 7.8147, 9.4877, 11.070, 12.592, 14.067, 15.507, 16.919)
 
 
+_DIAGONAL = np.arange(8)
+
+
 class Kalman:
     """Constant velocity over (centre x, centre y, ratio, height) and their speeds; noise grows with the height."""
 
     position, velocity = 1 / 20, 1 / 160
 
-    def __init__(self) -> None:
-        self.move = np.eye(8) + np.eye(8, k=4)
-        self.see = np.eye(4, 8)
-
     def start(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p, v = self.position * z[3], self.velocity * z[3]
         return np.concatenate([z, np.zeros(4)]), np.diag(np.square([2 * p, 2 * p, 1e-2, 2 * p, 10 * v, 10 * v, 1e-5, 10 * v]))
 
     def predict(self, m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p, v = self.position * m[3], self.velocity * m[3]
-        return self.move @ m, self.move @ c @ self.move.T + np.diag(np.square([p, p, 1e-2, p, v, v, 1e-5, v]))
+        """The next state of one track, or of a stack of them: positions take on their speeds."""
+        noise = np.empty_like(m)
+        noise[..., :4], noise[..., 4:] = self.position * m[..., 3:4], self.velocity * m[..., 3:4]
+        noise[..., 2], noise[..., 6] = 1e-2, 1e-5
+        m, c = m.copy(), c.copy()
+        m[..., :4] += m[..., 4:]
+        c[..., :4, :] += c[..., 4:, :]
+        c[..., :, :4] += c[..., :, 4:]
+        c[..., _DIAGONAL[:8], _DIAGONAL[:8]] += noise * noise
+        return m, c
+
+    def predict_all(self, tracks: list[dict]) -> None:
+        """Moves the states of many tracks at once."""
+        if tracks:
+            for t, m, c in zip(tracks, *self.predict(np.array([t["m"] for t in tracks]), np.array([t["c"] for t in tracks])), strict=True):
+                t["m"], t["c"] = m, c
 
     def project(self, m: np.ndarray, c: np.ndarray, confidence: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        p = self.position * m[3]
-        noise = np.array([p, p, 1e-1, p]) * (1 - confidence)
-        return self.see @ m, self.see @ c @ self.see.T + np.diag(np.square(noise))
-
-    def update(self, m: np.ndarray, c: np.ndarray, z: np.ndarray, confidence: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        noise = np.repeat(self.position * m[..., 3:4], 4, axis=-1)
+        noise[..., 2] = 1e-1
+        noise *= 1 - confidence
+        zc = c[..., :4, :4].copy()
+        zc[..., _DIAGONAL[:4], _DIAGONAL[:4]] += noise * noise
+        return m[..., :4], zc
+
+    def update(self, m: np.ndarray, c: np.ndarray, z: np.ndarray, confidence: float | np.ndarray = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The state after an observation, of one track or of a stack of them (``confidence`` then may be a column)."""
         zm, zc = self.project(m, c, confidence)
-        gain = np.linalg.solve(zc, self.see @ c).T
-        return m + gain @ (z - zm), c - gain @ zc @ gain.T
+        gain = np.swapaxes(np.linalg.solve(zc, c[..., :4, :]), -1, -2)
+        return m + (gain @ (z - zm)[..., None])[..., 0], c - gain @ zc @ np.swapaxes(gain, -1, -2)
+
+    def update_all(self, tracks: list[dict], zs: np.ndarray, confidence: float | np.ndarray = 0.0) -> None:
+        """Corrects the states of many tracks at once."""
+        if tracks:
+            for t, m, c in zip(tracks, *self.update(np.array([t["m"] for t in tracks]), np.array([t["c"] for t in tracks]), zs, confidence), strict=True):
+                t["m"], t["c"] = m, c
 
     def gate(self, m: np.ndarray, c: np.ndarray, zs: np.ndarray, center_only: bool = False) -> np.ndarray:
-        """Squared Mahalanobis distances of observations."""
+        """Squared Mahalanobis distances of observations from one track, or from each of a stack of them."""
         zm, zc = self.project(m, c)
         k = 2 if center_only else 4
-        low = np.linalg.cholesky(zc[:k, :k])
-        d = np.linalg.solve(low, (zs[:, :k] - zm[:k]).T)
-        return (d * d).sum(0)
+        low = np.linalg.cholesky(zc[..., :k, :k])
+        d = np.linalg.solve(low, np.swapaxes(zs[:, :k] - zm[..., None, :k], -1, -2))
+        return (d * d).sum(-2)
 
 
 def to_state(b: np.ndarray) -> np.ndarray:
@@ -96,7 +119,7 @@ class Tracker:
     def _stage(self, ids: list[int], boxes: np.ndarray, labels: np.ndarray, scores: np.ndarray, least: float, weigh: bool) -> list[tuple[int, int]]:
         if not ids or not len(boxes):
             return []
-        o = overlaps(np.array([to_box(self.tracks[i]["m"][:4]) for i in ids]), boxes)
+        o = overlaps(to_box(np.array([self.tracks[i]["m"] for i in ids])), boxes)
         o = o * scores[None] if weigh else o
         o = np.where(np.array([self.tracks[i]["label"] for i in ids])[:, None] == labels[None], o, 0.0)
         cost = np.where(o >= least, 1 - o, 1e6)
@@ -112,18 +135,20 @@ class Tracker:
         for t in self.tracks.values():
             if t["last"] < frame - 1:
                 t["m"][7] = 0.0
-            t["m"], t["c"] = self.kalman.predict(t["m"], t["c"])
+        self.kalman.predict_all(list(self.tracks.values()))
         sure, weak = np.flatnonzero(scores > r.high), np.flatnonzero((scores > r.low) & (scores <= r.high))
         confirmed = [i for i, t in self.tracks.items() if t["sure"]]
         open_ = [i for i, t in self.tracks.items() if not t["sure"]]
         pairs = [(i, sure[c]) for i, c in self._stage(confirmed, boxes[sure], labels[sure], scores[sure], r.match[0], r.weigh)]
-        left = np.array([d for d in sure if d not in {d for _, d in pairs}], int)
+        taken = {d for _, d in pairs}
+        left = np.array([d for d in sure if d not in taken], int)
         pairs += [(i, left[c]) for i, c in self._stage(open_, boxes[left], labels[left], scores[left], r.match[1], r.weigh)]
-        rest = [i for i in confirmed if i not in {i for i, _ in pairs} and self.tracks[i]["last"] == frame - 1]
+        met = {i for i, _ in pairs}
+        rest = [i for i in confirmed if i not in met and self.tracks[i]["last"] == frame - 1]
         pairs += [(i, weak[c]) for i, c in self._stage(rest, boxes[weak], labels[weak], scores[weak], r.match[2], False)]
+        self.kalman.update_all([self.tracks[i] for i, _ in pairs], to_state(boxes[[d for _, d in pairs]]))
         for i, d in pairs:
             t = self.tracks[i]
-            t["m"], t["c"] = self.kalman.update(t["m"], t["c"], to_state(boxes[d]))
             t["last"], t["hits"] = frame, t["hits"] + 1
             t["sure"] = t["sure"] or t["hits"] >= r.tentative
             out[d] = i
@@ -215,21 +240,23 @@ class Identity:
     together: dict[tuple[int, int], int] = field(default_factory=dict)
     last: dict[int, int] = field(default_factory=dict)
 
-    def step(self, rows: pd.DataFrame) -> None:
-        rows = rows.sort_values("track_id")
-        g, p = rows[rows["side"] == 1], rows[rows["side"] == 0]
-        o = overlaps(g[list(CORNERS)].to_numpy(float), p[list(CORNERS)].to_numpy(float))
-        gi, pi = g["track_id"].tolist(), p["track_id"].tolist()
-        for i, j in zip(*np.nonzero(o >= self.threshold), strict=True):
+    def step(self, rows: dict[str, np.ndarray]) -> None:
+        order = np.argsort(rows["track_id"], kind="stable")
+        side, track = rows["side"][order], rows["track_id"][order]
+        boxes = np.stack([rows[c][order] for c in CORNERS], axis=1).astype(float)
+        o = overlaps(boxes[side == 1], boxes[side == 0])
+        gi, pi = track[side == 1].tolist(), track[side == 0].tolist()
+        near = o >= self.threshold
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
             pair = gi[i], pi[j]
             self.together[pair] = self.together.get(pair, 0) + 1
         keep = np.array([[self.last.get(a) == b for b in pi] for a in gi]).reshape(o.shape)
-        cost = np.where(o >= self.threshold, 1 - o - 1000 * keep, 1e6)
-        hits = [(r, c) for r, c in zip(*solve(cost), strict=True) if o[r, c] >= self.threshold]
+        cost = np.where(near, 1 - o - 1000 * keep, 1e6)
+        hits = [(r, c) for r, c in zip(*solve(cost), strict=True) if near[r, c]]
         for r, c in hits:
             self.counts["switches"] += int(gi[r] in self.last and self.last[gi[r]] != pi[c])
             self.last[gi[r]] = pi[c]
-        for name, n in (("tp", len(hits)), ("fn", len(g) - len(hits)), ("fp", len(p) - len(hits)), ("gt", len(g)), ("pred", len(p))):
+        for name, n in (("tp", len(hits)), ("fn", len(gi) - len(hits)), ("fp", len(pi) - len(hits)), ("gt", len(gi)), ("pred", len(pi))):
             self.counts[name] += n
 
     def end(self) -> pd.DataFrame:
@@ -270,10 +297,14 @@ def _higher_order(pdf: pd.DataFrame) -> pd.DataFrame:
     gids, pids = np.unique(gt["track_id"]), np.unique(pr["track_id"])
     frames = []
     together = np.zeros((len(gids), len(pids)))
-    for frame in sorted(pdf["frame_id"].unique()):
-        g, p = gt[gt["frame_id"] == frame], pr[pr["frame_id"] == frame]
-        gi, pi = np.searchsorted(gids, g["track_id"]), np.searchsorted(pids, p["track_id"])
-        o = overlaps(g[list(CORNERS)].to_numpy(float), p[list(CORNERS)].to_numpy(float))
+    gt, pr = gt.sort_values("frame_id", kind="stable"), pr.sort_values("frame_id", kind="stable")
+    times = np.unique(pdf["frame_id"])
+    ends = lambda x: np.searchsorted(x["frame_id"], times, "right").tolist()
+    g_at, p_at, g_end, p_end = np.searchsorted(gids, gt["track_id"]), np.searchsorted(pids, pr["track_id"]), ends(gt), ends(pr)
+    g_box, p_box = gt[list(CORNERS)].to_numpy(float), pr[list(CORNERS)].to_numpy(float)
+    for a, b, c, d in zip([0, *g_end], g_end, [0, *p_end], p_end, strict=False):
+        gi, pi = g_at[a:b], p_at[c:d]
+        o = overlaps(g_box[a:b], p_box[c:d])
         frames.append((gi, pi, o))
         if o.size:  # how much of all overlap of a pair's boxes the pair itself has
             both = o.sum(0)[None] + o.sum(1)[:, None] - o

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.boxes import Box, intersection, iou
-from .groups import walk_groups
+from .groups import dealt, walk_groups
 from .matching import overlaps, pairs, running
 from .suppress import ranked
 
@@ -102,94 +102,130 @@ def segmentation_summary(joint: DataFrame, ignore: int = 255) -> DataFrame:
     return s.select(F.round(100 * overall.scalar(), 2).alias("a_acc"), *[F.round(100 * F.col(c), 2).alias(f"m_{c}") for c in ("iou", "acc", "dice", "fscore")])
 
 
-def _squares(x: str) -> Column:
-    return F.transform(x, lambda v: v.cast("double"))
-
-
 #: Distances nearer than this are one: sums of squares may differ in their last bits.
 NEAR = 1e-9
 
 
-def _blocks(x: DataFrame, rows: int, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Blocks of at most ``rows`` rows (of one label, with ``by``): block, ids and vectors."""
-    key = F.struct(*by, "vec_id") if by else F.col("vec_id")
-    n = x.groupBy(*by).agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / rows * 2).cast("long")  # hashed rows fill blocks unevenly
-    y = x.join(n, list(by)) if by else x.withColumn("_n", n.select("_n").scalar())
-    y = y.withColumn(f"{name}_block", F.pmod(F.xxhash64(key), parts)).groupBy(*by, f"{name}_block").agg(F.collect_list(F.struct("vec_id", "x")).alias("b"))
-    return y.select(*by, f"{name}_block", F.transform("b", lambda v: v["vec_id"]).alias(f"{name}_ids"), F.transform("b", lambda v: v["x"]).alias(name))
-
-
-def _matrix(rows, n: int) -> np.ndarray:
-    return np.array(rows.tolist(), float).reshape(n, -1)
-
-
-def _distances(batches):
-    """(query, positive, distance) of two blocks of one label."""
-    for pdf in batches:
-        for q, qx, k, kx in zip(pdf["q_ids"], pdf["q"], pdf["k_ids"], pdf["k"], strict=True):
-            q, k = np.asarray(q), np.asarray(k)
-            d = ((_matrix(qx, len(q))[:, None] - _matrix(kx, len(k))[None]) ** 2).sum(2) if len(q) * len(k) * len(qx[0]) < 1 << 24 else np.stack([((_matrix(kx, len(k)) - v) ** 2).sum(1) for v in _matrix(qx, len(q))])
-            i, j = np.nonzero(q[:, None] != k[None])
-            yield pd.DataFrame({"vec_id": q[i], "other": k[j], "d": d[i, j]})
-
-
-def _counts(batches):
-    """For each positive of a block of queries: how many rows of other labels are nearer. A block of queries comes first, then
-    the blocks of the gallery, one after the other; counts add up, and a pair gives one row when its block has met all."""
-    queries: list[dict] = []
-    now = None
-
-    def done() -> pd.DataFrame:
-        return pd.DataFrame({c: np.concatenate([q[c] for q in queries]) for c in ("vec_id", "other", "n")})
-
-    for pdf in batches:
-        for at, block, labels, kx in zip(pdf["q_block"], pdf["queries"], pdf["labels"], pdf["k"], strict=True):
-            if at != now:
-                if queries:
-                    yield done()
-                now, queries = at, []
-            if block is not None:
-                for q in block:
-                    other = np.array([v["other"] for v in q["p"]], np.int64)
-                    queries.append({"vec_id": np.full(len(other), q["vec_id"]), "other": other, "n": np.zeros(len(other), np.int64), "far": np.array([v["d"] for v in q["p"]], float) - NEAR, "label": q["label"], "x": np.asarray(q["x"], float)})
-                continue
-            labels, y = np.asarray(labels), _matrix(kx, len(labels))
-            for q in queries:
-                d = np.sort(((y[labels != q["label"]] - q["x"]) ** 2).sum(1))
-                q["n"] += np.searchsorted(d, q["far"])
-    if queries:
-        yield done()
+#: Positives, with a distance and a count each, that a block of queries may have in all (16 bytes each).
+POSITIVES = 1 << 23
+#: Rows of the gallery that a block of queries is compared with at once, and most queries of a block.
+AT_ONCE, QUERIES = 1 << 14, 512
+
+
+#: Stands for a null label, which equals none.
+NO_LABEL = -(1 << 63)
+
+
+def _packed(rows: int, kind: type):
+    """Rows of a gallery as blocks of at most ``rows``: ids, labels and vectors as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids, labels = (part.column(c).cast(pa.int64()).fill_null(NO_LABEL).to_numpy() for c in ("vec_id", "label"))
+                x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(kind)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, labels, x)], ["ids", "labels", "x"])
+
+    return run
+
+
+def _apart(q: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``q`` and ``k``: by products where their rounding is far below ``NEAR``, else by
+    differences."""
+    a, b = (q**2).sum(1), (k**2).sum(1)
+    if len(k) and (a.max() + b.max()) * q.shape[1] * 1e-15 < NEAR:
+        return np.maximum(a[:, None] + b[None] - 2 * (q @ k.T), 0)
+    return np.stack([((k - v) ** 2).sum(1) for v in q])
+
+
+def _places(kind: type):
+    """ap and the place of the first positive of each query of a block, whose rows meet the gallery twice: at first its own
+    label's rows give the positives' distances, then those of other labels are counted. A task holds one block of queries, the
+    distances of their positives, and some blocks of the gallery."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, total = None, 0, 0
+        ids = x = far = nearer = None
+        found: list[list[np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def done() -> pa.RecordBatch:
+            some = [i for i, f in enumerate(far) if len(f)]
+            places = [np.arange(1, len(far[i]) + 1) + nearer[i] for i in some]
+            ap = [float((np.arange(1, len(p) + 1) / p).mean()) for p in places]
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ap, pa.float64()), pa.array([int(p[0]) for p in places], pa.int64())], ["vec_id", "ap", "first"])
+
+        def compare(turn: int) -> None:
+            """Queries with the rows of the gallery that wait: many at once, as a look at all positives follows."""
+            if waiting:
+                other, y = (np.concatenate(v) for v in zip(*waiting, strict=True))
+                waiting.clear()
+                for at in range(0, len(ids), 64):
+                    for j, d in enumerate(_apart(x[at : at + 64], y), at):
+                        if turn == 0:
+                            found[j].append(d[other != ids[j]])
+                        elif len(far[j]):
+                            d.sort()
+                            nearer[j] += np.searchsorted(d, far[j])
+
+        def finished() -> None:
+            if now is not None and seen != total:
+                raise RuntimeError(f"a block of queries met {seen} of {total} rows")
+
+        for batch in batches:
+            c = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                key = tuple(c[n][i].as_py() for n in ("label", "q_block", "turn"))
+                if key != now:
+                    finished()
+                    if now is not None and now[2] == 1:
+                        yield done()
+                    now, seen, total = key, 0, c["total"][i].as_py()
+                    if key[2] == 0:
+                        ids = np.array(c["q_ids"][i].as_py(), np.int64)
+                        x = c["q"][i].values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+                        found = [[] for _ in ids]
+                    else:
+                        far = [np.sort(np.concatenate(f)) - NEAR if f else np.zeros(0) for f in found]
+                        nearer, found = [np.zeros(len(f), np.int64) for f in far], []
+                other, labels = (np.frombuffer(c[n][i].as_buffer(), np.int64) for n in ("ids", "labels"))
+                y = np.frombuffer(c["x"][i].as_buffer(), kind).reshape(len(other), -1)
+                seen += len(other)
+                own = labels == key[0]
+                take = own if key[2] == 0 else ~own
+                if take.any():
+                    waiting.append((other[take], y[take].astype(float)))
+                if seen == total or sum(len(v) for v, _ in waiting) >= AT_ONCE:
+                    compare(key[2])
+        finished()
+        if now is not None:
+            yield done()
+
+    return run
 
 
-def reid(features: DataFrame, block: int = 256, ranks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+def reid(features: DataFrame, block: int = 2048, ranks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """One row: mAP and cumulative match at ``ranks`` of every row (vec_id, label, embedding) against all others.
 
-    Distances within a label are pairs by definition of the measure; they are made block by block. How many rows of other
-    labels come before each is counted while the gallery's blocks pass a block of queries in one task, so a pair gives one
-    row, and no row and no task holds more than ``block`` vectors of a side, nor a label as a whole. At equal distances
-    rows of the query's label come first.
+    All rows are compared with all, by definition of the measure, and no pair leaves its task. Queries are dealt in blocks of
+    one label, of at most about ``QUERIES`` rows and ``POSITIVES`` positives in all; the gallery is read again for each task, in
+    blocks of ``block`` rows, not shuffled. What is shuffled is thus each row once, and a row for each query. The least that a
+    task can hold is one query with the distances of its positives. At equal distances rows of the query's label come
+    first.
     """
-    x = features.select("vec_id", "label", _squares("embedding").alias("x"))
-    q, k = _blocks(x, block, "q", ["label"]), _blocks(x, block, "k", ["label"])
-    same = q.join(k, "label").select("q_ids", "q", "k_ids", "k").mapInPandas(_distances, "vec_id long, other long, d double")
-    # positives of a query in pieces of at most ``block``, each met by every block of the gallery
-    pieces = same.withColumn("piece", F.pmod(F.xxhash64("other"), F.lit(1 << 20)))
-    size = same.groupBy("vec_id").agg(F.ceil(F.count("*") / block * 2).alias("_m"))
-    pieces = pieces.join(size, "vec_id").withColumn("piece", F.col("piece") % F.col("_m"))
-    pieces = pieces.groupBy("vec_id", "piece").agg(F.collect_list(F.struct("other", "d")).alias("p"))
-    n = pieces.agg(F.greatest(F.ceil(F.count("*") / block * 2), F.lit(1)).cast("long")).scalar()
-    queries = pieces.join(x, "vec_id").withColumn("_n", n).withColumn("q_block", F.pmod(F.xxhash64("vec_id", "piece"), F.col("_n")))
-    queries = queries.groupBy("q_block").agg(F.collect_list(F.struct("vec_id", "label", "x", "p")).alias("queries"))
-    gallery = _blocks(x.withColumn("x", F.struct("label", "x")), block, "k").select("k_block", F.transform("k", lambda v: v["label"]).alias("labels"), F.transform("k", lambda v: v["x"]).alias("k"))
-    first = queries.select("q_block", F.lit(-1).cast("long").alias("k_block"), "queries", F.lit(None).cast(gallery.schema["labels"].dataType).alias("labels"), F.lit(None).cast(gallery.schema["k"].dataType).alias("k"))
-    to_all = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q") - 1)).alias("q_block")
-    then = gallery.withColumn("_q", n).select(to_all, "k_block", F.lit(None).cast(queries.schema["queries"].dataType).alias("queries"), "labels", "k")
-    met = first.unionByName(then).repartition("q_block").sortWithinPartitions("q_block", "k_block")
-    before = met.select("q_block", "queries", "labels", "k").mapInPandas(_counts, "vec_id long, other long, n long")
-    order = Window.partitionBy("vec_id").orderBy("d", "other")
-    places = same.join(before, ["vec_id", "other"]).withColumn("i", F.row_number().over(order)).withColumn("place", F.col("i") + F.col("n"))
-    per = places.groupBy("vec_id").agg(F.avg(F.col("i") / F.col("place")).alias("ap"), F.min("place").alias("first"))
+    x = features.select("vec_id", "label", "embedding")
+    kind = np.float32 if features.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+    n = x.groupBy("label").agg(F.count("*").alias("_n"))
+    rows = F.greatest(F.least(F.floor(F.lit(POSITIVES) / F.col("_n")), F.lit(min(block, QUERIES))), F.lit(1))  # of a block of queries
+    q = x.where("label is not null").join(n, "label").withColumn("q_block", F.pmod(F.xxhash64("vec_id", "label"), F.ceil(F.col("_n") / rows).cast("long")))
+    q = dealt(q, ["label", "q_block"]).groupBy("label", "q_block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("b"))
+    q = q.select("label", "q_block", F.transform("b", lambda v: v["vec_id"]).alias("q_ids"), F.transform("b", lambda v: v["embedding"]).alias("q"))
+    q = q.withColumn("total", n.agg(F.sum("_n")).scalar())
+    q = q.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).sortWithinPartitions("label", "q_block", "turn")
+    gallery = x.coalesce(1).mapInArrow(_packed(block, kind), "ids binary, labels binary, x binary")
+    met = q.crossJoin(gallery.hint("shuffle_replicate_nl"))  # a task's queries pass its reading of the gallery one after the other
+    per = met.mapInArrow(_places(kind), "vec_id long, ap double, first long")
     return per.agg(F.round(F.avg("ap"), 3).alias("map"), *[F.round(F.avg((F.col("first") <= r).cast("double")), 3).alias(f"r{r}") for r in ranks])
 
 

@@ -59,9 +59,9 @@ def panoptic_quality(joint: DataFrame, gt: DataFrame, pred: DataFrame, void: int
     counted; predictions mostly on void or on a crowd of their category are not false."""
     j = joint.groupBy("image_id", "gt_id", "pred_id").agg(F.sum("n").alias("n"))
     g_area = j.groupBy("image_id", "gt_id").agg(F.sum("n").alias("gt_area"))
-    p_area = j.groupBy("image_id", "pred_id").agg(F.sum("n").alias("pred_area"))
-    on_void = j.where(F.col("gt_id") == void).select("image_id", "pred_id", F.col("n").alias("on_void"))
-    g, p = gt.join(g_area, ["image_id", "gt_id"]), pred.join(p_area, ["image_id", "pred_id"]).join(on_void, ["image_id", "pred_id"], "left").withColumn("on_void", F.coalesce("on_void", F.lit(0)))
+    on_void = F.sum(F.when(F.col("gt_id") == void, F.col("n")).otherwise(0))
+    p_area = j.groupBy("image_id", "pred_id").agg(F.sum("n").alias("pred_area"), on_void.alias("on_void"))
+    g, p = gt.join(g_area, ["image_id", "gt_id"]), pred.join(p_area, ["image_id", "pred_id"])
     m = j.join(g.where("crowd = 0"), ["image_id", "gt_id"]).join(p.withColumnRenamed("category", "pred_category"), ["image_id", "pred_id"]).where("category = pred_category")
     m = m.withColumn("iou", F.col("n") / (F.col("pred_area") + F.col("gt_area") - F.col("n") - F.col("on_void"))).where("iou > 0.5")
     tp = m.groupBy("category").agg(F.count("*").alias("tp"), F.sum("iou").alias("sum_iou"))

@@ -67,13 +67,13 @@ def instance_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuse_panoptic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Things of labels 0 to 2 over stuff of labels 3 and 4, then how good the result is against the ground truth."""
     r = _runs(spark, sf_dir)
-    stuff = lambda x: RL.on_top(x.where("label > 2"), [F.col("event_id")], ["label"])
+    stuff = lambda x: RL.stacked(x.where("label > 2"), [F.col("event_id")], ["label"])
     things = lambda x: x.where("label < 3").select("image_id", F.col("event_id").alias("mask_id"), "label", "score", "start", "end")
-    fuse = lambda x: RL.fuse_panoptic(things(x), stuff(x), _sizes(r), least_stuff=60)
+    fuse = lambda x: RL.fuse_panoptic(things(x), stuff(x), _sizes(r), least_stuff=60, fill=True)
     pred, gt = fuse(r.where("k <> 0")).withColumnRenamed("segment_id", "pred_id"), fuse(r.where("k = 0")).withColumnRenamed("segment_id", "gt_id")
-    fill = lambda x, name: x.unionByName(RL.gaps(x, _sizes(r)).withColumn(name, F.lit(255).cast("long")))
-    joint = RL.shared(fill(gt, "gt_id"), fill(pred, "pred_id"), ["image_id", "gt_id", "pred_id"])
-    kinds = lambda name: joint.where(f"{name} <> 255").select("image_id", name, (F.col(name) % RL.OFFSET).alias("category")).distinct()
+    joint = RL.shared(gt, pred, ["image_id", "gt_id", "pred_id"])
+    # void is dropped after the sums, so that all readers of ``joint`` share its shuffle
+    kinds = lambda name: joint.groupBy("image_id", name).agg(F.sum("n").alias("n"), F.max(name).alias("_k")).where("n > 0 AND _k <> 255").select("image_id", name, (F.col(name) % RL.OFFSET).alias("category"))
     return E.panoptic_quality(joint, kinds("gt_id").withColumn("crowd", F.lit(0)), kinds("pred_id"), void=255).withColumn("sum_iou", F.round("sum_iou", 6))
 
 

@@ -103,17 +103,19 @@ def column_union(tables: Sequence[DataFrame], names: Sequence[str]) -> DataFrame
 def phrases_of(spans: Column, caption: Column) -> Column:
     """Phrases of an annotation from its character spans [[start, end], ...]: sorted by start, a span that begins one
     character, a blank, after the end of the one before goes on with its phrase; others begin a new one."""
-    cut = lambda s: F.substring(caption, s[0] + 1, s[1] - s[0])
+    low, high = F.array_min(F.transform(spans, lambda s: s[0])), F.array_max(F.transform(spans, lambda s: s[1]))
     pairs = F.array_sort(F.transform(spans, lambda s, i: F.struct(s[0].alias("start"), i.alias("i"), s[1].alias("end"))))
     begin = F.struct(F.array().cast("array<string>").alias("all"), F.lit(None).cast("string").alias("open"), F.lit(-10).alias("end"))
 
-    def take(done: Column, s: Column) -> Column:
-        text = cut([s["start"], s["end"]])
-        goes_on = (done["end"] + 1 == s["start"]) & (F.substring(caption, s["start"], F.lit(1)) == " ")
+    def take(part: Column, done: Column, s: Column) -> Column:
+        text = F.substring(part, s["start"] - low + 1, s["end"] - s["start"])
+        goes_on = (done["end"] + 1 == s["start"]) & (F.substring(part, s["start"] - low, F.lit(1)) == " ")
         closed = F.when(done["open"].isNull(), done["all"]).otherwise(F.concat(done["all"], F.array(done["open"])))
         return F.struct(F.when(goes_on, done["all"]).otherwise(closed).alias("all"), F.when(goes_on, F.concat(done["open"], F.lit(" "), text)).otherwise(text).alias("open"), s["end"].cast("int").alias("end"))
 
-    return F.aggregate(pairs, begin, take, lambda d: F.when(d["open"].isNull(), d["all"]).otherwise(F.concat(d["all"], F.array(d["open"]))))
+    # a long caption is passed once, up to the last span; what the spans are cut from is as long as they reach
+    whole = lambda part: F.aggregate(pairs, begin, lambda done, s: take(part, done, s), lambda d: F.when(d["open"].isNull(), d["all"]).otherwise(F.concat(d["all"], F.array(d["open"]))))
+    return F.get(F.transform(F.array(F.substring(caption, low + 1, high - low)), whole), F.lit(0))
 
 
 def grounded(annotations: DataFrame, images: DataFrame) -> DataFrame:

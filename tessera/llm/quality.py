@@ -11,10 +11,11 @@ held-out scores spread more, and the threshold falls with them. What n held-out
 of ``PRIOR``, under which hardly any document falls, that counts as ``PRIOR_WEIGHT`` documents: with few of them little is
 rejected, and more labels move the threshold steadily.
 
-Scale. DataFrame functions only. Raw counts cover all documents; the aggregate is partial first and has at most one
-row for each bucket and task. The trusted side is a bounded sample of labelled ids (``trusted``, those with the
-smallest hashes), small enough to broadcast by that bound; the held-out half is scored once more. Scoring reads the ratios as one array of fixed length.
-Each document is judged within its row, so nothing is shuffled with its text.
+Scale. DataFrame functions only. Counts cover all documents and all trusted ones; the aggregate is partial first and has at
+most one row for each bucket and task. Trusted documents are met by a join on their ids behind a Bloom filter of fixed size,
+so texts that it rejects are not shuffled; the held-out half is scored once more. Quantiles of its scores come from counts
+of cells of ``CELL``, at most ``CELLS`` rows, so no task holds all scores. Scoring reads the ratios as one array of fixed length.
+Each document is judged within its row.
 
 Nulls and empty texts have no words and fail the base rules. Without trusted documents or any words the ratios are 0,
 and only the base rules reject. An id with several labels is trusted if one of them is good and not toxic and none is
@@ -26,8 +27,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import BLANKS, free_name, stage, table
+from .common import BLANKS, free_name, marked, prefilter, stage, table
 from .native import buckets_of, filled, hashes_of, let, summed, windows_of, words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +37,8 @@ SYMBOLS = "#*$%&|<>"
 SHRINK = 20
 #: Quantile of held-out trusted scores that the threshold starts from.
 TAIL = 0.005
+#: Held-out scores are counted in cells of this width, at most so many each side of 0; a cell stands for its middle.
+CELL, CELLS = 1e-4, 1 << 18
 #: Threshold without any held-out document, and how many of them it counts for.
 PRIOR, PRIOR_WEIGHT = -6.0, 20
 
@@ -66,22 +70,37 @@ def statistics(text: Column, words: Column, hashes: Column) -> dict[str, Column]
     }
 
 
-def _trusted(labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, held (kept out of the target multinomial) of at most ``most`` trusted documents."""
+def _trusted(labels: DataFrame) -> DataFrame:
+    """doc_id, held (kept out of the target multinomial) of all trusted documents."""
     good = F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0))
     ids = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(good.alias("good")).where("good = 1").select("doc_id")
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(2)) == 1)
+    return ids.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(2)) == 1)
+
+
+def _quantiles(scores: DataFrame, *shares: float) -> DataFrame:
+    """One row: ``n`` and, for each share, ``q0``, ``q1``, ...: the score at that share of all scores, interpolated between
+    the middles of the cells of its two neighbours."""
+    cell = F.greatest(F.least(F.floor(F.col("score") / CELL), F.lit(CELLS - 1)), F.lit(-CELLS))
+    cells = scores.where("score is not null").groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("cell"))  # at most 2 * CELLS rows
+    x = cells.select(((F.col("cell") + 0.5) * CELL).alias("value"), upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("n"))
+    at = [(F.col("n") - 1) * F.lit(q) for q in shares]
+    value = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+    ends = [value(F.floor(p)) + (value(F.ceil(p)) - value(F.floor(p))) * F.max(p - F.floor(p)) for p in at]
+    return x.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[e.alias(f"q{i}") for i, e in enumerate(ends)])
 
 
 def _score(hashes: Column, values: Column, buckets: int) -> Column:
     return summed(hashes, values, buckets) / (2 * F.size(hashes) + SHRINK)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """One row: ``ratios`` (log(target / raw) by bucket, add-one smoothed) and ``threshold``."""
-    good = stage(_trusted(labels, trusted), "trusted")
+    good = stage(_trusted(labels), "trusted")
     known = docs.select("doc_id", "text")
-    grams = known.join(F.broadcast(good), "doc_id", "left")  # at most ``trusted`` rows
+    split = marked(known, "doc_id", good, "_maybe")
+    some = split.where("_maybe").select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", "held")
+    grams = split.where("not _maybe").select("text", F.lit(None).cast("boolean").alias("held")).union(some)
     grams = grams.select((~F.coalesce("held", F.lit(True))).cast("int").alias("target"), F.explode(let(hashes_of(words_of(F.col("text"))), lambda h: buckets_of(h, buckets))).alias("bucket"))
     counts = stage(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")), "grams")
     total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("all_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("all_target"))
@@ -89,19 +108,19 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, trusted: int) -
     part = lambda count, n: F.ln((F.coalesce(count, F.lit(0)) + 1) / (n + buckets))
     value = F.when(n_target > 0, part(F.col("target"), n_target) - part(F.col("raw"), n_raw)).otherwise(0.0)
     ratios = stage(filled(counts, buckets, value, "ratios"), "ratios")
-    held = known.join(F.broadcast(good.where("held").select("doc_id")), "doc_id").select("text", ratios.scalar().alias("ratios"))  # at most ``trusted`` rows
+    out = good.where("held").select("doc_id")
+    held = prefilter(known, "doc_id", out).join(out.hint("merge"), "doc_id").select("text", ratios.scalar().alias("ratios"))
     held = held.select(let(hashes_of(words_of(F.col("text"))), lambda h: F.when(F.size(h) >= 10, _score(h, F.col("ratios"), buckets))).alias("score"))
-    middle, low = F.percentile("score", F.lit(0.5)), F.percentile("score", F.lit(TAIL))
-    n = F.count("score")
+    n, middle, low = F.col("n"), F.col("q0"), F.col("q1")
     limit = (n * F.coalesce(1.5 * low - 0.5 * middle, F.lit(0.0)) + PRIOR_WEIGHT * PRIOR) / (n + PRIOR_WEIGHT)
-    limit = stage(held.agg(limit.alias("threshold")), "threshold")
+    limit = stage(_quantiles(held, 0.5, TAIL).select(limit.alias("threshold")), "threshold")
     return ratios.withColumn("threshold", limit.scalar())
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = 1 << 16, trusted: int = 20_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = 1 << 16) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept. ``threshold`` in
     place of the one that labels give."""
-    fitted = log_ratios(docs, labels, buckets, trusted)
+    fitted = log_ratios(docs, labels, buckets)
 
     def measured(words: Column, hashes: Column) -> Column:
         return F.struct(*[v.alias(k) for k, v in statistics(F.col("text"), words, hashes).items()], _score(hashes, F.col("ratios"), buckets).alias("score"))
@@ -113,9 +132,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float | None =
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= limit))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = 1 << 16, trusted: int = 20_000) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = 1 << 16) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    fitted = log_ratios(docs, labels, buckets, trusted)
+    fitted = log_ratios(docs, labels, buckets)
     ratios, limit = free_name(docs, "ratios"), free_name(docs, "limit")
 
     def passes(words: Column, hashes: Column) -> Column:

@@ -738,3 +738,15 @@ def test_pipeline_with_odd_rows(spark, docs, labels, tmp_path):
     more.write.parquet(str(tmp_path / "c" / "documents.parquet"))
     labels.limit(0).write.parquet(str(tmp_path / "c" / "labels.parquet"))
     assert cp.run(spark, str(tmp_path / "c")).count() > 0  # without labels nothing but the base rules rejects
+
+
+def test_all_trusted_documents_count(spark):
+    """More trusted documents than any sample would hold: each is in the target counts or held out, and quantiles are of all."""
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    good = quality._trusted(labels)
+    assert good.count() == 30_000 and 0.4 < good.where("held").count() / 30_000 < 0.6
+    values = np.random.default_rng(2).normal(-1, 0.5, 20_001)
+    q = quality._quantiles(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "score double"), 0.5, quality.TAIL).first()
+    assert q.n == 20_001 and np.allclose([q.q0, q.q1], np.quantile(values, [0.5, quality.TAIL]), atol=2 * quality.CELL)
+    none = quality._quantiles(spark.createDataFrame([], "score double"), 0.5).first()
+    assert none.n == 0 and none.q0 is None

@@ -631,6 +631,28 @@ def test_repeats_across_pages_equal_a_suffix_array(spark):
     assert got[90].text == shared[2] and got[None].text == "no id"
 
 
+def test_suffixes_are_sorted_by_their_common_prefixes(spark):
+    """Each suffix that another page repeats has a place in the array and the length of its longest common block there."""
+    r = random.Random(5)
+    line = lambda n: [f"w{r.randrange(60)}" for _ in range(n)]
+    shared = [line(n) for n in (8, 19, 40)]
+    texts = {i: [w for _ in range(3) for w in [*line(r.randint(1, 6)), *r.choice(shared)]] for i in range(8)}
+    pages = spark.createDataFrame([(i, "http://h/", "<p>" + " ".join(t)) for i, t in [*texts.items(), (0, texts[0])]], "page_id long, host string, html string")
+    suffixes = pages.mapInArrow(html._streams(4), "key long, page_id long, stream long, place int, judged boolean")
+    got = html.suffix_array(suffixes, 4).orderBy("path", "page_id", "place").collect()
+    prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    want = {}
+    for i, t in texts.items():
+        for p in range(len(t)):
+            most = max(prefix(t[p:], u[q:]) for j, u in texts.items() if j != i for q in range(len(u)))
+            if most >= 4:
+                want[i, p] = max(4 * 2**k for k in range(8) if 4 * 2**k <= most)
+    assert {(x.page_id, x.place): x.shared for x in got} == want and len(got) == len(want) and max(want.values()) == 32
+    for n in (4, 8, 16, 32):  # suffixes with one prefix stand together
+        heads = [tuple(texts[x.page_id][x.place : x.place + n]) for x in got if x.shared >= n]
+        assert len(list(itertools.groupby(heads))) == len(set(heads))
+
+
 def test_quality_threshold_comes_from_held_out_labels(spark, sf_dir):
     d, m = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     x = quality.quality_rules(d, m).toPandas()

@@ -6,7 +6,7 @@ A document is its words, each with a word end, and one document end. A word is s
   piece holds are spelled by byte pieces;
 * one arc for a whole word that the training texts have.
 
-A log-space forward recursion over positions sums all paths. The pieces' weights come from the scores of the existing
+A forward recursion over positions sums all paths, for all words of one length at once (in log space where words are very long or improbable). The pieces' weights come from the scores of the existing
 vocabulary. This file's scores are negative ranks, not logarithms, so a score s weighs 1 / (10 - s), as frequencies fall
 with rank. What pieces have to spell is words that training texts lack, so their weights are adapted to how the words that
 they have would be spelled: expectation steps over the distinct training words, the last over all of them alike (those
@@ -41,14 +41,14 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from functools import cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stage, lists, one_text, stage, table
+from .common import drop_stage, lists, mix, one_text, stage, table
 from .native import let
 
 #: The document end in word tables; white space is never part of a word.
@@ -58,6 +58,12 @@ LN10 = math.log(10.0)
 CLASSES = 8
 #: Sixteenths of the distinct words in each expectation step; the last step takes all.
 STEPS = ((0, 0), (1, 2), (0, 15))
+#: Words of up to so many characters are spelled many at once, with probabilities times e ** (SCALE * length); one with a
+#: total under ``LEAST`` is spelled again in log space.
+LONGEST, SCALE, LEAST = 64, 3.0, 1e-200
+#: Words that are spelled at once.
+MANY = 20_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,6 +90,49 @@ def _log_sum(terms: list[float]) -> float:
     return top + math.log(sum([math.exp(t - top) for t in terms]))
 
 
+class Arcs:
+    """The pieces of a table by 64-bit hashes of their characters, to look up many substrings at once."""
+
+    def __init__(self, table: dict[str, float | None]):
+        names = [p for p, w in table.items() if w is not None]
+        keys = np.zeros(len(names), np.uint64)
+        for n, at in _by_length(names).items():
+            for c in _characters([names[i] for i in at], n).T:
+                keys[at] = keys[at] * _BASE + c
+        order = np.argsort(keys)
+        self.keys, self.names = keys[order], [names[i] for i in order]
+        self.weights = np.append(np.exp(np.array([table[n] for n in self.names]) + [SCALE * len(n) for n in self.names]), 0.0)
+        self.longest = max(map(len, names))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.keys >> np.uint64(44)] = True
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of the piece with each hash, -1 for none (the last weight, which is 0)."""
+        out = np.full(hashes.shape, -1, np.int64)
+        at = np.nonzero(self.maybe[hashes >> np.uint64(44)])
+        some = hashes[at]
+        found = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[at] = np.where(self.keys[found] == some, found, -1)
+        return out
+
+
+def _by_length(words: list[str]) -> dict[int, np.ndarray]:
+    """Places of the words of each length."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    kinds, first = np.unique(sizes[order], return_index=True)
+    return dict(zip(kinds.tolist(), np.split(order, first[1:]), strict=True)) if len(words) else {}
+
+
+def _characters(words: list[str], n: int) -> np.ndarray:
+    """(word, position) of mixed code points; all words have length ``n``."""
+    return mix(_codes(words, n).astype(np.uint64) + np.uint64(1))
+
+
+def _codes(words: list[str], n: int) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n)
+
+
 class Pieces:
     """Log weights of word-initial (``head``) and continuing (``tail``) pieces; bytes are the last 256 ids of each."""
 
@@ -92,6 +141,7 @@ class Pieces:
         self.head, self.tail = dict(zip(heads, head.tolist(), strict=True)), dict(zip(tails, tail.tolist(), strict=True))
         self.stop, self.go = math.log(stop), math.log1p(-stop)
         self.first, self.next = _prefixed(self.head, 0.0), _prefixed(self.tail, self.go)
+        self.arcs: tuple[Arcs, Arcs] | None = None  # built where they are used
 
     def spelled_byte(self, c: str, first: bool) -> float:
         """Log weight of a character that no piece holds, by its bytes."""
@@ -118,6 +168,93 @@ class Pieces:
                 terms[i + 1].append(at + self.spelled_byte(word[i], i == 0))
         return _log_sum(terms[n]) + self.stop
 
+    def _lattice(self, words: list[str], n: int):
+        """Arcs of words of length ``n``, for each length l: index of the piece and weight (times e ** (SCALE * l)) by word
+        and position; and where a character is spelled by its bytes."""
+        if self.arcs is None:
+            self.arcs = Arcs(self.first), Arcs(self.next)
+        head, tail = self.arcs
+        chars, codes = _characters(words, n), _codes(words, n)
+        hashes, found, weights, spelled = np.zeros_like(chars), [], [], None
+        for size in range(1, min(n, max(head.longest, tail.longest)) + 1):
+            hashes = hashes[:, : n - size + 1] * _BASE + chars[:, size - 1 :]
+            ids = np.concatenate([head.find(hashes[:, :1]), tail.find(hashes[:, 1:])], axis=1)
+            w = np.concatenate([head.weights[ids[:, :1]], tail.weights[ids[:, 1:]]], axis=1)
+            if size == 1:
+                spelled = ids < 0
+                for first, at in ((True, np.s_[:, :1]), (False, np.s_[:, 1:])):
+                    unknown, which = np.unique(codes[at][spelled[at]], return_inverse=True)
+                    w[at][spelled[at]] = np.exp(np.array([self.spelled_byte(chr(c), first) + SCALE for c in unknown.tolist()]))[which]
+            found.append(ids)
+            weights.append(w)
+        return found, weights, spelled, codes
+
+    @staticmethod
+    def _forward(weights: list[np.ndarray]) -> np.ndarray:
+        """Forward recursion of many words of one length at once: (word, position)."""
+        rows, n = weights[0].shape
+        ending = np.zeros((rows, n + 1, len(weights)))  # arcs by the position where they end
+        for k, w in enumerate(weights):
+            ending[:, k + 1 :, k] = w
+        alpha = np.zeros((rows, n + 1))
+        alpha[:, 0] = 1.0
+        for j in range(1, n + 1):
+            m = min(j, len(weights))
+            alpha[:, j] = np.einsum("bm,bm->b", alpha[:, j - m : j][:, ::-1], ending[:, j, :m])
+        return alpha
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """``log_probability`` of each word, those of one length together; very long and very improbable words one by one."""
+        out = np.zeros(len(words))
+        for n, at in _by_length(words).items():
+            total = np.zeros(len(at))
+            if 0 < n <= LONGEST:
+                total = self._forward(self._lattice([words[i] for i in at], n)[1])[:, n]
+            good = total > LEAST
+            out[at[good]] = np.log(total[good]) - SCALE * n + self.stop
+            for i in at[~good].tolist():
+                out[i] = self.log_probability(words[i])
+        return out
+
+    def all_expected(self, words: list[str], heads: dict[str, float], tails: dict[str, float]) -> None:
+        """``expected`` of all words, those of one length together."""
+        for n, at in _by_length(words).items():
+            if not 0 < n <= LONGEST:
+                for i in at.tolist():
+                    self.expected(words[i], heads, tails)
+                continue
+            mine = [words[i] for i in at]
+            found, weights, spelled, codes = self._lattice(mine, n)
+            alpha = self._forward(weights)
+            total = alpha[:, n].copy()
+            good = total > LEAST
+            for i in np.flatnonzero(~good).tolist():
+                self.expected(mine[i], heads, tails)
+            total[~good] = math.inf  # adds nothing below
+            starting = np.zeros((len(mine), n, len(weights)))
+            for k, w in enumerate(weights):
+                starting[:, : n - k, k] = w
+            beta = np.zeros((len(mine), n + 1))
+            beta[:, n] = 1.0
+            for i in range(n - 1, -1, -1):
+                m = min(n - i, len(weights))
+                beta[:, i] = np.einsum("bm,bm->b", beta[:, i + 1 : i + 1 + m], starting[:, i, :m])
+            for k, (ids, w) in enumerate(zip(found, weights, strict=True)):
+                use = alpha[:, : n - k] * w * beta[:, k + 1 :] / total[:, None]
+                use[use <= math.exp(-14.0)] = 0.0
+                for arcs, part, out in ((self.arcs[0], np.s_[:, :1], heads), (self.arcs[1], np.s_[:, 1:], tails)):
+                    some = (use[part] > 0) & (ids[part] >= 0)
+                    pieces, which = np.unique(ids[part][some], return_inverse=True)
+                    for p, v in zip(pieces.tolist(), np.bincount(which, use[part][some]).tolist(), strict=True):
+                        out[arcs.names[p]] = out.get(arcs.names[p], 0.0) + v
+                    if k == 0:
+                        some = (use[part] > 0) & spelled[part]
+                        unknown, which = np.unique(codes[part][some], return_inverse=True)
+                        for c, v in zip(unknown.tolist(), np.bincount(which, use[part][some]).tolist(), strict=True):
+                            for b, byte in enumerate(chr(c).encode()):
+                                to, key = (heads if out is heads and b == 0 else tails), f"<{byte:02X}>"
+                                to[key] = to.get(key, 0.0) + v
+
     def expected(self, word: str, heads: dict[str, float], tails: dict[str, float]) -> None:
         """Add the expected use of each piece in spelling ``word`` (forward and backward recursions)."""
         n = len(word)
@@ -207,8 +344,29 @@ def fitted_pieces(prior: Pieces, counts: dict[tuple[bool, str], float], words: f
 # ---------------------------------------------------------------- tasks
 
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode().translate(_LOWER).split() if text else []
+def _words(text: bytes | None) -> list[bytes]:
+    return text.translate(_LOWER).split() if text else []
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
+def _strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
+
+
+def _gathered(batches, rows: int = MANY):
+    """The batches put together to at least ``rows`` rows each, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _count(classes: int):
@@ -221,12 +379,12 @@ def _count(classes: int):
                 n = pa.array(counts[i : i + 50_000], pa.int64())
                 kind = pa.array(np.full(len(n), min(k, classes - 1), np.int32))
                 train = n if k < classes else pa.array(np.zeros(len(n), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in keys[i : i + 50_000]], pa.string()), kind, train, n], ["word", "class", "n_train", "n"])
+                yield pa.RecordBatch.from_arrays([_strings(keys[i : i + 50_000]), kind, train, n], ["word", "class", "n_train", "n"])
 
     def run(batches):
         counters = [Counter() for _ in range(classes + 1)]  # the last one: held-out documents
         for batch in batches:
-            for text, out, k in zip(*[batch.column(c).to_pylist() for c in ("text", "held_out", "class")], strict=True):
+            for text, out, k in zip(_texts(batch), *[batch.column(c).to_pylist() for c in ("held_out", "class")], strict=True):
                 words = _words(text)
                 words.append(END.encode())
                 counters[classes if out else k].update(words)
@@ -241,10 +399,9 @@ def _count(classes: int):
 def _expect(prior: Pieces):
     def run(batches):
         heads, tails, n = {}, {}, 0
-        for batch in batches:
-            for word in batch.column("word").to_pylist():
-                prior.expected(word, heads, tails)
-                n += 1
+        for some in _gathered(batches):
+            prior.all_expected(some.column("word").to_pylist(), heads, tails)
+            n += some.num_rows
         flat = [(True, k, v) for k, v in heads.items()] + [(False, k, v) for k, v in tails.items()] + [(True, "", float(n))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.float64()))], ["head", "piece", "use"])
 
@@ -274,19 +431,20 @@ def _spell(pieces: Pieces, discount: float, total: float, types: float, by_class
 
     def run(batches):
         left = discount * types / total if total else 1.0
-        for batch in batches:
-            out = []
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("n_train").to_pylist(), strict=True):
-                whole = max(c - discount, 0.0) / total if total else 0.0
-                spelled = pieces.log_probability(word) if word != END else -math.inf
-                a, b = (math.log(whole) if whole > 0 else -math.inf), (math.log(left) + spelled if left > 0 else -math.inf)
-                top = max(a, b)
-                out.append((top + math.log(math.exp(a - top) + math.exp(b - top)) if top > -math.inf else -300.0 * LN10) / LN10)
-            logs = np.array(out)[:, None] + share
-            counts = batch.column("counts").flatten().to_numpy().reshape(logs.shape)
+        for some in _gathered(batches):
+            words, c = some.column("word").to_pylist(), some.column("n_train").to_numpy()
+            ends = np.array([w == END for w in words], bool)
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.maximum(c - discount, 0.0) / total if total else np.zeros(len(c)))
+                spelled = math.log(left) + pieces.log_probabilities(words) if left > 0 else np.full(len(c), -np.inf)
+            spelled[ends] = -np.inf
+            out = np.logaddexp(whole, spelled) / LN10
+            out[out == -np.inf] = -300.0
+            logs = out[:, None] + share
+            counts = some.column("counts").flatten().to_numpy().reshape(logs.shape)
             own = counts > 0
             logs[own] = np.log10((counts / np.maximum(size + pseudo, 1.0))[own] + 10.0 ** logs[own])
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n_train"), batch.column("n"), lists(logs.ravel(), np.arange(len(logs) + 1) * len(size), pa.float64())], ["word", "n_train", "n", "logs"])
+            yield pa.RecordBatch.from_arrays([some.column("word"), some.column("n_train"), some.column("n"), lists(logs.ravel(), np.arange(len(logs) + 1) * len(size), pa.float64())], ["word", "n_train", "n", "logs"])
 
     return run
 
@@ -298,20 +456,24 @@ def _score(frequent: Callable[[], tuple[dict[bytes, int], np.ndarray, np.ndarray
         place, base, score, seen = frequent()
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [], [], [])
-            for doc, text in zip(ids, batch.column("text").to_pylist(), strict=True):
+            for doc, text in zip(ids, _texts(batch), strict=True):
                 words = _words(text)
                 words.append(END.encode())
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                known = at[at >= 0]
-                for w, n in Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items():
-                    for o, v in zip(out, (doc, w.decode(), n, 0.0, None, 0), strict=True):
-                        o.append(v)
-                kinds, times = np.unique(known, return_counts=True)
-                value = urn(score[kinds], times, concentration) - urn_total(len(words), concentration)
-                for o, v in zip(out, (doc, None, len(words), float(base[known].sum()), value, int(seen[known].sum())), strict=True):
-                    o.append(v)
-            types = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], ["doc_id", "word", "n", "base", "score", "hits"])
+                counts = Counter(words)
+                at = np.fromiter(map(place.get, counts, repeat(-1)), np.int64, len(counts))
+                times = np.fromiter(counts.values(), np.int64, len(counts))
+                rare = at < 0
+                kinds, more = at[~rare], times[~rare]
+                value = urn(score[kinds], more, concentration) - urn_total(len(words), concentration)
+                names, n = list(compress(counts, rare.tolist())), times[rare].tolist()
+                each = lambda v: repeat(v, len(names))  # noqa: B023, E731
+                for o, v, last in zip(out, (each(doc), names, n, each(0.0), each(None), each(0)), (doc, None, len(words), float((base[kinds] * more).sum()), value, int(more[seen[kinds]].sum())), strict=True):
+                    o.extend(v)
+                    o.append(last)
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64())
+            columns = [pa.array(o, t) for o, t in zip(out, types, strict=True)]
+            columns[1] = columns[1].cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "word", "n", "base", "score", "hits"])
 
     return run
 

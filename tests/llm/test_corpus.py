@@ -487,6 +487,24 @@ def test_lattice_sums_all_segmentations():
     assert math.isfinite(p.log_probability("éa" * 2000))
 
 
+def test_words_spelled_at_once_equal_the_recursions():
+    import public_tokenizers
+
+    p = lattice.prior_pieces(str(public_tokenizers.path("piece_bpe_32k.model")))
+    r = random.Random(7)
+    words = ["the", "internationalisation", "ärger", "zz9", "\u4e2d\u6587", "\U0001f600", "a", "é" * 90, "\U0001f600" * 60, "-" * 64, "<00>"]
+    words += ["".join(r.choice("etaoinshrdlu\u00e9\u0416\u20ac") for _ in range(r.randint(1, 30))) for _ in range(300)]
+    assert p.log_probabilities(words) == pytest.approx([p.log_probability(w) for w in words], rel=1e-12)
+    want, got = ({}, {}), ({}, {})
+    for w in words:
+        p.expected(w, *want)
+    p.all_expected(words, *got)
+    for x, y in zip(want, got, strict=True):
+        keys = sorted(set(x) | set(y))
+        assert [y.get(k, 0.0) for k in keys] == pytest.approx([x.get(k, 0.0) for k in keys], rel=1e-9, abs=1e-6)
+    assert p.log_probabilities([]).tolist() == []
+
+
 def test_media_round_trip(docs, rows, empty):
     index, packs, stored = chunks.store_media(docs)
     files = {r.media: b"".join(r.parts) for r in chunks.read_media(index, packs, stored).collect()}

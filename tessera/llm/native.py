@@ -7,18 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` bound to a lambda variable, so that inner lambdas do not compute it again."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: ``common.BLANKS`` as a character class.
+BLANK = r" \t\n\x0B\f\r"
+
+
+def parts_of(text: Column) -> Column:
+    """What stands between the blanks of a text (null: empty), empty parts as well: one more than there are blanks."""
+    return F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]")
+
+
 def words_of(text: Column) -> Column:
     """Words of a text (null: none)."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * (len(BLANKS) - 1))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(parts_of(text), "")
 
 
 def hashes_of(words: Column) -> Column:
@@ -41,10 +47,11 @@ def buckets_of(hashes: Column, buckets: int) -> Column:
     return F.concat(F.transform(hashes, lambda h: bucket_of(h, buckets)), F.transform(windows_of(hashes, 2), lambda h: bucket_of(h, buckets)))
 
 
-def summed(hashes: Column, table: Column, buckets: int) -> Column:
-    """Sum of a table's values over the buckets of all single words and word pairs."""
+def summed(hashes: Column, table: Column, buckets: int, pairs: Column | None = None) -> Column:
+    """Sum of a table's values over the buckets of all single words and word pairs (``pairs``: their hashes, if at hand)."""
     last = F.size(hashes) - 1
-    pair = lambda h, i: F.when(i < last, F.get(table, bucket_of(F.xxhash64(h, F.get(hashes, i + 1)), buckets))).otherwise(0.0)
+    hash_of = lambda h, i: F.xxhash64(h, F.get(hashes, i + 1)) if pairs is None else F.get(pairs, i)
+    pair = lambda h, i: F.when(i < last, F.get(table, bucket_of(hash_of(h, i), buckets))).otherwise(0.0)
     both = F.transform(hashes, lambda h, i: F.get(table, bucket_of(h, buckets)) + pair(h, i))
     return F.aggregate(both, F.lit(0.0), lambda s, v: s + v)
 

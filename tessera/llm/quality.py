@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANKS, free_name, marked, prefilter, stage, table
-from .native import buckets_of, filled, hashes_of, let, summed, windows_of, words_of
+from .common import free_name, marked, prefilter, stage, table
+from .native import BLANK, buckets_of, filled, hashes_of, let, parts_of, summed, windows_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Added to the number of n-grams: scores of very short texts, which say little, move towards 0.
@@ -58,15 +58,22 @@ def repeated_words(windows: Column, k: int) -> Column:
     return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(sorted_pairs(w), covered))).cast("long")
 
 
-def statistics(text: Column, words: Column, hashes: Column) -> dict[str, Column]:
+def fives_of(hashes: Column, pairs: Column) -> Column:
+    """Hash of every 5 consecutive words, from those of words and of word pairs."""
+    all_places = F.transform(pairs, lambda p, i: F.xxhash64(p, F.get(pairs, i + 2), F.get(hashes, i + 4)))
+    return F.slice(all_places, F.lit(1), F.greatest(F.size(hashes) - 4, F.lit(0)))
+
+
+def statistics(text: Column, parts: Column, hashes: Column, pairs: Column) -> dict[str, Column]:
+    """``parts``: between blanks (``parts_of``); ``hashes`` and ``pairs`` of its words."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(f"[^{BLANK}]")))
     return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_words": F.size(hashes).cast("long"),
+        "word_chars": (F.length(text) - F.size(parts) + 1).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(windows_of(hashes, 5), 5),
+        "n_repeat_words": repeated_words(fives_of(hashes, pairs), 5),
     }
 
 
@@ -90,8 +97,8 @@ def _quantiles(scores: DataFrame, *shares: float) -> DataFrame:
     return x.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[e.alias(f"q{i}") for i, e in enumerate(ends)])
 
 
-def _score(hashes: Column, values: Column, buckets: int) -> Column:
-    return summed(hashes, values, buckets) / (2 * F.size(hashes) + SHRINK)
+def _score(hashes: Column, values: Column, buckets: int, pairs: Column | None = None) -> Column:
+    return summed(hashes, values, buckets, pairs) / (2 * F.size(hashes) + SHRINK)
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
@@ -122,10 +129,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float | None =
     place of the one that labels give."""
     fitted = log_ratios(docs, labels, buckets)
 
-    def measured(words: Column, hashes: Column) -> Column:
-        return F.struct(*[v.alias(k) for k, v in statistics(F.col("text"), words, hashes).items()], _score(hashes, F.col("ratios"), buckets).alias("score"))
+    def measured(parts: Column, hashes: Column, pairs: Column) -> Column:
+        return F.struct(*[v.alias(k) for k, v in statistics(F.col("text"), parts, hashes, pairs).items()], _score(hashes, F.col("ratios"), buckets, pairs).alias("score"))
 
-    x = let(words_of(F.col("text")), lambda w: let(hashes_of(w), lambda h: measured(w, h)))
+    x = let(parts_of(F.col("text")), lambda p: let(hashes_of(F.array_remove(p, "")), lambda h: let(windows_of(h, 2), lambda w: measured(p, h, w))))
     out = docs.select("doc_id", "text", fitted.select("ratios").scalar().alias("ratios")).select("doc_id", x.alias("x")).select("doc_id", "x.*")
     limit = fitted.select("threshold").scalar() if threshold is None else F.lit(threshold)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -137,11 +144,11 @@ def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float | None =
     fitted = log_ratios(docs, labels, buckets)
     ratios, limit = free_name(docs, "ratios"), free_name(docs, "limit")
 
-    def passes(words: Column, hashes: Column) -> Column:
-        n = F.size(words)
-        return (n >= 10) & (_score(hashes, F.col(ratios), buckets) >= F.col(limit)) & (100 * repeated_words(windows_of(hashes, 5), 5) <= 20 * n)
+    def passes(hashes: Column, pairs: Column) -> Column:
+        n = F.size(hashes)
+        return (n >= 10) & (_score(hashes, F.col(ratios), buckets, pairs) >= F.col(limit)) & (100 * repeated_words(fives_of(hashes, pairs), 5) <= 20 * n)
 
-    kept = let(words_of(F.col("text")), lambda w: let(hashes_of(w), lambda h: passes(w, h)))
+    kept = let(hashes_of(words_of(F.col("text"))), lambda h: let(windows_of(h, 2), lambda w: passes(h, w)))
     own = fitted.select("threshold").scalar() if threshold is None else F.lit(threshold)
     return docs.withColumn(ratios, fitted.select("ratios").scalar()).withColumn(limit, own).where(kept).select(docs.columns)
 

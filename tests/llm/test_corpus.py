@@ -671,6 +671,19 @@ def test_suffixes_are_sorted_by_their_common_prefixes(spark):
         assert len(list(itertools.groupby(heads))) == len(set(heads))
 
 
+def test_text_statistics_equal_python(spark):
+    texts = ["", " ", "a b", "\t\x0b\x0c\r\n", "x\u00a0y\u2003z #*$%&|<>^ \U0001f600", "one\n\none\n \x0b\none\n", "a b c d e " * 3, "a b c d e f a b c d e\u0085q", "\\ [ ] ^ -"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    got = {x.doc_id: x for x in quality.quality_rules(rows, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    for i, t in enumerate([*texts, ""]):
+        words = WORD.findall(t)
+        windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        twice = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)}
+        want = (len(words), sum(map(len, words)), sum(c in quality.SYMBOLS for c in t), len(lines) - len(set(lines)), len(twice))
+        assert got[i][1:6] == want, t
+
+
 def test_quality_threshold_comes_from_held_out_labels(spark, sf_dir):
     d, m = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     x = quality.quality_rules(d, m).toPandas()

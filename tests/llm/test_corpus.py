@@ -338,6 +338,45 @@ def test_mixing_with_odd_rows(spark, docs, labels):
     assert len(x) == base.count() and np.isfinite(x.rate).all()
 
 
+def test_letters_are_encoded_by_the_model_alone(tmp_path):
+    """Nearly all new strings are letters with marks; the whole tokenizer would spend most of the time on them."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = packing.public_tokenizer()
+    whole = Tokenizer.from_file(path)
+    asked: list[str] = []
+
+    class Asked:
+        get_added_tokens_decoder = whole.get_added_tokens_decoder
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    letters = ["word", "Word.", "\u00c9TRANGE\u00c0\u00df!!", "(na\u00efve)", "a", "Z,", '"\u00ff\u00fe"', "\u00e0\u00ed\u00a0".strip(), "x" * 300 + "."]
+    others = ["don't", "'sab", "a.b", "x1", "12,5", "na\u00d7ve", "\u03a3\u0391\u03a3", "h\u0331", "H\u0331", "\u0130", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|endoftext|>b", "\u4e2d\u6587", "...", "e\u0301t\u00e9", "\u212a", "k\u0345."]
+    for as_text in (False, True):
+        whole.encode_special_tokens = as_text
+        asked.clear()
+        words = [w.encode() for w in letters + others]
+        got = packing._encode(Asked(), packing._letters(path), words, as_text, {b"word": b"known"})
+        assert got.pop(b"word") == b"known"
+        for w in letters[1:] + others:
+            assert np.frombuffer(got[w.encode()], "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids, w
+        assert not [t for t in asked for w in letters if len(w) > 1 and w.strip('().,!"') in t]
+    whole.encode_special_tokens = False
+    for t in ("Ab H\u0331 C", "\u00c9a <|ENDOFTEXT|> B", "\u0130 \u03a3\u0391\u03a3 I\u0307"):
+        ids = [np.array(whole.encode(x, add_special_tokens=False).ids) for x in (t, packing._lower(t.encode()).decode())]
+        assert (ids[0] == ids[1]).all(), t
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert packing._letters(str(tmp_path / "other.json")) is None
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 

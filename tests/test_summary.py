@@ -168,3 +168,31 @@ def test_jaccard_index(spark):
 def test_maximum_matching_beats_greedy():
     near = np.array([[True, True], [True, False]])
     assert len(metrics._most_pairs(near)) == 2
+
+
+def test_rows_are_not_multiplied_by_ranges_and_thresholds(spark):
+    """A detection stays one row, with bits for 4 ranges and 10 thresholds, and is not sorted once for each."""
+    gt, det = random_rows(5)
+    g, d = frames_of(spark, gt, det)
+    x = summary.evaluate(*summary._image_tables(d, g))
+    assert x.count() == x.select("det_id").distinct().count() == len(det)
+    assert dict(x.dtypes)["tp"] == "bigint"
+
+
+def test_cells_go_on_from_batch_to_batch(spark):
+    """All scores are equal, so that a class is one cell, in batches of 7 rows."""
+    gt, det = random_rows(6)
+    det = [(*r[:3], 0.5, *r[4:]) for r in det]
+    g, d = frames_of(spark, gt, det)
+    want = dense(det, gt, summary.AREAS, 100)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        matched = summary.evaluate(*summary._image_tables(d, g))
+        counts = summary._counted(summary._image_tables(d, g)[1], summary.AREAS)
+        rows = summary.precisions(matched, counts).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(rows) == len(want) and any(0.05 < r.ap < 0.95 for r in rows)
+    assert {(r.label, r.t, r.area): r.ap for r in rows} == pytest.approx({k: v[0] for k, v in want.items()})

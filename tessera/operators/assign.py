@@ -8,15 +8,17 @@ are windows over the join on image_id; the one-to-one rules solve an assignment
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.boxes import Box, giou, iof, iou
+from ..functions.boxes import EPS, Box, giou, iof, iou
+from .groups import walk_groups
 
 CORNERS = ("x1", "y1", "x2", "y2")
 INF = 100_000_000.0
@@ -86,16 +88,85 @@ def _center_inside(margin: float = 0.01) -> Column:
     return F.least(px - _g().x1, py - _g().y1, _g().x2 - px, _g().y2 - py) > margin
 
 
+#: Pairs of an image that are looked at in one step.
+_STEP = 1 << 20
+_NEAR = "prior_id long, gt_id long, iou double, d double"
+
+
+def _nearest(k: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], pick: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None, step: int):
+    """Pairs of each ground truth with its k nearest priors on each level, as ``_NEAR``; ties by the prior's id."""
+
+    def run(table: pa.Table, groups: list[tuple[int, int]]) -> pa.Table:
+        boxes = np.stack([table.column(c).to_numpy() for c in CORNERS], axis=1)
+        side, level, ids = (table.column(c).to_numpy() for c in ("side", "level", "id"))
+        out: list[tuple[np.ndarray, ...]] = []
+        for start, end in groups:
+            cut = start + int(np.searchsorted(side[start:end], 1))
+            g, p = boxes[start:cut], boxes[cut:end]
+            if not len(g) or not len(p):
+                continue
+            edges = [0, *(np.flatnonzero(np.diff(level[cut:end])) + 1).tolist(), len(p)]
+            for at in range(0, len(g), max(1, step // len(p))):
+                some = g[at : at + max(1, step // len(p))]
+                d = distance(some, p)
+                near = np.concatenate([x + np.argsort(d[:, x:y], axis=1, kind="stable")[:, :k] for x, y in zip(edges, edges[1:], strict=False)], axis=1)
+                o = paired_overlaps(p[near], some[:, None])
+                i, j = np.nonzero(np.ones(near.shape, bool) if pick is None else pick(some[:, None], p[near], o))
+                to = near[i, j]
+                out.append((ids[cut + to], ids[start + at + i], o[i, j], d[i, to]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, float, float)]
+        return pa.table(dict(zip(("prior_id", "gt_id", "iou", "d"), columns, strict=True)))
+
+    return run
+
+
+def nearest(priors: DataFrame, gt: DataFrame, k: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], pick: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """prior_id, gt_id, iou, d: the k priors of each level that are nearest to each ground truth of their image.
+
+    Boxes are shuffled, not pairs: an image's boxes, which a camera frame bounds, meet in one task, some ground truths at a
+    time. ``pick`` (ground truth, priors, IoU of its pairs) may leave out pairs."""
+    corners = [F.col(c).cast("double") for c in CORNERS]
+    level = F.col("level").cast("long") if "level" in priors.columns else F.lit(0).cast("long")
+    rows = gt.select("image_id", F.lit(0).alias("side"), F.lit(0).cast("long").alias("level"), F.col("gt_id").cast("long").alias("id"), *corners)
+    rows = rows.union(priors.select("image_id", F.lit(1), level, F.col("prior_id").cast("long"), *corners)).where(F.col("image_id").isNotNull())
+    return walk_groups(rows, ["image_id"], ["side", "level", "id"], _nearest(k, distance, pick, _STEP), _NEAR)
+
+
+def paired_overlaps(a: np.ndarray, b: np.ndarray, eps: float = EPS) -> np.ndarray:
+    """IoU of boxes of one shape."""
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
+    inter = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+    one, two = ((x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1]) for x in (a, b))
+    return inter / np.maximum(one + two - inter, eps)
+
+
+def _centers(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (b[..., 0] + b[..., 2]) / 2, (b[..., 1] + b[..., 3]) / 2
+
+
+def _straight(g: np.ndarray, p: np.ndarray) -> np.ndarray:
+    (gx, gy), (px, py) = _centers(g), _centers(p)
+    return np.sqrt((px - gx[:, None]) ** 2 + (py - gy[:, None]) ** 2)
+
+
+def _over_spread(g: np.ndarray, p: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """IoU at least mean + deviation, summed in the order of the candidates, and the prior's centre inside."""
+    total, mean, spread = np.zeros(len(o)), np.zeros(len(o)), np.zeros(len(o))
+    for n in range(o.shape[1]):
+        delta = o[:, n] - mean
+        total, mean = total + o[:, n], mean + delta / (n + 1)
+        spread += delta * (delta - delta / (n + 1))
+    limit = total / o.shape[1] + (np.sqrt(spread / (o.shape[1] - 1)) if o.shape[1] > 1 else 0.0)
+    px, py = _centers(p)
+    inside = np.minimum(np.minimum(px - g[..., 0], py - g[..., 1]), np.minimum(g[..., 2] - px, g[..., 3] - py)) > 0.01
+    return (o >= limit[:, None]) & inside
+
+
 def atss(priors: DataFrame, gt: DataFrame, k: int = 9) -> DataFrame:
     """k priors with the nearest centres on each level are candidates; those over mean + deviation of the candidates' IoU,
     with their centre inside, are positive; a prior goes to the ground truth with the largest IoU."""
-    level = [c for c in ("level",) if c in priors.columns]
-    (px, py), (gx, gy) = _p().center, _g().center
-    x = crossed(priors, gt).withColumn("_d", F.sqrt((px - gx) ** 2 + (py - gy) ** 2))
-    near = Window.partitionBy("gt_id", *level).orderBy("_d", "prior_id")
-    x = x.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k)
-    per = Window.partitionBy("gt_id")
-    x = x.withColumn("_t", F.avg("iou").over(per) + F.coalesce(F.stddev_samp("iou").over(per), F.lit(0.0))).where((F.col("iou") >= F.col("_t")) & _center_inside())
+    x = nearest(priors, gt, k, _straight, _over_spread)
     return _states(priors, _one(x, F.desc("iou"), F.col("gt_id")))
 
 

@@ -405,6 +405,57 @@ def _paths_of_few(a: np.ndarray) -> np.ndarray:
     return np.array(match)
 
 
+def pair_edges(edges: list[list[tuple[float, int]]]) -> dict[int, int]:
+    """Pairs {column: row} of least total cost, where each row has its (cost, column) in a list, a row or a column may stay
+    alone at cost 0, and nothing else can be paired: shortest augmenting paths that walk only over what there is."""
+    owner: dict[int, int] = {}  # column: row, ...
+    held: dict[int, int] = {}  # ... row: column
+    paid: dict[int, float] = {}  # column: cost of its pair
+    price: dict[int, float] = {}
+    for i, own in enumerate(edges):
+        best, at = 0.0, -1
+        for c, j in own:
+            d = c - price[j] if j in price else c
+            if d < best:
+                best, at, raw = d, j, c
+        if at < 0:
+            continue
+        if at not in owner:
+            owner[at], held[i], paid[at] = i, at, raw
+            continue
+        reach: dict[int, float] = {}
+        came: dict[int, tuple[int, float]] = {}
+        done: dict[int, float] = {}
+        least, last = 0.0, -1  # what it costs that a row stays alone, and the column that it has now (-1: row i)
+        r, base = i, 0.0
+        while True:
+            for c, j in edges[r]:
+                if j not in done:
+                    d = base + c - price.get(j, 0.0)
+                    if d < reach.get(j, math.inf):
+                        reach[j], came[j] = d, (r, c)
+            end, at = least, -1
+            for j, d in reach.items():
+                if d < end and j not in done:
+                    end, at = d, j
+            if at < 0 or at not in owner:
+                break
+            done[at], r = end, owner[at]
+            base = end - paid[at] + price.get(at, 0.0)
+            if base < least:
+                least, last = base, at
+        for j, d in done.items():
+            price[j] = price.get(j, 0.0) + d - end
+        if at < 0 and last >= 0:
+            at = last
+            del held[owner[last]]
+        while at >= 0:  # columns of the path pass to the rows that they were reached from
+            r, c = came[at]
+            owner[at], paid[at] = r, c
+            held[r], at = at, held.get(r, -1)
+    return owner
+
+
 def _one_to_one(repeat: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot(index="prior_id", columns="gt_id", values="cost")

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .assign import solve
+from .assign import pair_edges, solve
 from .groups import walk_frames
 from .matching import overlaps
 
 CORNERS = ("x1", "y1", "x2", "y2")
+#: A cost that no sum of others reaches.
+NEVER = 1e6
 #: 95 % quantiles of chi-squared with 1 to 9 degrees of freedom.
 CHI2_95 = (3.8415, 5.9915, 7.8147, 9.4877, 11.070, 12.592, 14.067, 15.507, 16.919)
 
@@ -227,17 +229,22 @@ def similarities(queries: DataFrame, keys: DataFrame, rows: int = 512) -> DataFr
     return out.withColumn("cosine", F.when(F.isnan("cosine"), None).otherwise(F.col("cosine")))
 
 
+#: Pairs of tracks that a video's counts take before they are summed.
+PAIRS = 1 << 17
+
+
 @dataclass
 class Identity:
     """Counts of one video, frame by frame: matches, switches, and how long each pair of tracks goes together.
 
     A frame's pairs of the frame before are kept where they still overlap enough; the rest is matched by overlap. What it
-    holds grows with the pairs of tracks that ever overlap, not with frames."""
+    holds grows with the pairs of tracks that ever overlap (three numbers each), not with frames."""
 
     key: dict[str, object]
     threshold: float
     counts: dict[str, int] = field(default_factory=lambda: dict.fromkeys(("tp", "fp", "fn", "switches", "gt", "pred"), 0))
-    together: dict[tuple[int, int], int] = field(default_factory=dict)
+    together: np.ndarray = field(default_factory=lambda: np.zeros((3, 0), np.int64))
+    lately: tuple[list[int], list[int]] = field(default_factory=lambda: ([], []))
     last: dict[int, int] = field(default_factory=dict)
 
     def step(self, rows: dict[str, np.ndarray]) -> None:
@@ -245,25 +252,46 @@ class Identity:
         side, track = rows["side"][order], rows["track_id"][order]
         boxes = np.stack([rows[c][order] for c in CORNERS], axis=1).astype(float)
         o = overlaps(boxes[side == 1], boxes[side == 0])
-        gi, pi = track[side == 1].tolist(), track[side == 0].tolist()
-        near = o >= self.threshold
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            pair = gi[i], pi[j]
-            self.together[pair] = self.together.get(pair, 0) + 1
-        keep = np.array([[self.last.get(a) == b for b in pi] for a in gi]).reshape(o.shape)
-        cost = np.where(near, 1 - o - 1000 * keep, 1e6)
-        hits = [(r, c) for r, c in zip(*solve(cost), strict=True) if near[r, c]]
-        for r, c in hits:
-            self.counts["switches"] += int(gi[r] in self.last and self.last[gi[r]] != pi[c])
-            self.last[gi[r]] = pi[c]
-        for name, n in (("tp", len(hits)), ("fn", len(gi) - len(hits)), ("fp", len(pi) - len(hits)), ("gt", len(gi)), ("pred", len(pi))):
-            self.counts[name] += n
+        near = np.nonzero(o >= self.threshold)
+        self.count(track[side == 1].tolist(), track[side == 0].tolist(), *(v.tolist() for v in near), (1 - o[near]).tolist())
+
+    def count(self, gi: list[int], pi: list[int], rows: list[int], cols: list[int], apart: list[float]) -> None:
+        """A frame: tracks of both sides, and the places of pairs that overlap enough, with how much they do not."""
+        last, edges = self.last, [[] for _ in gi]
+        gts, preds = self.lately
+        for r, c, d in zip(rows, cols, apart, strict=True):
+            g, p = gi[r], pi[c]
+            gts.append(g)
+            preds.append(p)
+            edges[r].append((d - NEVER - 1000 if last.get(g) == p else d - NEVER, c))  # as many pairs as there can be
+        hits = pair_edges(edges)
+        switches = 0
+        for c, r in hits.items():
+            g = gi[r]
+            switches += last.get(g, pi[c]) != pi[c]
+            last[g] = pi[c]
+        n = self.counts
+        n["tp"] += len(hits)
+        n["fn"] += len(gi) - len(hits)
+        n["fp"] += len(pi) - len(hits)
+        n["switches"] += switches
+        n["gt"] += len(gi)
+        n["pred"] += len(pi)
+        if len(gts) >= max(PAIRS, self.together.shape[1]):
+            self._sum()
+
+    def _sum(self) -> None:
+        x = np.hstack([self.together, np.array([*self.lately, np.ones(len(self.lately[0]), np.int64)], np.int64).reshape(3, -1)])
+        self.lately = ([], [])
+        x = x[:, np.lexsort(x[1::-1])]
+        starts = np.flatnonzero(np.r_[True, (x[:2, 1:] != x[:2, :-1]).any(0)]) if x.shape[1] else np.zeros(0, int)
+        self.together = np.vstack([x[:2, starts], np.add.reduceat(x[2], starts)]) if len(starts) else x
 
     def end(self) -> pd.DataFrame:
-        gids, pids = ({v: i for i, v in enumerate(sorted({pair[k] for pair in self.together}))} for k in (0, 1))
+        self._sum()
+        (gids, g), (pids, p) = (np.unique(v, return_inverse=True) for v in self.together[:2])
         table = np.zeros((len(gids), len(pids)))
-        for (a, b), n in self.together.items():
-            table[gids[a], pids[b]] = n
+        table[g, p] = self.together[2]
         rows, cols = solve(-table)
         return pd.DataFrame([{**self.key, **self.counts, "idtp": int(table[rows, cols].sum()) if table.size else 0}])
 
@@ -278,6 +306,11 @@ def identity_counts(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, by:
     x = pred.select(F.lit(0).alias("side"), *cols).unionByName(gt.select(F.lit(1).alias("side"), *cols))
     schema = ", ".join([f"{k} {x.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} long" for c in COUNTS])
     per = walk_frames(x, keys, "frame_id", lambda key: Identity(dict(zip(keys, key, strict=True)), threshold), schema)
+    return identity_ratios(per, by)
+
+
+def identity_ratios(per: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``COUNTS`` of videos summed by ``by``, mota and idf1."""
     s = per.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS])
     return s.withColumn("mota", F.try_divide(F.col("tp") - F.col("fp") - F.col("switches"), F.col("gt"))).withColumn("idf1", F.try_divide(2 * F.col("idtp"), F.col("gt") + F.col("pred")))
 

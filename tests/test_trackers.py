@@ -5,11 +5,14 @@ from __future__ import annotations
 import itertools
 import math
 import pickle
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import assign
 from tessera.operators import trackers as TT
 from tessera.operators import tracking as T
 from tessera.plans.catalog import videos
@@ -302,3 +305,203 @@ def test_two_band_tracks_equal_a_loop(spark):
     det = videos._frames(spark, SF)
     got = {r.det_id: r.track_id for r in T.track(det).collect()}
     assert got == plain_loop(det.toPandas(), T.Tracker)
+
+
+def paired(cost, limit):
+    """``pair_within`` by one square table with places for those that stay alone."""
+    n, m = cost.shape
+    square = np.full((n + m, n + m), limit / 2)
+    square[:n, :m], square[n:, m:] = cost, 0.0
+    return [(int(r), int(c)) for r, c in zip(*assign.solve(square), strict=True) if r < n and c < m] if n and m else []
+
+
+@dataclass
+class PlainObservations(TT._Live):
+    """The tracker by observations track by track, with whole covariances."""
+
+    least: float = 0.3
+    start: float = 0.7
+    match: float = 0.3
+    weigh: bool = True
+    tentative: int = 3
+    momentum: float = 0.2
+    back: int = 3
+    keep: int = 30
+    kalman: T.Kalman = field(default_factory=T.Kalman)
+
+    def _overlap(self, boxes: np.ndarray, ids: list[int], det: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        o = T.overlaps(boxes, det)
+        return 1 - (o * scores[None] if self.weigh else o) + TT.foreign([self.live[i]["label"] for i in ids], labels)
+
+    def _earlier(self, t: dict) -> np.ndarray:
+        """The observation ``back`` frames before the track's last one; the last one there is, if that is missing."""
+        then = t["seen"][-1 - self.back] if len(t["seen"]) > self.back else None
+        return t["box"] if then is None else then
+
+    @staticmethod
+    def _direction(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Unit vectors (y, x) from the centres of ``a`` to those of ``b``."""
+        way = np.stack([b[..., 1] + b[..., 3] - a[..., 1] - a[..., 3], b[..., 0] + b[..., 2] - a[..., 0] - a[..., 2]], axis=-1) / 2
+        return way / (np.linalg.norm(way, axis=-1, keepdims=True) + 1e-6)
+
+    def _by_motion(self, ids: list[int], det: np.ndarray, labels: np.ndarray, scores: np.ndarray) -> list[tuple[int, int]]:
+        if not ids or not len(det):
+            return []
+        cost = self._overlap(T.to_box(np.array([self.live[i]["m"] for i in ids])), ids, det, labels, scores)
+        moved = np.array([self.live[i]["way"] is not None for i in ids])
+        own = np.array([np.zeros(2) if self.live[i]["way"] is None else self.live[i]["way"] for i in ids])
+        to = self._direction(np.array([self._earlier(self.live[i]) for i in ids])[:, None], det[None])
+        turn = np.arccos(np.clip((to * own[:, None]).sum(-1), -1, 1)) / np.pi - 0.5
+        cost = cost + self.momentum * turn * moved[:, None]
+        return [(ids[r], c) for r, c in paired(cost, 1 - self.match)]
+
+    def _meet(self, i: int, frame: int, box: np.ndarray, label: int) -> None:
+        t = self.live[i]
+        if t["gap"]:  # from the state before the gap on, as if it had been seen on the straight path over it
+            t["m"], t["c"] = t["kept"]
+            for k in range(1, t["gap"] + 1):
+                t["m"], t["c"] = self.kalman.update(t["m"], t["c"], T.to_state(t["box"] + k * (box - t["box"]) / (t["gap"] + 1)))
+        t["seen"], t["box"], t["label"], t["last"], t["gap"], t["hits"] = [*t["seen"], box][-1 - self.back :], box, label, frame, 0, t["hits"] + 1
+        t["sure"] = t["sure"] or t["hits"] >= self.tentative
+
+    def _open(self, frame: int, box: np.ndarray, label: int) -> int:
+        m, c = self.kalman.start(T.to_state(box))
+        i = self.number()
+        self.live[i] = {"m": m, "c": c, "kept": (m, c), "seen": [box], "box": box, "label": label, "last": frame, "gap": 0, "hits": 1, "sure": frame == 0, "way": None}
+        return i
+
+    def step(self, frame: int, boxes: np.ndarray, labels: np.ndarray, scores: np.ndarray, embeds: np.ndarray | None = None) -> np.ndarray:
+        out = np.full(len(boxes), -1, np.int64)
+        if not self.opens(frame):
+            return out
+        if not self.live:
+            for d in np.flatnonzero(scores > self.start):
+                out[d] = self._open(frame, boxes[d], labels[d])
+            return out
+        sure = [i for i, t in self.live.items() if t["sure"]]
+        for i in sure:
+            t = self.live[i]
+            if t["last"] < frame - 1:
+                t["m"] = np.where(np.arange(8) == 7, 0.0, t["m"])
+            if not t["gap"]:
+                t["kept"] = t["m"], t["c"]
+        self.kalman.predict_all([self.live[i] for i in sure])
+        free = np.flatnonzero(scores > self.least)
+
+        def take(pairs: list[tuple[int, int]]) -> None:
+            nonlocal free
+            for i, d in pairs:
+                out[free[d]] = i
+            free = free[out[free] < 0]
+
+        take(self._by_motion(sure, boxes[free], labels[free], scores[free]))
+        take(self._by_motion([i for i, t in self.live.items() if not t["sure"]], boxes[free], labels[free], scores[free]))
+        met = set(out[out >= 0].tolist())
+        lost = [i for i in self.live if i not in met]
+        if lost and len(free):  # where they were seen last
+            cost = self._overlap(np.array([self.live[i]["box"] for i in lost]), lost, boxes[free], labels[free], scores[free])
+            take([(lost[r], c) for r, c in paired(cost, 1 - self.match)])
+        met = {int(i): d for d, i in enumerate(out) if i >= 0}
+        for i, t in self.live.items():
+            if i in met:
+                self._meet(i, frame, boxes[met[i]], labels[met[i]])
+            else:
+                t["seen"], t["gap"] = [*t["seen"], None][-1 - self.back :], t["gap"] + 1
+        if met:
+            tracks, det = [self.live[i] for i in met], boxes[list(met.values())]
+            self.kalman.update_all(tracks, T.to_state(det))
+            for t, way in zip(tracks, self._direction(np.array([self._earlier(t) for t in tracks]), det), strict=True):
+                t["way"] = way
+        for d in free:
+            out[d] = self._open(frame, boxes[d], labels[d])
+        self.drop(frame)
+        return out
+
+
+def crowd(seed, frames=60, videos=1, labels=2):
+    """Rows (video, frame, det) of walkers that meet, vanish and come back; some frames of some videos are left out."""
+    r, out = np.random.default_rng(seed), []
+    at, way = r.uniform(0, 300, (videos, 8, 2)), r.uniform(-6, 6, (videos, 8, 2))
+    for f in range(frames):
+        for v in range(videos):
+            if r.random() < 0.1:
+                continue
+            for k in r.permutation(8)[: r.integers(1, 9)]:
+                out.append((v, f + 3 * (f > 30), len(out), int(k % labels), float(r.uniform(0.2, 1)), *np.array(box(*(at[v, k] + f * way[v, k] + r.normal(0, 3, 2)))).tolist()))
+    return pd.DataFrame(out, columns=["video_id", "frame_id", "det_id", "label", "score", *T.CORNERS])
+
+
+SETTINGS = [{}, {"start": 0.4, "match": 0.1}, {"least": 0.5, "weigh": False, "momentum": 0.6}, {"keep": 5, "tentative": 1}, {"back": 1}, {"back": 0}]
+
+
+@pytest.mark.parametrize("rules", SETTINGS)
+def test_tracks_by_observations_equal_a_plain_tracker(rules):
+    rows = crowd(5)
+    want = plain_loop(rows, lambda: PlainObservations(**rules))
+    assert plain_loop(rows, lambda: TT.ObservationTracker(**rules)) == want and len(set(want.values())) > 8
+
+
+def test_lanes_side_by_side_equal_trackers_alone():
+    rows, rules = crowd(6, videos=4), SETTINGS[:4]
+    want = [plain_loop(rows, lambda x=x: PlainObservations(**x)) for x in rules]
+    lanes, got = TT._Lanes([TT.ObservationTracker(**x) for x in rules]), [{} for _ in rules]
+    for f, part in rows.sort_values(["frame_id", "video_id", "det_id"]).groupby("frame_id"):
+        for x, ids in zip(got, lanes.step(int(f), part.video_id.to_numpy(), *TT.columns(part)[:3]), strict=True):
+            x.update(zip(part.det_id, ids.tolist(), strict=True))
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_pairs_of_edges_cost_least(seed):
+    r = np.random.default_rng(seed)
+    cost = np.where(r.random((5, 5)) < 0.6, np.round(r.uniform(0, 1, (5, 5)), 1 + seed % 2), 2.0)[: r.integers(1, 6)]
+    pairs = TT.pair_edges([[(v - 0.8, c) for c, v in enumerate(row) if v < 2] for row in cost.tolist()])
+    assert len(set(pairs.values())) == len(pairs)
+    assert sum(cost[i, c] for c, i in pairs.items()) + 0.4 * (sum(cost.shape) - 2 * len(pairs)) == pytest.approx(best_by_enumeration(cost, 0.8))
+
+
+def test_a_search_deals_detections_once(spark):
+    """No row for each setting is made before the walk, and no setting's tracks are shuffled for their scores."""
+    plan = QUERIES["tracker_search"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+
+
+@pytest.mark.parametrize(("few", "lanes"), [(3, 32), (4096, 2)])
+def test_many_videos_and_small_batches(spark, monkeypatch, few, lanes):
+    monkeypatch.setattr(TT, "FEW_VIDEOS", few)
+    monkeypatch.setattr(TT, "LANES", lanes)
+    rows = crowd(7, 20, 9)
+    det = spark.createDataFrame(rows.sample(frac=1, random_state=1)).withColumn("video_id", F.when(F.col("video_id") < 8, F.col("video_id").cast("string")))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        got = {r.det_id: r.track_id for r in TT.walk_together(det, TT.ObservationTracker()).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert got == plain_loop(rows, PlainObservations)
+
+
+def test_search_of_other_trackers_and_odd_rows(spark):
+    """Trackers with appearance, ground truth of a video without detections, detections of one without ground truth."""
+    looks = videos._looks(spark, SF).where("video_id < 4")
+    gt = looks.withColumn("track_id", looks.det_id % 7).dropDuplicates(["video_id", "frame_id", "track_id"]).where("video_id <> 1").drop("embedding")
+    gt = gt.unionByName(gt.where("video_id = 2").withColumn("video_id", F.lit(77).cast("long")))
+    settings = {"a": TT.AppearanceTracker, "o": TT.ObservationTracker}
+    rows = {r.setting: r for r in TT.search(looks, gt, settings).collect()}
+    for name, make in settings.items():
+        pred = TT.walk(looks, lambda _, make=make: make()).where("track_id >= 0")
+        one, got = T.tracking_scores(pred, gt).first(), rows[name]
+        assert [got[c] for c in T.COUNTS] == [one[c] for c in T.COUNTS] and one.tp > 0 and one.fp > 0 and one.fn > 0
+
+
+def test_pairs_that_go_together_are_summed_in_parts(monkeypatch):
+    r, ends = np.random.default_rng(2), []
+    frames = [(r.permutation(5)[:4].tolist(), r.permutation(6)[:5].tolist(), *(x.tolist() for x in np.nonzero(r.random((4, 5)) < 0.4))) for _ in range(50)]
+    for most in (1, 7, 1 << 17):
+        monkeypatch.setattr(T, "PAIRS", most)
+        x = T.Identity({}, 0.5)
+        for gi, pi, rows, cols in frames:
+            x.count(gi, pi, rows, cols, [0.1 * (a + b) % 0.5 for a, b in zip(rows, cols, strict=True)])
+        ends.append(x.end().to_dict("records"))
+    assert ends[0] == ends[1] == ends[2] and ends[0][0]["idtp"] > 0

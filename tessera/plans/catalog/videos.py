@@ -64,7 +64,7 @@ _IDS = ("video_id", "frame_id", "det_id", "track_id")
 
 @query("track_by_observations")
 def track_by_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TT.walk(_frames(spark, sf_dir), lambda _: TT.ObservationTracker()).select(*_IDS)
+    return TT.walk_together(_frames(spark, sf_dir), TT.ObservationTracker()).select(*_IDS)
 
 
 @query("track_by_appearance")

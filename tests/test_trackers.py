@@ -466,6 +466,15 @@ def test_a_search_deals_detections_once(spark):
     assert "Generate explode" not in plan and plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
 
 
+def test_videos_are_dealt_evenly(spark):
+    """As many videos for each of 4 tasks, whatever their hash."""
+    x = QUERIES["track_by_observations"](spark, SF)
+    tasks = [r.n for r in x.select("video_id", F.spark_partition_id().alias("task")).distinct().groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) == 4 and max(tasks) - min(tasks) <= 1
+    rows = {r.det_id: r.track_id for r in x.collect()}
+    assert rows == plain_loop(videos._frames(spark, SF).toPandas(), TT.ObservationTracker)
+
+
 @pytest.mark.parametrize(("few", "lanes"), [(3, 32), (4096, 2)])
 def test_many_videos_and_small_batches(spark, monkeypatch, few, lanes):
     monkeypatch.setattr(TT, "FEW_VIDEOS", few)

@@ -205,28 +205,154 @@ def _places(kind: type):
     return run
 
 
+#: Cells of equal width that squared distances are counted in, rows of the gallery that are compared and counted at once, and at most so
+#: many queries of a block (8 bytes for each of their cells).
+CELLS, COUNTED, COUNTING = 1 << 15, 1 << 16, 256
+#: Queries and rows whose distances are computed in one product: they stay in the cache.
+TILE = 64, 1 << 9
+
+
+class _Counted:
+    """A block of queries while the gallery passes: of each query its positives and the others counted by cells of distance, the nearest
+    positive, and the ``most`` nearest others. A task holds these and ``COUNTED`` rows of the gallery of each kind.
+
+    Positives are counted ``NEAR`` nearer than they are, as at equal distances they come first. So an other of a lower cell is nearer than
+    a positive, one of a higher cell is not, and only the order within a cell is not known."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float, most: int) -> None:
+        a, n = (x**2).sum(1), len(ids)
+        widest = (np.sqrt(a.max()) + np.sqrt(longest)) ** 2 + 2 * NEAR
+        scale = (CELLS - 3) / widest
+        # products that are not exact enough, or cells that are too narrow, tell nothing
+        self.known = bool((a.max() + longest) * (x.shape[1] + 2) * 1e-15 < NEAR and NEAR * scale < 0.5)
+        self.ids, self.seen, self.waiting = ids, 0, {True: [], False: []}
+        other = np.hstack([-2 * scale * x, scale * a[:, None] + 1, np.full((n, 1), scale)])  # times (row, 1, its square): the cell
+        own = other.copy()
+        own[:, -2] -= NEAR * scale
+        self.sides = {True: own, False: other}
+        self.cells = {k: np.zeros((n, CELLS), np.int32) for k in (True, False)}
+        self.nearest, self.least = np.full(n, float(CELLS)), np.full((n, most), np.inf)
+
+    def add(self, own: bool, ids: np.ndarray, x: np.ndarray) -> None:
+        self.waiting[own].append((ids, x))
+        if sum(len(v) for v, _ in self.waiting[own]) >= COUNTED:
+            self.count(own)
+
+    def count(self, own: bool) -> None:
+        if not self.waiting[own]:
+            return
+        ids, rows = (np.concatenate(v) for v in zip(*self.waiting[own], strict=True))
+        self.waiting[own], sides = [], self.sides[own]
+        x = np.ones((len(ids), rows.shape[1] + 2))
+        x[:, :-2] = rows
+        x[:, -1] = np.einsum("ij,ij->i", x[:, :-2], x[:, :-2])
+        of = np.zeros((TILE[0], len(ids)), np.int32)
+        self_q = self_at = np.zeros(0, int)
+        if own:  # a query is no positive of its own
+            order = np.argsort(ids, kind="stable")
+            first, last = (np.searchsorted(ids, self.ids, side, sorter=order) for side in ("left", "right"))
+            self_q = np.repeat(np.arange(len(self.ids)), last - first)
+            self_at = order[np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]).astype(int)]
+        for q in range(0, len(self.ids), TILE[0]):
+            some = slice(q, q + TILE[0])
+            n = len(self.ids[some])
+            for at in range(0, len(ids), TILE[1]):
+                d = sides[some] @ x[at : at + TILE[1]].T
+                if own:
+                    hit = (self_q >= q) & (self_q < q + n) & (self_at >= at) & (self_at < at + TILE[1])
+                    d[self_q[hit] - q, self_at[hit] - at] = CELLS
+                    np.minimum(self.nearest[some], d.min(axis=1), out=self.nearest[some])
+                else:
+                    nearer = d < self.least[some, -1:]
+                    for j in np.flatnonzero(nearer.any(axis=1)).tolist():
+                        self.least[q + j] = np.sort(np.concatenate([self.least[q + j], d[j, nearer[j]]]))[: self.least.shape[1]]
+                of[:n, at : at + TILE[1]] = d
+            for j in range(n):
+                self.cells[own][q + j] += np.bincount(of[j], minlength=CELLS + 1)[:CELLS].astype(np.int32)
+
+    def bounds(self) -> pa.RecordBatch:
+        """Least and greatest ap of each query with a positive, and the place of the first one as far as ``most``."""
+        for own in (True, False):
+            self.count(own)
+        out = []
+        for own, others, nearest, least in zip(self.cells[True], self.cells[False], self.nearest, self.least, strict=True):
+            used = np.flatnonzero(own)
+            if not len(used):
+                continue
+            to = np.cumsum(others, dtype=np.int64)[used]
+            i = np.arange(1, int(own[used].sum()) + 1)
+            below, upto = (np.repeat(v, own[used]) for v in (to - others[used], to))
+            out.append(((i / (i + upto)).mean() if self.known else 0.0, (i / (i + below)).mean() if self.known else 1.0, int(np.count_nonzero(least < nearest)) + 1))
+        lo, hi, first = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(lo, pa.float64()), pa.array(hi, pa.float64()), pa.array(first, pa.int64())], ["lo", "hi", "first"])
+
+
+def _bounds(kind: type, most: int):
+    """What ``_Counted`` tells of each block of queries, whose rows meet the gallery once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, total = None, None, 0
+        for batch in batches:
+            c = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                key = c["label"][i].as_py(), c["q_block"][i].as_py()
+                if key != now:
+                    if block is not None:
+                        raise RuntimeError(f"a block of queries met {block.seen} of {total} rows")
+                    now, total = key, c["total"][i].as_py()
+                    ids = np.array(c["q_ids"][i].as_py(), np.int64)
+                    block = _Counted(ids, c["q"][i].values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1), c["longest"][i].as_py(), most)
+                other, labels = (np.frombuffer(c[n][i].as_buffer(), np.int64) for n in ("ids", "labels"))
+                x = np.frombuffer(c["x"][i].as_buffer(), kind).reshape(len(other), -1)
+                own = labels == key[0]
+                for side in (True, False):
+                    if (own == side).any():
+                        block.add(side, other[own == side], x[own == side])
+                block.seen += len(other)
+                if block.seen == total:
+                    yield block.bounds()
+                    block = None
+        if block is not None:
+            raise RuntimeError(f"a block of queries met {block.seen} of {total} rows")
+
+    return run
+
+
 def reid(features: DataFrame, block: int = 2048, ranks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """One row: mAP and cumulative match at ``ranks`` of every row (vec_id, label, embedding) against all others.
 
     All rows are compared with all, by definition of the measure, and no pair leaves its task. Queries are dealt in blocks of
-    one label, of at most about ``QUERIES`` rows and ``POSITIVES`` positives in all; the gallery is read again for each task, in
-    blocks of ``block`` rows, not shuffled. What is shuffled is thus each row once, and a row for each query. The least that a
-    task can hold is one query with the distances of its positives. At equal distances rows of the query's label come
-    first.
+    one label; the gallery is read again for each task, in blocks of ``block`` rows, not shuffled. What is shuffled is thus each row
+    once, and a row for each query. At equal distances rows of the query's label come first.
+
+    Distances are counted by cells, which bounds each query's ap; the matches at ``ranks`` are exact. Where both bounds of the mean
+    round to the same number, that is the mAP. Where they do not, all distances are put in order, in blocks of at most about
+    ``QUERIES`` rows and ``POSITIVES`` positives in all: the least that a task can hold is then one query with the distances of its
+    positives.
     """
     x = features.select("vec_id", "label", "embedding")
     kind = np.float32 if features.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
-    n = x.groupBy("label").agg(F.count("*").alias("_n"))
-    rows = F.greatest(F.least(F.floor(F.lit(POSITIVES) / F.col("_n")), F.lit(min(block, QUERIES))), F.lit(1))  # of a block of queries
-    q = x.where("label is not null").join(n, "label").withColumn("q_block", F.pmod(F.xxhash64("vec_id", "label"), F.ceil(F.col("_n") / rows).cast("long")))
-    q = dealt(q, ["label", "q_block"]).groupBy("label", "q_block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("b"))
-    q = q.select("label", "q_block", F.transform("b", lambda v: v["vec_id"]).alias("q_ids"), F.transform("b", lambda v: v["embedding"]).alias("q"))
-    q = q.withColumn("total", n.agg(F.sum("_n")).scalar())
-    q = q.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).sortWithinPartitions("label", "q_block", "turn")
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    n = x.groupBy("label").agg(F.count("*").alias("_n"), F.max(square).alias("_longest"))
     gallery = x.coalesce(1).mapInArrow(_packed(block, kind), "ids binary, labels binary, x binary")
-    met = q.crossJoin(gallery.hint("shuffle_replicate_nl"))  # a task's queries pass its reading of the gallery one after the other
-    per = met.mapInArrow(_places(kind), "vec_id long, ap double, first long")
-    return per.agg(F.round(F.avg("ap"), 3).alias("map"), *[F.round(F.avg((F.col("first") <= r).cast("double")), 3).alias(f"r{r}") for r in ranks])
+
+    def blocks(of: DataFrame, rows: Column) -> DataFrame:
+        q = of.where("label is not null").join(n.drop("_longest"), "label").withColumn("q_block", F.pmod(F.xxhash64("vec_id", "label"), F.ceil(F.col("_n") / rows).cast("long")))
+        q = dealt(q, ["label", "q_block"]).groupBy("label", "q_block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("b"))
+        q = q.select("label", "q_block", F.transform("b", lambda v: v["vec_id"]).alias("q_ids"), F.transform("b", lambda v: v["embedding"]).alias("q"))
+        return q.withColumn("total", n.agg(F.sum("_n")).scalar())
+
+    def met(q: DataFrame) -> DataFrame:  # a task's queries pass its reading of the gallery one after the other
+        return q.crossJoin(gallery.hint("shuffle_replicate_nl"))
+
+    counting = blocks(x, F.lit(min(block, COUNTING))).withColumn("longest", n.agg(F.max("_longest")).scalar())
+    per = met(counting).mapInArrow(_bounds(kind, max(ranks)), "lo double, hi double, first long")
+    lo, hi = F.round(F.avg("lo") - 1e-12, 3), F.round(F.avg("hi") + 1e-12, 3)  # sums of many are not exact
+    found = per.agg(F.struct(lo.alias("map"), lo.eqNullSafe(hi).alias("known"), *[F.round(F.avg((F.col("first") <= r).cast("double")), 3).alias(f"r{r}") for r in ranks]).alias("s")).scalar()
+    rest = blocks(x.where(~found["known"]), F.greatest(F.least(F.floor(F.lit(POSITIVES) / F.col("_n")), F.lit(min(block, QUERIES))), F.lit(1)))
+    rest = rest.withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).sortWithinPartitions("label", "q_block", "turn")
+    exact = met(rest).mapInArrow(_places(kind), "vec_id long, ap double, first long").agg(F.round(F.avg("ap"), 3).alias("exact"))
+    return exact.select(F.coalesce("exact", found["map"]).alias("map"), *[found[f"r{r}"].alias(f"r{r}") for r in ranks])
 
 
 def _column(v: int | Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .assign import pair_edges, solve
-from .groups import dealt, whole_groups
+from .groups import _whole, dealt
 from .matching import overlaps
 from .tracking import CHI2_95, CORNERS, COUNTS, NEVER, Identity, Kalman, identity_ratios, to_state
 
@@ -697,7 +697,7 @@ def _array(table: pa.Table, name: str) -> np.ndarray:
 def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, list[tuple[int, int, bool]]]]:
     """Tables of whole frames, their frames, and (start, end, whether a turn begins) of each."""
     turn = None
-    for table, starts in whole_groups(batches, ("_turn", "frame_id")):
+    for table, starts in _whole(batches, ("_turn", "frame_id")):
         turns, at = _array(table, "_turn"), starts.tolist()
         frames = []
         for a, b in zip(at, [*at[1:], table.num_rows], strict=True):
